@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encode, lines, neardup, split
+from . import encode, language, lines, mainbody, neardup, residue, spam, split
 
 QUERIES = {
     "p1_found": split.p1_found,
@@ -10,6 +10,11 @@ QUERIES = {
     "p2_found": lines.p2_found,
     "p2_clean": lines.p2_clean,
     "p2_lines": lines.p2_lines,
+    "p3_found": language.p3_found,
+    "p3_segments": language.p3_segments,
+    "p4_found": mainbody.p4_found,
+    "p5_found": residue.p5_found,
+    "p6_found": spam.p6_found,
     "p7_found": neardup.p7_found,
     "p8_ids": encode.p8_ids,
 }
