@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encode, language, lines, mainbody, neardup, residue, spam, split
+from . import encode, language, lines, mainbody, mix, neardup, residue, spam, spans, split
 
 QUERIES = {
     "p1_found": split.p1_found,
@@ -17,6 +17,11 @@ QUERIES = {
     "p6_found": spam.p6_found,
     "p7_found": neardup.p7_found,
     "p8_ids": encode.p8_ids,
+    "p9_mix": mix.p9_mix,
+    "p9_shares": mix.p9_shares,
+    "p10_found": spans.p10_found,
+    "p10_shares": spans.p10_shares,
+    "p10_clean": spans.p10_clean,
 }
 
 ORACLE: dict[str, str] = {}
