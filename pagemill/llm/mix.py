@@ -98,6 +98,28 @@ def land(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndar
     return p
 
 
+def settle(tokens: np.ndarray, start: np.ndarray, landed: np.ndarray, swaps: int = 3) -> np.ndarray:
+    """The landing settled: where one record outweighs all the landing could balance, a record used and one not used
+    change places, whose difference is nearest to what is left over. The number of records stays."""
+    z = landed.copy()
+    free = (start > 0) & (start < 1)
+    for _ in range(swaps):
+        off = float(z @ tokens - start @ tokens)
+        ins, outs = np.flatnonzero(free & (z == 1)), np.flatnonzero(free & (z == 0))
+        if abs(off) < 1 or not len(ins) or not len(outs):
+            break
+        outs = outs[np.argsort(tokens[outs], kind="stable")]
+        want = tokens[ins] - off
+        at = np.clip(np.searchsorted(tokens[outs], want), 1, max(1, len(outs) - 1))
+        near = np.where(np.abs(tokens[outs[at - 1]] - want) <= np.abs(tokens[outs[np.minimum(at, len(outs) - 1)]] - want), at - 1, np.minimum(at, len(outs) - 1))
+        gap = np.abs(tokens[outs[near]] - want)
+        k = int(np.argmin(gap))
+        if gap[k] >= abs(off):
+            break
+        z[ins[k]], z[outs[near[k]]] = 0.0, 1.0
+    return z
+
+
 def budgets(stats: list[tuple[str, int, int]], targets: list[tuple[str, float, int]], total_tokens: float | None = None) -> dict[str, tuple[float, int]]:
     """Expected copies of a record, and the cap, of each source: from (source, records, tokens) and (source, share,
     max_repeats), both of the bounded list of targets."""
@@ -125,9 +147,10 @@ def _fly(df: DataFrame, block: int, seed: int, level: int, landing: bool) -> Dat
         first = int(g["order"].iloc[0]) if len(g) else 0
         rng = np.random.default_rng([seed, level, len(g), first & 0xFFFFFFFF])
         tokens = g["n_tokens"].to_numpy()
-        p = flight(tokens, g["p"].to_numpy(), rng, LANDING if landing else 2)
+        start = g["p"].to_numpy()
+        p = flight(tokens, start, rng, LANDING if landing else 2)
         if landing:
-            p = land(tokens, p, rng)
+            p = settle(tokens, start, land(tokens, p, rng))
         return g.assign(p=p)[["doc_id", "source", "n_tokens", "p"]]
 
     keyed = df.withColumn("order", F.xxhash64(F.lit(seed), F.lit(level), "doc_id")).withColumn("block", F.pmod(F.shiftrightunsigned("order", 7), F.col("blocks")))
