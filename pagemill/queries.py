@@ -2,5 +2,584 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import native as N
+from .operators import page as P
+from .operators.fingerprints import near_pairs, simhash_of, tag_fingerprint
+from .plans import clean as C
+from .plans import crawl as G
+from .plans import extract as X
+from .plans import jobs as J
+from .streaming import state as S
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return keep
+
+
+# SQL of the estimate and of URL parts, as used in several statements.
+def _est(x: str) -> str:
+    return f"CASE WHEN length({x}) > 0 THEN greatest(1, length({x}) // 3) ELSE 0 END"
+
+
+def _netloc(x: str) -> str:
+    return f"regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1)"
+
+
+def _host(x: str) -> str:
+    return f"regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)"
+
+
+def _path(x: str) -> str:
+    return f"regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+def _base(netloc: str) -> str:
+    cut = f"regexp_replace({netloc}, ':[^:]*$', '')"
+    return f"CASE WHEN len(string_split({cut}, '.')) <= 2 THEN {cut} ELSE array_to_string(string_split({cut}, '.')[-2:], '.') END"
+
+
+# --- tokens, URLs, keys -----------------------------------------------------------------------------------------
+
+
+@query(
+    "q_token_estimate",
+    f"SELECT 'pages' AS kind, page_id AS id, ({_est('html')})::BIGINT AS tokens FROM pages UNION ALL SELECT 'documents', doc_id, ({_est('text')})::BIGINT FROM documents",
+)
+def q_token_estimate(spark, sf):
+    a = table(spark, sf, "pages").select(F.lit("pages").alias("kind"), F.col("page_id").alias("id"), N.estimate_tokens(F.col("html")).alias("tokens"))
+    b = table(spark, sf, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), N.estimate_tokens(F.col("text")).alias("tokens"))
+    return a.union(b)
+
+
+@query(
+    "q_savings_by_host",
+    f"""WITH p AS (SELECT lower({_host('url')}) AS host, {_est('html')} AS o, {_est("trim(regexp_extract(html, '<title>([^<]*)', 1))")} AS c FROM pages)
+SELECT host, count(*) AS pages, sum(o)::BIGINT AS original, sum(c)::BIGINT AS cleaned,
+  CASE WHEN sum(o) > 0 THEN round((sum(o) - sum(c))::DOUBLE / sum(o)::DOUBLE * 100 * 100) / 100 ELSE 0.0 END AS savings FROM p GROUP BY host""",
+)
+def q_savings_by_host(spark, sf):
+    """Tokens of pages and of their titles alone, by host."""
+    p = table(spark, sf, "pages")
+    title = F.trim(F.regexp_extract("html", r"<title>([^<]*)", 1))
+    x = p.select(F.lower(N.url_host(F.col("url"))).alias("host"), N.estimate_tokens(F.col("html")).alias("o"), N.estimate_tokens(title).alias("c"))
+    g = x.groupBy("host").agg(F.count("*").alias("pages"), F.sum("o").alias("original"), F.sum("c").alias("cleaned"))
+    return g.withColumn("savings", N.savings_percent(F.col("original"), F.col("cleaned")))
+
+
+@query(
+    "q_scrape_savings",
+    f"""WITH s AS (SELECT scrape_id, lower({_host('final_url')}) AS host, arg_max(tokens.original_estimate, ingested_at)::BIGINT AS o, ({_est('any_value(content)')})::BIGINT AS c
+  FROM scrapes WHERE tokens.original_estimate IS NOT NULL AND content IS NOT NULL GROUP BY scrape_id, final_url)
+SELECT host, count(*) AS records, sum(o)::BIGINT AS original, sum(c)::BIGINT AS cleaned,
+  CASE WHEN sum(o) > 0 THEN round((sum(o) - sum(c))::DOUBLE / sum(o)::DOUBLE * 100 * 100) / 100 ELSE 0.0 END AS savings FROM s GROUP BY host""",
+)
+def q_scrape_savings(spark, sf):
+    """Original and measured tokens of records, by host; repeated deliveries count once."""
+    s = table(spark, sf, "scrapes").where("tokens.original_estimate IS NOT NULL AND content IS NOT NULL")
+    x = s.select("scrape_id", "final_url", "ingested_at", F.col("tokens.original_estimate").cast("bigint").alias("o"), N.estimate_tokens(F.col("content")).alias("c"))
+    one = x.groupBy("scrape_id", "final_url").agg(F.max_by("o", "ingested_at").alias("o"), F.first("c").alias("c"))
+    g = one.groupBy(F.lower(N.url_host(F.col("final_url"))).alias("host")).agg(F.count("*").alias("records"), F.sum("o").alias("original"), F.sum("c").alias("cleaned"))
+    return g.withColumn("savings", N.savings_percent(F.col("original"), F.col("cleaned")))
+
+
+@query("q_base_domain", f"SELECT page_id, {_host('url')} AS host, {_base(_netloc('url'))} AS base_domain FROM pages")
+def q_base_domain(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", N.url_host(u).alias("host"), N.base_domain(N.url_netloc(u)).alias("base_domain"))
+
+
+@query(
+    "q_scope_filter",
+    f"""SELECT src, dst, regexp_matches(dst, '^(?i:https?):') AND lower({_netloc('dst')}) = lower({_netloc('src')}) AS by_domain,
+  regexp_matches(dst, '^(?i:https?):') AND lower({_base(_netloc('dst'))}) = lower({_base(_netloc('src'))}) AS by_subdomain FROM (SELECT DISTINCT src, dst FROM crawl_edges WHERE src IS NOT NULL AND dst IS NOT NULL)""",
+)
+def q_scope_filter(spark, sf):
+    e = table(spark, sf, "crawl_edges").where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    s, d = F.col("src"), F.col("dst")
+    return e.select("src", "dst", N.in_scope(d, s, "domain").alias("by_domain"), N.in_scope(d, s, "subdomain").alias("by_subdomain"))
+
+
+@query(
+    "q_exclude_glob",
+    f"SELECT page_id, regexp_matches({_path('url')}, '^/item-[^/]*$') OR regexp_matches({_path('url')}, '^/the-[a-m][^/]*$') OR regexp_matches(url, '^[^/]*[.]pdf$') AS excluded FROM pages",
+)
+def q_exclude_glob(spark, sf):
+    return table(spark, sf, "pages").select("page_id", N.excluded(F.col("url"), ["/item-*", "/the-[a-m]*", "*.pdf", "[broken"]).alias("excluded"))
+
+
+@query("q_cache_key", "SELECT page_id, sha256(concat_ws('|', url, 'markdown', 'readability')) AS key FROM pages")
+def q_cache_key(spark, sf):
+    return table(spark, sf, "pages").select("page_id", N.cache_key(F.col("url"), F.lit("markdown"), F.lit("readability")).alias("key"))
+
+
+_SECRET = "whsec-example"
+
+
+def _pad(byte: int) -> str:
+    return bytes(b ^ byte for b in _SECRET.encode().ljust(64, b"\0")).hex()
+
+
+@query(
+    "q_webhook_signature",
+    f"""WITH j AS (SELECT DISTINCT job_id, concat('{{"type":"batch.completed","job_id":"', job_id, '"}}') AS body FROM job_rows WHERE job_id IS NOT NULL)
+SELECT job_id, concat('sha256=', sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(body))))) AS signature FROM j""",
+)
+def q_webhook_signature(spark, sf):
+    jobs = table(spark, sf, "job_rows").where("job_id IS NOT NULL").select("job_id").distinct()
+    body = F.concat(F.lit('{"type":"batch.completed","job_id":"'), F.col("job_id"), F.lit('"}'))
+    return jobs.select("job_id", N.hmac_sha256(body, _SECRET).alias("signature"))
+
+
+@query(
+    "q_small_formats",
+    f"""SELECT page_id, CASE WHEN length(url) > 40 THEN concat(substr(url, 1, 37), '...') ELSE url END AS short,
+  concat('https://www.google.com/search?q=', {_host('url')}) AS referer, format('{{:,}}', page_id * 1000) AS pretty, {_path('url')} AS path FROM pages""",
+)
+def q_small_formats(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", N.shorten(u, 40).alias("short"), N.search_referer(u).alias("referer"), N.thousands(F.col("page_id") * 1000).alias("pretty"), N.url_path(u).alias("path"))
+
+
+# --- page parsing -----------------------------------------------------------------------------------------------
+
+_UNESCAPE = "replace(replace(replace(replace({}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+_TITLE = "coalesce(regexp_extract(html, '<title>([^<]*)', 1), '')"
+
+
+@query("q_title", f"SELECT page_id, trim({_UNESCAPE.format(_TITLE)}) AS title FROM pages")
+def q_title(spark, sf):
+    return table(spark, sf, "pages").select("page_id", P.title_of("html").alias("title"))
+
+
+_TAGS = "regexp_extract_all(coalesce(html, ''), '<([a-z][a-z0-9]*)(?:\\s[^<>]*)?>', 1)"
+
+
+@query("q_tag_histogram", f"SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest({_TAGS}) AS tag FROM pages) GROUP BY tag")
+def q_tag_histogram(spark, sf):
+    t = table(spark, sf, "pages").select("page_id", F.explode(P.tags_of("html")).alias("tag"))
+    return t.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+
+
+@query(
+    "q_shingles",
+    f"""WITH t AS (SELECT page_id, {_TAGS} AS t FROM pages), s AS (SELECT page_id, unnest(CASE WHEN len(t) >= 3 THEN [concat_ws('_', t[i], t[i + 1], t[i + 2]) FOR i IN range(1, len(t) - 1)] ELSE [] END) AS shingle FROM t)
+SELECT shingle, count(*) AS n FROM s GROUP BY shingle""",
+)
+def q_shingles(spark, sf):
+    s = table(spark, sf, "pages").select(P.tags_of("html").alias("tags")).select(F.explode(N.shingles(F.col("tags"))).alias("shingle"))
+    return s.groupBy("shingle").agg(F.count("*").alias("n"))
+
+
+@query("q_links")
+def q_links(spark, sf):
+    """Every link of every page: absolute URL, text, and whether it is internal."""
+    x = table(spark, sf, "pages").select("page_id", P.links_of("html", "url").alias("l"))
+    one = lambda kind, inside: x.select("page_id", F.posexplode(f"l.{kind}").alias("pos", "a")).select("page_id", F.lit(inside).alias("internal"), F.col("pos").cast("bigint").alias("pos"), "a.href", "a.text")
+    return one("internal", True).union(one("external", False))
+
+
+@query(
+    "q_link_counts",
+    """WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(coalesce(html, ''), '<a href="([^"]+)"[^>]*>', 1)) AS href FROM pages), r AS (SELECT page_id, CASE
+  WHEN starts_with(href, '#') THEN concat(regexp_replace(url, '#.*$', ''), href) WHEN regexp_matches(href, '^https?:') THEN href
+  WHEN starts_with(href, '/') THEN concat(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*'), href)
+  WHEN starts_with(href, '../') THEN concat('up:', href) ELSE concat('here:', href) END AS u FROM h)
+SELECT page_id, count(DISTINCT u) AS links FROM r GROUP BY page_id""",
+)
+def q_link_counts(spark, sf):
+    x = table(spark, sf, "pages").select("page_id", P.links_of("html", "url").alias("l"))
+    return x.select("page_id", (F.size("l.internal") + F.size("l.external")).cast("bigint").alias("links")).where("links > 0")
+
+
+@query("q_images")
+def q_images(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.explode(P.images_of("html", "url")).alias("i")).select("page_id", "i.src", "i.alt")
+
+
+@query(
+    "q_open_graph",
+    f"SELECT page_id, {_UNESCAPE.format('t')} AS og_title FROM (SELECT page_id, regexp_extract(html, '<meta property=\"og:title\" content=\"([^\"]+)\">', 1) AS t FROM pages) WHERE t <> ''",
+)
+def q_open_graph(spark, sf):
+    x = table(spark, sf, "pages").select("page_id", P.open_graph_of("html").alias("og"))
+    return x.where("og.title <> ''").select("page_id", F.col("og.title").alias("og_title"))
+
+
+@query("q_visible_text")
+def q_visible_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", P.visible_of("html").alias("visible"))
+
+
+@query("q_needs_browser")
+def q_needs_browser(spark, sf):
+    return table(spark, sf, "pages").select("page_id", P.needs_browser_of("html").alias("needs_browser"))
+
+
+@query("q_prune_scores")
+def q_prune_scores(spark, sf):
+    return C.scored_parts(table(spark, sf, "pages"))
+
+
+def _named(name: str, words: str, amount: str) -> str:
+    return f"CASE WHEN regexp_matches({name}, '{words}') THEN {amount} ELSE 0.0 END"
+
+
+@query(
+    "q_notice_scores",
+    f"""WITH d AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '<div class="((?:ad|notice|promo|cookie-bar)">[^<]*)</div>', 1)) AS d FROM pages),
+  x AS (SELECT page_id, string_split(d, '">')[1] AS class, {_UNESCAPE.format("substr(d, strpos(d, '\">') + 2)")} AS text FROM d), y AS (SELECT page_id, class, text, strlen(trim(text))::DOUBLE AS n FROM x WHERE text NOT LIKE '%''%' AND text NOT LIKE '%"%' AND text NOT LIKE '%&%')
+SELECT page_id, class, text, round({_named("concat(class, ' ')", "content|article|post|entry|body|main|text", "3.0")} - {_named("concat(class, ' ')", "|".join(N.NEGATIVE_NAMES), "3.0")}
+  + 3.0 * n / (strlen(text) + strlen(class) + 20) + 0.5 * log10(n + 1.0), 9) AS score FROM y""",
+)
+def q_notice_scores(spark, sf):
+    """Scores of simple notice blocks (text only), by native expressions over a native extraction."""
+    d = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r'<div class="((?:ad|notice|promo|cookie-bar)">[^<]*)</div>'), 1)).alias("d"))
+    raw = F.expr("substring(d, instr(d, '\">') + 2)")
+    text = raw
+    for a, b in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    x = d.select("page_id", F.substring_index("d", '">', 1).alias("class"), text.alias("text")).where("NOT contains(text, \"'\") AND NOT contains(text, '\"') AND NOT contains(text, '&')")
+    score = N.element_score(F.lit("div"), F.col("class"), F.lit(""), F.octet_length(F.trim("text")), F.octet_length("text") + F.octet_length("class") + 20, F.lit(0))
+    return x.select("page_id", "class", "text", F.round(score, 9).alias("score"))
+
+
+def _cleaned(mode: str, fmt: str):
+    def run(spark, sf):
+        got = C.clean(table(spark, sf, "pages"), C.Options(mode=mode, output_format=fmt))
+        return got.select("page_id", "success", "content", F.col("metadata.title").alias("title"), F.col("tokens.original_estimate").alias("original"), F.col("tokens.cleaned_estimate").alias("cleaned"), F.col("tokens.savings_percent").alias("savings"))
+
+    return run
+
+
+for _mode in C.MODES:
+    for _fmt in C.FORMATS:
+        query(f"q_clean_{_mode}_{_fmt}")(_cleaned(_mode, _fmt))
+_identity = f"""SELECT page_id, TRUE AS success, coalesce(html, '') AS content, trim({_UNESCAPE.format(_TITLE)}) AS title,
+  ({_est('html')})::BIGINT AS original, ({_est('html')})::BIGINT AS cleaned, 0.0::DOUBLE AS savings FROM pages"""
+ORACLE["q_clean_raw_html"] = ORACLE["q_clean_raw_text"] = _identity
+
+
+@query("q_clean_selected")
+def q_clean_selected(spark, sf):
+    """Cleaning with a selector and with kept and dropped tags, with links, images and metadata."""
+    o = C.Options(mode="raw", output_format="markdown", filters=P.Filters(css_selector="body > *", exclude=("nav", "footer", "div.ad, div.notice")))
+    return C.clean(table(spark, sf, "pages"), o).select("page_id", "success", "content", "metadata.title", F.size("links.internal").alias("internal"), F.size("links.external").alias("external"), F.size("images").alias("images"))
+
+
+@query("q_clean_bad_selector", "SELECT page_id, FALSE AS success, 'INVALID_INPUT' AS code FROM pages")
+def q_clean_bad_selector(spark, sf):
+    o = C.Options(filters=P.Filters(css_selector="div[[["))
+    return C.clean(table(spark, sf, "pages"), o).select("page_id", "success", "error.code")
+
+
+@query("q_citations")
+def q_citations(spark, sf):
+    s = table(spark, sf, "scrapes").where("content IS NOT NULL").select("scrape_id", "content").distinct()
+    return s.select("scrape_id", P.citations_of("content").alias("content"))
+
+
+# --- fingerprints -----------------------------------------------------------------------------------------------
+
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B\\x1C-\\x1F]+'), lambda w: w <> '')"
+_FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda x: concat('0x', x)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616::UHUGEINT)"
+_SIGNED = "CASE WHEN {0} >= 9223372036854775808 THEN ({0}::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE {0}::BIGINT END"
+
+
+@query("q_word_fnv", f"WITH w AS (SELECT DISTINCT unnest({_WORDS}) AS w FROM documents) SELECT w AS word, {_SIGNED.format('f')} AS fnv FROM (SELECT w, {_FNV} AS f FROM w)")
+def q_word_fnv(spark, sf):
+    w = table(spark, sf, "documents").select(F.explode(N.words(F.col("text"))).alias("word")).distinct()
+    return w.select("word", N.fnv1a64(F.col("word")).alias("fnv"))
+
+
+def _sim(source: str, key: str, words: str) -> str:
+    return f"""k AS (SELECT i, (1::HUGEINT << i::HUGEINT)::UHUGEINT AS p FROM range(0, 64) r(i)), w AS (SELECT {key}, unnest({words}) AS w FROM {source}), v AS (SELECT w, {_FNV} AS f FROM (SELECT DISTINCT w FROM w)),
+  b AS (SELECT {key}, i, sum(CASE WHEN (f // p) % 2 = 1 THEN 1 ELSE -1 END) AS votes FROM w JOIN v USING (w), k GROUP BY {key}, i),
+  s AS (SELECT {key}, sum(CASE WHEN votes > 0 THEN p::HUGEINT ELSE 0::HUGEINT END)::UHUGEINT AS f FROM b JOIN k USING (i) GROUP BY {key}),
+  h AS (SELECT {key}, {_SIGNED.format('coalesce(s.f, 0)')} AS fingerprint FROM {source} LEFT JOIN s USING ({key}))"""
+
+
+@query("q_simhash_docs", f"WITH {_sim('documents', 'doc_id', _WORDS)} SELECT doc_id, fingerprint FROM h")
+def q_simhash_docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", simhash_of("text").alias("fingerprint"))
+
+
+_DOM_WORDS = f"(SELECT CASE WHEN len(t) >= 3 THEN [concat_ws('_', t[i], t[i + 1], t[i + 2]) FOR i IN range(1, len(t) - 1)] ELSE t END FROM (SELECT {_TAGS} AS t))"
+
+
+@query("q_dom_fingerprint", f"WITH {_sim('pages', 'page_id', _DOM_WORDS)} SELECT page_id, fingerprint FROM h")
+def q_dom_fingerprint(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tag_fingerprint("html").alias("fingerprint"))
+
+
+@query(
+    "q_simhash_pairs",
+    f"""WITH {_sim('documents', 'doc_id', _WORDS)} SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.fingerprint, b.fingerprint))::BIGINT AS distance
+FROM h a JOIN h b ON a.doc_id < b.doc_id AND a.fingerprint <> 0 AND b.fingerprint <> 0 AND bit_count(xor(a.fingerprint, b.fingerprint)) <= 6""",
+)
+def q_simhash_pairs(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), simhash_of("text").alias("fingerprint"))
+    return near_pairs(d, 6)
+
+
+@query(
+    "q_dom_groups",
+    f"WITH {_sim('pages', 'page_id', _DOM_WORDS)} SELECT fingerprint, count(*) AS pages, min(page_id) AS first_page FROM h GROUP BY fingerprint",
+)
+def q_dom_groups(spark, sf):
+    """Pages of equal structure."""
+    return q_dom_fingerprint(spark, sf).groupBy("fingerprint").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
+
+
+# --- discovery and crawl ----------------------------------------------------------------------------------------
+
+
+@query("q_map_union", "SELECT DISTINCT url FROM (SELECT src AS url FROM crawl_edges UNION ALL SELECT dst FROM crawl_edges UNION ALL SELECT url FROM pages) WHERE trim(url) <> ''")
+def q_map_union(spark, sf):
+    e = table(spark, sf, "crawl_edges")
+    return G.discover(e.select(F.col("src").alias("url")), e.select(F.col("dst").alias("url")), table(spark, sf, "pages").select("url"))
+
+
+@query(
+    "q_url_counts",
+    f"SELECT lower({_host('src')}) AS host, count(DISTINCT dst) AS urls FROM crawl_edges WHERE src IS NOT NULL GROUP BY 1",
+)
+def q_url_counts(spark, sf):
+    e = table(spark, sf, "crawl_edges").where("src IS NOT NULL")
+    return e.groupBy(F.lower(N.url_host(F.col("src"))).alias("host")).agg(F.count_distinct("dst").alias("urls"))
+
+
+_ROBOTS = [("a", "User-agent: *\r\nSITEMAP: https://a.example/s.xml\r\nsitemap:\r\nSitemap:  https://a.example/t.xml  "), ("b", "Disallow: /x\nnot a sitemap: y\n  sitemap: https://b.example/u.xml")]
+
+
+@query("q_robots_sitemaps", "SELECT * FROM (VALUES ('a', 'https://a.example/s.xml'), ('a', 'https://a.example/t.xml'), ('b', 'https://b.example/u.xml')) t(site, url)")
+def q_robots_sitemaps(spark, sf):
+    return G.robots_sitemaps(spark.createDataFrame(_ROBOTS, "site string, body string"))
+
+
+_SITEMAPS = [
+    ("https://a.example/root.xml", "<sitemapindex><sitemap><loc>https://a.example/1.xml</loc></sitemap><sitemap><loc> https://a.example/root.xml </loc></sitemap></sitemapindex>"),
+    ("https://a.example/1.xml", '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.example/x</loc></url><url><loc> </loc></url><url><loc>https://a.example/y</loc></url></urlset>'),
+    ("https://a.example/bad.xml", "<urlset><url><loc>https://a.example/z"),
+]
+
+
+@query("q_sitemaps", "SELECT * FROM (VALUES ('https://a.example/x'), ('https://a.example/y')) t(url)")
+def q_sitemaps(spark, sf):
+    docs = spark.createDataFrame(_SITEMAPS, "url string, body string")
+    return G.expand_sitemaps(docs.where("url LIKE '%root.xml'").select("url"), docs)
+
+
+@query(
+    "q_crawl_bfs",
+    """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM crawl_edges WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst), seed AS (SELECT min(src) AS url FROM crawl_edges WHERE src LIKE 'https://l%' OR src LIKE 'https://w%' GROUP BY substr(src, 9, 3)),
+  r(url, depth) AS (SELECT url, 0 FROM seed UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 4), m AS (SELECT url, min(depth)::BIGINT AS depth FROM r GROUP BY url)
+SELECT url, depth FROM m ORDER BY depth, url LIMIT 400""",
+)
+def q_crawl_bfs(spark, sf):
+    """A crawl of at most 400 pages and depth 4 from the first source of some sites (the budget is the feature)."""
+    e = table(spark, sf, "crawl_edges")
+    seeds = e.where("src LIKE 'https://l%' OR src LIKE 'https://w%'").groupBy(F.substring("src", 9, 3)).agg(F.min("src").alias("url")).select("url")
+    return G.crawl(seeds, e, max_depth=4, max_pages=400)
+
+
+@query("q_reachable", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM crawl_edges WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst), r(url, depth) AS (SELECT DISTINCT src, 0 FROM e WHERE src LIKE 'https://a%' UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 3)
+SELECT url, min(depth)::BIGINT AS depth FROM r GROUP BY url""")
+def q_reachable(spark, sf):
+    """Depths of all pages within three links of a set of sites, without a budget."""
+    e = table(spark, sf, "crawl_edges")
+    return G.crawl(e.where("src LIKE 'https://a%' AND dst IS NOT NULL AND src <> dst").select(F.col("src").alias("url")), e, max_depth=3)
+
+
+_CRAWL_HOSTS = f"""WITH s AS (SELECT scrape_id, lower({_host('final_url')}) AS host, bool_or(coalesce(success, FALSE)) AS ok FROM scrapes GROUP BY scrape_id, final_url)
+SELECT host, count(*) AS total, count(*) FILTER (WHERE ok) AS completed, CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'failed' WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'partial' ELSE 'completed' END AS status FROM s GROUP BY host"""
+
+
+@query("q_crawl_status", _CRAWL_HOSTS)
+def q_crawl_status(spark, sf):
+    """Status of a crawl of each host, from its records."""
+    s = table(spark, sf, "scrapes").groupBy("scrape_id", "final_url").agg(F.bool_or(F.coalesce("success", F.lit(False))).alias("ok"))
+    g = s.groupBy(F.lower(N.url_host(F.col("final_url"))).alias("host")).agg(F.count("*").alias("total"), F.count_if("ok").alias("completed"))
+    return g.withColumn("status", N.job_status(F.col("completed"), F.col("total") - F.col("completed")))
+
+
+# --- jobs, races, caches ----------------------------------------------------------------------------------------
+
+
+@query(
+    "q_batch_status",
+    """WITH d AS (SELECT DISTINCT * FROM job_rows), l AS (SELECT job_id, idx, max(ingested_at) AS t FROM d GROUP BY ALL), x AS (SELECT d.job_id, d.idx, max(coalesce(success, FALSE)) AS ok FROM d JOIN l ON d.job_id IS NOT DISTINCT FROM l.job_id AND d.idx IS NOT DISTINCT FROM l.idx AND d.ingested_at = l.t GROUP BY d.job_id, d.idx)
+SELECT job_id, count(*) AS total, count(*) FILTER (WHERE ok) AS completed, count(*) FILTER (WHERE NOT ok) AS failed, CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'failed' WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'partial' ELSE 'completed' END AS status FROM x GROUP BY job_id""",
+)
+def q_batch_status(spark, sf):
+    return J.batch_status(table(spark, sf, "job_rows"))
+
+
+@query(
+    "q_engine_race",
+    """WITH a AS (SELECT DISTINCT url, started_at, engine, (start_delay_ms + latency_ms)::BIGINT AS f FROM race_attempts WHERE success AND start_delay_ms >= 0 AND latency_ms >= 0), r AS (SELECT *, row_number() OVER (PARTITION BY url, started_at ORDER BY f, engine) AS k FROM a)
+SELECT url, started_at, engine, f AS finish_ms FROM r WHERE k = 1""",
+)
+def q_engine_race(spark, sf):
+    return J.race_winners(table(spark, sf, "race_attempts"))
+
+
+@query(
+    "q_domain_memory",
+    f"""WITH a AS (SELECT DISTINCT url, started_at, engine, start_delay_ms + latency_ms AS f FROM race_attempts WHERE success AND start_delay_ms >= 0 AND latency_ms >= 0), r AS (SELECT *, row_number() OVER (PARTITION BY url, started_at ORDER BY f, engine) AS k FROM a),
+  w AS (SELECT lower({_host('url')}) AS host, url, started_at, engine FROM r WHERE k = 1), l AS (SELECT *, lag(engine) OVER o AS e, lag(started_at) OVER o AS t FROM w WINDOW o AS (PARTITION BY host ORDER BY started_at, url))
+SELECT host, url, started_at, engine, CASE WHEN t + INTERVAL 24 HOUR >= started_at THEN e END AS remembered FROM l""",
+)
+def q_domain_memory(spark, sf):
+    return J.domain_memory(J.race_winners(table(spark, sf, "race_attempts")), F.lower(N.url_host(F.col("url"))))
+
+
+@query(
+    "q_cache_hits",
+    """SELECT DISTINCT key, asked_at, created_at, max_age, CASE WHEN coalesce(max_age, 0) <= 0 THEN 'off' WHEN created_at IS NOT NULL AND (epoch_us(asked_at) - epoch_us(created_at)) / 1000.0 <= max_age THEN 'hit' ELSE 'miss' END AS status FROM cache_rows""",
+)
+def q_cache_hits(spark, sf):
+    return J.cache_lookups(table(spark, sf, "cache_rows"))
+
+
+@query(
+    "q_run_averages",
+    "SELECT engine, count(*) AS runs, count(*) FILTER (WHERE success) AS ok, avg(latency_ms) FILTER (WHERE success AND latency_ms >= 0) AS avg_latency_ms, avg(start_delay_ms) FILTER (WHERE success) AS avg_start_delay_ms FROM (SELECT DISTINCT * EXCLUDE (ingested_at) FROM race_attempts) GROUP BY engine",
+)
+def q_run_averages(spark, sf):
+    a = table(spark, sf, "race_attempts").drop("ingested_at").distinct().withColumn("latency_ms", F.when(F.col("latency_ms") >= 0, F.col("latency_ms")))
+    return J.run_averages(a, "engine", ["latency_ms", "start_delay_ms"])
+
+
+@query(
+    "q_dominant_status",
+    f"""WITH s AS (SELECT DISTINCT scrape_id, lower({_host('final_url')}) AS host, status_code FROM scrapes WHERE status_code IS NOT NULL), n AS (SELECT host, status_code, count(*) AS n FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, status_code) AS k FROM n)
+SELECT host, status_code, n FROM r WHERE k = 1""",
+)
+def q_dominant_status(spark, sf):
+    s = table(spark, sf, "scrapes").where("status_code IS NOT NULL").select("scrape_id", F.lower(N.url_host(F.col("final_url"))).alias("host"), "status_code").distinct()
+    return J.dominant_status(s, "host")
+
+
+@query(
+    "q_page_health",
+    """WITH e AS (SELECT DISTINCT url, engine, started_at, coalesce(success, FALSE) AS ok FROM race_attempts), x AS (SELECT url, engine, started_at, ok, sum(CASE WHEN ok THEN -0.5 ELSE 1.0 END) OVER w AS s, count(*) OVER w AS uses FROM e WINDOW w AS (PARTITION BY url ORDER BY started_at, engine, ok ROWS UNBOUNDED PRECEDING)),
+  y AS (SELECT *, s - least(0.0, min(s) OVER w) AS score FROM x WINDOW w AS (PARTITION BY url ORDER BY started_at, engine, ok ROWS UNBOUNDED PRECEDING))
+SELECT url, engine, started_at, ok, uses, score::DOUBLE AS score, score >= 3 OR uses >= 50 AS retire FROM y""",
+)
+def q_page_health(spark, sf):
+    e = table(spark, sf, "race_attempts").select("url", "engine", "started_at", F.coalesce("success", F.lit(False)).alias("ok")).distinct()
+    return J.health_scores(e, "url", ["started_at", "engine", "ok"], ~F.col("ok")).select("url", "engine", "started_at", "ok", "uses", "score", "retire")
+
+
+@query(
+    "q_ad_hosts",
+    f"""WITH u AS (SELECT DISTINCT unnest(list_concat(links.internal, links.external)).href AS url FROM scrapes UNION SELECT * FROM (VALUES ('https://pagead2.googlesyndication.com/x'), ('https://STATIC.ads-twitter.com'), ('https://notsegment.io/'))), h AS (SELECT DISTINCT lower({_host('url')}) AS host FROM u WHERE url IS NOT NULL)
+SELECT host, len(list_filter([{', '.join(repr(x) for x in J.AD_HOSTS)}], lambda a: host = a OR ends_with(host, '.' || a))) > 0 AS is_ad FROM h""",
+)
+def q_ad_hosts(spark, sf):
+    s = table(spark, sf, "scrapes")
+    urls = s.select(F.explode(F.concat("links.internal", "links.external")).alias("a")).select(F.col("a.href").alias("url"))
+    some = spark.createDataFrame([("https://pagead2.googlesyndication.com/x",), ("https://STATIC.ads-twitter.com",), ("https://notsegment.io/",)], "url string")
+    hosts = urls.union(some).where("url IS NOT NULL").select(F.lower(N.url_host(F.col("url"))).alias("host")).distinct()
+    return hosts.select("host", J.is_ad_host(F.col("host")).alias("is_ad"))
+
+
+_STATUS_CASE = " ".join(f"WHEN '{k}' THEN {v}" for k, v in N.EXTRACT_ERROR_STATUS.items())
+
+
+@query("q_error_status", f"SELECT error.code AS code, CASE error.code {_STATUS_CASE} ELSE 500 END AS status, count(DISTINCT scrape_id) AS records FROM scrapes WHERE error.code IS NOT NULL GROUP BY error.code")
+def q_error_status(spark, sf):
+    s = table(spark, sf, "scrapes").where("error.code IS NOT NULL").select("scrape_id", "error.code")
+    g = s.groupBy("code").agg(F.count_distinct("scrape_id").alias("records"))
+    return g.select("code", N.error_status(F.col("code"), extract=True).alias("status"), "records")
+
+
+@query("q_json_validity", "SELECT event_id, coalesce(json_valid(props), FALSE) AS valid FROM events")
+def q_json_validity(spark, sf):
+    return table(spark, sf, "events").select("event_id", N.is_json(F.col("props")).alias("valid"))
+
+
+@query(
+    "q_progress_events",
+    """WITH s AS (SELECT scrape_id, bool_or(coalesce(success, FALSE)) AS ok, bool_or(coalesce(cache_status = 'hit', FALSE)) AS hit FROM scrapes GROUP BY scrape_id), e AS (SELECT scrape_id, CASE WHEN hit THEN ['scrape.started', 'scrape.completed'] WHEN ok THEN ['scrape.started', 'scrape.navigated', 'scrape.completed'] ELSE ['scrape.started', 'scrape.error'] END AS l FROM s)
+SELECT scrape_id, (i - 1)::INTEGER AS seq, l[i] AS event FROM e, range(1, 4) r(i) WHERE i <= len(l)""",
+)
+def q_progress_events(spark, sf):
+    s = table(spark, sf, "scrapes").groupBy("scrape_id").agg(F.bool_or(F.coalesce("success", F.lit(False))).alias("success"), F.bool_or(F.coalesce(F.col("cache_status") == "hit", F.lit(False))).alias("cached"))
+    return J.progress_events(s)
+
+
+@query(
+    "q_delivery_attempts",
+    """WITH j AS (SELECT DISTINCT job_id FROM job_rows WHERE job_id IS NOT NULL), s AS (SELECT job_id, NULLIF(length(job_id) % 5, 0) AS s FROM j), t(attempt, at_second) AS (VALUES (1, 0), (2, 1), (3, 6), (4, 36))
+SELECT job_id, attempt, at_second, coalesce(attempt = s, FALSE) AS delivered FROM s, t WHERE s IS NULL OR attempt <= s""",
+)
+def q_delivery_attempts(spark, sf):
+    j = table(spark, sf, "job_rows").where("job_id IS NOT NULL").select("job_id").distinct()
+    return J.delivery_attempts(j, F.nullif(F.length("job_id") % 5, F.lit(0)))
+
+
+@query("q_scrape_report")
+def q_scrape_report(spark, sf):
+    return J.scrape_report(table(spark, sf, "scrapes")).distinct()
+
+
+@query("q_extract")
+def q_extract(spark, sf):
+    s = table(spark, sf, "scrapes").where("content IS NOT NULL").select("scrape_id", "content").distinct()
+    return X.extract(s, "content", '{"title": "string", "opening": "string"}', X.first_sentences).select("scrape_id", "data", "extract_error.code")
+
+
+@query(
+    "q_rollup",
+    f"""WITH s AS (SELECT DISTINCT scrape_id, lower({_host('final_url')}) AS host, engine_used AS engine, coalesce(success, FALSE) AS ok FROM scrapes)
+SELECT host, engine, count(*) AS records, count(*) FILTER (WHERE ok) AS ok, grouping(host, engine)::BIGINT AS level FROM s GROUP BY ROLLUP (host, engine)""",
+)
+def q_rollup(spark, sf):
+    """Records by host and engine with subtotals (an extension on top of the service's own reports)."""
+    s = table(spark, sf, "scrapes").select("scrape_id", F.lower(N.url_host(F.col("final_url"))).alias("host"), F.col("engine_used").alias("engine"), F.coalesce("success", F.lit(False)).alias("ok")).distinct()
+    return s.rollup("host", "engine").agg(F.count("*").alias("records"), F.count_if("ok").alias("ok"), F.grouping_id().alias("level"))
+
+
+# --- streams ----------------------------------------------------------------------------------------------------
+
+
+@query("q_rate_limit")
+def q_rate_limit(spark, sf):
+    """Token-bucket verdict of each request of a host's pages, in order of time."""
+    r = table(spark, sf, "race_attempts").select("url", "engine", "started_at").distinct()
+    return S.rate_limited(r.select(F.lower(N.url_host(F.col("url"))).alias("identity"), "url", "engine", F.col("started_at").alias("ts")), "identity", "ts")
+
+
+@query(
+    "q_stream_hourly",
+    "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, sum(value) AS total FROM (SELECT ts, event_type, round(value * 100)::BIGINT AS value FROM events WHERE ts IS NOT NULL) GROUP BY ALL",
+)
+def q_stream_hourly(spark, sf):
+    """Events by hour and type, as a stream with a watermark run over the whole table."""
+    return S.hourly_counts(spark, f"{sf}/events.parquet")
+
+
+@query("q_stream_cache")
+def q_stream_cache(spark, sf):
+    """Cache look-ups as a stateful stream with time to live."""
+    return S.cached_stream(spark, f"{sf}/cache_rows.parquet")
