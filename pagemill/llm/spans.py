@@ -37,7 +37,6 @@ GROUP = 256
 #: Repeated runs that are broadcast for the look-up; beyond it the join shuffles.
 LOOKUP_ROWS = 1_000_000
 
-_MARK = re.compile(r"[.!?…;:,][\"'”’»)\]]*\s+|[。！？；：，、]+|\n\s*")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -61,11 +60,32 @@ class Powers:
             self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(m, self.inverse, dtype=np.uint64))), dtype=np.uint64)
 
 
-class Text:
-    """Code points of a text with prefix sums for the hash of any part."""
+#: Code points of the texts that are worked on at once; a longer text is worked on alone.
+AT_ONCE = 400_000
+_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-    def __init__(self, text: str, powers: Powers):
-        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+def _kinds() -> np.ndarray:
+    """Kind of each code point: 1 a mark before white space, 2 a mark by itself, 3 a line end, 4 other white space."""
+    k = np.zeros(0x10000, dtype=np.uint8)
+    k[[ord(c) for c in ".!?…;:,"]] = 1
+    k[[ord(c) for c in "。！？；：，、"]] = 2
+    k[ord("\n")] = 3
+    k[[c for c in range(0x10000) if chr(c).isspace() and c != 10]] = 4
+    return k
+
+
+_KIND = _kinds()
+
+
+class Texts:
+    """Several texts laid end to end, a separator after each, with prefix sums for the hash of any part."""
+
+    def __init__(self, texts: list[str], powers: Powers):
+        self.lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths + 1)[:-1]))
+        self.ends = self.starts + self.lengths
+        self.codes = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         powers.grow(len(self.codes) + 1)
         self.powers = powers
         values = _mix((self.codes.astype(np.uint64) + np.uint64(1)) * _M)
@@ -74,6 +94,54 @@ class Text:
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self.sums[b] - self.sums[a]) * self.powers.down[a] + (b - a).astype(np.uint64))
 
+    def boundaries(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending starts of the pieces and ends of the texts, and the number of each one's text."""
+        n = len(self.codes)
+        kind = _KIND[np.minimum(self.codes, 0xFFFF)]
+        kind[self.ends] = 5
+        before = np.concatenate(([5], kind[:-1]))
+        earlier = np.concatenate(([5, 5], kind[:-2]))
+        fresh = (kind != 3) & (kind != 4)
+        mark = (before == 2) & (kind != 2) | fresh & ((before == 3) | (before == 4) & (earlier == 1))
+        mark[self.starts] = True
+        mark[self.ends] = True
+        marks = np.flatnonzero(mark)
+        if n > NEAR + 8:
+            number = np.repeat(np.arange(len(self.starts)), self.lengths + 1)
+            h = np.full(n, _TOP, dtype=np.uint64)
+            at = np.flatnonzero(np.arange(n) + 8 <= self.ends[number])
+            h[at] = np.minimum(self.hash(at, at + 8), _TOP - np.uint64(1))
+            h[self.ends] = 0  # the least of every window over two texts, so that none of their places is chosen by it
+            least = _extreme(h, NEAR, np.minimum)
+            # chosen: the least of some window of NEAR places that holds it
+            padded = np.concatenate((np.zeros(NEAR - 1, dtype=np.uint64), least, np.zeros(NEAR - 1, dtype=np.uint64)))
+            chosen = np.flatnonzero((_extreme(padded, NEAR, np.maximum) == h) & (h != 0) & (h != _TOP))
+            k = np.searchsorted(marks, chosen, side="right") - 1
+            mark[chosen[(chosen - marks[k] >= APART) & (marks[np.minimum(k + 1, len(marks) - 1)] - chosen >= APART)]] = True
+            marks = np.flatnonzero(mark)
+        return marks, np.searchsorted(self.starts, marks, side="right") - 1
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the text, start, end) of the run from each piece: the fewest pieces with at least RUN
+        characters. Places count over all the texts."""
+        bounds, number = self.boundaries()
+        stop = np.searchsorted(bounds, bounds + RUN)
+        ok = stop < len(bounds)
+        ok[ok] = bounds[stop[ok]] <= self.ends[number[ok]]
+        return number[ok], bounds[ok], bounds[stop[ok]]
+
+
+def portions(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are worked on at once."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > AT_ONCE:
+            yield first, k
+            first, size = k, 0
+        size += len(t) + 1
+    if first < len(texts):
+        yield first, len(texts)
+
 
 def _extreme(x: np.ndarray, w: int, f) -> np.ndarray:
     """f (minimum or maximum) of each w consecutive values."""
@@ -85,44 +153,27 @@ def _extreme(x: np.ndarray, w: int, f) -> np.ndarray:
     return out
 
 
-def boundaries(text: str, t: Text) -> np.ndarray:
-    """Ascending starts of the pieces of a text (its end excluded)."""
-    n = len(t.codes)
-    marks = np.array([0, *(m.end() for m in _MARK.finditer(text)), n], dtype=np.int64)
-    long = np.flatnonzero(np.diff(marks) > 2 * APART)
-    if n <= NEAR + 8 or not len(long):
-        return marks[:-1][marks[:-1] < n]
-    at = np.arange(n - 7)
-    h = t.hash(at, at + 8)
-    least = _extreme(h, NEAR, np.minimum)
-    # chosen: the least of some window of NEAR places that holds it
-    padded = np.concatenate((np.zeros(NEAR - 1, dtype=np.uint64), least, np.zeros(NEAR - 1, dtype=np.uint64)))
-    chosen = np.flatnonzero(_extreme(padded, NEAR, np.maximum) == h)
-    before = np.searchsorted(marks, chosen, side="right") - 1
-    fine = chosen[(chosen - marks[before] >= APART) & (marks[np.minimum(before + 1, len(marks) - 1)] - chosen >= APART)]
-    return np.unique(np.concatenate((marks[:-1], fine)))
-
-
-def runs(text: str, t: Text) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the run from each piece: the fewest pieces with at least RUN characters."""
-    starts = boundaries(text, t)
-    stops = np.concatenate((starts[1:], [len(t.codes)]))
-    end = np.searchsorted(stops, starts + RUN)
-    ok = end < len(stops)
-    return starts[ok], stops[end[ok]]
-
-
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in batches:
-        ids, hs = [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            t = Text(text, powers)
-            h = np.unique(t.hash(*runs(text, t)).view(np.int64))
-            ids.append(np.full(len(h), i, dtype=np.int64))
-            hs.append(h)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids))], names=["h", "doc_id"])
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        texts = batch.column(1).to_pylist()
+        for a, b in portions(texts):
+            t = Texts(texts[a:b], powers)
+            number, x, y = t.runs()
+            yield pa.RecordBatch.from_arrays([pa.array(t.hash(x, y).view(np.int64)), pa.array(ids[a:b][number])], names=["h", "doc_id"])
+
+
+def _hit(t: Texts, lists: list[list[int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(number of the text, hash, start, end) of the runs whose hash is in their text's list; places count within
+    the text."""
+    number, x, y = t.runs()
+    h = t.hash(x, y).view(np.int64)
+    cuts = np.searchsorted(number, np.arange(len(lists) + 1))
+    for k, hs in enumerate(lists):
+        a, b = int(cuts[k]), int(cuts[k + 1])
+        for j in np.flatnonzero(np.isin(h[a:b], np.array(hs, dtype=np.int64))).tolist():
+            yield k, int(h[a + j]), int(x[a + j] - t.starts[k]), int(y[a + j] - t.starts[k])
 
 
 HASHES = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc_id", T.LongType())])
@@ -145,15 +196,12 @@ def _around(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
+            ids, texts, lists = (batch.column(k).to_pylist() for k in range(3))
+            for a, b in portions(texts):
                 rows = []
-                for i, text, hs in zip(*(part.column(k).to_pylist() for k in range(3))):
-                    t = Text(text, powers)
-                    a, b = runs(text, t)
-                    h = t.hash(a, b).view(np.int64)
-                    for k in np.flatnonzero(np.isin(h, np.array(hs, dtype=np.int64))).tolist():
-                        x, y = int(a[k]), int(b[k])
-                        rows.append((int(h[k]), i, x, text[max(0, x - (span - (y - x))) : x], text[x : x + span]))
+                for k, h, x, y in _hit(Texts(texts[a:b], powers), lists[a:b]):
+                    text = texts[a + k]
+                    rows.append((h, ids[a + k], x, text[max(0, y - span) : x], text[x : x + span]))
                 if rows:
                     c = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.string())], names=AROUND.names)
@@ -168,12 +216,10 @@ def _windows(span: int):
         powers = Powers()
         for batch in batches:
             for i, text, hs in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                t = Text(text, powers)
-                a, b = runs(text, t)
-                hit = np.isin(t.hash(a, b).view(np.int64), np.array(hs, dtype=np.int64))
-                n = len(t.codes)
+                t = Texts([text], powers)
+                n = len(text)
                 mark = np.zeros(n + 2, dtype=np.int64)
-                for x, y in zip(a[hit].tolist(), b[hit].tolist()):
+                for _, _, x, y in _hit(t, [hs]):
                     lo, hi = max(0, y - span), min(x, n - span)
                     if lo <= hi:
                         mark[lo] += 1
@@ -280,7 +326,7 @@ def coverage(docs: DataFrame, span: int = SPAN, group: int = GROUP, lookup: int
     docs = docs.where(F.length("text") >= span)
     known = cut(repeated_runs(docs))
     hits = docs.mapInArrow(_hashes, HASHES).join(maybe_broadcast(known, known.count(), lookup), "h")
-    lists = cut(hits.groupBy("doc_id", (F.col("n") > group).alias("often")).agg(F.collect_list("h").alias("hs")))  # a record's own runs
+    lists = cut(hits.groupBy("doc_id", (F.col("n") > group).alias("often")).agg(F.collect_set("h").alias("hs")))  # a record's own runs
     few, many = lists.where("NOT often").select("doc_id", "hs"), lists.where("often").select("doc_id", "hs")
 
     def texts(chosen: DataFrame) -> DataFrame:
