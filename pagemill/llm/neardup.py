@@ -119,7 +119,7 @@ def signatures(rows: DataFrame, min_words: int = MIN_WORDS, n: int = WORDS, coor
                 offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * coordinates)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=SIGNED.names)
 
-    return rows.mapInArrow(run, SIGNED)
+    return rows.where(F.col(rows.columns[1]).isNotNull()).mapInArrow(run, SIGNED)
 
 
 MET = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("key", T.LongType())])
