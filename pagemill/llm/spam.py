@@ -71,6 +71,11 @@ def pair_share(words: list[str]) -> float:
     return low
 
 
+def once(line: str) -> list[str]:
+    """Words of a line, each of its sentences taken once."""
+    return _WORD.findall(" ".join(dict.fromkeys(x.strip() for x in _END.split(line.lower()))))
+
+
 def symbol(line: str, hosts: Counter) -> tuple[int, int]:
     """(symbol, words) of a non-blank line outside fences. ``hosts``: how often each host is linked in the record."""
     s = line.strip()
@@ -78,18 +83,18 @@ def symbol(line: str, hosts: Counter) -> tuple[int, int]:
         return 9, 0
     links = _MD.findall(s) if "](" in s else []
     plain = _MD.sub(r"\1", s) if links else s
-    urls = _URL.findall(s)
+    urls = _URL.findall(s) if "://" in s else []
     if urls:
         plain = _URL.sub(" ", plain)
     bare = _ITEM.sub("", plain).strip("*_ ")
     words = _WORD.findall(bare.lower())
-    cjk = len(_CJK.findall(bare))
+    cjk = 0 if bare.isascii() else len(_CJK.findall(bare))
     n = len(words) if not cjk else len(_WORD.findall(_CJK.sub(" ", bare))) + cjk // 2
     if s[0] == "#" and re.match(r"#{1,6} ", s):
         return 8, n
     if s[0] == "|" and s[-1] == "|" and len(s) > 1:
         return 9, n
-    if len(_HASH.findall(s)) >= 3 or s[0] == "#" and n <= 2:
+    if "#" in s and (len(_HASH.findall(s)) >= 3 or s[0] == "#" and n <= 2):
         return 6, n
     ends = len(_END.findall(bare))
     if urls or links:
@@ -97,11 +102,14 @@ def symbol(line: str, hosts: Counter) -> tuple[int, int]:
         if len(urls) + len(links) >= 1 and (linked >= 0.6 * n or not links and not ends):
             foreign = [h for h in urls if not 2 <= hosts[h] <= 10]
             return (5 if foreign else 4 if urls else 3), n
-    if _CODE.search(s) and not ends or _CODE.search(s) and n <= 14:
+    if (not ends or n <= 14) and _CODE.search(s):
         return 6, n
+    least = PAIRS if n >= 40 else 0.6
+    if n >= 25 and pair_share(words) < least and (ends < 2 or pair_share(once(bare)) < least):
+        return 7, n  # also without the sentences that only come again
+    if ends and n >= 4 and sum(map(bare.count, ",;•·|/")) < 7:
+        return 0, n  # too few separators for a list
     parts = [p for p in _SEGMENTS.split(bare) if p]
-    if n >= 25 and pair_share(words) < (PAIRS if n >= 40 else 0.6):
-        return 7, n
     if len(parts) >= 8 and n >= 16 and ends <= len(parts) // 8:
         return 6, n
     if ends and (n >= 4 or ends > 1):
@@ -115,7 +123,7 @@ def symbol(line: str, hosts: Counter) -> tuple[int, int]:
 
 def observe(content: str) -> list[tuple[int, int]]:
     """(symbol, words) of each non-blank line."""
-    hosts = Counter(h for h in _URL.findall(content))
+    hosts = Counter(_URL.findall(content)) if "://" in content else Counter()
     out: list[tuple[int, int]] = []
     fenced = False
     known: dict[str, tuple[int, int]] = {}
