@@ -32,7 +32,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages: int
         links = links.where(~excluded(F.col("dst"), exclude))
     if scope != "all":
         links = links.where(in_scope(F.col("dst"), F.col("src"), scope))
-    links = links.distinct()
+    links = links.distinct().checkpoint(eager=True)  # scanned and shuffled once, not at each level
     frontier = seeds.where("url IS NOT NULL").select("url").distinct()
     visited, result, used = None, None, 0
     for depth in range(max_depth + 1):
