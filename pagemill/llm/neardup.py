@@ -61,7 +61,7 @@ class Hasher:
         except KeyError:
             if len(known) > self.bound:
                 known.clear()
-            for w in set(words) - known.keys():
+            for w in {w for w in words if w not in known}:
                 known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
             return np.array([known[w] for w in words], dtype=np.uint64)
 
@@ -228,7 +228,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            s = [hasher.sequences(t, n)[0].tobytes() for t in batch.column(1).to_pylist()]
+            # 32 bits of each hash: within one pair of records they do not meet by chance
+            s = [np.unique((hasher.sequences(t, n)[0] >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], names=SETS.names)
 
     known = need.mapInArrow(sets, SETS).dropDuplicates(["id"])
@@ -238,7 +239,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
         for batch in batches:
             sim = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                p, q = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
                 both = np.intersect1d(p, q, assume_unique=True).size
                 sim.append(both / (p.size + q.size - both))
             got = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], names=out.names)
@@ -249,11 +250,15 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
 
 
 def classes_and_members(texts: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
-    """Representatives (id, n, keys) of records with equal sets of sequences, and (rep, id) of all members."""
-    signed = cut(signatures(texts, **kw).dropDuplicates(["id"]))
-    reps = signed.groupBy("fp").agg(F.min("id").alias("rep"))
-    members = signed.select("id", "fp").join(reps, "fp").select("rep", "id")
-    classes = signed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "keys")
+    """Representatives (id, n, keys) of records with equal sets of sequences, and (rep, id) of all members. The wide
+    rows stay where they are: only ids and fingerprints are shuffled, and the copies, counted first, taken out. A
+    repeated row of a representative stays; it only adds to the collisions of its own pairs."""
+    signed = cut(signatures(texts, **kw))
+    reps = signed.groupBy("fp").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("size"))
+    shared = reps.where("size > 1").select("fp", "rep")
+    members = cut(signed.select("id", "fp").join(shared, "fp").select("rep", "id").distinct())
+    copies = members.where("id <> rep").select("id")
+    classes = signed.join(maybe_broadcast(copies, copies.count()), "id", "left_anti").select("id", "n", "keys")
     return classes, members
 
 
@@ -261,11 +266,12 @@ def near_pairs(texts: DataFrame, similarity: float = SIMILARITY, n: int = WORDS,
     """(a, b, similarity) with a < b of all near copies among (id, text): links between classes, expanded to
     their members, and the pairs within a class."""
     classes, members = classes_and_members(texts, min_words=min_words, n=n)
-    members = cut(members)
     links = cut(verified(candidates(classes, similarity), texts, similarity, n))
+    # members lists classes of two or more; a class of one is its own member
     left = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
     right = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = links.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    across = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "similarity")
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
     own = members.withColumnRenamed("id", "x")
     within = own.join(own.withColumnRenamed("x", "y"), "rep").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("similarity"))
     return across.union(within)
