@@ -180,6 +180,8 @@ def _meet(postings: DataFrame, similarity: float, bound: int) -> DataFrame:
                 long_key = None
             if held:
                 ks, ids, ns = (np.concatenate([held[0][c], x]) for c, x in enumerate((ks, ids, ns)))
+            once = np.concatenate(([True], (ks[1:] != ks[:-1]) | (ids[1:] != ids[:-1])))  # repeated rows of a record
+            ks, ids, ns = ks[once], ids[once], ns[once]
             at = len(ks) - int(np.searchsorted((ks != ks[-1])[::-1], True))  # start of the last, open list
             yield from close(ks[:at], ids[:at], ns[:at])
             if len(ks) - at > bound:
@@ -191,7 +193,7 @@ def _meet(postings: DataFrame, similarity: float, bound: int) -> DataFrame:
         if held:
             yield from close(*held[0])
 
-    keyed = postings.repartition(F.col("key")).sortWithinPartitions("key")
+    keyed = postings.repartition(F.col("key")).sortWithinPartitions("key", "id")
     return keyed.mapInArrow(run, MET)
 
 
@@ -251,8 +253,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
 
 def classes_and_members(texts: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     """Representatives (id, n, keys) of records with equal sets of sequences, and (rep, id) of all members. The wide
-    rows stay where they are: only ids and fingerprints are shuffled, and the copies, counted first, taken out. A
-    repeated row of a representative stays; it only adds to the collisions of its own pairs."""
+    rows stay where they are: only ids and fingerprints are shuffled, and the copies, counted first, taken out.
+    Repeated rows of a representative stay; posting lists take each record once."""
     signed = cut(signatures(texts, **kw))
     reps = signed.groupBy("fp").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("size"))
     shared = reps.where("size > 1").select("fp", "rep")
