@@ -52,8 +52,3 @@ def scrapes(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
-
-
-def spread(df: DataFrame, column: str = "content") -> DataFrame:
-    """Rows as read, apart from nulls in ``column``: the scan's own splits are the tasks."""
-    return df.where(F.col(column).isNotNull())
