@@ -1,9 +1,9 @@
 """Problem 6: keyword-stuffed pages and lists of links, tags, codes or places.
 
 The lines of a record are the observations of a hidden Markov model whose states are prose, link list, tag list and
-menu. Each line is reduced to one symbol by its shape (sentences, links, tags and codes, repetition of word pairs);
-the most likely sequence of states labels the lines. A record is flagged if the words of link and tag lists outweigh
-its prose; menus and site furniture weigh nothing.
+menu. Each line is reduced to one symbol by its shape (sentences, links, tags and codes, repetition of word pairs), a
+long line that is stuffed in part to one for each run of its stretches; the most likely sequence of states labels the
+lines. A record is flagged if the words of link and tag lists outweigh its prose; menus and site furniture weigh nothing.
 
 Defined cases: null, blank and very short contents are no cases; code and data are prose; several rows of one id
 count as one record.
@@ -61,14 +61,19 @@ _SEGMENTS = re.compile(r"\s*(?:[,;•·|/]|\s[-–>»]\s)\s*")
 _ITEM = re.compile(r"^(?:[-*+•>]|\d{1,3}[.)])\s+")
 
 
-def pair_share(words: list[str]) -> float:
-    """Distinct word pairs over word pairs, the least of the stretches of ``words``."""
-    low = 1.0
-    for a in range(0, max(1, len(words) - STRETCH // 2), STRETCH):
+def stuffed_runs(words: list[str], least: float) -> list[tuple[bool, int]]:
+    """(stuffed, words) of the runs of stretches of ``words`` that are alike: a stretch is stuffed if its distinct
+    word pairs are under ``least`` of its word pairs. A short rest belongs to the stretch before it."""
+    runs: list[tuple[bool, int]] = []
+    starts = range(0, max(1, len(words) - STRETCH // 2), STRETCH)
+    for a in starts:
         w = words[a : a + STRETCH]
-        if len(w) >= 12:
-            low = min(low, len(set(zip(w, w[1:]))) / (len(w) - 1))
-    return low
+        stuffed = len(w) >= 12 and len(set(zip(w, w[1:]))) < least * (len(w) - 1)
+        size = len(words) - a if a == starts[-1] else STRETCH
+        if runs and runs[-1][0] == stuffed:
+            size += runs.pop()[1]
+        runs.append((stuffed, size))
+    return runs
 
 
 def once(line: str) -> list[str]:
@@ -76,11 +81,28 @@ def once(line: str) -> list[str]:
     return _WORD.findall(" ".join(dict.fromkeys(x.strip() for x in _END.split(line.lower()))))
 
 
-def symbol(line: str, hosts: Counter) -> tuple[int, int]:
-    """(symbol, words) of a non-blank line outside fences. ``hosts``: how often each host is linked in the record."""
+def shape(s: str, bare: str, ends: int, n: int) -> int:
+    """The symbol of a line of ``n`` words without links, tags and codes that is not stuffed."""
+    if ends and n >= 4 and sum(map(bare.count, ",;•·|/")) < 7:
+        return 0  # too few separators for a list
+    parts = [p for p in _SEGMENTS.split(bare) if p]
+    if len(parts) >= 8 and n >= 16 and ends <= len(parts) // 8:
+        return 6
+    if ends and (n >= 4 or ends > 1):
+        return 0
+    if len(parts) >= 2 and n <= 40 and not _ITEM.match(s):
+        return 3 if len(parts) > 2 or n > 7 or not re.search(r"\s[-–@]\s", bare) else 2
+    if n <= 2:
+        return 1
+    return 2 if n <= 7 else 8
+
+
+def symbols(line: str, hosts: Counter) -> list[tuple[int, int]]:
+    """(symbol, words) of a non-blank line outside fences, one for each run of its stretches where some are stuffed.
+    ``hosts``: how often each host is linked in the record."""
     s = line.strip()
     if s[0] in "[{<" and s[-1] in "]},>" and ('":' in s or "</" in s):
-        return 9, 0
+        return [(9, 0)]
     links = _MD.findall(s) if "](" in s else []
     plain = _MD.sub(r"\1", s) if links else s
     urls = _URL.findall(s) if "://" in s else []
@@ -91,42 +113,38 @@ def symbol(line: str, hosts: Counter) -> tuple[int, int]:
     cjk = 0 if bare.isascii() else len(_CJK.findall(bare))
     n = len(words) if not cjk else len(_WORD.findall(_CJK.sub(" ", bare))) + cjk // 2
     if s[0] == "#" and re.match(r"#{1,6} ", s):
-        return 8, n
+        return [(8, n)]
     if s[0] == "|" and s[-1] == "|" and len(s) > 1:
-        return 9, n
+        return [(9, n)]
     if "#" in s and (len(_HASH.findall(s)) >= 3 or s[0] == "#" and n <= 2):
-        return 6, n
+        return [(6, n)]
     ends = len(_END.findall(bare))
     if urls or links:
         linked = sum(len(_WORD.findall(t)) for t, _ in links) if links else 0
         if len(urls) + len(links) >= 1 and (linked >= 0.6 * n or not links and not ends):
             foreign = [h for h in urls if not 2 <= hosts[h] <= 10]
-            return (5 if foreign else 4 if urls else 3), n
+            return [(5 if foreign else 4 if urls else 3, n)]
     if (not ends or n <= 14) and _CODE.search(s):
-        return 6, n
+        return [(6, n)]
+    if n < 25:
+        return [(shape(s, bare, ends, n), n)]
     least = PAIRS if n >= 40 else 0.6
-    if n >= 25 and pair_share(words) < least and (ends < 2 or pair_share(once(bare)) < least):
-        return 7, n  # also without the sentences that only come again
-    if ends and n >= 4 and sum(map(bare.count, ",;•·|/")) < 7:
-        return 0, n  # too few separators for a list
-    parts = [p for p in _SEGMENTS.split(bare) if p]
-    if len(parts) >= 8 and n >= 16 and ends <= len(parts) // 8:
-        return 6, n
-    if ends and (n >= 4 or ends > 1):
-        return 0, n
-    if len(parts) >= 2 and n <= 40 and not _ITEM.match(s):
-        return 3 if len(parts) > 2 or n > 7 or not re.search(r"\s[-–@]\s", bare) else 2, n
-    if n <= 2:
-        return 1, n
-    return (2 if n <= 7 else 8), n
+    runs = stuffed_runs(words, least)
+    if ends >= 2 and any(stuffed for stuffed, _ in runs):
+        runs = stuffed_runs(once(bare), least)  # also without the sentences that only come again
+    if not any(stuffed for stuffed, _ in runs):
+        return [(shape(s, bare, ends, n), n)]
+    rest = shape(s, bare, ends, n) if len(runs) > 1 else 0
+    total = sum(size for _, size in runs)
+    return [(7 if stuffed else rest, round(n * size / total)) for stuffed, size in runs]
 
 
 def observe(content: str) -> list[tuple[int, int]]:
-    """(symbol, words) of each non-blank line."""
+    """(symbol, words) of each non-blank line, or of its runs of stretches."""
     hosts = Counter(_URL.findall(content)) if "://" in content else Counter()
     out: list[tuple[int, int]] = []
     fenced = False
-    known: dict[str, tuple[int, int]] = {}
+    known: dict[str, list[tuple[int, int]]] = {}
     for line in content.split("\n"):
         s = line.strip()
         if s.startswith("```"):
@@ -137,8 +155,8 @@ def observe(content: str) -> list[tuple[int, int]]:
             else:
                 got = known.get(s)
                 if got is None:
-                    got = known[s] = symbol(s, hosts)
-                out.append(got)
+                    got = known[s] = symbols(s, hosts)
+                out += got
     return out
 
 
@@ -169,7 +187,7 @@ def weigh(content: str) -> tuple[int, int]:
     seen = observe(content)
     if not any(o in (2, 5, 6, 7) for o, _ in seen):
         return 0, sum(n for _, n in seen)
-    # a long line counts as one observation for each LONG words of it
+    # a long line, or run of its stretches, counts as one observation for each LONG words of it
     long = [(o, n, max(1, min(40, n // LONG))) for o, n in seen]
     path = states([o for o, _, times in long for _ in range(times)])
     words = [0, 0, 0, 0]

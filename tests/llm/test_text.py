@@ -194,6 +194,15 @@ def test_spam(text, want):
     assert K.is_spam(text) is want
 
 
+def test_spam_judges_each_stretch_of_a_long_line():
+    """A line of prose is not condemned by its worst stretch, nor a stuffed line saved by its best."""
+    names = [f"{a}{b}{c}" for a in "bdfgk" for b in ("an", "el", "or", "um") for c in ("is", "ta", "ro", "ve")]
+    prose = lambda n, at=0: " ".join(f"The {names[k % 80]} keeps a {names[(k * 7 + k // 80) % 80]} near {names[(k * 11 + 3) % 80]}." for k in range(at, at + n))
+    stuffed = lambda n: " ".join(f"The best {names[k % 4]} sells cheap {names[k * k % 5]} at {names[k % 7]}." for k in range(n))
+    for text, want in ((prose(60) + " " + stuffed(18) + " " + prose(60, 60), False), (stuffed(18) + " " + prose(60), False), (prose(120), False), (stuffed(18), True), (prose(20) + " " + stuffed(120), True)):
+        assert K.is_spam(text) is want
+
+
 def test_viterbi_equals_enumeration():
     import itertools
 
