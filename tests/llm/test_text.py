@@ -230,6 +230,25 @@ def test_languages_on_held_out_passages():
     assert page.languages() == ["de", "en"] and [s[2] for s in page.segments()] == ["en", "de"] and 0 < page.confidence("en") < 1
 
 
+@need_data
+def test_foreign_sentences_of_a_long_line():
+    """Two foreign sentences are found wherever they stand in a line."""
+    import pandas as pd
+
+    d = pd.read_parquet(f"{SF}/lang_samples.parquet").sort_values("sample_id")
+    text = {lang: list(g.text) for lang, g in d.groupby("lang")}
+    known = L.Languages({k: "\n".join(v) for k, v in text.items()})
+    one = {lang: [s for t in text[lang] for s in L.sentences(t) if known.classify(s)[0] == lang][:40] for lang in ("en", "de", "fr", "zh", "pl")}
+    for own, foreign in (("en", "de"), ("fr", "en"), ("zh", "pl"), ("de", "fr")):
+        for at in range(0, 28, 4):
+            line = one[own][at : at + 12]
+            for a, b in ((2, 9), (3, 4), (10, 11)):
+                put = [*line]
+                put[a], put[b] = one[foreign][at : at + 2]
+                page = L.Page.of(" ".join(put), known)
+                assert page.languages() == sorted((own, foreign)) and len(page.segments()) >= 2
+
+
 @pytest.mark.parametrize(("label", "want"), [("en-US", "en"), ("deu", "de"), ("French", "fr"), (" ZH-Hans ", "zh"), ("und", ""), (None, ""), (" ", ""), ("unknown", ""), ("ko", "ko"), ("pt_BR", "pt")])
 def test_labels(label, want):
     assert L.label_language(label) == want
