@@ -56,13 +56,13 @@ _DATA = re.compile(r"^\s*[\[{].*[\]}],?\s*$")
 _MESSAGES = [
     # errors
     ("found|located|displayed", r"\b(?:page|file|url|resource|article|document)\b.{0,24}\b(?:not|cannot be|could not be|can't be|couldn't be) (?:found|located|displayed)"),
-    ("40|not found", r"\bnot found\b.{0,20}\b(?:404|error)\b|\b(?:404|error)\b.{0,20}\bnot found\b|^(?:error )?40\d\b|\berror 40\d\b|\bhttp(?:/\d\S*)? [45]\d\d\b"),
+    ("40|not found|http |http/", r"\bnot found\b.{0,20}\b(?:404|error)\b|\b(?:404|error)\b.{0,20}\bnot found\b|^(?:error )?40\d\b|\berror 40\d\b|\bhttp(?:/\d\S*)? [45]\d\d\b"),
     ("server error|gateway|service unavailable", r"internal server error|\bbad gateway\b|gateway time-?out|\b503\b.{0,6}service unavailable"),
     ("oops|sorry|went wrong|error occurred|error has occurred|unexpected error", r"\b(?:oops|sorry)\b.{0,50}(?:wrong|found|located|error|exist|available)|something went wrong|an (?:unexpected )?error (?:has )?occurred|unexpected error"),
     ("database|application error|fatal error|no longer|not available or", r"error establishing a database|database (?:connection )?error|application error|fatal error|not available or has (?:been )?(?:moved|removed)|no longer (?:available|exists)"),
     ("denied|forbidden|blocked|permission|banned|have access", r"access (?:to .{1,40} )?(?:is )?(?:denied|forbidden|blocked)|\b403\b.{0,6}forbidden|do(?:es)? not have (?:access|permission)|your (?:ip|address|request|access).{0,24}(?:blocked|denied|banned)"),
     ("too many requests|rate limit|slow down and|retry in|expired|sign in again", r"too many requests|rate limit|slow down and (?:retry|try)|retry in \d+ s|session (?:has )?expired|sign in again"),
-    ("maintenance|temporarily|is down|is unavailable|be back|again later", r"(?:scheduled|under|for) maintenance|temporarily (?:unavailable|offline|down)|service (?:is )?(?:temporarily )?(?:down|unavailable)|be back (?:shortly|soon)|try again later"),
+    ("maintenance|temporarily|is down|is unavailable|service down|service unavailable|be back|again later", r"(?:scheduled|under|for) maintenance|temporarily (?:unavailable|offline|down)|service (?:is )?(?:temporarily )?(?:down|unavailable)|be back (?:shortly|soon)|try again later"),
     ("nicht gefunden|fehler|verweigert|wartungs|später erneut|verfügbar|anfragen", r"seite (?:wurde )?nicht gefunden|fehler (?:ist )?aufgetreten|\bfehler 40\d|serverfehler|zugriff verweigert|wartungsarbeiten|später erneut|nicht (?:mehr )?verfügbar|zu viele anfragen"),
     ("introuvable|non trouvée|erreur|accès|indisponible|réessayer|en maintenance|requêtes", r"page (?:introuvable|non trouvée)|erreur 40\d|erreur (?:du serveur|interne)|(?:une )?erreur (?:est survenue|s'est produite)|accès (?:refusé|interdit)|momentanément indisponible|réessayer plus tard|en maintenance|trop de requêtes"),
     ("no encontrada|la página|error|denegado|más tarde|mantenimiento|solicitudes", r"página no encontrada|no se (?:encuentra|encontró|ha encontrado|pudo encontrar) la página|\berror 40\d|error (?:en el|del) servidor|ha (?:producido|ocurrido) un error|acceso denegado|inténtelo (?:de nuevo )?más tarde|en mantenimiento|demasiadas solicitudes"),
@@ -80,7 +80,7 @@ _MESSAGES = [
     ("browser", r"your browser (?:is out of date|does not support|is not supported)|browser.{0,30}(?:out of date|not supported|veraltet|obsolète|obsoleto)|checking (?:your|the) browser"),
     ("human|robot|captcha|please wait|ddos|loading|redirecting|the step|challenge", r"verify (?:that )?you are (?:a )?human|are you a robot|complete the (?:captcha|step|challenge)|captcha|please wait while (?:we|your)|ddos protection|^loading(?:\.{1,3}|…)$|^(?:please wait|redirecting)(?:\.{1,3}|…)?$"),
     # filler
-    ("lorem|text here|goes here|comes here|be added|click|edit this", r"lorem ipsum|\blorem text\b|your text (?:goes )?here|text goes here|(?:caption|title|description|content|headline|copy|image|name|text) (?:goes|to be added|to go|comes) here|click (?:here )?to edit|edit this (?:block|text)"),
+    ("lorem|text here|goes here|comes here|to go here|be added|click|edit this", r"lorem ipsum|\blorem text\b|your text (?:goes )?here|text goes here|(?:caption|title|description|content|headline|copy|image|name|text) (?:goes|to be added|to go|comes) here|click (?:here )?to edit|edit this (?:block|text)"),
     ("placeholder|this is|replace|add a|add your|supplied by|dummy|blindtext|texto de|texte d|type something", r"placeholder (?:headline|text|title|image|copy|content)|this is (?:a |some )?(?:sample|placeholder|dummy|example) (?:paragraph|text|page|post|content)|replace (?:it|this|me) with your own|add (?:a|your) (?:short )?(?:description|text|content|title)\b.{0,40}(?:here|box|block|section)|to be supplied by (?:the )?client|dummy text|blindtext|texto de (?:ejemplo|relleno)|texte (?:d'exemple|de remplissage)|type something .{0,30}here"),
 ]
 PATTERNS = [re.compile(p) for _, p in _MESSAGES]

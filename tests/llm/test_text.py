@@ -174,6 +174,45 @@ def test_residue(text, want):
     assert B.is_residue(text, lambda _: frozenset()) is want
 
 
+def _samples(tree) -> list[str]:
+    """Texts that a parsed pattern matches: every branch, every option with and without, gaps as short as they can be."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            got = [chr(arg)]
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+            got = [""]
+        elif name == "IN":
+            got = [{"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " ", "CATEGORY_NOT_SPACE": "x", "CATEGORY_WORD": "x"}[str(v)] if str(o) == "CATEGORY" else chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg]
+        elif name == "ANY":
+            got = [" "]
+        elif name == "BRANCH":
+            got = [x for branch in arg[1] for x in _samples(branch)]
+        elif name == "SUBPATTERN":
+            got = _samples(arg[-1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            inner = _samples(inner)
+            got = [x * low for x in inner] + ([x for x in inner if high == 1 or x == " "] if low == 0 else [])
+        else:
+            raise ValueError(name)
+        out = [a + b for a in out for b in dict.fromkeys(got)]
+    return out
+
+
+def test_words_of_messages_are_in_every_match():
+    """The prefilter loses no pattern: each is tried on whatever it can match."""
+    lost = []
+    for k, pattern in enumerate(B.PATTERNS):
+        texts = [x for x in _samples(re._parser.parse(pattern.pattern)) if pattern.search(x)]
+        assert texts
+        lost += [(k, x) for x in texts if k not in {j for _, ks in B._automaton().iter(x) for j in ks}]
+    assert not lost, lost
+    for line in ("HTTP 500", "HTTP/1.1 503", "HTTP 429", "Service unavailable", "Service down", "Image to go here"):
+        assert B.is_message(line) and B.is_message(line, set(range(len(B.PATTERNS)))) and B.is_residue(line, lambda _: frozenset())
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
