@@ -185,7 +185,8 @@ def states(symbols: list[int]) -> list[int]:
 def weigh(content: str) -> tuple[int, int]:
     """(words of link and tag lists, words of prose) of a record."""
     seen = observe(content)
-    if not any(o in (2, 5, 6, 7) for o, _ in seen):
+    # the other symbols alone never lead out of prose and menu
+    if not any(o in (2, 4, 5, 6, 7) for o, _ in seen):
         return 0, sum(n for _, n in seen)
     # a long line, or run of its stretches, counts as one observation for each LONG words of it
     long = [(o, n, max(1, min(40, n // LONG))) for o, n in seen]

@@ -242,6 +242,16 @@ def test_spam_judges_each_stretch_of_a_long_line():
         assert K.is_spam(text) is want
 
 
+def test_lists_of_few_links_to_each_host():
+    """Links to hosts that come again are weighed by the model, too; what it is not asked about stays prose or menu."""
+    import itertools
+
+    links = "\n".join(f"[Read all about the garden tools of shop {k}](https://h{k % 6}.example/{k})" for k in range(18))
+    assert K.is_spam(links) and K.is_spam("# Shops\n\n" + links) and not K.is_spam(links + "\n\n" + "\n".join([PROSE * 3] * 6))
+    for n in range(1, 6):
+        assert all(set(K.states([*seq])) <= {0, 3} for seq in itertools.product((0, 1, 3, 8, 9), repeat=n))
+
+
 def test_viterbi_equals_enumeration():
     import itertools
 
