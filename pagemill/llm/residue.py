@@ -1,34 +1,35 @@
 """Problem 5: template residue, filler, error messages and demands for scripts.
 
-Lines are normalised (letters only, lower case), their records counted per host, and lines that recur in many of a
-host's records are subtracted as boilerplate. What is left of a record is searched for evidence:
+Lines are normalised (letters only, lower case) and their records counted per host. Recurrent boilerplate is subtracted:
+lines that stand in many records of the host, or of several hosts, most of which have content of their own. (A message
+that recurs on pages that hold nothing else is no boilerplate, whatever its number; a notice below every article is.)
+Only what is left, the residual, is searched for evidence:
 
 * unfilled placeholders in prose or title (code fences, code spans and data are left out);
 * lines that are filler, an error, blocking or maintenance message, or a demand for scripts or a browser check.
 
-A placeholder is enough; messages and filler count when they, and not prose, make up what is left. Evidence itself
-is never subtracted, however often it recurs on its host.
+A placeholder is enough; messages and filler count when they, and not prose, make up what is left.
+
+Contents are read once, and leave that pass as arrays of hashes; all that follows is counted on these. Counts are
+combined before they are shuffled, by host and line, so that no large host meets in one task.
 
 Defined cases: null and blank contents are no cases; status codes are not looked at; several rows of one id count
-as one record; a record without a host has no boilerplate.
+as one record, the latest delivery (by ``ingested_at``, then the content's hash) standing for it; a record without a
+host has no boilerplate of its host; an empty table gives no rows; other columns of the table are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import lines as _lines
-from .common import scrapes
-
-if TYPE_CHECKING:
-    from .mainbody import Model
+from .common import cut, scrapes, site
+from .lines import MIN_RECORDS, ONE_IN, line_hashes
 
 # Forms of unfilled placeholders (patterns of common template languages).
 PLACEHOLDER = re.compile(
@@ -51,69 +52,115 @@ _FENCE = re.compile(r"^```.*?(?:^```[^\n]*$|\Z)", re.M | re.S)
 _SPAN = re.compile(r"``[^\n]*?``|`[^`\n]*`")
 _DATA = re.compile(r"^\s*[\[{].*[\]}],?\s*$")
 
-# Messages in the languages of the corpus, each pattern with literal words of which one is in every match: they are
-# looked for first, all at once, and only lines that hold one are tried against its patterns.
-_MESSAGES = [
-    # errors
-    ("found|located|displayed", r"\b(?:page|file|url|resource|article|document)\b.{0,24}\b(?:not|cannot be|could not be|can't be|couldn't be) (?:found|located|displayed)"),
-    ("40|not found|http |http/", r"\bnot found\b.{0,20}\b(?:404|error)\b|\b(?:404|error)\b.{0,20}\bnot found\b|^(?:error )?40\d\b|\berror 40\d\b|\bhttp(?:/\d\S*)? [45]\d\d\b"),
-    ("server error|gateway|service unavailable", r"internal server error|\bbad gateway\b|gateway time-?out|\b503\b.{0,6}service unavailable"),
-    ("oops|sorry|went wrong|error occurred|error has occurred|unexpected error", r"\b(?:oops|sorry)\b.{0,50}(?:wrong|found|located|error|exist|available)|something went wrong|an (?:unexpected )?error (?:has )?occurred|unexpected error"),
-    ("database|application error|fatal error|no longer|not available or", r"error establishing a database|database (?:connection )?error|application error|fatal error|not available or has (?:been )?(?:moved|removed)|no longer (?:available|exists)"),
-    ("denied|forbidden|blocked|permission|banned|have access", r"access (?:to .{1,40} )?(?:is )?(?:denied|forbidden|blocked)|\b403\b.{0,6}forbidden|do(?:es)? not have (?:access|permission)|your (?:ip|address|request|access).{0,24}(?:blocked|denied|banned)"),
-    ("too many requests|rate limit|slow down and|retry in|expired|sign in again", r"too many requests|rate limit|slow down and (?:retry|try)|retry in \d+ s|session (?:has )?expired|sign in again"),
-    ("maintenance|temporarily|is down|is unavailable|service down|service unavailable|be back|again later", r"(?:scheduled|under|for) maintenance|temporarily (?:unavailable|offline|down)|service (?:is )?(?:temporarily )?(?:down|unavailable)|be back (?:shortly|soon)|try again later"),
-    ("nicht gefunden|fehler|verweigert|wartungs|später erneut|verfügbar|anfragen", r"seite (?:wurde )?nicht gefunden|fehler (?:ist )?aufgetreten|\bfehler 40\d|serverfehler|zugriff verweigert|wartungsarbeiten|später erneut|nicht (?:mehr )?verfügbar|zu viele anfragen"),
-    ("introuvable|non trouvée|erreur|accès|indisponible|réessayer|en maintenance|requêtes", r"page (?:introuvable|non trouvée)|erreur 40\d|erreur (?:du serveur|interne)|(?:une )?erreur (?:est survenue|s'est produite)|accès (?:refusé|interdit)|momentanément indisponible|réessayer plus tard|en maintenance|trop de requêtes"),
-    ("no encontrada|la página|error|denegado|más tarde|mantenimiento|solicitudes", r"página no encontrada|no se (?:encuentra|encontró|ha encontrado|pudo encontrar) la página|\berror 40\d|error (?:en el|del) servidor|ha (?:producido|ocurrido) un error|acceso denegado|inténtelo (?:de nuevo )?más tarde|en mantenimiento|demasiadas solicitudes"),
-    ("encontrada|erro|negado|mais tarde|manutenção|pedidos a mais|indisponível", r"página não (?:foi )?encontrada|\berro 40\d|\berro (?:no|do|interno) servidor|ocorreu um erro|acesso negado|tente (?:novamente )?mais tarde|em manutenção|pedidos a mais|temporariamente indisponível"),
-    ("non trovata|errore|negato|più tardi|manutenzione|richieste|disponibile", r"pagina non trovata|errore 40\d|errore (?:del|interno)|verificato un errore|accesso negato|riprova(?:re)? più tardi|in manutenzione|troppe richieste|non (?:è )?(?:più )?disponibile"),
-    ("niet gevonden|fout|misgegaan|iets mis|geweigerd|probeer|onderhoud|verzoeken", r"pagina (?:is )?niet gevonden|fout 40\d|serverfout|iets (?:is )?misgegaan|(?:is )?iets mis\b|toegang geweigerd|probeer het later|in onderhoud|onderhoudswerk|te veel verzoeken"),
-    ("hitta|finns inte|fel|åtkomst|senare|underhåll|för många", r"sidan (?:hittades inte|kunde inte hittas|finns inte)|\bfel 40\d|serverfel|något gick fel|ett fel (?:har )?(?:inträffat|uppstod)|åtkomst nekad|försök igen senare|underhåll|för många (?:förfrågningar|begäranden)"),
-    ("nie znaleziono|strona nie|nie odnaleziono|błąd|dostępu|później|prace|zbyt wiele", r"nie znaleziono strony|strona nie (?:została|istnieje)|nie odnaleziono|błąd 40\d|błąd serwera|wystąpił (?:nieoczekiwany )?błąd|odmowa dostępu|brak dostępu|spróbuj (?:ponownie )?później|prace (?:konserwacyjne|techniczne)|zbyt wiele (?:żądań|zapytań)"),
-    ("страница не|ошибка|доступ|позже|технические|слишком много", r"страница не (?:найдена|существует)|ошибка 40\d|ошибка сервера|произошла ошибка|доступ (?:запрещ[её]н|закрыт)|попробуйте (?:ещё раз )?позже|технические работы|слишком много запросов"),
-    ("页面|服务器|错误|访问|稍后|维护|请求过多", r"页面(?:不存在|未找到|找不到)|找不到(?:该|此|您)?.{0,6}页面|服务器.{0,6}错误|发生(?:了)?错误|访问(?:被拒绝|受限)|请?稍后(?:再试|重试)|维护中|请求过多"),
-    ("ページ|サーバー|エラー|アクセス|後で|しばらく|メンテナンス", r"ページ(?:が|は)(?:見つかりません|存在しません)|サーバー(?:エラー|で(?:エラー|問題))|エラーが発生|アクセス(?:が)?拒否|(?:後で|しばらくして).{0,10}(?:お試し|再度)|メンテナンス"),
-    # scripts and checks of the browser
-    ("script", r"(?:enable|turn on|activate|allow|require[sd]?|need|activar?|activez|activer|active|ative|aktivieren|aktivera|schakel|abilita|attiva|włącz|включите|启用|有効).{0,40}(?:javascript|scripts?\b|java script)"),
-    ("script|skript", r"(?:javascript|scripts?\b).{0,40}(?:(?:is|are|has|have) (?:disabled|turned off|off|required|blocked)|enable|turn it on|to (?:run|continue|view)|skripte|deaktiviert|désactivé|desactivado|desativado|disabilitato|uitgeschakeld|inaktiverat|wyłącz|отключ|禁用|無効|有効|启用|aktivieren|in om verder|erforderlich|benötigt)|benötigt (?:skripte|javascript)|could not load the scripts"),
-    ("browser", r"your browser (?:is out of date|does not support|is not supported)|browser.{0,30}(?:out of date|not supported|veraltet|obsolète|obsoleto)|checking (?:your|the) browser"),
-    ("human|robot|captcha|please wait|ddos|loading|redirecting|the step|challenge", r"verify (?:that )?you are (?:a )?human|are you a robot|complete the (?:captcha|step|challenge)|captcha|please wait while (?:we|your)|ddos protection|^loading(?:\.{1,3}|…)$|^(?:please wait|redirecting)(?:\.{1,3}|…)?$"),
-    # filler
-    ("lorem|text here|goes here|comes here|to go here|be added|click|edit this", r"lorem ipsum|\blorem text\b|your text (?:goes )?here|text goes here|(?:caption|title|description|content|headline|copy|image|name|text) (?:goes|to be added|to go|comes) here|click (?:here )?to edit|edit this (?:block|text)"),
-    ("placeholder|this is|replace|add a|add your|supplied by|dummy|blindtext|texto de|texte d|type something", r"placeholder (?:headline|text|title|image|copy|content)|this is (?:a |some )?(?:sample|placeholder|dummy|example) (?:paragraph|text|page|post|content)|replace (?:it|this|me) with your own|add (?:a|your) (?:short )?(?:description|text|content|title)\b.{0,40}(?:here|box|block|section)|to be supplied by (?:the )?client|dummy text|blindtext|texto de (?:ejemplo|relleno)|texte (?:d'exemple|de remplissage)|type something .{0,30}here"),
+# Words of messages by what they say, in the languages of the corpus: no phrases, since messages are worded in many ways.
+# A word ending in ``*`` stands for all words that begin so, ``_`` for a blank.
+CONCEPTS = {
+    "object": "page* website* site seite* página* pagina* sidan strona stronę strony страниц* 页面 网页 ページ サイト document* dokument* file files datei* fichier* archivo* arquivo* bestand plik* filen файл* 文件 ファイル article* artikel* artículo* artigo* articol* artykuł* стать* item* product content* inhalt* contenu* contenido* conteúdo* contenut* inhoud* innehåll* treść treści контент* 内容 コンテンツ resource* ressource* recurso* risors* url* link address* adresse* dirección* endereço* indirizz* adres* адрес* 地址 アドレス result* ergebnis* résultat* resultad* risultat* resultat* wynik* результат* 结果",
+    "not": "not no cannot can't couldn't isn't doesn't don't didn't wasn't aren't won't unable nothing nicht kein* nichts ne n' pas aucun* plus impossible non não sem nessun* impossibile niet geen inte ingen inget nie brak не нет нельзя 不 未 没 无 找不到 ない ません なし",
+    "found": "found find* locat* exist* available availability displayed shown loaded moved gone geladen chargé* cargad* carregad* caricat* laddas załadow* загру* 加载 読み込 gefunden finden existier* verfügbar* erreichbar* vorhanden trouv* disponible* accessible* encontr* encuentr* existe* disponível disponíveis trovat* esist* disponibil* gevonden vinden bestaat beschikbaar* hittad* hittas hitta finns existerar tillgänglig* znalezion* znaleźć istniej* dostępn* найд* существу* доступн* доступен 找到 存在 可用 見つか 見付か 利用",
+    "missing": "introuvable* inexistant* unavailable indisponível indisponíve* indisponible* inexistente* nieznalezion* niedostępn* недоступ* 找不到 不存在 no_longer_available no_longer_exists",
+    "removed": "removed deleted suspended gelöscht entfernt supprimé* eliminad* removid* rimoss* eliminat* verwijderd borttag* raderad* usunięt* удален* удалён* 删除 削除",
+    "error": "error errors oops fehler* erreur* erro erros errore* errori fout fouten fel błąd* błęd* ошибк* 错误 出错 エラー wrong failed failure misgegaan mis schiefgelaufen",
+    "server": "server* service gateway* dienst* serveur* servidor* servicio serviço serviz* tjänst* serwer* usług* сервер* сервис* 服务 サーバ サービス database* datenbank* données datos dados databas* application anwendung* aplicación aplicação applicazion* applicatie aplikacj* приложени* 应用 アプリ",
+    "happened": "occurred happened went encountered aufgetreten passiert survenu* produite produit producido ocurrido ocorreu verificat* opgetreden inträffat uppstod uppstått wystąpił* произошл* 发生 発生 establishing",
+    "down": "down unavailable busy maintenance offline overloaded timed_out time-out timeout wartung* indisponible* indisponíve* mantenimiento manutenção manutenzione onderhoud* underhåll* konserwac* techniczn* технически* обслуживани* 维护 超时 メンテナンス タイムアウト",
+    "retry": "try_again try_later retry again_later later again back_soon back_shortly be_back reload refresh später erneut gleich_wieder réessay* plus_tard más_tarde inténtelo intente mais_tarde tente riprova* più_tardi probeer opnieuw försök senare spróbuj później попробуйте позже 稍后 重试 後で しばらく 時間をおいて 再度",
+    "access": "access permission* authoriz* authoris* zugriff* zugang* berechtig* accès autorisation* acceso* permiso* acesso* permiss* accesso* autorizzaz* toegang* åtkomst* behörighet* dostęp* uprawnie* доступ* прав 访问 权限 アクセス 権限",
+    "visitor": "ip address account session* request login sitzung* sesión sessão sessione sessie* sesja сеанс* сесси* 会话 セッション",
+    "denied": "denied forbidden blocked banned restricted refused expired rejected verweigert verboten gesperrt abgelaufen refusé* interdit* bloqué* expiré* denegad* prohibid* bloquead* caducad* negad* proibid* expirou negat* vietat* bloccat* scadut* geweigerd verboden geblokkeerd verlopen nekad* förbjud* blockera* odmow* zabronion* zablokowan* wygas* запрещ* закрыт* заблокирован* истек* истёк 拒绝 禁止 过期 拒否 期限切れ 受限",
+    "many": "too_many rate_limit* limit_exceeded zu_viele trop_de demasiad* a_mais troppe troppi te_veel för_många zbyt_wiele zbyt_dużo слишком_много 过多 太多 多すぎ slow_down",
+    "request": "requests request anfrage* requête* solicitud* peticion* pedidos solicitaç* richiest* verzoek* förfrågning* begär* żąda* zapyta* запрос* 请求 リクエスト",
+    "script": "javascript* java_script script scripts skript* скрипт* 脚本 スクリプト",
+    "enable": "enable* turn* switch* allow* activat* require* need* must disabled off blocked unsupported aktivier* einschalt* benötigt* erforderlich deaktiviert activ* autoris* désactiv* nécess* requis* habilit* desactiv* necesit* requiere* ativ* precis* requer* desativ* abilit* attiv* disabilit* richied* schakel* inschakel* vereist nodig uitgeschakeld aktiver* kräv* behöv* inaktiver* włącz* wymag* wyłącz* включ* необходим* требу* отключ* 启用 开启 需要 禁用 有効 必要 無効",
+    "browser": "browser* navigateur* navegador* webbläsare* przeglądark* браузер* 浏览器 ブラウザ",
+    "old": "out_of_date outdated support* upgrade* update* checking veraltet* obsolèt* obsolet* verouderd* föråldra* przestarzał* устарел* 过时 古い überprüf* vérifi* comprob* verific* controle* kontroll* sprawdz* провер* 检查 確認",
+    "human": "human humans robot robots mensch humain* humano* umano mens människa człowiek* человек* 人机 机器人 ロボット 人間",
+    "verify": "verify verif* prove confirm* complete are_you bestätig* vérifi* demuestr* dimostr* bevestig* bekräft* potwierdź подтвердите 验证 確認",
+    "challenge": "captcha ddos_protection please_wait_while just_a_moment one_moment_please",
+    "wait": "loading please_wait redirecting",
+    "copy": "text copy caption* title* headline* heading* description* image* paragraph* content* texto* texte* testo tekst* titel* título* titre* titolo заголов* текст* 文本 文字 标题 テキスト 見出し 文章",
+    "stand-in": "here placeholder* sample dummy replace* to_edit edit_this in_this_box in_this_block add_a add_your type_something lorem supplied to_be_added to_come layout_purposes filler platzhalter* beispieltext* blindtext* mustertext* exemple remplace* ejemplo reemplac* relleno exemplo substitua esempio segnaposto sostitu* voorbeeld* vervang* exempel* platshållar* przykład* zastąp* пример* замените 占位 示例 替换 サンプル ダミー",
+}
+#: What a message says: each a set of concepts that stand in one short line. ``code``: an HTTP error number.
+RULES = [
+    "object not found",
+    "object missing",
+    "object removed",
+    "visitor removed",
+    "missing code",
+    "error code",
+    "error server",
+    "error happened",
+    "error retry",
+    "code not found",
+    "code server",
+    "code access",
+    "code denied",
+    "server down",
+    "server missing",
+    "down retry",
+    "missing retry",
+    "server not found",
+    "access denied",
+    "visitor denied",
+    "access not",
+    "many request",
+    "many retry",
+    "script enable",
+    "script browser",
+    "script not",
+    "browser old",
+    "human verify",
+    "challenge",
+    "copy stand-in",
 ]
-PATTERNS = [re.compile(p) for _, p in _MESSAGES]
-
-
-def _triggers() -> dict[str, tuple[int, ...]]:
-    """Each literal word and the numbers of the patterns it may begin to match."""
-    out: dict[str, list[int]] = {}
-    for k, (words, _) in enumerate(_MESSAGES):
-        for w in words.split("|"):
-            out.setdefault(w, []).append(k)
-    return {w: tuple(ks) for w, ks in out.items()}
-
-
+_NAMES = {name: 1 << k for k, name in enumerate((*CONCEPTS, "code"))}
+_RULES = [sum(_NAMES[c] for c in rule.split()) for rule in RULES]
+_LATIN = 1 << 40
+_CODE = re.compile(r"(?<![\w.,-])[45]\d\d(?![\w.,-]*\w)")
+_STOP = re.compile(r"[.!?…](?=\s+\S)|[。！？](?=.)")
+_ONLY = re.compile(r"(?:loading|please wait|redirecting)(?:\.{1,3}|…)?$")
 _AUTOMATON: list = []
 
 
 def _automaton():
-    """One automaton of all literal words and the longer filler words; built once per worker."""
+    """One automaton of all words of concepts and the longer filler words; built once per worker."""
     if not _AUTOMATON:
         import ahocorasick
 
-        a = ahocorasick.Automaton()
-        for w, ks in _triggers().items():
-            a.add_word(w, ks)
+        words: dict[str, tuple[int, bool, int]] = {}  # word: (concepts, whole, length)
+        for name, text in CONCEPTS.items():
+            for w in text.split():
+                bare = w.rstrip("*").replace("_", " ")
+                bits, whole = words.get(bare, (0, True, 0))[:2]
+                words[bare] = (bits | _NAMES[name], whole and not w.endswith("*") and not _CJK.search(bare) and bare[-1] != "'", len(bare))
         for w in LOREM:
-            if len(w) > 5 and not a.exists(w):
-                a.add_word(w, (-1,))
+            if len(w) > 5 and w not in words:
+                words[w] = (_LATIN, True, len(w))
+        a = ahocorasick.Automaton()
+        for w, value in words.items():
+            a.add_word(w, value)
         a.make_automaton()
         _AUTOMATON.append(a)
     return _AUTOMATON[0]
 
 
+def _concepts(lower: str) -> list[tuple[int, int]]:
+    """(place, concepts) of the words of a text in lower case."""
+    out = []
+    n = len(lower)
+    for end, (bits, whole, size) in _automaton().iter(lower):
+        start = end + 1 - size
+        first = lower[start]
+        if first < "\u3040":  # words that are written apart
+            if start and lower[start - 1].isalpha():
+                continue
+            if whole and end + 1 < n and lower[end + 1].isalpha():
+                continue
+        out.append((end, bits))
+    return out
+
+
 # Words of the customary Latin filler (fixed list).
 LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
@@ -137,118 +184,208 @@ def is_filler(line: str) -> bool:
     return len(words) >= 4 and sum(w in LOREM for w in words) >= 0.8 * len(words)
 
 
-def is_message(line: str, patterns: set[int] | None = None) -> bool:
-    """Whether a line is, as a whole, an error message, a demand for scripts, or filler. ``patterns``: the numbers of
-    the patterns whose words it holds."""
-    if patterns is None:
-        patterns = {k for _, ks in _automaton().iter(line.lower()) for k in ks}
-    if not patterns:
+def is_message(line: str, said: int | None = None) -> bool:
+    """Whether a line is, as a whole, an error message, a demand for scripts, or filler. ``said``: the concepts of its
+    words."""
+    bare = _MARKS.sub("", line).lower().replace("’", "'")
+    if said is None:
+        said = 0
+        for _, bits in _concepts(bare):
+            said |= bits
+    if not said:
+        return False
+    if said & _LATIN and is_filler(line):
+        return True
+    if len(bare) > 260:
         return False
-    if is_filler(line):
+    if _CODE.search(bare):
+        said |= _NAMES["code"]
+    if said & _NAMES["wait"] and _ONLY.match(bare):
         return True
-    bare = _MARKS.sub("", line).lower()
-    return len(bare) <= 260 and _count(bare) <= MESSAGE_WORDS and any(k >= 0 and PATTERNS[k].search(bare) for k in patterns) and not _QUOTED.search(bare)
+    if not any(said & r == r for r in _RULES) or _count(bare) > MESSAGE_WORDS or _QUOTED.search(bare):
+        return False
+    if not _STOP.search(bare):
+        return True
+    # what is said must be said in one sentence
+    sentences = []
+    for part in _STOP.split(bare):
+        said = _NAMES["code"] if _CODE.search(part) else 0
+        for _, bits in _concepts(part):
+            said |= bits
+        sentences.append(said)
+    return any(said & r == r for said in sentences for r in _RULES)
 
 
 def message_lines(content: str) -> set[int]:
     """Numbers of the lines that are messages."""
-    lower = content.lower()
-    hits: dict[int, set[int]] = {}
+    lower = content.lower().replace("’", "'")
+    if len(lower) != len(content):  # rare letters whose lower case is longer: places would not fit
+        return {no for no, line in enumerate(content.split("\n"), 1) if is_message(line)}
+    hits: dict[int, int] = {}
     at, line = 0, 1
-    for end, ks in _automaton().iter(lower):
+    for end, bits in _concepts(lower):
         line += lower.count("\n", at, end)
         at = end
-        hits.setdefault(line, set()).update(ks)
+        hits[line] = hits.get(line, 0) | bits
     if not hits:
         return set()
     lines = content.split("\n")
-    return {no for no, ks in hits.items() if is_message(lines[no - 1], ks) and not _COMMENTS.search(lines[no - 1])}
+    return {no for no, said in hits.items() if is_message(lines[no - 1], said)}
 
 
 _QUOTED = re.compile(r"['\"‘“„«`][^'\"’”“»`]{3,60}['\"’”»`].*\w.*\w")
-_COMMENTS = re.compile(r"(?:to|for) (?:view|see|read|load) (?:the |our )?comments", re.I)
 
 
-def has_placeholder(content: str) -> bool:
-    """Whether an unfilled placeholder stands in prose or title."""
+def placeholder_lines(content: str) -> set[int]:
+    """Numbers of the lines with an unfilled placeholder in prose or title."""
     if not _HINT.search(content) or not PLACEHOLDER.search(content):
-        return False
-    text = _SPAN.sub(" ", _FENCE.sub("\n", content))
-    return any(PLACEHOLDER.search(x) and not _DATA.match(x) for x in text.split("\n"))
+        return set()
+    blank = lambda m: re.sub(r"[^\n]", " ", m.group())
+    text = _SPAN.sub(blank, _FENCE.sub(blank, content))
+    return {no for no, x in enumerate(text.split("\n"), 1) if PLACEHOLDER.search(x) and not _DATA.match(x)}
 
 
-def evidence(content: str) -> bool:
-    """Whether anything in a record may be evidence: the cheap test before boilerplate is subtracted."""
-    return has_placeholder(content) or bool(message_lines(content))
+#: What a line is to the decision.
+OTHER, PROSE, MESSAGE, PLACE = 0, 1, 2, 3
 
 
-def balance(content: str, messages: set[int], boilerplate: frozenset[int] = frozenset()) -> tuple[int, int]:
-    """(words of messages, words of prose) of a record; lines of ``boilerplate`` are neither."""
-    said = prose = 0
+def weighed(content: str) -> list[tuple[int, int]] | None:
+    """(kind, words) of each line of a record, or None if no line may be evidence."""
+    messages, places = message_lines(content), placeholder_lines(content)
+    if not messages and not places:
+        return None
+    out = []
     fenced = False
     for no, line in enumerate(content.split("\n"), 1):
         s = line.strip()
-        if s.startswith("```"):
-            fenced = not fenced
-            continue
-        if not s:
-            continue
-        if fenced or _DATA.match(s):
-            prose += _count(s)
+        fence = s.startswith("```")
+        fenced ^= fence
+        if no in places:
+            out.append((PLACE, 1))
+        elif fence or not s:
+            out.append((OTHER, 0))
+        elif fenced or _DATA.match(s):
+            out.append((PROSE, _count(s)))
         elif no in messages:
-            said += max(1, _count(s))
-        elif no not in boilerplate and _ENDS.search(s) and (n := _count(s)) >= 6:
-            prose += n
-    return said, prose
+            out.append((MESSAGE, max(1, _count(s))))
+        elif _ENDS.search(s) and (n := _count(s)) >= 6:
+            out.append((PROSE, n))
+        else:
+            out.append((OTHER, 0))
+    return out
 
 
-#: Messages must have at least this share of the words of messages and prose.
+#: Messages must have at least this share of the words of messages and prose, or leave fewer words of prose than make a
+#: text.
 SHARE = 0.4
+LEAST = 25
+
+
+def _outweighs(said: int, prose: int) -> bool:
+    return said > 0 and (said >= SHARE * (said + prose) or prose < LEAST)
 
 
-def is_residue(content: str | None, boilerplate: Callable[[str], frozenset[int]]) -> bool:
-    """Whether a record is a case; ``boilerplate`` gives the numbers of its lines that are site furniture."""
+def is_residue(content: str | None, furniture: Callable[[str], frozenset[int]] = lambda _: frozenset()) -> bool:
+    """Whether a record is a case as far as it shows by itself, without the counts of its host. ``furniture`` gives the
+    numbers of lines that a model takes for furniture: they are no prose; evidence is subtracted by counts only."""
     if not content or not content.strip():
         return False
-    if has_placeholder(content):
-        return True
-    messages = message_lines(content)
-    if not messages:
+    lines = weighed(content)
+    if lines is None:
         return False
-    said, prose = balance(content, messages, boilerplate(content))
-    return said >= SHARE * (said + prose)
-
-
-FLAGGED = T.StructType([T.StructField("scrape_id", T.LongType())])
-
-
-def found(df: DataFrame, model: Model | None = None) -> DataFrame:
-    """scrape_id of the records that are cases. Lines that recur on their host are subtracted, and those that the
-    main-body ``model``, if given, takes for furniture: hosts with few records show no recurrence."""
-    boiler = _lines.found_lines(df).groupBy("scrape_id").agg(F.collect_set("line_no").alias("boilerplate"))  # one record's lines
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pa.array([evidence(c) for c in batch.column(1).to_pylist()], pa.bool_())
-            yield batch.filter(keep)
+    if any(kind == PLACE for kind, _ in lines):
+        return True
+    gone = furniture(content)
+    said = sum(n for kind, n in lines if kind == MESSAGE)
+    return _outweighs(said, sum(n for no, (kind, n) in enumerate(lines, 1) if kind == PROSE and no not in gone))
+
+
+#: Characters of sentences (a CJK character counts three) that make a record one with content of its own.
+FULL = 300
+#: Hosts on which a line must stand to be boilerplate everywhere.
+HOSTS = 6
+ASSESSED = T.StructType(
+    [
+        T.StructField("scrape_id", T.LongType()),
+        T.StructField("ingested_at", T.TimestampNTZType()),
+        T.StructField("tie", T.LongType()),
+        T.StructField("site", T.StringType()),
+        T.StructField("hashes", T.ArrayType(T.LongType())),
+        T.StructField("full", T.BooleanType()),
+        T.StructField("kinds", T.ArrayType(T.IntegerType())),
+        T.StructField("words", T.ArrayType(T.IntegerType())),
+    ]
+)
 
-    rows = df.select("scrape_id", "content").where("trim(content) <> ''")
-    joined = rows.mapInArrow(candidates, rows.schema).join(boiler, "scrape_id", "left").select("scrape_id", "content", "boilerplate")
-    shared = df.sparkSession.sparkContext.broadcast(model)  # size bounded by the training sample
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+def _full(content: str, lines: list[tuple[int, int]] | None) -> bool:
+    """Whether a record has content of its own: sentences that are no evidence."""
+    got = 0
+    for no, line in enumerate(content.split("\n")):
+        if len(line) < 10 or lines is not None and lines[no][0] == MESSAGE:
+            continue
+        s = line.rstrip("\"'”’»)」』）*_ \t\r")
+        if s and s[-1] in ".!?…。！？":
+            n = len(s) if s.isascii() or s[-1] in ".!?…" else 3 * len(s)
+            got += n if n >= 28 else 0
+            if got >= FULL:
+                return True
+    return False
+
+
+def assessed(df: DataFrame) -> DataFrame:
+    """One row an id: the site, the hash of each line, whether it has content of its own, and for records with any
+    evidence the kind and the words of each line."""
+    rows = df.where("trim(content) <> ''").select(
+        "scrape_id", F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at"), F.xxhash64("content").alias("tie"), site(F.col("metadata.source_url"), F.col("final_url")).alias("site"), line_hashes(F.col("content")).alias("hashes"), "content"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for c, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                keep.append(is_residue(c, lambda x, b=b: frozenset([*(b or ()), *(m.furniture(x) if m else ())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=FLAGGED.names)
-
-    return joined.mapInArrow(judge, FLAGGED).distinct()
+            full, kinds, words = [], [], []
+            for content in batch.column(5).to_pylist():
+                lines = weighed(content)
+                full.append(_full(content, lines))
+                kinds.append(lines and [k for k, _ in lines])
+                words.append(lines and [n for _, n in lines])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(full, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))], names=ASSESSED.names)
+
+    got = rows.mapInArrow(run, ASSESSED)
+    rest = ["site", "hashes", "full", "kinds", "words"]
+    return got.groupBy("scrape_id").agg(F.max_by(F.struct(*rest), F.struct("ingested_at", "tie")).alias("r")).select("scrape_id", *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def boilerplate(recs: DataFrame, min_records: int = MIN_RECORDS, one_in: int = ONE_IN, hosts: int = HOSTS) -> tuple[DataFrame, DataFrame]:
+    """(site, hash) of the lines that recur on their host, and (hash) of those that recur on several hosts: most of
+    their records have content of their own."""
+    known = recs.where("site IS NOT NULL")
+    sizes = known.groupBy("site").agg(F.count("*").alias("site_records"))
+    lines = known.select("site", "full", F.explode(F.array_distinct("hashes")).alias("hash")).where("hash IS NOT NULL")
+    per = lines.groupBy("site", "hash").agg(F.count("*").alias("n"), F.count_if("full").alias("own"))
+    most = F.col("own") * 2 >= F.col("n")
+    # a site's size goes to parts of the site, so that a large one does not meet in one task
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    local = per.where((F.col("own") >= min_records) & most).withColumn("salt", F.pmod("hash", F.lit(SALT)).cast("int")).join(salted, ["site", "salt"])
+    local = local.where(F.col("own") * one_in >= F.col("site_records")).select("site", "hash")
+    general = per.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.count_if(F.col("own") > 0).alias("hosts")).where((F.col("hosts") >= hosts) & most).select("hash")
+    return local, general
+
+
+#: Parts of each site in the join with its size.
+SALT = 32
+
+
+def found(df: DataFrame, min_records: int = MIN_RECORDS, one_in: int = ONE_IN, hosts: int = HOSTS) -> DataFrame:
+    """scrape_id of the records that are cases."""
+    recs = cut(assessed(df))
+    local, general = boilerplate(recs, min_records, one_in, hosts)
+    lines = recs.where("kinds IS NOT NULL").select("scrape_id", "site", F.explode(F.arrays_zip("hashes", "kinds", "words")).alias("x")).select("scrape_id", "site", "x.*").where(f"kinds <> {OTHER}")
+    left = lines.join(local.select("site", F.col("hash").alias("hashes"), F.lit(True).alias("local")), ["site", "hashes"], "left").join(general.select(F.col("hash").alias("hashes"), F.lit(True).alias("general")), "hashes", "left").where("local IS NULL AND general IS NULL")
+    words = lambda kind: F.sum(F.when(F.col("kinds") == kind, F.col("words")).otherwise(0))
+    sums = left.groupBy("scrape_id").agg(words(MESSAGE).alias("said"), words(PROSE).alias("prose"), words(PLACE).alias("places"))
+    return sums.where((F.col("places") > 0) | (F.col("said") > 0) & ((F.col("said") >= SHARE * (F.col("said") + F.col("prose"))) | (F.col("prose") < LEAST))).select("scrape_id")
 
 
 def p5_found(spark, sf):
     """scrape_id of template residue, filler, errors and demands for scripts."""
-    from .mainbody import fit
-
-    return found(scrapes(spark, sf), fit(spark, sf))
+    return found(scrapes(spark, sf))

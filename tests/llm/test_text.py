@@ -174,43 +174,43 @@ def test_residue(text, want):
     assert B.is_residue(text, lambda _: frozenset()) is want
 
 
-def _samples(tree) -> list[str]:
-    """Texts that a parsed pattern matches: every branch, every option with and without, gaps as short as they can be."""
-    out = [""]
-    for op, arg in tree:
-        name = str(op)
-        if name == "LITERAL":
-            got = [chr(arg)]
-        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
-            got = [""]
-        elif name == "IN":
-            got = [{"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " ", "CATEGORY_NOT_SPACE": "x", "CATEGORY_WORD": "x"}[str(v)] if str(o) == "CATEGORY" else chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg]
-        elif name == "ANY":
-            got = [" "]
-        elif name == "BRANCH":
-            got = [x for branch in arg[1] for x in _samples(branch)]
-        elif name == "SUBPATTERN":
-            got = _samples(arg[-1])
-        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
-            low, high, inner = arg
-            inner = _samples(inner)
-            got = [x * low for x in inner] + ([x for x in inner if high == 1 or x == " "] if low == 0 else [])
-        else:
-            raise ValueError(name)
-        out = [a + b for a in out for b in dict.fromkeys(got)]
-    return out
-
-
-def test_words_of_messages_are_in_every_match():
-    """The prefilter loses no pattern: each is tried on whatever it can match."""
-    lost = []
-    for k, pattern in enumerate(B.PATTERNS):
-        texts = [x for x in _samples(re._parser.parse(pattern.pattern)) if pattern.search(x)]
-        assert texts
-        lost += [(k, x) for x in texts if k not in {j for _, ks in B._automaton().iter(x) for j in ks}]
-    assert not lost, lost
-    for line in ("HTTP 500", "HTTP/1.1 503", "HTTP 429", "Service unavailable", "Service down", "Image to go here"):
-        assert B.is_message(line) and B.is_message(line, set(range(len(B.PATTERNS)))) and B.is_residue(line, lambda _: frozenset())
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        *((x, True) for x in ("HTTP 500 server error", "Service unavailable", "Service down", "Image to go here", "Sorry, we can't find that page.", "La page demandée n'existe pas.", "This content isn’t available right now.")),
+        *((x, True) for x in ("Der Zugriff auf diese Seite wurde gesperrt.", "Esta página ha sido eliminada.", "页面不存在", "ページが見つかりません", "Сервер временно недоступен", "Gateway timed out after 7 s", "Loading…", "# 404 - Page not found")),
+        *((x, False) for x in ("The terror of the pages", "News and service", "Die Seite der Stadt", "Browse the archive", "He wrote 'page not found' on the door of the shop and left", "")),
+    ],
+)
+def test_messages(line, want):
+    assert B.is_message(line) is want
+
+
+def test_words_stand_apart():
+    names = lambda x: {n for n, bit in B._NAMES.items() for _, bits in B._concepts(x) if bits & bit}
+    assert "error" not in names("terror") and "not" not in names("nothingness") and "error" in names("an error.") and "object" in names("该页面") and names("") == set()
+    assert all(c in B._NAMES for r in B.RULES for c in r.split())
+
+
+SHARE_PROMPT = "Please enable JavaScript to use the share buttons."
+
+
+def test_recurrent_lines_are_subtracted_first(spark):
+    """A notice below the articles of a host is no evidence anywhere on it; a message alone on its pages is."""
+    rows, site = [], lambda h, k: (f"http://www.{h}.example:80/{k}",)
+    for k in range(30):
+        own = " ".join(f"Sentence number {w} of this article tells of the river." for w in range(k, k + 8))
+        rows.append((k, own + "\n\n" + SHARE_PROMPT, site("a", k), "x", T0))
+    rows.append((100, "# Note\n\nShort news item of the day here.\n\n" + SHARE_PROMPT, site("a", 100), "x", T0))
+    rows.append((101, "# Note\n\nShort news item of the day here.\n\n" + SHARE_PROMPT, site("b", 1), "x", T0))  # not known on this host
+    rows += [(200 + k, "Page not found", site("a", k), "x", T0) for k in range(12)]  # recurs, but never beside content
+    rows.append((300, PROSE * 6 + "\nDear {{ name }},", site("a", 300), "x", T0))
+    rows += [(400 + k, PROSE * 6 + "\n\n© {{ year }} Example", site("c", k), "x", T0) for k in range(8)]  # a host's footer
+    rows += [(101, "old text", site("b", 1), "x", T0 - dt.timedelta(1)), (500, None, None, None, None), (501, "404 Page not found", None, None, None)]
+    df = spark.createDataFrame(rows, SCRAPES)
+    assert {r.scrape_id for r in B.found(df).collect()} == {101, *range(200, 212), 300, 501}
+    none = {r.scrape_id for r in B.found(df, min_records=10**9, hosts=10**9).collect()}
+    assert none == {100, 101, *range(200, 212), 300, *range(400, 408), 501}
 
 
 @pytest.mark.parametrize(
@@ -349,7 +349,7 @@ def test_odd_tables(spark, model):
     rows = [(1, PROSE * 2, ("http://a.example", None), "x", T0, "q", 1), (1, PROSE * 2, ("http://a.example", None), "x", T0, "q", 1), (2, None, None, None, None, None, None), (3, " \n ", None, "", T0, "", 0), (None, PROSE, None, None, None, None, None), (4, "404 - Page not found\n" * 3, ("http://a.example", "en"), "", T0, "", 0), (5, PROSE * 2000, ("http://a.example", "de"), "", T0, "", 0)]
     df = spark.createDataFrame(rows, schema)
     assert sorted((r.scrape_id or 0, r.lang) for r in L.found(df, known, m).collect()) == [(0, "en"), (1, "en"), (5, "en")]
-    assert [r.scrape_id for r in B.found(df, m).collect()] == [4]
+    assert [r.scrape_id for r in B.found(df).collect()] == [4]
     assert K.found(df).count() == 0
     assert {r.scrape_id for r in M.found_lines(df, m).collect()} <= {None, 1, 5}
     assert {r.scrape_id for r in L.segments(df, known, m).collect()} == {None, 1, 5}
