@@ -2,12 +2,14 @@
 
 Texts are cut into sentences and clauses; stretches without any mark are cut where a rolling hash is least in its
 neighbourhood, so that no piece is long and pieces depend only on the characters near them. Every run of several
-consecutive pieces is hashed and the hashes are joined globally. Any span of ``SPAN`` characters holds at least one
-whole run, so every shared span is met. Around the runs that occur in two records the characters are compared
-exactly, to the left and to the right, which gives the spans' true bounds.
+consecutive pieces is hashed; of the runs that begin within a number of characters the one of the least hash is posted, so
+that any span of ``SPAN`` characters holds a posted run, the same in every record (see :func:`among`). Posted runs are
+joined globally by one shuffle, which carries their places. Around the runs that occur in two records the characters
+are compared exactly, to the left and to the right, which gives the spans' true bounds.
 
 Runs that occur very often (more than ``GROUP`` times) are not compared within one group: their records' windows of
-``SPAN`` characters are hashed and counted instead, which no single key can hold up.
+``SPAN`` characters are hashed and counted instead, which no single key can hold up. Groups are streamed; none is held
+beyond ``GROUP`` rows. Nothing is broadcast: the plan is the same at every size.
 
 Defined cases: null texts and texts under ``SPAN`` characters have no rows; offsets count code points; spans repeated
 only within one record are not shared; equal texts share all of themselves; overlapping and touching spans are
@@ -25,22 +27,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, maybe_broadcast
+from .common import cut, documents
 
 SPAN = 200
 #: Least characters of a run; its last piece completes it.
 RUN = 48
-#: Neighbourhood of the cuts in stretches without marks, and their distance from marks.
-NEAR = 40
-APART = 12
+#: Neighbourhood of the cuts in stretches without marks, characters hashed there, and the cuts' distance from marks.
+NEAR = 16
+GRAM = 8
+APART = 4
 GROUP = 256
-#: Repeated runs that are broadcast for the look-up; beyond it the join shuffles.
-LOOKUP_ROWS = 1_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 
 
+def among(span: int) -> int:
+    """Places of run starts among which one is posted. A cut depends on NEAR - 1 characters before it and NEAR + GRAM - 2
+    after it, and there is one within any NEAR + 2 * APART places; a run ends at the first cut RUN or more characters on.
+    So all runs that begin within these places of a span are the same wherever the span stands, and there is one."""
+    return span - (NEAR - 1) - (NEAR + GRAM - 1) - (RUN + NEAR + 2 * APART)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -106,11 +114,11 @@ class Texts:
         mark[self.starts] = True
         mark[self.ends] = True
         marks = np.flatnonzero(mark)
-        if n > NEAR + 8:
+        if n > NEAR + GRAM:
             number = np.repeat(np.arange(len(self.starts)), self.lengths + 1)
             h = np.full(n, _TOP, dtype=np.uint64)
-            at = np.flatnonzero(np.arange(n) + 8 <= self.ends[number])
-            h[at] = np.minimum(self.hash(at, at + 8), _TOP - np.uint64(1))
+            at = np.flatnonzero(np.arange(n) + GRAM <= self.ends[number])
+            h[at] = np.minimum(self.hash(at, at + GRAM), _TOP - np.uint64(1))
             h[self.ends] = 0  # the least of every window over two texts, so that none of their places is chosen by it
             least = _extreme(h, NEAR, np.minimum)
             # chosen: the least of some window of NEAR places that holds it
@@ -130,6 +138,23 @@ class Texts:
         ok[ok] = bounds[stop[ok]] <= self.ends[number[ok]]
         return number[ok], bounds[ok], bounds[stop[ok]]
 
+    def posted(self, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the text, place within it, hash) of the runs that have the least hash of those that begin within
+        some ``among(span)`` places; of equal hashes each."""
+        number, x, y = self.runs()
+        w = among(span)
+        h = self.hash(x, y)
+        if not len(x):
+            return number, x, h
+        # least hash of the runs that begin in each stretch of w places; a place without a run has the greatest
+        at = np.full(len(self.codes) + 2 * (w - 1), _TOP, dtype=np.uint64)
+        at[x + (w - 1)] = np.minimum(h, _TOP - np.uint64(1))
+        least = _extreme(at, w, np.minimum)
+        least[least == _TOP] = 0
+        kept = _extreme(least, w, np.maximum)[x] == np.minimum(h, _TOP - np.uint64(1))
+        # _extreme over all stretches that hold x gives the greatest of their least hashes: x has it if it is the least of one
+        return number[kept], x[kept] - self.starts[number[kept]], h[kept]
+
 
 def portions(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts that are worked on at once."""
@@ -153,36 +178,80 @@ def _extreme(x: np.ndarray, w: int, f) -> np.ndarray:
     return out
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = batch.column(1).to_pylist()
-        for a, b in portions(texts):
-            t = Texts(texts[a:b], powers)
-            number, x, y = t.runs()
-            yield pa.RecordBatch.from_arrays([pa.array(t.hash(x, y).view(np.int64)), pa.array(ids[a:b][number])], names=["h", "doc_id"])
+POSTED = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("at", T.IntegerType())])
+SHARED = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("often", T.BooleanType())])
+
+
+def _posted(span: int):
+    """The posted runs of (doc_id, text), with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            texts = batch.column(1).to_pylist()
+            for a, b in portions(texts):
+                number, at, h = Texts(texts[a:b], powers).posted(span)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a:b][number]), pa.array(at.astype(np.int32))], names=POSTED.names)
+
+    return run
+
 
+def _shared(group: int):
+    """Of posted runs in the order of their hashes those that two records have, or that occur more than ``group`` times
+    (``often``). At most ``group`` rows of a hash are held."""
 
-def _hit(t: Texts, lists: list[list[int]]) -> Iterator[tuple[int, int, int, int]]:
-    """(number of the text, hash, start, end) of the runs whose hash is in their text's list; places count within
-    the text."""
-    number, x, y = t.runs()
-    h = t.hash(x, y).view(np.int64)
-    cuts = np.searchsorted(number, np.arange(len(lists) + 1))
-    for k, hs in enumerate(lists):
-        a, b = int(cuts[k]), int(cuts[k + 1])
-        for j in np.flatnonzero(np.isin(h[a:b], np.array(hs, dtype=np.int64))).tolist():
-            yield k, int(h[a + j]), int(x[a + j] - t.starts[k]), int(y[a + j] - t.starts[k])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the last hash's rows so far, while they are no more than ``group``
+        long_key = None
+
+        def out(h, d, at, often):
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.array(at), pa.array(np.full(len(h), often))], names=SHARED.names)
+
+        def closed(h, d, at) -> Iterator[pa.RecordBatch]:
+            """Whole groups."""
+            if not len(h):
+                return
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            sizes = np.diff(np.concatenate((starts, [len(h)])))
+            two = np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts)
+            many = sizes > group
+            for keep, often in ((two & ~many, False), (two & many, True)):
+                rows = np.repeat(keep, sizes)
+                if rows.any():
+                    yield out(h[rows], d[rows], at[rows], often)
 
+        for batch in batches:
+            h, d, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if long_key is not None:
+                stop = int(np.searchsorted(h != long_key, True)) if len(h) and h[0] == long_key else 0
+                if stop:
+                    yield out(h[:stop], d[:stop], at[:stop], True)
+                    h, d, at = h[stop:], d[stop:], at[stop:]
+                if not len(h):
+                    continue
+                long_key = None
+            if not len(h):
+                continue
+            if held is not None:
+                h, d, at = (np.concatenate((x, y)) for x, y in zip(held, (h, d, at)))
+                held = None
+            last = len(h) - int(np.searchsorted((h != h[-1])[::-1], True))  # start of the open group
+            yield from closed(h[:last], d[:last], at[:last])
+            if len(h) - last > group:
+                long_key = h[-1]
+                yield out(h[last:], d[last:], at[last:], True)
+            else:
+                held = [h[last:].copy(), d[last:].copy(), at[last:].copy()]
+        if held is not None:
+            yield from closed(*held)
 
-HASHES = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc_id", T.LongType())])
+    return run
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(h, n): hashes of runs that occur in at least two records, and in how many."""
-    g = docs.mapInArrow(_hashes, HASHES).groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-    return g.where("low < high").select("h", "n")
+def shared_runs(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> DataFrame:
+    """(h, doc_id, at, often) of the posted runs that stand in two records."""
+    return docs.mapInArrow(_posted(span), POSTED).repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_shared(group), SHARED)
 
 
 AROUND = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("at", T.LongType()), T.StructField("left", T.StringType()), T.StructField("right", T.StringType())])
@@ -191,36 +260,41 @@ COVER = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("a",
 
 
 def _around(span: int):
-    """For (doc_id, text, hs): each run whose hash is in ``hs``, with the characters that a span holding it may reach."""
+    """For (doc_id, text, runs): each run with the characters that a span holding it may reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
-            ids, texts, lists = (batch.column(k).to_pylist() for k in range(3))
-            for a, b in portions(texts):
-                rows = []
-                for k, h, x, y in _hit(Texts(texts[a:b], powers), lists[a:b]):
-                    text = texts[a + k]
-                    rows.append((h, ids[a + k], x, text[max(0, y - span) : x], text[x : x + span]))
-                if rows:
-                    c = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.string())], names=AROUND.names)
+            rows = []
+            for i, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                for r in runs:
+                    x = r["at"]
+                    rows.append((r["h"], i, x, text[max(0, x + RUN - span) : x], text[x : x + span]))
+                if len(rows) > 5000:
+                    yield _arrow(rows, AROUND)
+                    rows = []
+            if rows:
+                yield _arrow(rows, AROUND)
 
     return run
 
 
+def _arrow(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType]) for c, f in zip(zip(*rows), schema.fields)], names=schema.names)
+
+
 def _windows(span: int):
-    """For (doc_id, text, hs): two hashes of each window of ``span`` characters that holds a run of ``hs``."""
+    """For (doc_id, text, runs): two hashes of each window of ``span`` characters that holds a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for i, text, hs in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for i, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 t = Texts([text], powers)
                 n = len(text)
                 mark = np.zeros(n + 2, dtype=np.int64)
-                for _, _, x, y in _hit(t, [hs]):
-                    lo, hi = max(0, y - span), min(x, n - span)
+                for r in runs:
+                    lo, hi = max(0, r["at"] + RUN - span), min(r["at"], n - span)
                     if lo <= hi:
                         mark[lo] += 1
                         mark[hi + 1] -= 1
@@ -293,11 +367,6 @@ def _merge_rows(rows: list[tuple[int, int, int, bool]]) -> list[tuple[int, int,
     return out
 
 
-def _cover(rows: list[tuple[int, int, int, bool]]) -> pa.RecordBatch:
-    c = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.bool_())], names=COVER.names)
-
-
 def _compared(span: int):
     """Groups of one hash, streamed in order: rows of COVER."""
 
@@ -310,27 +379,27 @@ def _compared(span: int):
                         out += compare(group, span)
                     key, group = h, []
                     if len(out) > 20_000:
-                        yield _cover(out)
+                        yield _arrow(out, COVER)
                         out = []
                 group.append((d, p, left, right))
         if len(group) > 1:
             out += compare(group, span)
         if out:
-            yield _cover(out)
+            yield _arrow(out, COVER)
 
     return run
 
 
-def coverage(docs: DataFrame, span: int = SPAN, group: int = GROUP, lookup: int = LOOKUP_ROWS) -> DataFrame:
+def coverage(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> DataFrame:
     """(doc_id, a, b, earlier): parts of the texts of (doc_id, text) that stand in another record, not yet merged."""
+    if among(span) < NEAR + 2 * APART:
+        raise ValueError("span is too short to hold a run")
     docs = docs.where(F.length("text") >= span)
-    known = cut(repeated_runs(docs))
-    hits = docs.mapInArrow(_hashes, HASHES).join(maybe_broadcast(known, known.count(), lookup), "h")
-    lists = cut(hits.groupBy("doc_id", (F.col("n") > group).alias("often")).agg(F.collect_set("h").alias("hs")))  # a record's own runs
-    few, many = lists.where("NOT often").select("doc_id", "hs"), lists.where("often").select("doc_id", "hs")
+    lists = cut(shared_runs(docs, span, group).groupBy("doc_id", "often").agg(F.collect_list(F.struct("h", "at")).alias("runs")))  # a record's own runs
+    few, many = lists.where("NOT often").select("doc_id", "runs"), lists.where("often").select("doc_id", "runs")
 
     def texts(chosen: DataFrame) -> DataFrame:
-        return docs.join(maybe_broadcast(chosen, chosen.count(), lookup // 8), "doc_id").select("doc_id", "text", "hs")
+        return docs.join(chosen, "doc_id").select("doc_id", "text", "runs")
 
     near = texts(few).mapInArrow(_around(span), AROUND).repartition(F.col("h")).sortWithinPartitions("h")
     out = near.mapInArrow(_compared(span), COVER)
