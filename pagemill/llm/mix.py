@@ -3,8 +3,10 @@
 Each source's token budget gives its records an expected number of copies, at most ``max_repeats``: a whole part that
 every record gets, and a fraction that is an inclusion probability. Within a source the fractions are resolved by the
 cube method: probabilities move along null-space directions of the constraints (token total and record total) until
-all but two records are decided. Records fly in blocks of bounded size; what a block leaves undecided flies again
-with other blocks' rest, until one small landing problem a source remains.
+all but two records are decided. Records fly in blocks of bounded size, larger ones first, so that the last to be decided
+are small; what a block leaves undecided flies again with other blocks' rest, until one landing problem of two records a
+source remains. The landing gives up the token total first and then the record total, and goes on as the flight does, so
+that every record keeps its inclusion probability; a source's tokens miss their budget by less than its two last records.
 
 The total is the largest at which every source with records reaches its share, or ``total_tokens`` where given (then a
 source's copies are capped and the shares reached fall short). Shares of targets without records are spread over the
@@ -30,8 +32,6 @@ from .encode import TOKENIZER, count_tokens
 
 #: Records of a block of the flight.
 BLOCK = 4096
-#: Records of a source that the last block leaves to the landing problem.
-LANDING = 12
 SEED = 20
 
 
@@ -39,8 +39,8 @@ def source_name(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
-def flight(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator, stop: int = 2) -> np.ndarray:
-    """Probabilities after the flight: at most ``stop`` (two or more) are still fractions; the sums of ``p`` and of
+def flight(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Probabilities after the flight: at most two are still fractions; the sums of ``p`` and of
     ``p * tokens`` are those at the start (up to rounding)."""
     p = p.astype(float).tolist()
     t = tokens.astype(float).tolist()
@@ -55,7 +55,7 @@ def flight(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator, stop: in
             else:
                 p[at] = float(round(p[at]))
             at += 1
-        if len(hold) < 3 or len(hold) + n - at <= stop:
+        if len(hold) < 3:
             return np.array(p)
         i, j, k = hold
         u = (t[k] - t[j], t[i] - t[k], t[j] - t[i])  # orthogonal to (1, 1, 1) and to the tokens
@@ -83,43 +83,26 @@ def flight(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator, stop: in
         hold = kept
 
 
-def land(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The landing: of all ways to decide the few fractions left, the one whose tokens are nearest to their
-    expectation, then whose number is; ties fall by chance."""
-    left = np.flatnonzero((p > 0) & (p < 1))
-    if not len(left):
-        return p
-    ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))[None, :]) & 1
-    off = np.abs(ways @ tokens[left] - p[left] @ tokens[left])
-    number = np.abs(ways.sum(axis=1) - p[left].sum())
-    best = np.lexsort((rng.random(len(ways)), number, off))[0]
+def land(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The landing: the two fractions that the flight may leave are decided without its constraints, the token total given
+    up first. Two move against each other, which keeps the number of records, until one is decided; a last one is
+    decided by chance. Each keeps its probability."""
     p = p.copy()
-    p[left] = ways[best]
+    left = np.flatnonzero((p > 0) & (p < 1)).tolist()
+    while len(left) > 1:
+        i, j = left[-2:]
+        up, down = min(1 - p[i], p[j]), min(p[i], 1 - p[j])
+        step = up if rng.random() < down / (up + down) else -down
+        p[i], p[j] = p[i] + step, p[j] - step
+        for x in (i, j):
+            if min(p[x], 1 - p[x]) < 1e-9:
+                p[x] = round(p[x])
+                left.remove(x)
+    for x in left:
+        p[x] = float(rng.random() < p[x])
     return p
 
 
-def settle(tokens: np.ndarray, start: np.ndarray, landed: np.ndarray, swaps: int = 3) -> np.ndarray:
-    """The landing settled: where one record outweighs all the landing could balance, a record used and one not used
-    change places, whose difference is nearest to what is left over. The number of records stays."""
-    z = landed.copy()
-    free = (start > 0) & (start < 1)
-    for _ in range(swaps):
-        off = float(z @ tokens - start @ tokens)
-        ins, outs = np.flatnonzero(free & (z == 1)), np.flatnonzero(free & (z == 0))
-        if abs(off) < 1 or not len(ins) or not len(outs):
-            break
-        outs = outs[np.argsort(tokens[outs], kind="stable")]
-        want = tokens[ins] - off
-        at = np.clip(np.searchsorted(tokens[outs], want), 1, max(1, len(outs) - 1))
-        near = np.where(np.abs(tokens[outs[at - 1]] - want) <= np.abs(tokens[outs[np.minimum(at, len(outs) - 1)]] - want), at - 1, np.minimum(at, len(outs) - 1))
-        gap = np.abs(tokens[outs[near]] - want)
-        k = int(np.argmin(gap))
-        if gap[k] >= abs(off):
-            break
-        z[ins[k]], z[outs[near[k]]] = 0.0, 1.0
-    return z
-
-
 def budgets(stats: list[tuple[str, int, int]], targets: list[tuple[str, float, int]], total_tokens: float | None = None) -> dict[str, tuple[float, int]]:
     """Expected copies of a record, and the cap, of each source: from (source, records, tokens) and (source, share,
     max_repeats), both of the bounded list of targets."""
@@ -143,15 +126,11 @@ def _fly(df: DataFrame, block: int, seed: int, level: int, landing: bool) -> Dat
     """One round of the flight over (doc_id, source, n_tokens, p, blocks): blocks of each source apart."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["order", "doc_id"], kind="stable")
-        first = int(g["order"].iloc[0]) if len(g) else 0
+        first = int(g["order"].min()) if len(g) else 0
         rng = np.random.default_rng([seed, level, len(g), first & 0xFFFFFFFF])
-        tokens = g["n_tokens"].to_numpy()
-        start = g["p"].to_numpy()
-        p = flight(tokens, start, rng, LANDING if landing else 2)
-        if landing:
-            p = settle(tokens, start, land(tokens, p, rng))
-        return g.assign(p=p)[["doc_id", "source", "n_tokens", "p"]]
+        g = g.sort_values(["n_tokens", "order", "doc_id"], ascending=[False, True, True], kind="stable")
+        p = flight(g["n_tokens"].to_numpy(), g["p"].to_numpy(), rng)
+        return g.assign(p=land(p, rng) if landing else p)[["doc_id", "source", "n_tokens", "p"]]
 
     keyed = df.withColumn("order", F.xxhash64(F.lit(seed), F.lit(level), "doc_id")).withColumn("block", F.pmod(F.shiftrightunsigned("order", 7), F.col("blocks")))
     return keyed.groupBy("source", "block").applyInPandas(run, "doc_id bigint, source string, n_tokens bigint, p double")
