@@ -3,33 +3,39 @@
 The lines of a record are the observations of a hidden Markov model whose states are prose, link list, tag list and
 menu. Each line is reduced to one symbol by its shape (sentences, links, tags and codes, repetition of word pairs), a
 long line that is stuffed in part to one for each run of its stretches; the most likely sequence of states labels the
-lines. A record is flagged if the words of link and tag lists outweigh its prose; menus and site furniture weigh nothing.
+lines. A record is flagged by the share of its words that are not prose, if lists make up enough of them: menus and
+site furniture alone are no list.
+
+The model's probabilities are learned by expectation and maximisation (Baum-Welch) from the symbols of about
+``TRAIN_RECORDS`` records, chosen by a hash of their ids; the tables below are where it starts, and weigh as much as
+``PRIOR`` observations of each state, so that the states keep their meaning where a sample lacks one of them.
 
 Defined cases: null, blank and very short contents are no cases; code and data are prose; several rows of one id
-count as one record.
+count as one record, flagged if any of its texts is; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import scrapes
 
 STATES = ("prose", "links", "tags", "menu")
-SYMBOLS = ("sentence", "brief", "phrase", "separated", "own link", "link", "tags", "stuffed", "title", "data")
-# P(symbol | state) and P(state | state before), set by hand to the shapes named; rows as STATES.
+SYMBOLS = ("sentence", "brief", "phrase", "separated", "own link", "link", "tags", "stuffed", "title", "data", "paragraph")
+# Where the learning starts: P(symbol | state) and P(state | state before), by the shapes named; rows as STATES.
 EMISSIONS = (
-    (0.66, 0.03, 0.03, 0.02, 0.05, 0.010, 0.004, 0.004, 0.13, 0.062),
-    (0.02, 0.02, 0.08, 0.03, 0.15, 0.600, 0.040, 0.020, 0.03, 0.010),
-    (0.02, 0.02, 0.40, 0.03, 0.03, 0.040, 0.280, 0.150, 0.02, 0.010),
-    (0.16, 0.30, 0.09, 0.22, 0.13, 0.020, 0.004, 0.003, 0.07, 0.003),
+    (0.26, 0.03, 0.03, 0.02, 0.05, 0.010, 0.004, 0.004, 0.13, 0.062, 0.400),
+    (0.02, 0.02, 0.08, 0.03, 0.15, 0.600, 0.040, 0.020, 0.03, 0.008, 0.002),
+    (0.02, 0.02, 0.40, 0.03, 0.03, 0.040, 0.280, 0.150, 0.02, 0.008, 0.002),
+    (0.16, 0.30, 0.09, 0.22, 0.13, 0.020, 0.004, 0.003, 0.07, 0.001, 0.002),
 )
 TRANSITIONS = (
     (0.84, 0.02, 0.02, 0.12),
@@ -38,13 +44,14 @@ TRANSITIONS = (
     (0.22, 0.04, 0.04, 0.70),
 )
 START = (0.45, 0.08, 0.08, 0.39)
-_LOG_E = [[math.log(p) for p in row] for row in EMISSIONS]
-_LOG_T = [[math.log(p) for p in row] for row in TRANSITIONS]
-_LOG_S = [math.log(p) for p in START]
+#: Records that the model is learned from (about), rounds of the learning, and the weight of where it starts.
+TRAIN_RECORDS = 4000
+ROUNDS = 6
+PRIOR = 200.0
 
-#: Least words in link and tag lists, and their least share of all words that count.
+#: Least words in link and tag lists, and least share of words that are not prose.
 MIN_WORDS = 20
-SHARE = 0.5
+SHARE = 0.6
 LONG = 25
 #: Words of a stretch whose pairs are compared, and the share of distinct pairs below which it counts as stuffed.
 STRETCH = 150
@@ -83,13 +90,14 @@ def once(line: str) -> list[str]:
 
 def shape(s: str, bare: str, ends: int, n: int) -> int:
     """The symbol of a line of ``n`` words without links, tags and codes that is not stuffed."""
+    sentence = 10 if n >= LONG else 0
     if ends and n >= 4 and sum(map(bare.count, ",;•·|/")) < 7:
-        return 0  # too few separators for a list
+        return sentence  # too few separators for a list
     parts = [p for p in _SEGMENTS.split(bare) if p]
     if len(parts) >= 8 and n >= 16 and ends <= len(parts) // 8:
         return 6
     if ends and (n >= 4 or ends > 1):
-        return 0
+        return sentence
     if len(parts) >= 2 and n <= 40 and not _ITEM.match(s):
         return 3 if len(parts) > 2 or n > 7 or not re.search(r"\s[-–@]\s", bare) else 2
     if n <= 2:
@@ -134,7 +142,7 @@ def symbols(line: str, hosts: Counter) -> list[tuple[int, int]]:
         runs = stuffed_runs(once(bare), least)  # also without the sentences that only come again
     if not any(stuffed for stuffed, _ in runs):
         return [(shape(s, bare, ends, n), n)]
-    rest = shape(s, bare, ends, n) if len(runs) > 1 else 0
+    rest = shape(s, bare, ends, n) if len(runs) > 1 else 10
     total = sum(size for _, size in runs)
     return [(7 if stuffed else rest, round(n * size / total)) for stuffed, size in runs]
 
@@ -160,61 +168,123 @@ def observe(content: str) -> list[tuple[int, int]]:
     return out
 
 
-def states(symbols: list[int]) -> list[int]:
-    """The most likely states of a sequence of symbols (Viterbi)."""
-    if not symbols:
-        return []
-    score = [_LOG_S[k] + _LOG_E[k][symbols[0]] for k in range(4)]
-    back: list[tuple[int, ...]] = []
-    for o in symbols[1:]:
-        new, ptr = [], []
-        for k in range(4):
-            best = max(range(4), key=lambda j: score[j] + _LOG_T[j][k])
-            ptr.append(best)
-            new.append(score[best] + _LOG_T[best][k] + _LOG_E[k][o])
-        back.append(tuple(ptr))
-        score = new
-    at = max(range(4), key=score.__getitem__)
-    path = [at]
-    for ptr in reversed(back):
-        at = ptr[at]
-        path.append(at)
-    return path[::-1]
-
-
-def weigh(content: str) -> tuple[int, int]:
-    """(words of link and tag lists, words of prose) of a record."""
-    seen = observe(content)
-    # the other symbols alone never lead out of prose and menu
-    if not any(o in (2, 4, 5, 6, 7) for o, _ in seen):
-        return 0, sum(n for _, n in seen)
-    # a long line, or run of its stretches, counts as one observation for each LONG words of it
-    long = [(o, n, max(1, min(40, n // LONG))) for o, n in seen]
-    path = states([o for o, _, times in long for _ in range(times)])
-    words = [0, 0, 0, 0]
-    at = 0
-    for _, n, times in long:
-        words[path[at]] += n
-        at += times
-    return words[1] + words[2], words[0]
-
-
-def is_spam(content: str | None) -> bool:
-    if not content or not content.strip():
-        return False
-    bad, prose = weigh(content)
-    return bad >= MIN_WORDS and bad > SHARE * (bad + prose)
+class Chain:
+    """The model: logarithms of its probabilities."""
+
+    def __init__(self, start=START, transitions=TRANSITIONS, emissions=EMISSIONS):
+        self.start, self.transitions, self.emissions = (np.log(np.asarray(x, dtype=float)).tolist() for x in (start, transitions, emissions))
+
+    def states(self, symbols: list[int]) -> list[int]:
+        """The most likely states of a sequence of symbols (Viterbi)."""
+        if not symbols:
+            return []
+        steps, emit = self.transitions, self.emissions
+        score = [self.start[k] + emit[k][symbols[0]] for k in range(4)]
+        back: list[tuple[int, ...]] = []
+        for o in symbols[1:]:
+            new, ptr = [], []
+            for k in range(4):
+                best = max(range(4), key=lambda j: score[j] + steps[j][k])
+                ptr.append(best)
+                new.append(score[best] + steps[best][k] + emit[k][o])
+            back.append(tuple(ptr))
+            score = new
+        at = max(range(4), key=score.__getitem__)
+        path = [at]
+        for ptr in reversed(back):
+            at = ptr[at]
+            path.append(at)
+        return path[::-1]
+
+    def weigh(self, content: str) -> list[int]:
+        """Words of each state of a record."""
+        seen = repeated(observe(content))
+        path = self.states([o for o, _, times in seen for _ in range(times)])
+        words = [0, 0, 0, 0]
+        at = 0
+        for _, n, times in seen:
+            words[path[at]] += n
+            at += times
+        return words
+
+    def is_spam(self, content: str | None) -> bool:
+        if not content or not content.strip():
+            return False
+        words = self.weigh(content)
+        lists = words[1] + words[2]
+        return lists >= MIN_WORDS and lists > words[0] and lists + words[3] >= SHARE * sum(words)
+
+
+def repeated(seen: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(symbol, words, times): a long line, or run of its stretches, is an observation for each LONG words of it."""
+    return [(o, n, max(1, n // LONG)) for o, n in seen]
+
+
+def learned(sequences: list[list[int]], rounds: int = ROUNDS, prior: float = PRIOR) -> Chain:
+    """The model of the sequences of symbols, by expectation and maximisation."""
+    todo = sorted((x for x in sequences if x), key=len, reverse=True)
+    first, step, emit = (np.asarray(x, dtype=float) for x in (START, TRANSITIONS, EMISSIONS))
+    start = first, step, emit
+    if not todo:
+        return Chain()
+    lengths = np.array([len(x) for x in todo])
+    at = [np.array([x[t] for x in todo[: int((lengths > t).sum())]]) for t in range(lengths[0])]  # symbols of place t
+    for _ in range(rounds):
+        forward, scale = [], []
+        for t, o in enumerate(at):
+            a = (first[None, :] if t == 0 else forward[-1][: len(o)] @ step) * emit[:, o].T
+            scale.append(a.sum(axis=1, keepdims=True))
+            forward.append(a / scale[-1])
+        n_first, n_step, n_emit = prior * start[0], prior * start[1], prior * start[2]
+        later = np.ones((len(at[-1]), 4))
+        for t in range(len(at) - 1, -1, -1):
+            post = forward[t].copy()
+            if t + 1 < len(at):
+                k = len(at[t + 1])
+                ahead = emit[:, at[t + 1]].T * later / scale[t + 1]
+                n_step = n_step + step * (forward[t][:k].T @ ahead)
+                later = np.concatenate((ahead @ step.T, np.ones((len(at[t]) - k, 4))))
+                post *= later
+            for k in range(4):
+                n_emit[k] += np.bincount(at[t], weights=post[:, k], minlength=len(SYMBOLS))
+            if t == 0:
+                n_first = n_first + post.sum(axis=0)
+        first, step, emit = n_first / n_first.sum(), n_step / n_step.sum(axis=1, keepdims=True), n_emit / n_emit.sum(axis=1, keepdims=True)
+    return Chain(first, step, emit)
+
+
+def sampled(df: DataFrame, records: int = TRAIN_RECORDS, *more: Column) -> DataFrame:
+    """About ``records`` rows of ``df`` with their contents (and ``more``), by a hash of the id."""
+    every = max(1, df.count() // records)
+    return df.where(F.pmod(F.xxhash64("scrape_id"), F.lit(every)) == 0).select("scrape_id", "content", *more).where("content IS NOT NULL")
+
+
+OBSERVED = T.StructType([T.StructField("id", T.LongType()), T.StructField("symbols", T.ArrayType(T.IntegerType()))])
+
+
+def fit(df: DataFrame, records: int = TRAIN_RECORDS) -> Chain:
+    """The model learned from a bounded sample of (scrape_id, content); only symbols come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[o for o, _, times in repeated(observe(c)) for _ in range(times)] for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=OBSERVED.names)
+
+    got = sampled(df, records).mapInArrow(run, OBSERVED).distinct().collect()
+    return learned([list(r["symbols"]) for r in sorted(got, key=lambda r: (r["id"] is not None, r["id"], r["symbols"]))])
 
 
 FLAGGED = T.StructType([T.StructField("scrape_id", T.LongType())])
 
 
-def found(df: DataFrame) -> DataFrame:
+def found(df: DataFrame, chain: Chain | None = None) -> DataFrame:
     """scrape_id of the records that are cases."""
+    shared = df.sparkSession.sparkContext.broadcast(chain or Chain())  # four small tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = shared.value
         for batch in batches:
-            keep = pa.array([is_spam(c) for c in batch.column(1).to_pylist()], pa.bool_())
+            keep = pa.array([chain.is_spam(c) for c in batch.column(1).to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=FLAGGED.names)
 
     return df.select("scrape_id", "content").where("trim(content) <> ''").mapInArrow(run, FLAGGED).distinct()
@@ -222,4 +292,5 @@ def found(df: DataFrame) -> DataFrame:
 
 def p6_found(spark, sf):
     """scrape_id of keyword-stuffed pages and lists of links, tags, codes or places."""
-    return found(scrapes(spark, sf))
+    df = scrapes(spark, sf)
+    return found(df, fit(df))
