@@ -41,8 +41,10 @@ def _joined(text: str, at: int) -> bool:
 def _snap(text: str, target: int, reach: int) -> int:
     """The end of the strongest boundary within ``reach`` of ``target``, the nearest of these, else the target."""
     lo, hi = max(1, target - reach), min(len(text) - 1, target + reach)
-    window = text[max(0, lo - 40) : hi + 40]
     base = max(0, lo - 40)
+    while base and not text[base - 1].isalnum():  # a boundary may begin long before it ends
+        base -= 1
+    window = text[base : hi + 40]
     for pattern in BOUNDARIES:
         ends = [e for m in pattern.finditer(window) if lo <= (e := base + m.end()) <= hi]
         if ends:
