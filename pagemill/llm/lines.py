@@ -1,8 +1,9 @@
 """Problem 2: lines repeated across the records of one site.
 
 Lines are hashed natively (letters only, lower case), distinct records are counted per site and hash, hashes
-above the record share are kept, and each record looks its own hashes up in the short list of its site. Only
-arrays of hashes are shuffled, never texts; a hot site is salted.
+above the record share are kept, and each record looks its own hashes up in the short list of its site. Contents are
+read once; only arrays of hashes are shuffled, never texts. Counts are combined before they are shuffled by site and
+hash, and what is joined by site alone is cut into parts of each site.
 
 Defined cases: null contents are no records; a record without any host in its URLs belongs to no site and has no
 rows; lines without letters are never repeated; several rows of one id count as one record, the latest delivery
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scrapes, site
+from .common import cut, scrapes, site
 
 MIN_RECORDS = 6
 #: A repeated line occurs in at least one of so many records of its site (2 %).
@@ -43,7 +44,10 @@ def repeated(recs: DataFrame, min_records: int = MIN_RECORDS, one_in: int = ONE_
     recs = recs.where("site IS NOT NULL")
     sizes = recs.groupBy("site").agg(F.count("*").alias("site_records"))
     counts = recs.select("site", F.explode(F.array_distinct("hashes")).alias("hash")).where("hash IS NOT NULL").groupBy("site", "hash").agg(F.count("*").alias("n_records")).where(F.col("n_records") >= min_records)
-    return counts.join(sizes, "site").where(F.col("n_records") * one_in >= F.col("site_records"))
+    # a site's size goes to each part of the site
+    parts = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = counts.withColumn("salt", F.pmod("hash", F.lit(SALT)).cast("int"))
+    return salted.join(parts, ["site", "salt"]).drop("salt").where(F.col("n_records") * one_in >= F.col("site_records"))
 
 
 def with_repeated(recs: DataFrame, found: DataFrame, salt: int = SALT) -> DataFrame:
@@ -55,9 +59,10 @@ def with_repeated(recs: DataFrame, found: DataFrame, salt: int = SALT) -> DataFr
 
 def found_lines(df: DataFrame, min_records: int = MIN_RECORDS, one_in: int = ONE_IN) -> DataFrame:
     """(scrape_id, line_no) of each occurrence of a repeated line."""
-    recs = records(df)
-    hit = with_repeated(recs, repeated(recs, min_records, one_in))
-    marks = F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains(F.col("bad"), h), (i + 1).cast("bigint"))), lambda x: x.isNotNull())
+    recs = cut(records(df))
+    # the record's own lines among its site's list, met by hash; their places then by the few that are
+    hit = with_repeated(recs.where("site IS NOT NULL"), repeated(recs, min_records, one_in)).select("scrape_id", "hashes", F.array_intersect("hashes", "bad").alias("own")).where(F.size("own") > 0)
+    marks = F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains(F.col("own"), h), (i + 1).cast("bigint"))), lambda x: x.isNotNull())
     return hit.select("scrape_id", F.explode(marks).alias("line_no"))
 
 
