@@ -47,7 +47,18 @@ PLACEHOLDER = re.compile(
     r"|(?<![\w{$#%])\{[a-z][a-z0-9]*(?:[_.][a-z0-9]+)*\}(?!\})"  # {name}
     r"|\[object Object\]|(?<!\w)undefined undefined(?!\w)|(?<!\w)null null(?!\w)"
 )
-_HINT = re.compile(r"\{\{|\{%|<%|[$#]\{|\[\[|<<|%%|@@|##[A-Za-z]|%[A-Z]|__[A-Z]|XX_|\[(?:[A-Z]{3}|[Yy]our |[Ii]nsert |[Ee]nter |object O)|\{[a-z]|undefined undefined|null null")
+# How placeholders begin, each with the characters to look for first.
+_BEGINNINGS = [
+    ("{", re.compile(r"\{[{%a-z]|[$#]\{")),
+    ("[", re.compile(r"\[(?:\[|[A-Z]{3}|[Yy]our |[Ii]nsert |[Ee]nter |object O)")),
+    ("%", re.compile(r"%[%A-Z]|<%")),
+    ("<<", re.compile(r"<<")),
+    ("@@", re.compile(r"@@")),
+    ("##", re.compile(r"##[A-Za-z]")),
+    ("_", re.compile(r"__[A-Z]|XX_")),
+    ("undefined undefined", re.compile("undefined")),
+    ("null null", re.compile("null")),
+]
 _FENCE = re.compile(r"^```.*?(?:^```[^\n]*$|\Z)", re.M | re.S)
 _SPAN = re.compile(r"``[^\n]*?``|`[^`\n]*`")
 _DATA = re.compile(r"^\s*[\[{].*[\]}],?\s*$")
@@ -238,7 +249,7 @@ _QUOTED = re.compile(r"['\"‘“„«`][^'\"’”“»`]{3,60}['\"’”»`].*
 
 def placeholder_lines(content: str) -> set[int]:
     """Numbers of the lines with an unfilled placeholder in prose or title."""
-    if not _HINT.search(content) or not PLACEHOLDER.search(content):
+    if not any(c in content and begins.search(content) for c, begins in _BEGINNINGS) or not PLACEHOLDER.search(content):
         return set()
     blank = lambda m: re.sub(r"[^\n]", " ", m.group())
     text = _SPAN.sub(blank, _FENCE.sub(blank, content))

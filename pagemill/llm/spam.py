@@ -215,6 +215,11 @@ class Chain:
         return lists >= MIN_WORDS and lists > words[0] and lists + words[3] >= SHARE * sum(words)
 
 
+def symbols_of(content: str) -> list[int]:
+    """The sequence of symbols of a record."""
+    return [o for o, _, times in repeated(observe(content)) for _ in range(times)]
+
+
 def repeated(seen: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """(symbol, words, times): a long line, or run of its stretches, is an observation for each LONG words of it."""
     return [(o, n, max(1, n // LONG)) for o, n in seen]
@@ -267,7 +272,7 @@ def fit(df: DataFrame, records: int = TRAIN_RECORDS) -> Chain:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[o for o, _, times in repeated(observe(c)) for _ in range(times)] for c in batch.column(1).to_pylist()]
+            rows = [symbols_of(c) for c in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=OBSERVED.names)
 
     got = sampled(df, records).mapInArrow(run, OBSERVED).distinct().collect()
