@@ -267,7 +267,7 @@ def navigation_error(reason: Column) -> Column:
 
 
 def llm_error(status: Column, body: Column) -> Column:
-    """(code, message) of a failed extraction call."""
+    """(code, message) of a failed extraction call; the texts are fixed."""
     said = F.get_json_object(body, "$.error.message")
     message = F.when(F.coalesce(said, F.lit("")) != "", said).otherwise("LLM API error")
     return F.struct(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.native import hamming
+from ..plans.checkpoints import shared_checkpoints
 from .page import tag_sequence
 
 _BASIS, _PRIME, _MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
@@ -56,36 +58,57 @@ def tag_words(html: str) -> list[str]:
     return ["_".join(tags[i : i + 3]) for i in range(len(tags) - 2)] if len(tags) >= 3 else tags
 
 
-@F.pandas_udf(T.LongType())
-def simhash_of(text: pd.Series) -> pd.Series:
-    """SimHash of a text's words."""
-    hasher = WordHasher()
-    return pd.Series([simhash([w for w in _SPACE.split(t) if w] if t else [], hasher) for t in text], dtype="int64")
+def _hashed(words: Callable[[str], list[str]]):
+    """A column function of the SimHash of the words of a text; a task keeps its hashes of words."""
 
+    @F.pandas_udf(T.LongType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher = WordHasher()
+        for texts in batches:
+            yield pd.Series([simhash(words(t or ""), hasher) for t in texts], dtype="int64")
 
-@F.pandas_udf(T.LongType())
-def tag_fingerprint(html: pd.Series) -> pd.Series:
-    """SimHash of a page's structure: its start tags in threes."""
-    hasher = WordHasher()
-    return pd.Series([simhash(tag_words(h or ""), hasher) for h in html], dtype="int64")
+    return run
 
 
-def near_pairs(prints: DataFrame, distance: int) -> DataFrame:
-    """(a, b, distance) with a < b of fingerprints (id, fingerprint) within a Hamming distance; zero (empty texts) has
-    no pairs. Equal fingerprints are one class: bands of ``distance`` + 1 parts join classes, then members follow."""
-    from ..plans.crawl import shared_checkpoints
+#: SimHash of a text's words, and of a page's structure: its start tags in threes.
+simhash_of = _hashed(lambda t: [w for w in _SPACE.split(t) if w])
+tag_fingerprint = _hashed(tag_words)
+
+#: Parts of a fingerprint that are posted by pairs, and members of a list that are expanded in one group.
+PARTS = 8
+LIST = 256
+
 
+def near_pairs(prints: DataFrame, distance: int) -> DataFrame:
+    """(a, b, distance) with a < b of fingerprints (id, fingerprint) within a Hamming distance of at most six; zero (empty
+    texts) has no pairs.
+
+    Equal fingerprints are one class. Of the eight octets of a fingerprint at least 8 - ``distance`` stay equal, two or more,
+    so that classes are posted under all pairs of octets: 16 bits and the places make a key. Lists longer than ``LIST``
+    are cut into blocks, of which each two meet in a group of their own, as are the members of large classes."""
+    if not 0 <= distance <= PARTS - 2:
+        raise ValueError("distance must be between 0 and 6")
     shared_checkpoints(prints.sparkSession)
-    prints = prints.where("fingerprint <> 0").checkpoint(eager=True)
-    classes = prints.select("fingerprint").distinct()
-    bands, edges = distance + 1, [round(64 * k / (distance + 1)) for k in range(distance + 2)]
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fingerprint", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)).alias("bits")) for k in range(bands)])
-    posted = classes.select("fingerprint", F.explode(keys).alias("key"))
-    x, y = posted.alias("x"), posted.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fingerprint") < F.col("y.fingerprint")) & (hamming(F.col("x.fingerprint"), F.col("y.fingerprint")) <= distance))
-    links = met.select(F.col("x.fingerprint").alias("f"), F.col("y.fingerprint").alias("g")).distinct().withColumn("distance", hamming(F.col("f"), F.col("g")).cast("bigint"))
+    prints = prints.where("fingerprint <> 0").select("id", "fingerprint").distinct().checkpoint(eager=True)
+    octets = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.call_function("shiftrightunsigned", F.col("fingerprint"), (k * 8).cast("int")).bitwiseAND(F.lit(255)))
+    places = [(i, j) for i in range(PARTS) for j in range(i)]
+    keys = F.array(*[((F.lit(k) * 256 + F.col("o")[i]) * 256 + F.col("o")[j]).alias("key") for k, (i, j) in enumerate(places)])
+    posted = prints.select("fingerprint").distinct().withColumn("o", octets).select(F.col("fingerprint").alias("id"), F.explode(keys).alias("key")).checkpoint(eager=True)
+    met = in_blocks(posted, "key").where((F.col("id") < F.col("id_y")) & (hamming(F.col("id"), F.col("id_y")) <= distance))
+    links = met.select(F.col("id").alias("f"), F.col("id_y").alias("g")).distinct().withColumn("distance", hamming(F.col("f"), F.col("g")).cast("bigint"))
     p = prints.select(F.col("id").alias("p"), F.col("fingerprint").alias("f"))
     q = prints.select(F.col("id").alias("q"), F.col("fingerprint").alias("g"))
     across = links.join(p, "f").join(q, "g").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
-    same = p.join(q, F.col("f") == F.col("g")).where("p < q").select(F.col("p").alias("a"), F.col("q").alias("b"), F.lit(0).cast("bigint").alias("distance"))
+    same = in_blocks(prints.select(F.col("fingerprint").alias("key"), "id"), "key").where("id < id_y").select(F.col("id").alias("a"), F.col("id_y").alias("b"), F.lit(0).cast("bigint").alias("distance"))
     return across.union(same)
+
+
+def in_blocks(rows: DataFrame, key: str, bound: int = LIST) -> DataFrame:
+    """Each two of the ``rows`` (key, id) of one key, as (key, id, id_y), both ways round: lists are cut into blocks of about
+    ``bound`` members, and each two blocks meet under a key of their own; a list of one meets nothing."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1")
+    placed = rows.join(sizes, key).withColumn("blocks", F.ceil(F.col("size") / bound).cast("int"))
+    own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = placed.withColumn("p", own).withColumn("q", every).select(key, "p", "q", "id")
+    y = placed.withColumn("q", own).withColumn("p", every).select(key, "p", "q", F.col("id").alias("id_y"))
+    return x.join(y, [key, "p", "q"]).select(key, "id", "id_y")

@@ -2,36 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.native import excluded, in_scope
-
-
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in ``spark.checkpoint.dir``; a local one is set only where that is unset."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/pagemill-checkpoint")
+from ..functions.native import excluded, same_host, url_scheme
+from .checkpoints import shared_checkpoints
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages: int | None = None, scope: str = "all", exclude: list[str] | None = None, failed: DataFrame | None = None) -> DataFrame:
+def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages: int | None = None, scope: str = "domain", exclude: list[str] | None = None, failed: DataFrame | None = None) -> DataFrame:
     """(url, depth) of the pages a crawl attempts, level by level from ``seeds`` (url) over ``edges`` (src, dst).
 
     A page at ``max_depth`` is attempted but not expanded; a failed page (``failed``: url) uses the budget but is not
     expanded; a URL counts as visited when it is first seen. Order within the budget is (depth, url); what a cut level
-    leaves over is dropped. ``scope``: ``domain``, ``subdomain``, ``page`` (each against the link's source) or
-    ``all``. At most ``max_depth`` + 1 levels; each is cut by a checkpoint, visited URLs go by anti-join."""
+    leaves over is dropped. ``scope``: ``page`` follows no link; ``domain`` and ``subdomain`` alike follow the web links of a
+    page to its own host (only links within a host are ever followed, so that a base domain adds nothing); ``all`` follows
+    every link. At most ``max_depth`` + 1 levels; each is cut by a checkpoint, visited URLs go by anti-join."""
     spark = seeds.sparkSession
     shared_checkpoints(spark)
     links = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
     if exclude:
         links = links.where(~excluded(F.col("dst"), exclude))
-    if scope != "all":
-        links = links.where(in_scope(F.col("dst"), F.col("src"), scope))
+    if scope == "page":
+        links = links.where(F.lit(False))
+    elif scope != "all":
+        links = links.where(url_scheme(F.col("dst")).isin("http", "https") & same_host(F.col("dst"), F.col("src")))
     links = links.distinct().checkpoint(eager=True)  # scanned and shuffled once, not at each level
     frontier = seeds.where("url IS NOT NULL").select("url").distinct()
     visited, result, used = None, None, 0
@@ -106,9 +100,3 @@ def expand_sitemaps(roots: DataFrame, documents: DataFrame, depth: int = 10) ->
         if frontier.isEmpty():
             break
     return found.distinct()
-
-
-def first_links(links: DataFrame) -> DataFrame:
-    """First occurrence of each (page, url) by position."""
-    w = W.partitionBy("page_id", "url").orderBy("pos")
-    return links.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.native import host_suffixes, thousands
+from ..functions.native import host_suffixes, pool_degraded
+from .ordered import clamped_sum, last_before, with_chunk
 
 
 def latest(df: DataFrame, *keys: str, by: str = "ingested_at") -> DataFrame:
@@ -37,12 +37,11 @@ def race_winners(attempts: DataFrame) -> DataFrame:
 
 def domain_memory(winners: DataFrame, host: Column, ttl: str = "24 hours") -> DataFrame:
     """For each race the engine remembered for its host: the winner of the last earlier race that is not older than
-    ``ttl``; null if there is none. Input as of :func:`race_winners`."""
-    w = W.partitionBy("host").orderBy("started_at", "url")
-    x = winners.withColumn("host", host)
-    last = F.lag(F.struct("engine", "started_at")).over(w)
+    ``ttl``; null if there is none. Input as of :func:`race_winners`. A host's races are taken in chunks of a day."""
+    x = with_chunk(winners.withColumn("host", host), "started_at")
+    x = last_before(x, "host", ["started_at", "url"], F.struct("engine", "started_at"), "last")
     fresh = F.col("last.started_at") + F.expr(f"INTERVAL {ttl}") >= F.col("started_at")
-    return x.withColumn("last", last).select("host", "url", "started_at", "engine", F.when(fresh, F.col("last.engine")).alias("remembered"))
+    return x.select("host", "url", "started_at", "engine", F.when(fresh, F.col("last.engine")).alias("remembered"))
 
 
 def cache_lookups(rows: DataFrame) -> DataFrame:
@@ -67,16 +66,14 @@ def dominant_status(runs: DataFrame, key: str, status: str = "status_code") -> D
 
 
 def health_scores(events: DataFrame, key: str, order: list[str], failed: Column, created: Column | None = None) -> DataFrame:
-    """Running health of a handle: a failure adds 1, a success takes 0.5 but never below 0. The clamped sum is its
-    plain running sum less the lowest point below zero so far, so that two native windows give it. A handle retires
-    at a score of 3, after 50 uses, or 50 minutes after ``created``."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    x = events.withColumn("step", F.when(failed, 1.0).otherwise(-0.5)).withColumn("sum", F.sum("step").over(w)).withColumn("uses", F.count("*").over(w))
-    x = x.withColumn("score", F.col("sum") - F.least(F.lit(0.0), F.min("sum").over(w)))
+    """Running health of a handle: a failure adds 1, a success takes 0.5 but never below 0. A handle retires at a score of
+    3, after 50 uses, or 50 minutes after ``created``. ``order`` begins with a time; a handle's events are taken in chunks
+    of a day."""
+    x = clamped_sum(with_chunk(events, order[0]), key, order, F.when(failed, 1.0).otherwise(-0.5)).drop("_chunk")
     retire = (F.col("score") >= 3) | (F.col("uses") >= 50)
     if created is not None:
         retire = retire | (F.col(order[0]).cast("timestamp") >= created.cast("timestamp") + F.expr("INTERVAL 50 MINUTES"))
-    return x.withColumn("retire", retire).drop("step", "sum")
+    return x.withColumn("retire", retire)
 
 
 # Hosts of advertising and tracking services (fixed values).
@@ -121,19 +118,20 @@ def delivery_attempts(events: DataFrame, succeeds_on: Column) -> DataFrame:
 
 
 def scrape_report(rows: DataFrame) -> DataFrame:
-    """(scrape_id, report) as text: title, source, content and token line, or the error."""
+    """(scrape_id, report) as text: title, source, content and token line, or the error. What it says is fixed."""
     body = F.concat(
         F.when(F.col("metadata").isNotNull(), F.concat(F.lit("Title: "), F.coalesce("metadata.title", F.lit("")), F.lit("\nSource: "), F.coalesce("metadata.source_url", F.lit("")), F.lit("\n\n"))).otherwise(F.lit("")),
         F.coalesce("content", F.lit("")),
         F.when(
             F.col("tokens").isNotNull(),
-            F.format_string("\n\n---\nTokens: %d (saved %.0f%% from original %d)", F.coalesce("tokens.cleaned_estimate", F.lit(0)), F.coalesce("tokens.savings_percent", F.lit(0.0)), F.coalesce("tokens.original_estimate", F.lit(0))),
+            F.format_string("\n\n---\nTokens: %d (saved %d%% from original %d)", F.coalesce("tokens.cleaned_estimate", F.lit(0)), F.bround(F.coalesce("tokens.savings_percent", F.lit(0.0)), 0).cast("bigint"), F.coalesce("tokens.original_estimate", F.lit(0))),
         ).otherwise(F.lit("")),
     )
     failed = F.when(F.col("error").isNotNull(), F.concat(F.lit("["), F.coalesce("error.code", F.lit("")), F.lit("] "), F.coalesce("error.message", F.lit("")))).otherwise(F.lit("scrape failed"))
     return rows.select("scrape_id", F.when(F.coalesce("success", F.lit(False)), body).otherwise(failed).alias("report"))
 
 
-def map_report(urls: DataFrame) -> DataFrame:
-    """One row per URL list (key, url): the number of URLs as text; the URLs stay rows."""
-    return urls.groupBy("key").agg(F.count_distinct("url").alias("total")).select("key", "total", F.concat(F.lit("Found "), thousands(F.col("total")), F.lit(" URLs")).alias("headline"))
+def health(pool: DataFrame) -> DataFrame:
+    """One row: pages in use, pages there may be, and whether the pool is degraded, from pages (in_use, ...)."""
+    n = pool.agg(F.count_if(F.coalesce("in_use", F.lit(False))).alias("active_pages"), F.count("*").alias("max_pages"))
+    return n.withColumn("status", pool_degraded(F.col("active_pages"), F.col("max_pages")))

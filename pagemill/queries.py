@@ -12,6 +12,8 @@ from .plans import clean as C
 from .plans import crawl as G
 from .plans import extract as X
 from .plans import jobs as J
+from .plans import requests as Q
+from .sources import sinks as D
 from .streaming import state as S
 
 
@@ -68,21 +70,6 @@ def q_token_estimate(spark, sf):
     return a.union(b)
 
 
-@query(
-    "q_savings_by_host",
-    f"""WITH p AS (SELECT lower({_host('url')}) AS host, {_est('html')} AS o, {_est("trim(regexp_extract(html, '<title>([^<]*)', 1))")} AS c FROM pages)
-SELECT host, count(*) AS pages, sum(o)::BIGINT AS original, sum(c)::BIGINT AS cleaned,
-  CASE WHEN sum(o) > 0 THEN round((sum(o) - sum(c))::DOUBLE / sum(o)::DOUBLE * 100 * 100) / 100 ELSE 0.0 END AS savings FROM p GROUP BY host""",
-)
-def q_savings_by_host(spark, sf):
-    """Tokens of pages and of their titles alone, by host."""
-    p = table(spark, sf, "pages")
-    title = F.trim(F.regexp_extract("html", r"<title>([^<]*)", 1))
-    x = p.select(F.lower(N.url_host(F.col("url"))).alias("host"), N.estimate_tokens(F.col("html")).alias("o"), N.estimate_tokens(title).alias("c"))
-    g = x.groupBy("host").agg(F.count("*").alias("pages"), F.sum("o").alias("original"), F.sum("c").alias("cleaned"))
-    return g.withColumn("savings", N.savings_percent(F.col("original"), F.col("cleaned")))
-
-
 @query(
     "q_scrape_savings",
     f"""WITH s AS (SELECT scrape_id, lower({_host('final_url')}) AS host, arg_max(tokens.original_estimate, ingested_at)::BIGINT AS o, ({_est('any_value(content)')})::BIGINT AS c
@@ -189,12 +176,19 @@ def q_shingles(spark, sf):
     return s.groupBy("shingle").agg(F.count("*").alias("n"))
 
 
-@query("q_links")
+_ANCHORS = f"""h AS (SELECT page_id, url, {_netloc('url')} AS home, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS origin, regexp_replace(CASE WHEN {_path('url')} = '' THEN '/' ELSE {_path('url')} END, '[^/]*$', '') AS dir, regexp_extract_all(coalesce(html, ''), '<a href="([^"]+)">([^<]*)', 1) AS hrefs, regexp_extract_all(coalesce(html, ''), '<a href="([^"]+)">([^<]*)', 2) AS texts FROM pages),
+  a AS (SELECT *, hrefs[i] AS href, trim({_UNESCAPE.format('texts[i]')}) AS text FROM h, range(1, 60) r(i) WHERE i <= len(hrefs) AND home <> ''),
+  f AS (SELECT page_id, i, home, text, CASE WHEN starts_with(href, '#') THEN concat(regexp_replace(url, '#.*$', ''), href) WHEN regexp_matches(href, '^https?:') THEN href WHEN starts_with(href, '/') THEN concat(origin, href) WHEN starts_with(href, '../') THEN concat(origin, CASE WHEN dir = '/' THEN '/' ELSE regexp_replace(dir, '[^/]*/$', '') END, substr(href, 4)) ELSE concat(origin, dir, href) END AS href FROM a),
+  o AS (SELECT page_id, href, min(i) AS i, arg_min(text, i) AS text, any_value(home) AS home FROM f GROUP BY page_id, href)"""
+
+
+@query("q_links", f"WITH {_ANCHORS} SELECT page_id, lower({_netloc('href')}) = lower(home) AS internal, row_number() OVER (PARTITION BY page_id, lower({_netloc('href')}) = lower(home) ORDER BY i) - 1 AS pos, href, text FROM o")
 def q_links(spark, sf):
     """Every link of every page: absolute URL, text, and whether it is internal."""
     x = table(spark, sf, "pages").select("page_id", P.links_of("html", "url").alias("l"))
-    one = lambda kind, inside: x.select("page_id", F.posexplode(f"l.{kind}").alias("pos", "a")).select("page_id", F.lit(inside).alias("internal"), F.col("pos").cast("bigint").alias("pos"), "a.href", "a.text")
-    return one("internal", True).union(one("external", False))
+    # both lists in one array: the page is parsed once
+    marked = lambda kind, inside: F.transform(f"l.{kind}", lambda a, i: F.struct(F.lit(inside).alias("internal"), i.cast("bigint").alias("pos"), a["href"].alias("href"), a["text"].alias("text")))
+    return x.select("page_id", F.explode(F.concat(marked("internal", True), marked("external", False))).alias("a")).select("page_id", "a.*")
 
 
 @query(
@@ -210,9 +204,24 @@ def q_link_counts(spark, sf):
     return x.select("page_id", (F.size("l.internal") + F.size("l.external")).cast("bigint").alias("links")).where("links > 0")
 
 
-@query("q_images")
+def _escaped(text):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+@query(
+    "q_images",
+    """WITH d AS (SELECT scrape_id, any_value(images) AS l FROM scrapes WHERE len(images) > 0 AND final_url IS NOT NULL GROUP BY scrape_id), i AS (SELECT scrape_id, k, l[k].src AS src, trim(l[k].alt) AS alt FROM d, range(1, 100) r(k) WHERE k <= len(l))
+SELECT scrape_id, src, arg_min(coalesce(alt, ''), k) AS alt FROM i WHERE src <> '' AND NOT starts_with(lower(src), 'data:') GROUP BY scrape_id, src""",
+)
 def q_images(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.explode(P.images_of("html", "url")).alias("i")).select("page_id", "i.src", "i.alt")
+    """Images of pages that are written from the images of records, each twice."""
+    s = table(spark, sf, "scrapes").where("size(images) > 0 AND final_url IS NOT NULL").groupBy("scrape_id").agg(F.first("images").alias("images"), F.first("final_url").alias("final_url"))
+    one = F.transform("images", lambda i: F.concat(F.lit('<img src="'), _escaped(i["src"]), F.lit('" alt="'), _escaped(F.coalesce(i["alt"], F.lit(""))), F.lit('">')))
+    html = F.concat(F.lit("<body><p>"), F.array_join(F.concat(one, one), " "), F.lit('<img src="data:image/gif;base64,x"></p></body>'))
+    got = s.select("scrape_id", html.alias("html"), F.col("final_url").alias("url"))
+    return got.select("scrape_id", F.explode(P.images_of("html", "url")).alias("i")).select("scrape_id", "i.src", "i.alt")
 
 
 @query(
@@ -224,16 +233,40 @@ def q_open_graph(spark, sf):
     return x.where("og.title <> ''").select("page_id", F.col("og.title").alias("og_title"))
 
 
-@query("q_visible_text")
+# Visible text of pages as these are written: tags closed or cut off at the end, nothing hidden but scripts, styles, comments.
+_BODY = "CASE WHEN strpos(h, '<body') > 0 THEN substr(h, strpos(h, '<body')) ELSE '' END"
+_HIDDEN = r"(?s)<!--.*?(?:-->|$)|<(script|style|noscript)\b[^>]*>.*?(?:</(script|style|noscript)>|$)"
+_VISIBLE = f"""v AS (SELECT page_id, coalesce(html, '') AS h FROM pages), w AS (SELECT page_id, h, list_filter(list_transform(string_split_regex(regexp_replace({_BODY}, '{_HIDDEN}', '<x>', 'g'), '<[^>]*(?:>|$)'), lambda x: regexp_replace({_UNESCAPE.format('x')}, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts FROM v),
+  t AS (SELECT page_id, h, array_to_string(list_transform(parts, lambda x: concat(x, ' ')), '') AS visible FROM w)"""
+
+
+@query("q_visible_text", f"WITH {_VISIBLE} SELECT page_id, visible FROM t")
 def q_visible_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", P.visible_of("html").alias("visible"))
 
 
-@query("q_needs_browser")
+@query(
+    "q_needs_browser",
+    f"""WITH {_VISIBLE} SELECT page_id, strlen(visible) < 50 OR contains(lower(h), '<div id="root"></div>') OR contains(lower(h), '<div id="app"></div>') OR contains(lower(h), '<div id="__next"></div>')
+  OR regexp_matches(lower(h), '<noscript[^>]*>[^<]*(enable|activate|turn on|requires?)\\s+javascript') OR (len(regexp_extract_all(lower(h), '<script')) > 10 AND strlen(visible) < 200) AS needs_browser FROM t""",
+)
 def q_needs_browser(spark, sf):
     return table(spark, sf, "pages").select("page_id", P.needs_browser_of("html").alias("needs_browser"))
 
 
+@query(
+    "q_savings_by_host",
+    f"""WITH {_VISIBLE}, p AS (SELECT lower({_host('url')}) AS host, {_est('html')} AS o, {_est('visible')} AS c FROM pages JOIN t USING (page_id))
+SELECT host, count(*) AS pages, sum(o)::BIGINT AS original, sum(c)::BIGINT AS cleaned,
+  CASE WHEN sum(o) > 0 THEN round((sum(o) - sum(c))::DOUBLE / sum(o)::DOUBLE * 100 * 100) / 100 ELSE 0.0 END AS savings FROM p GROUP BY host""",
+)
+def q_savings_by_host(spark, sf):
+    """Tokens of pages and of their visible text, by host."""
+    x = table(spark, sf, "pages").select(F.lower(N.url_host(F.col("url"))).alias("host"), N.estimate_tokens(F.col("html")).alias("o"), N.estimate_tokens(P.visible_of("html")).alias("c"))
+    g = x.groupBy("host").agg(F.count("*").alias("pages"), F.sum("o").alias("original"), F.sum("c").alias("cleaned"))
+    return g.withColumn("savings", N.savings_percent(F.col("original"), F.col("cleaned")))
+
+
 @query("q_prune_scores")
 def q_prune_scores(spark, sf):
     return C.scored_parts(table(spark, sf, "pages"))
@@ -246,22 +279,78 @@ def _named(name: str, words: str, amount: str) -> str:
 @query(
     "q_notice_scores",
     f"""WITH d AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '<div class="((?:ad|notice|promo|cookie-bar)">[^<]*)</div>', 1)) AS d FROM pages),
-  x AS (SELECT page_id, string_split(d, '">')[1] AS class, {_UNESCAPE.format("substr(d, strpos(d, '\">') + 2)")} AS text FROM d), y AS (SELECT page_id, class, text, strlen(trim(text))::DOUBLE AS n FROM x WHERE text NOT LIKE '%''%' AND text NOT LIKE '%"%' AND text NOT LIKE '%&%')
+  x AS (SELECT page_id, string_split(d, '">')[1] AS class, {_UNESCAPE.format("substr(d, strpos(d, '\">') + 2)")} AS text FROM d),
+  y AS (SELECT page_id, class, text, strlen(trim(text))::DOUBLE AS n, strlen(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;')) AS written FROM x)
 SELECT page_id, class, text, round({_named("concat(class, ' ')", "content|article|post|entry|body|main|text", "3.0")} - {_named("concat(class, ' ')", "|".join(N.NEGATIVE_NAMES), "3.0")}
-  + 3.0 * n / (strlen(text) + strlen(class) + 20) + 0.5 * log10(n + 1.0), 9) AS score FROM y""",
+  + 3.0 * n / (written + strlen(class) + 20) + 0.5 * log10(n + 1.0), 9) AS score FROM y""",
 )
 def q_notice_scores(spark, sf):
     """Scores of simple notice blocks (text only), by native expressions over a native extraction."""
     d = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r'<div class="((?:ad|notice|promo|cookie-bar)">[^<]*)</div>'), 1)).alias("d"))
-    raw = F.expr("substring(d, instr(d, '\">') + 2)")
-    text = raw
+    text = F.expr("substring(d, instr(d, '\">') + 2)")
     for a, b in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = F.replace(text, F.lit(a), F.lit(b))
-    x = d.select("page_id", F.substring_index("d", '">', 1).alias("class"), text.alias("text")).where("NOT contains(text, \"'\") AND NOT contains(text, '\"') AND NOT contains(text, '&')")
-    score = N.element_score(F.lit("div"), F.col("class"), F.lit(""), F.octet_length(F.trim("text")), F.octet_length("text") + F.octet_length("class") + 20, F.lit(0))
+    x = d.select("page_id", F.substring_index("d", '">', 1).alias("class"), text.alias("text"))
+    written = F.col("text")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
+        written = F.replace(written, F.lit(a), F.lit(b))
+    score = N.element_score(F.lit("div"), F.col("class"), F.lit(""), F.octet_length(F.trim("text")), F.octet_length(written) + F.octet_length("class") + 20, F.lit(0))
     return x.select("page_id", "class", "text", F.round(score, 9).alias("score"))
 
 
+_NUMBERS = "length(p_name) * 7 % 97 * 13 AS text_len, length(p_type) * 11 % 53 * 31 AS html_len, p_partkey % 17 * 5 AS link_len"
+_PARTS = f"SELECT p_partkey, (['article', 'NAV', 'div', 'footer', 'section', 'p'])[p_size % 6 + 1] AS tag, (['Main-Content', 'sidebar post', 'x', 'share text', ''])[p_partkey % 5 + 1] AS class, CASE WHEN p_partkey % 3 = 0 THEN 'footer-nav' ELSE 'entry' END AS id, {_NUMBERS} FROM part"
+
+
+@query(
+    "q_element_scores",
+    f"""SELECT p_partkey, round(3.0 * CASE WHEN html_len > 0 THEN text_len::DOUBLE / html_len ELSE 0 END - 2.0 * CASE WHEN text_len > 0 THEN link_len::DOUBLE / text_len ELSE 0 END
+  + 1.5 * CASE WHEN lower(tag) IN ('article', 'main', 'section') THEN 5.0 WHEN lower(tag) IN ('nav', 'footer', 'aside', 'header') THEN -5.0 ELSE 0.0 END
+  + {_named("lower(concat(class, ' ', id))", "|".join(N.POSITIVE_NAMES), "3.0")} - {_named("lower(concat(class, ' ', id))", "|".join(N.NEGATIVE_NAMES), "3.0")} + 0.5 * log10(text_len + 1.0), 9) AS score FROM ({_PARTS})""",
+)
+def q_element_scores(spark, sf):
+    """Scores of page parts with all signals: tags, names, densities, links and lengths."""
+    p = table(spark, sf, "part")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    tag, cls = pick(["article", "NAV", "div", "footer", "section", "p"], F.col("p_size")), pick(["Main-Content", "sidebar post", "x", "share text", ""], F.col("p_partkey"))
+    ident = F.when(F.col("p_partkey") % 3 == 0, "footer-nav").otherwise("entry")
+    score = N.element_score(tag, cls, ident, F.length("p_name") * 7 % 97 * 13, F.length("p_type") * 11 % 53 * 31, F.col("p_partkey") % 17 * 5)
+    return p.select("p_partkey", F.round(score, 9).alias("score"))
+
+
+@query(
+    "q_extraction_choice",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN r >= p THEN CASE WHEN p > 50 AND r > p * 10 THEN 'pruning' ELSE 'readability' END ELSE CASE WHEN r > 50 AND p > r * 10 THEN 'readability' ELSE 'pruning' END END AS choice
+FROM (SELECT l_orderkey, l_linenumber, l_partkey % 700 AS r, l_suppkey % 130 * (l_linenumber % 4) * 10 AS p FROM lineitem)""",
+)
+def q_extraction_choice(spark, sf):
+    """Which of two extractions is taken, by the lengths of their texts."""
+    r, p = F.col("l_partkey") % 700, F.col("l_suppkey") % 130 * (F.col("l_linenumber") % 4) * 10
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", N.choose_extraction(r, p).alias("choice"))
+
+
+@query(
+    "q_small_lookups",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN TRUE ELSE FALSE END AS is_html, event_type IN ('Image', 'Media') AS blocked, CASE event_id % 3 WHEN 0 THEN 'SCRAPE_TIMEOUT' ELSE 'NAVIGATION_FAILED' END AS navigation,
+  concat('http://***@p', event_id, ':80/') AS proxy, CASE event_id % 5 WHEN 0 THEN 504 WHEN 1 THEN 429 WHEN 2 THEN 500 WHEN 3 THEN 401 END AS status,
+  concat(CASE event_id % 2 WHEN 0 THEN 'X_CODE' ELSE 'INTERNAL_ERROR' END, ': said', CASE event_id % 7 WHEN 0 THEN ': cause' ELSE '' END) AS error FROM events""",
+)
+def q_small_lookups(spark, sf):
+    """Content types, blocked resources, navigation errors, redacted proxies, statuses and error texts."""
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ["text/HTML; charset=x", "application/xhtml+xml", "image/png", ""])), (i % 4 + 1).cast("int"))
+    code = F.element_at(F.array(*[F.lit(x) for x in ("SCRAPE_TIMEOUT", "RATE_LIMITED", "OTHER", "UNAUTHORIZED", None)]), (i % 5 + 1).cast("int"))
+    return table(spark, sf, "events").select(
+        "event_id",
+        N.is_html_type(kind).alias("is_html"),
+        N.blocked_resource(F.col("event_type"), ["Image", "Media"]).alias("blocked"),
+        N.navigation_error(F.when(i % 3 == 0, "context deadline exceeded").otherwise("net::ERR")).alias("navigation"),
+        N.redact_proxy(F.concat(F.lit("http://user:pass@p"), i.cast("string"), F.lit(":80/"))).alias("proxy"),
+        N.error_status(code).alias("status"),
+        N.error_text(F.when(i % 2 == 0, "X_CODE"), F.lit("said"), F.when(i % 7 == 0, "cause")).alias("error"),
+    )
+
+
 def _cleaned(mode: str, fmt: str):
     def run(spark, sf):
         got = C.clean(table(spark, sf, "pages"), C.Options(mode=mode, output_format=fmt))
@@ -291,7 +380,17 @@ def q_clean_bad_selector(spark, sf):
     return C.clean(table(spark, sf, "pages"), o).select("page_id", "success", "error.code")
 
 
-@query("q_citations")
+_CITED = r"\[([^\]]+)\]\(([^)]+)\)"
+
+
+@query(
+    "q_citations",
+    f"""WITH s AS (SELECT DISTINCT scrape_id, content FROM scrapes WHERE content IS NOT NULL),
+  m AS (SELECT scrape_id, content, regexp_extract_all(content, '{_CITED}', 0) AS links, regexp_extract_all(content, '{_CITED}', 1) AS texts, regexp_extract_all(content, '{_CITED}', 2) AS urls, string_split_regex(content, '{_CITED}') AS rest FROM s),
+  u AS (SELECT *, list_filter(urls, lambda x, i: list_position(urls, x) = i) AS once FROM m)
+SELECT scrape_id, CASE WHEN len(urls) = 0 THEN content ELSE concat(array_to_string([concat(rest[i], CASE WHEN i <= len(urls) THEN concat('[', texts[i], '][', list_position(once, urls[i]), ']') ELSE '' END) FOR i IN range(1, len(rest) + 1)], ''),
+  chr(10) || chr(10) || '---' || chr(10), array_to_string([concat('[', i, ']: ', once[i]) FOR i IN range(1, len(once) + 1)], chr(10))) END AS content FROM u""",
+)
 def q_citations(spark, sf):
     s = table(spark, sf, "scrapes").where("content IS NOT NULL").select("scrape_id", "content").distinct()
     return s.select("scrape_id", P.citations_of("content").alias("content"))
@@ -388,25 +487,37 @@ def q_sitemaps(spark, sf):
     return G.expand_sitemaps(docs.where("url LIKE '%root.xml'").select("url"), docs)
 
 
+_BUDGET = 200
+_STARTS = "SELECT min(src) AS url FROM crawl_edges WHERE src IS NOT NULL GROUP BY lower({host})"
+
+
 @query(
     "q_crawl_bfs",
-    """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM crawl_edges WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst), seed AS (SELECT min(src) AS url FROM crawl_edges WHERE src LIKE 'https://l%' OR src LIKE 'https://w%' GROUP BY substr(src, 9, 3)),
-  r(url, depth) AS (SELECT url, 0 FROM seed UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 4), m AS (SELECT url, min(depth)::BIGINT AS depth FROM r GROUP BY url)
-SELECT url, depth FROM m ORDER BY depth, url LIMIT 400""",
+    f"""WITH RECURSIVE failed AS (SELECT metadata.source_url AS url FROM scrapes WHERE metadata.source_url IS NOT NULL GROUP BY 1 HAVING NOT bool_or(coalesce(success, FALSE))),
+  e AS (SELECT DISTINCT src, dst FROM crawl_edges WHERE src <> dst AND regexp_matches(dst, '^(?i:https?):') AND lower({_netloc('src')}) = lower({_netloc('dst')}) AND NOT regexp_matches({_path('dst')}, '^/the-[a-f][^/]*$')),
+  r(url, depth) AS (SELECT url, 0 FROM ({_STARTS.format(host=_host('src'))}) UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 4 AND r.url NOT IN (SELECT url FROM failed)), m AS (SELECT url, min(depth)::BIGINT AS depth FROM r GROUP BY url)
+SELECT url, depth FROM m ORDER BY depth, url LIMIT {_BUDGET}""",
 )
 def q_crawl_bfs(spark, sf):
-    """A crawl of at most 400 pages and depth 4 from the first source of some sites (the budget is the feature)."""
+    """A crawl of at most 200 pages and depth 4 from the first source of every host, within hosts, with excluded paths and
+    pages that failed (the budget is the feature)."""
     e = table(spark, sf, "crawl_edges")
-    seeds = e.where("src LIKE 'https://l%' OR src LIKE 'https://w%'").groupBy(F.substring("src", 9, 3)).agg(F.min("src").alias("url")).select("url")
-    return G.crawl(seeds, e, max_depth=4, max_pages=400)
+    seeds = e.where("src IS NOT NULL").groupBy(F.lower(N.url_host(F.col("src")))).agg(F.min("src").alias("url")).select("url")
+    s = table(spark, sf, "scrapes").select(F.col("metadata.source_url").alias("url"), "success").where("url IS NOT NULL")
+    failed = s.groupBy("url").agg(F.bool_or(F.coalesce("success", F.lit(False))).alias("ok")).where("NOT ok").select("url")
+    return G.crawl(seeds, e, max_depth=4, max_pages=_BUDGET, exclude=["/the-[a-f]*"], failed=failed)
 
 
-@query("q_reachable", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM crawl_edges WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst), r(url, depth) AS (SELECT DISTINCT src, 0 FROM e WHERE src LIKE 'https://a%' UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 3)
-SELECT url, min(depth)::BIGINT AS depth FROM r GROUP BY url""")
+@query(
+    "q_reachable",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM crawl_edges WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst), r(url, depth) AS (SELECT url, 0 FROM ({_STARTS.format(host=_host('src'))}) UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 3)
+SELECT url, min(depth)::BIGINT AS depth FROM r GROUP BY url""",
+)
 def q_reachable(spark, sf):
-    """Depths of all pages within three links of a set of sites, without a budget."""
+    """Depths of all pages within three links of the first source of every host, over all links, without a budget."""
     e = table(spark, sf, "crawl_edges")
-    return G.crawl(e.where("src LIKE 'https://a%' AND dst IS NOT NULL AND src <> dst").select(F.col("src").alias("url")), e, max_depth=3)
+    seeds = e.where("src IS NOT NULL").groupBy(F.lower(N.url_host(F.col("src")))).agg(F.min("src").alias("url")).select("url")
+    return G.crawl(seeds, e, max_depth=3, scope="all")
 
 
 _CRAWL_HOSTS = f"""WITH s AS (SELECT scrape_id, lower({_host('final_url')}) AS host, bool_or(coalesce(success, FALSE)) AS ok FROM scrapes GROUP BY scrape_id, final_url)
@@ -538,7 +649,12 @@ def q_delivery_attempts(spark, sf):
     return J.delivery_attempts(j, F.nullif(F.length("job_id") % 5, F.lit(0)))
 
 
-@query("q_scrape_report")
+@query(
+    "q_scrape_report",
+    """SELECT DISTINCT scrape_id, CASE WHEN coalesce(success, FALSE) THEN concat(CASE WHEN metadata IS NOT NULL THEN concat('Title: ', metadata.title, chr(10), 'Source: ', metadata.source_url, chr(10), chr(10)) ELSE '' END, content,
+  CASE WHEN tokens IS NOT NULL THEN concat(chr(10), chr(10), '---', chr(10), 'Tokens: ', coalesce(tokens.cleaned_estimate, 0), ' (saved ', printf('%.0f', coalesce(tokens.savings_percent, 0.0)), '% from original ', coalesce(tokens.original_estimate, 0), ')') ELSE '' END)
+  ELSE CASE WHEN error IS NOT NULL THEN concat('[', error.code, '] ', error.message) ELSE 'scrape failed' END END AS report FROM scrapes""",
+)
 def q_scrape_report(spark, sf):
     return J.scrape_report(table(spark, sf, "scrapes")).distinct()
 
@@ -549,6 +665,159 @@ def q_extract(spark, sf):
     return X.extract(s, "content", '{"title": "string", "opening": "string"}', X.first_sentences).select("scrape_id", "data", "extract_error.code")
 
 
+@query(
+    "q_chat_response",
+    """SELECT DISTINCT scrape_id, CASE WHEN k = 0 THEN concat('{"n": ', scrape_id, '}') END AS data, CASE WHEN k = 0 THEN (scrape_id % 1000 + 7)::INTEGER END AS total_tokens,
+  CASE k WHEN 1 THEN 'LLM_FAILURE' WHEN 2 THEN 'LLM_FAILURE' WHEN 3 THEN 'LLM_RATE_LIMITED' WHEN 4 THEN 'LLM_AUTH_FAILURE' WHEN 5 THEN 'LLM_FAILURE' END AS code,
+  CASE k WHEN 1 THEN 'LLM returned no choices' WHEN 2 THEN 'LLM returned invalid JSON' WHEN 3 THEN concat('slow down ', scrape_id) WHEN 4 THEN 'LLM API error' WHEN 5 THEN 'failed to parse LLM response' END AS message FROM (SELECT scrape_id, scrape_id % 6 AS k FROM scrapes)""",
+)
+def q_chat_response(spark, sf):
+    """What answers of a chat completion API hold, from bodies made for each record."""
+    i = F.col("scrape_id").cast("string")
+    content = F.when(F.col("k") == 0, F.concat(F.lit('{"n": '), i, F.lit("}"))).otherwise(F.lit("{not json"))
+    usage = F.struct(F.lit(7).alias("prompt_tokens"), (F.col("scrape_id") % 1000 + 7).cast("int").alias("total_tokens"))
+    whole = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices"), usage.alias("usage")))
+    body = F.when(F.col("k").isin(0, 2), whole).when(F.col("k") == 1, '{"choices": []}').when(F.col("k") == 3, F.concat(F.lit('{"error": {"message": "slow down '), i, F.lit('"}}'))).when(F.col("k") == 4, "{}").otherwise("<html>")
+    status = F.when(F.col("k") == 3, 429).when(F.col("k") == 4, 403).otherwise(200)
+    s = table(spark, sf, "scrapes").select("scrape_id", (F.col("scrape_id") % 6).alias("k")).distinct()
+    return s.select("scrape_id", X.chat_response(status, body).alias("r")).select("scrape_id", "r.data", F.col("r.usage.total_tokens").alias("total_tokens"), "r.error.code", "r.error.message")
+
+
+# --- requests, look-ups, sinks ----------------------------------------------------------------------------------
+
+_ASKED = "SELECT DISTINCT scrape_id, final_url, scrape_id % 150 AS t, CASE scrape_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'pdf' WHEN 2 THEN '' ELSE 'text' END AS f FROM scrapes WHERE final_url IS NOT NULL"
+
+
+@query(
+    "q_scrape_requests",
+    f"""SELECT scrape_id, CASE WHEN t = 0 THEN 30 ELSE t END::INTEGER AS timeout, CASE WHEN f = '' THEN 'markdown' ELSE f END AS output_format, CASE WHEN scrape_id % 3 = 0 THEN 'raw' ELSE 'readability' END AS extract_mode,
+  CASE WHEN len(w) > 0 THEN concat('invalid ', array_to_string(w, ', ')) END AS message FROM (SELECT *, list_filter([CASE WHEN f = 'pdf' THEN 'output_format' END, CASE WHEN t > 120 THEN 'timeout' END, CASE WHEN NOT regexp_matches(final_url, '^[A-Za-z][A-Za-z0-9+.-]*:(//[^/?#\\s]+|[^/\\s])\\S*$') THEN 'url' END], lambda x: x IS NOT NULL) AS w FROM ({_ASKED}))""",
+)
+def q_scrape_requests(spark, sf):
+    """Requests bound from JSON bodies, with defaults and the fields that are not valid."""
+    s = table(spark, sf, "scrapes").where("final_url IS NOT NULL").select("scrape_id", "final_url").distinct()
+    f = F.when(F.col("scrape_id") % 4 == 0, "markdown").when(F.col("scrape_id") % 4 == 1, "pdf").when(F.col("scrape_id") % 4 == 2, "").otherwise("text")
+    body = F.to_json(F.struct(F.col("final_url").alias("url"), (F.col("scrape_id") % 150).alias("timeout"), f.alias("output_format"), (F.col("scrape_id") % 3 != 0).alias("only_main_content")))
+    got = Q.bind(s.select("scrape_id", body.alias("body")), "scrape")
+    return got.select("scrape_id", "request.timeout", "request.output_format", "request.extract_mode", "error.message")
+
+
+@query(
+    "q_batch_urls",
+    """WITH j AS (SELECT job_id, list(DISTINCT scrape_id ORDER BY scrape_id) AS l FROM job_rows WHERE scrape_id IS NOT NULL AND job_id IS NOT NULL GROUP BY job_id)
+SELECT job_id, (i - 1)::INTEGER AS idx, concat('https://x.example/', l[i]) AS url FROM j, range(1, 101) r(i) WHERE len(l) <= 100 AND i <= len(l)""",
+)
+def q_batch_urls(spark, sf):
+    """The URLs of batch requests of at most 100, each with its place."""
+    j = table(spark, sf, "job_rows").where("scrape_id IS NOT NULL AND job_id IS NOT NULL").groupBy("job_id").agg(F.sort_array(F.collect_set("scrape_id")).alias("l"))
+    body = F.to_json(F.struct(F.transform("l", lambda x: F.concat(F.lit("https://x.example/"), x.cast("string"))).alias("urls")))
+    return Q.batch_urls(Q.bind(j.select("job_id", body.alias("body")), "batch")).select("job_id", "idx", "url")
+
+
+@query(
+    "q_api_keys",
+    """SELECT DISTINCT job_id, k IN ('key-1', 'key-2') AS allowed, CASE WHEN k IS NULL THEN 'missing API key: provide X-API-Key header or Authorization: Bearer <key>' WHEN k NOT IN ('key-1', 'key-2') THEN 'invalid API key' END AS message
+FROM (SELECT job_id, CASE length(job_id) % 4 WHEN 0 THEN 'key-1' WHEN 1 THEN 'key-2' WHEN 2 THEN 'other' END AS k FROM job_rows WHERE job_id IS NOT NULL)""",
+)
+def q_api_keys(spark, sf):
+    """Requests with a key in either header, a wrong one, or none."""
+    j = table(spark, sf, "job_rows").where("job_id IS NOT NULL").select("job_id").distinct()
+    n = F.length("job_id") % 4
+    asked = j.select("job_id", F.when(n == 0, "key-1").when(n == 2, "other").otherwise("").alias("x_api_key"), F.when(n == 1, "Bearer key-2").when(n == 0, "Bearer other").alias("authorization"))
+    got = Q.authorised(asked, ["key-1", "key-2", ""])
+    return got.select("job_id", F.coalesce("allowed", F.lit(False)).alias("allowed"), "error.message")
+
+
+@query(
+    "q_cache_join",
+    """WITH e AS (SELECT sha256(concat_ws('|', final_url, 'markdown', 'readability')) AS key, scraped_at AS t, content FROM scrapes WHERE final_url IS NOT NULL AND content IS NOT NULL AND scraped_at IS NOT NULL),
+  l AS (SELECT key, t, content FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t DESC, content DESC) AS k FROM e) WHERE k = 1),
+  q AS (SELECT DISTINCT scrape_id, final_url, (scrape_id % 3 * 3600000)::BIGINT AS max_age, ingested_at FROM scrapes WHERE final_url IS NOT NULL),
+  j AS (SELECT q.*, l.content, coalesce(max_age > 0 AND epoch_us(ingested_at) - epoch_us(t) >= 0 AND (epoch_us(ingested_at) - epoch_us(t)) / 1000.0 <= max_age, FALSE) AS hit FROM q LEFT JOIN l ON l.key = sha256(concat_ws('|', final_url, 'markdown', 'readability')))
+SELECT scrape_id, ingested_at AS asked_at, CASE WHEN max_age <= 0 THEN 'off' WHEN hit THEN 'hit' ELSE 'miss' END AS cache_status, CASE WHEN hit THEN length(content) END AS n FROM j""",
+)
+def q_cache_join(spark, sf):
+    """Requests joined to what a cache has: records as entries, their deliveries as requests."""
+    s = table(spark, sf, "scrapes").where("final_url IS NOT NULL")
+    entries = s.where("content IS NOT NULL AND scraped_at IS NOT NULL").select(N.cache_key(F.col("final_url"), F.lit("markdown"), F.lit("readability")).alias("key"), F.col("scraped_at").alias("created_at"), "content")
+    asked = s.select("scrape_id", F.col("final_url").alias("url"), F.lit("markdown").alias("output_format"), F.lit("readability").alias("extract_mode"), (F.col("scrape_id") % 3 * 3_600_000).alias("max_age"), F.col("ingested_at").alias("asked_at")).distinct()
+    return Q.looked_up(asked, entries).select("scrape_id", "asked_at", "cache_status", F.length("content").cast("bigint").alias("n"))
+
+
+@query(
+    "q_event_streams",
+    """WITH s AS (SELECT scrape_id, bool_or(coalesce(success, FALSE)) AS ok, bool_or(coalesce(cache_status = 'hit', FALSE)) AS hit FROM scrapes GROUP BY scrape_id), e AS (SELECT scrape_id, CASE WHEN hit THEN ['started', 'completed'] WHEN ok THEN ['started', 'navigated', 'completed'] ELSE ['started', 'error'] END AS l FROM s)
+SELECT scrape_id, array_to_string(list_transform(l, lambda x: concat('event: scrape.', x, chr(10), 'data: {"scrape_id":', scrape_id, '}', chr(10), chr(10))), '') AS text FROM e""",
+)
+def q_event_streams(spark, sf):
+    """The event stream of each request as text."""
+    e = q_progress_events(spark, sf).withColumn("data", F.to_json(F.struct("scrape_id")))
+    return D.event_stream(e, "scrape_id", "seq")
+
+
+_LATEST = """WITH d AS (SELECT job_id, idx, coalesce(success, FALSE) AS ok, scrape_id, row_number() OVER (PARTITION BY job_id, idx ORDER BY ingested_at DESC, coalesce(success, FALSE) DESC, scrape_id DESC NULLS LAST) AS k FROM job_rows WHERE job_id IS NOT NULL AND idx IS NOT NULL),
+  l AS (SELECT job_id, idx, ok, scrape_id FROM d WHERE k = 1), t AS (SELECT job_id, count(*) AS n, count(*) FILTER (WHERE ok) AS g, CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'failed' WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'partial' ELSE 'completed' END AS status FROM l GROUP BY job_id)"""
+
+
+def _results(spark, sf):
+    """Each result of a job once, its last delivery."""
+    j = table(spark, sf, "job_rows").where("job_id IS NOT NULL AND idx IS NOT NULL")
+    best = F.max(F.struct("ingested_at", F.coalesce("success", F.lit(False)).alias("success"), F.coalesce("scrape_id", F.lit(-1)).alias("s"))).alias("r")
+    return j.groupBy("job_id", "idx").agg(best).select("job_id", "idx", "r.success", F.nullif(F.col("r.s"), F.lit(-1)).alias("scrape_id"))
+
+
+@query(
+    "q_crawl_events",
+    f"""{_LATEST} SELECT job_id, idx::BIGINT AS seq, concat('{{"type":"crawl.page","job_id":"', job_id, '","data":', coalesce(scrape_id::VARCHAR, 'null'), '}}') AS body FROM l
+UNION ALL SELECT job_id, n::BIGINT, concat('{{"type":"crawl.', status, '","job_id":"', job_id, '","data":{{"completed":', g, ',"total":', n, '}}}}') FROM t""",
+)
+def q_crawl_events(spark, sf):
+    """Webhook events of jobs: one a page and the final one."""
+    return D.page_events(_results(spark, sf).withColumn("data", F.col("scrape_id").cast("string"))).select("job_id", "seq", "body")
+
+
+@query(
+    "q_batch_report",
+    f"""{_LATEST} SELECT job_id, -1::BIGINT AS idx, concat('Batch ', job_id, ': ', status, ' (', g, '/', n, ' completed)', chr(10), chr(10)) AS part FROM t
+UNION ALL SELECT job_id, idx::BIGINT, CASE WHEN ok THEN concat('--- [', row_number() OVER (PARTITION BY job_id ORDER BY idx), '] record ', scrape_id, ' ---', chr(10), chr(10), chr(10)) ELSE concat('--- [', row_number() OVER (PARTITION BY job_id ORDER BY idx), '] FAILED: unknown error ---', chr(10), chr(10)) END FROM l""",
+)
+def q_batch_report(spark, sf):
+    """Reports of batch jobs, in the order of their results."""
+    r = _results(spark, sf).withColumn("title", F.concat(F.lit("record "), F.coalesce(F.col("scrape_id").cast("string"), F.lit(""))))
+    none = F.lit(None).cast("string")
+    return D.job_report(r.withColumns({"source_url": none, "content": none, "message": none}))
+
+
+@query(
+    "q_url_report",
+    f"""WITH u AS (SELECT DISTINCT lower({_host('src')}) AS key, dst AS url FROM crawl_edges WHERE src IS NOT NULL AND dst IS NOT NULL)
+SELECT key, 0::BIGINT AS idx, concat('Found ', count(*), ' URLs:', chr(10), chr(10)) AS part FROM u GROUP BY key UNION ALL SELECT key, 1, concat(url, chr(10)) FROM u""",
+)
+def q_url_report(spark, sf):
+    """Reports of the URLs that each site links to."""
+    e = table(spark, sf, "crawl_edges").where("src IS NOT NULL AND dst IS NOT NULL")
+    return D.url_report(e.select(F.lower(N.url_host(F.col("src"))).alias("key"), F.col("dst").alias("url")))
+
+
+@query(
+    "q_benchmark_lines",
+    """WITH a AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM race_attempts), g AS (SELECT url, count(*) FILTER (WHERE success) AS ok, floor(avg(latency_ms) FILTER (WHERE success AND latency_ms >= 0))::BIGINT AS ms, count(*) AS n FROM a WHERE url IS NOT NULL GROUP BY url), x AS (SELECT *, CASE WHEN length(url) > 40 THEN concat(substr(url, 1, 37), '...') ELSE url END AS short FROM g)
+SELECT url, CASE WHEN ok > 0 THEN concat(short, chr(9), ms, 'ms', chr(9), n % 100, '.5%', chr(9), format('{:,}', n * 1000), chr(9), '200') ELSE concat(short, chr(9), 'FAILED', chr(9), '-', chr(9), '-', chr(9), '-') END AS line FROM x WHERE ok = 0 OR ms IS NOT NULL""",
+)
+def q_benchmark_lines(spark, sf):
+    """The rows of a benchmark table, from the attempts at each URL."""
+    a = table(spark, sf, "race_attempts").drop("ingested_at").distinct().withColumn("latency_ms", F.when(F.col("latency_ms") >= 0, F.col("latency_ms")))
+    r = J.run_averages(a.where("url IS NOT NULL"), "url", ["latency_ms"]).where("ok = 0 OR avg_latency_ms IS NOT NULL")
+    n = F.col("runs")
+    return D.benchmark_lines(r.select("url", "ok", F.floor("avg_latency_ms").alias("total_ms"), (n % 100 + 0.5).alias("savings_percent"), (n * 1000).alias("content_length"), F.lit(200).alias("status_code")))
+
+
+@query("q_pool_health", "SELECT count(*) FILTER (WHERE success) AS active_pages, count(*) AS max_pages, CASE WHEN count(*) > 0 AND count(*) FILTER (WHERE success) > floor(count(*) * 0.8) THEN 'degraded' ELSE 'healthy' END AS status FROM race_attempts")
+def q_pool_health(spark, sf):
+    """Health of a pool whose pages are the attempts, those that succeeded being in use."""
+    return J.health(table(spark, sf, "race_attempts").select(F.col("success").alias("in_use")))
+
+
 @query(
     "q_rollup",
     f"""WITH s AS (SELECT DISTINCT scrape_id, lower({_host('final_url')}) AS host, engine_used AS engine, coalesce(success, FALSE) AS ok FROM scrapes)
@@ -563,7 +832,12 @@ def q_rollup(spark, sf):
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
-@query("q_rate_limit")
+@query(
+    "q_rate_limit",
+    f"""WITH RECURSIVE d AS (SELECT DISTINCT lower({_host('url')}) AS identity, url, engine, started_at AS ts FROM race_attempts), r AS (SELECT *, row_number() OVER o AS k, (epoch_us(ts) - lag(epoch_us(ts)) OVER o) / 1e6 AS gap FROM d WINDOW o AS (PARTITION BY identity ORDER BY ts, url, engine)),
+  s(identity, k, kept, allowed) AS (SELECT identity, k, 9.0::DOUBLE, TRUE FROM r WHERE k = 1 UNION ALL SELECT identity, k, CASE WHEN t >= 1 THEN t - 1 ELSE t END, t >= 1 FROM (SELECT r.identity, r.k, least(10.0::DOUBLE, s.kept + greatest(0.0::DOUBLE, r.gap) * 5.0::DOUBLE) AS t FROM s JOIN r ON r.identity = s.identity AND r.k = s.k + 1))
+SELECT identity, url, engine, ts, allowed FROM r JOIN s USING (identity, k)""",
+)
 def q_rate_limit(spark, sf):
     """Token-bucket verdict of each request of a host's pages, in order of time."""
     r = table(spark, sf, "race_attempts").select("url", "engine", "started_at").distinct()
@@ -579,7 +853,11 @@ def q_stream_hourly(spark, sf):
     return S.hourly_counts(spark, f"{sf}/events.parquet")
 
 
-@query("q_stream_cache")
+@query(
+    "q_stream_cache",
+    """WITH r AS (SELECT *, max(CASE WHEN created_at <= asked_at THEN created_at END) OVER (PARTITION BY key ORDER BY asked_at, created_at NULLS LAST, max_age NULLS LAST ROWS UNBOUNDED PRECEDING) AS entry FROM cache_rows WHERE key IS NOT NULL AND asked_at IS NOT NULL)
+SELECT key, asked_at, CASE WHEN coalesce(max_age, 0) <= 0 THEN 'off' WHEN (epoch_us(asked_at) - epoch_us(coalesce(created_at, entry))) / 1000.0 <= max_age THEN 'hit' ELSE 'miss' END AS status FROM r""",
+)
 def q_stream_cache(spark, sf):
     """Cache look-ups as a stateful stream with time to live."""
-    return S.cached_stream(spark, f"{sf}/cache_rows.parquet")
+    return S.cached_stream(spark, f"{sf}/cache_rows.parquet").withColumn("asked_at", F.col("asked_at").cast("timestamp_ntz"))

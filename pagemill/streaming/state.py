@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans.checkpoints import shared_folder
+from ..plans.ordered import last_before, with_chunk
+
 RATE, BURST = 5.0, 10
 
 
@@ -24,41 +27,53 @@ def allow(tokens: float, elapsed: float, rate: float = RATE, burst: int = BURST)
 
 
 def rate_limited(requests: DataFrame, identity: str, ts: str, rate: float = RATE, burst: int = BURST) -> DataFrame:
-    """``requests`` with ``allowed``: a token bucket per identity, in order of time (ties by all columns). Rows of an
-    identity are streamed in order, with one number of state: no group is held in memory."""
+    """``requests`` with ``allowed``: a token bucket per identity, in order of time (ties by all columns).
+
+    A bucket is full again after ``burst / rate`` seconds without a request, whatever was before. The requests between two
+    such rests are a run of their own: runs are found in chunks of time, and each is streamed in order, with one number of
+    state, wherever it falls. Only an identity that never rests is one run."""
+    others = [c for c in requests.columns if c not in (identity, ts)]
+    order = [ts, *others]
+    rest = int(burst / rate * 1e6)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    x = last_before(with_chunk(requests, ts, "HOUR"), identity, order, F.col(ts), "_previous")
+    fresh = F.col("_previous").isNull() | (micros(ts) - micros("_previous") >= rest)
+    x = last_before(x.withColumn("_fresh", fresh), identity, order, F.when(F.col("_fresh"), F.coalesce(micros(ts), F.lit(-(1 << 62)))), "_run", inclusive=True)
+    rows = x.select(*requests.columns, "_run")
     schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType(), False)])
-    ki, ti = requests.columns.index(identity), requests.columns.index(ts)
+    ki, ti, ri = requests.columns.index(identity), requests.columns.index(ts), len(requests.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tokens, last = object(), float(burst), None
         for batch in batches:
             out = []
-            micros = batch.column(ti).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()
-            for k, t in zip(batch.column(ki).to_pylist(), micros):
-                if k != key:
-                    key, tokens, last = k, float(burst), t
+            times = batch.column(ti).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()
+            for k, r, t in zip(batch.column(ki).to_pylist(), batch.column(ri).to_pylist(), times):
+                if (k, r) != key:
+                    key, tokens, last = (k, r), float(burst), t
                 ok, tokens = allow(tokens, ((t or 0) - (last or 0)) / 1e6, rate, burst)
                 last = t
                 out.append(ok)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:ri], pa.array(out, pa.bool_())], names=schema.names)
 
-    others = [c for c in requests.columns if c not in (identity, ts)]
-    return requests.repartition(F.col(identity)).sortWithinPartitions(identity, ts, *others).mapInArrow(run, schema)
+    return rows.repartition(F.col(identity), F.col("_run")).sortWithinPartitions(identity, "_run", ts, *others).mapInArrow(run, schema)
 
 
 def _work(spark: SparkSession) -> str:
     """A fresh folder for a stream's files, in the cluster's shared folder where one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pagemill-streams")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _source(spark: SparkSession, path: str) -> DataFrame:
-    """One Parquet file or folder as a stream of files."""
+def _source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """One Parquet file or folder as a stream of files, at most so many a trigger, in the order of their times."""
     schema = spark.read.parquet(path).schema
     folder, name = os.path.split(path.rstrip("/"))
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if os.path.isdir(path):
-        return spark.readStream.schema(schema).parquet(path)
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -79,21 +94,23 @@ def hourly(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total")
 
 
-def hourly_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The whole table as one stream: all its files arrive before the final watermark. In complete mode nothing is
-    held back, so that batch and stream agree."""
-    stream = hourly(_source(spark, path))
-    name = f"hourly_{uuid.uuid4().hex}"
+def hourly_counts(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The table as a stream: each batch writes the hours it changed, the last state of an hour stands. Once the watermark
+    has passed an hour its state is dropped, and rows that come for it later are lost."""
+    stream = hourly(_source(spark, path, files_per_trigger))
     work = _work(spark)
-    kept: list[DataFrame] = []
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{work}/out")
-        kept.append(batch)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{work}/out/number={number}")
 
-    q = stream.writeStream.queryName(name).outputMode("complete").option("checkpointLocation", f"{work}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{work}/state").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{work}/out") if kept else spark.createDataFrame([], stream.schema)
+    fields = [*stream.schema.fields, T.StructField("batch", T.IntegerType())]
+    try:
+        rows = spark.read.schema(T.StructType(fields)).parquet(f"{work}/out")
+    except AnalysisException:  # no batch, no folder
+        return spark.createDataFrame([], stream.schema)
+    return rows.groupBy("hour", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("r")).select("hour", "event_type", "r.n", "r.total")
 
 
 LOOKUP = T.StructType([T.StructField("key", T.StringType()), T.StructField("asked_at", T.TimestampType()), T.StructField("status", T.StringType())])
@@ -102,16 +119,18 @@ LOOKUP = T.StructType([T.StructField("key", T.StringType()), T.StructField("aske
 def cache_stream(lookups: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
     """Look-ups (key, created_at, asked_at, max_age) against a keyed cache: a look-up hits if its entry, the latest
     created no later than it, is not older than max_age; entries leave the state after ``ttl_ms`` of
-    processing time without use (None: never, for streams that are drained and end)."""
+    processing time without use (None: never, for streams that are drained and end). A key's look-ups of one trigger are
+    taken in the order of time, across the frames they come in; how many there may be is set by the source's rate."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         entry = state.get[0] if state.exists else None
-        for frame in frames:
+        rows = pd.concat(list(frames)).sort_values(["asked_at", "created_at", "max_age"])
+        for first in range(0, len(rows), 10_000):
             out = []
-            for r in frame.sort_values(["asked_at", "created_at"]).itertuples(index=False):
+            for r in rows.iloc[first : first + 10_000].itertuples(index=False):
                 created = None if pd.isna(r.created_at) else int(r.created_at.value // 1000)
                 asked = int(r.asked_at.value // 1000)
                 if created is not None and (entry is None or created > entry) and created <= asked:

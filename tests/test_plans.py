@@ -10,6 +10,7 @@ from pagemill.plans import clean as C
 from pagemill.plans import crawl as G
 from pagemill.plans import extract as X
 from pagemill.plans import jobs as J
+from pagemill.plans import ordered as O
 from pagemill.streaming import state as S
 
 T0 = dt.datetime(2025, 1, 1)
@@ -61,14 +62,17 @@ def crawled(df):
 def test_crawl(spark):
     e = edges(spark, ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("d", "e"), ("a", "a"), ("b", None))
     seed = spark.createDataFrame([("a",)], "url string")
-    assert crawled(G.crawl(seed, e, 2)) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
-    assert crawled(G.crawl(seed, e, 5, max_pages=2)) == [("a", 0), ("b", 1)]
-    assert crawled(G.crawl(seed, e, 5, failed=spark.createDataFrame([("d",)], "url string"))) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
-    assert crawled(G.crawl(seed, e, 0)) == [("a", 0)] and crawled(G.crawl(seed.where("false"), e, 3)) == []
-    w = edges(spark, ("http://a.example/", "http://a.example/x"), ("http://a.example/", "http://b.a.example/y"), ("http://a.example/", "http://c.test/"))
+    every = lambda *x, **k: crawled(G.crawl(*x, scope="all", **k))
+    assert every(seed, e, 2) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    assert every(seed, e, 5, max_pages=2) == [("a", 0), ("b", 1)]
+    assert every(seed, e, 5, failed=spark.createDataFrame([("d",)], "url string")) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    assert every(seed, e, 0) == [("a", 0)] and every(seed.where("false"), e, 3) == []
+    w = edges(spark, ("http://a.example/", "http://a.example/x"), ("http://a.example/", "http://A.example/z"), ("http://a.example/", "http://b.a.example/y"), ("http://a.example/", "http://c.test/"), ("http://a.example/", "ftp://a.example/f"))
     start = spark.createDataFrame([("http://a.example/",)], "url string")
-    assert len(crawled(G.crawl(start, w, 1, scope="domain"))) == 2 and len(crawled(G.crawl(start, w, 1, scope="subdomain"))) == 3 and len(crawled(G.crawl(start, w, 1, scope="page"))) == 1
-    assert len(crawled(G.crawl(start, w, 1, exclude=["/x"]))) == 3
+    for scope in ("domain", "subdomain"):  # only links within a page's host are followed
+        assert [u for u, _ in crawled(G.crawl(start, w, 1, scope=scope))] == ["http://A.example/z", "http://a.example/", "http://a.example/x"]
+    assert crawled(G.crawl(start, w, 1)) == crawled(G.crawl(start, w, 1, scope="domain")) and len(crawled(G.crawl(start, w, 1, scope="page"))) == 1
+    assert len(crawled(G.crawl(start, w, 1, exclude=["/x"]))) == 2 and len(every(start, w, 1)) == 6
 
 
 def test_discovery(spark):
@@ -144,7 +148,12 @@ def test_extract(spark):
 
     got = X.extract(d, "content", "{}", extractor).collect()
     assert '"title": "t"' in got[0].data and got[0].extract_error is None and got[1].extract_error.message == "invalid JSON" and got[2].extract_error.message == "nothing"
-    assert '"temperature":0' in d.select(X.chat_request(F.col("content"), "{}").alias("r")).first().r
+    body = d.select(X.chat_request(F.col("content"), '{"a": 1}', instructions="Do it.").alias("r")).first().r
+    assert '"temperature":0' in body and 'Do it.\\n{\\"a\\": 1}' in body
+    answers = [(200, '{"choices": [{"message": {"content": "{}"}}]}'), (200, '{"choices": [{}]}'), (None, None), (500, '{"error": {"message": "x"}}'), (200, "[]"), (200, "")]
+    r = spark.createDataFrame(answers, "s int, b string").select(X.chat_response(F.col("s"), F.col("b")).alias("r")).select("r.*").collect()
+    assert r[0].data == "{}" and r[0].usage.total_tokens == 0 and r[0].error is None
+    assert [x.error.message for x in r[1:]] == ["LLM returned invalid JSON", "LLM API returned 0: LLM API error", "LLM API returned 500: x", "LLM returned no choices", "failed to parse LLM response"]
 
 
 def test_token_bucket(spark):
@@ -153,6 +162,65 @@ def test_token_bucket(spark):
     assert sorted((r.n, r.allowed) for r in got if r.who == "a") == [(k, k != 10) for k in range(12)] and all(r.allowed for r in got if r.who != "a")
 
 
+def test_buckets_equal_one_pass(spark):
+    """Runs between rests give what one pass over all rows of an identity gives."""
+    import random
+
+    r = random.Random(6)
+    rows, t = [], T0
+    for k in range(1500):
+        t += dt.timedelta(milliseconds=r.choice([0, 20, 60, 150, 400, 1999, 2000, 2600, 900_000]) if r.random() < 0.3 else r.choice([0, 20, 60]))
+        rows.append((r.choice(["a", "a", "b", None]), t if k % 97 else None, k))
+    df = spark.createDataFrame(rows, "who string, ts timestamp_ntz, n bigint")
+    want, state = {}, {}
+    for who, ts, n in sorted(rows, key=lambda x: (x[1] is not None, x[1] or T0, x[2])):
+        now = (ts - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) if ts else 0
+        tokens, last = state.get(who, (10.0, now))
+        want[n], left = S.allow(tokens, (now - last) / 1e6)
+        state[who] = (left, now)
+    got = {x.n: x.allowed for x in S.rate_limited(df, "who", "ts").collect()}
+    assert got == want and 100 < sum(want.values()) < 1500
+
+
+def test_folds_in_chunks(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(r.choice("xy"), T0 + dt.timedelta(hours=r.randrange(0, 400)), k, r.random() < 0.4) for k in range(600)]
+    e = spark.createDataFrame(rows, "h string, t timestamp_ntz, k bigint, bad boolean")
+    want, state = {}, {}
+    for h, t, k, bad in sorted(rows, key=lambda x: (x[1], x[2])):
+        score, n = state.get(h, (0.0, 0))
+        state[h] = (score + 1 if bad else max(0.0, score - 0.5), n + 1)
+        want[k] = state[h]
+    got = {x.k: (x.score, x.uses) for x in J.health_scores(e, "h", ["t", "k"], F.col("bad")).collect()}
+    assert got == want
+    late = {x.k: x.seen for x in O.last_before(O.with_chunk(e, "t"), "h", ["t", "k"], F.when(F.col("bad"), F.col("k")), "seen").collect()}
+    last = {}
+    for h, t, k, bad in sorted(rows, key=lambda x: (x[1], x[2])):
+        assert late[k] == last.get(h)
+        if bad:
+            last[h] = k
+    assert J.health_scores(e.where("false"), "h", ["t", "k"], F.col("bad")).count() == 0
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """With a file a trigger, rows older than the watermark are lost and others change their hour."""
+    s = lambda n: T0 + dt.timedelta(minutes=n)
+    files = [[(s(0), "v", 1.0), (s(30), "v", 1.0)], [(s(40), "v", 2.0), (s(600), "w", 1.0)], [(s(601), "w", 1.0)], [(s(50), "v", 4.0), (s(602), "w", 1.0)]]
+    import os
+
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, "ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        os.makedirs(tmp_path / "e", exist_ok=True)
+        for f in os.listdir(tmp_path / f"p{k}"):
+            if f.endswith(".parquet"):
+                os.rename(tmp_path / f"p{k}" / f, tmp_path / "e" / f"{k}.parquet")
+                os.utime(tmp_path / "e" / f"{k}.parquet", (1_700_000_000 + k * 60,) * 2)
+    got = sorted((r.hour, r.event_type, r.n, r.total) for r in S.hourly_counts(spark, str(tmp_path / "e"), 1).collect())
+    assert got == [(T0, "v", 3, 400), (T0 + dt.timedelta(hours=10), "w", 3, 300)]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     s = lambda n: T0 + dt.timedelta(seconds=n)
     e = spark.createDataFrame([(s(k * 1000), "v" if k % 3 else "w", float(k)) for k in range(40)] + [(None, "v", 1.0)], "ts timestamp_ntz, event_type string, value double")
