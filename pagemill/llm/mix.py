@@ -3,9 +3,10 @@
 Each source's token budget gives its records an expected number of copies, at most ``max_repeats``: a whole part that
 every record gets, and a fraction that is an inclusion probability. Within a source the fractions are resolved by the
 cube method: probabilities move along null-space directions of the constraints (token total and record total) until
-all but two records are decided. Records fly in blocks of bounded size, larger ones first, so that the last to be decided
-are small; what a block leaves undecided flies again with other blocks' rest, until one landing problem of two records a
-source remains. The landing gives up the token total first and then the record total, and goes on as the flight does, so
+all but two records are decided. The largest records are decided first, each against all lighter ones at once; where it
+outweighs what these can give, the record total is given up for it and the token total kept. So the last to be decided
+are small. Records fly in blocks of bounded size; what a block leaves undecided flies again with other blocks' rest, until
+one landing problem of two records a source remains. The landing goes on as the flight does without the constraints, so
 that every record keeps its inclusion probability; a source's tokens miss their budget by less than its two last records.
 
 The total is the largest at which every source with records reaches its share, or ``total_tokens`` where given (then a
@@ -39,22 +40,82 @@ def source_name(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
+#: Records of a block that are decided against all others at once; of a larger block one in ``ONE_IN``.
+AT_ONCE = 512
+ONE_IN = 8
+_EPS = 1e-9
+
+
+def _fraction(p: np.ndarray) -> np.ndarray:
+    return (p > _EPS) & (p < 1 - _EPS)
+
+
+def _room(p: np.ndarray, d: np.ndarray) -> tuple[float, float]:
+    """How far probabilities may move along ``d``, and against it."""
+    with np.errstate(divide="ignore"):
+        size = np.abs(d)
+        up = np.where(d > 0, 1 - p, p) / size
+        down = np.where(d > 0, p, 1 - p) / size
+    return float(up.min()), float(down.min())
+
+
+def _large_first(t: np.ndarray, p: np.ndarray, live: np.ndarray, count: int, rng: np.random.Generator) -> None:
+    """Decides the first ``count`` of ``live`` (by falling tokens) one after the other, against all after it: along a
+    direction that keeps both totals if that decides the record whichever way it goes, else one that keeps the tokens."""
+    for k in range(count):
+        i = live[k]
+        rest = live[k + 1 :]
+        while _EPS < p[i] < 1 - _EPS:
+            rest = rest[_fraction(p[rest])]
+            if not len(rest):
+                return
+            tr, pr = t[rest], p[rest]
+            g = pr * (1 - pr)
+            s0, s1, s2 = g.sum(), g @ tr, g @ (tr * tr)
+            det = s0 * s2 - s1 * s1
+            d = None
+            if det > 1e-9 * s0 * s2:
+                d = -g * ((s2 - s1 * t[i]) / det + (s0 * t[i] - s1) / det * tr)
+                up, down = _room(pr, d)
+                if up < 1 - p[i] or down < p[i]:
+                    d = None
+            if d is None:
+                d = -g * (t[i] / s1)
+                up, down = _room(pr, d)
+            up, down = min(up, 1 - p[i]), min(down, p[i])
+            step = up if rng.random() < down / (up + down) else -down
+            p[i] += step
+            moved = np.clip(pr + step * d, 0.0, 1.0)
+            moved = np.where(_fraction(moved), moved, np.round(moved))
+            p[rest] = moved
+            if not _EPS < p[i] < 1 - _EPS:
+                p[i] = round(p[i])
+            elif _fraction(moved).all():  # rounding kept all off their bounds: settle the nearest
+                x = rest[int(np.argmin(np.minimum(moved, 1 - moved)))]
+                p[x] = round(p[x])
+
+
 def flight(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Probabilities after the flight: at most two are still fractions; the sums of ``p`` and of
-    ``p * tokens`` are those at the start (up to rounding)."""
-    p = p.astype(float).tolist()
-    t = tokens.astype(float).tolist()
-    draws = iter(rng.random(len(p) + 8).tolist())
-    eps = 1e-9
+    """Probabilities after the flight: at most two are still fractions; the sum of ``p * tokens`` is that at the start, that
+    of ``p`` too but for records that outweigh others (up to rounding)."""
+    t, p = tokens.astype(float), p.astype(float).copy()
+    p = np.where(_fraction(p), p, np.round(p))
+    order = np.argsort(-t, kind="stable")
+    live = order[_fraction(p[order])]
+    _large_first(t, p, live, len(live) if len(live) <= AT_ONCE else len(live) // ONE_IN, rng)
+    live = live[_fraction(p[live])]
+    return _threes(t, p, live.tolist(), rng) if len(live) > 2 else p
+
+
+def _threes(tokens: np.ndarray, p: np.ndarray, live: list[int], rng: np.random.Generator) -> np.ndarray:
+    """The flight of many records of like size: three at a time, which keeps both totals."""
+    p, t = p.tolist(), tokens.tolist()
+    draws = iter(rng.random(len(live) + 8).tolist())
     hold: list[int] = []
-    at, n = 0, len(p)
+    waiting = iter(live)
     while True:
-        while len(hold) < 3 and at < n:
-            if eps < p[at] < 1 - eps:
-                hold.append(at)
-            else:
-                p[at] = float(round(p[at]))
-            at += 1
+        while len(hold) < 3 and (x := next(waiting, None)) is not None:
+            hold.append(x)
         if len(hold) < 3:
             return np.array(p)
         i, j, k = hold
@@ -72,7 +133,7 @@ def flight(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nd
             p[x] = min(1.0, max(0.0, p[x] + step * v))
         kept = []
         for x in hold:
-            if p[x] <= eps or p[x] >= 1 - eps:
+            if p[x] <= _EPS or p[x] >= 1 - _EPS:
                 p[x] = float(round(p[x]))
             else:
                 kept.append(x)
@@ -128,7 +189,7 @@ def _fly(df: DataFrame, block: int, seed: int, level: int, landing: bool) -> Dat
     def run(g: pd.DataFrame) -> pd.DataFrame:
         first = int(g["order"].min()) if len(g) else 0
         rng = np.random.default_rng([seed, level, len(g), first & 0xFFFFFFFF])
-        g = g.sort_values(["n_tokens", "order", "doc_id"], ascending=[False, True, True], kind="stable")
+        g = g.sort_values(["order", "doc_id"], kind="stable")
         p = flight(g["n_tokens"].to_numpy(), g["p"].to_numpy(), rng)
         return g.assign(p=land(p, rng) if landing else p)[["doc_id", "source", "n_tokens", "p"]]
 
