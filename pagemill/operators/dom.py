@@ -54,6 +54,20 @@ class Node:
     def elements(self) -> Iterator[Node]:
         return (n for n in self.walk() if n.tag != TEXT)
 
+    def clone(self) -> Node:
+        """A copy of this node and all below it; attributes are shared."""
+        out = Node(self.tag, self.attrs, self.data)
+        stack = [(self, out)]
+        while stack:
+            old, new = stack.pop()
+            for c in old.children:
+                d = Node(c.tag, c.attrs, c.data)
+                d.parent = new
+                new.children.append(d)
+                if c.children:
+                    stack.append((c, d))
+        return out
+
     def text(self) -> str:
         return "".join(n.data for n in self.walk() if n.tag == TEXT)
 

@@ -1,4 +1,4 @@
-"""Raw pages parsed once, in one Arrow function, into all that the cleaning plan needs."""
+"""Raw pages parsed in one Arrow function into what the cleaning plan needs."""
 
 from __future__ import annotations
 
@@ -29,6 +29,7 @@ PART = T.StructType(
         T.StructField("html_len", T.LongType()),
         T.StructField("link_len", T.LongType()),
         T.StructField("html", T.StringType()),
+        T.StructField("text", T.StringType()),
     ]
 )
 META = T.StructType([T.StructField(k, T.StringType()) for k in ("title", "description", "site_name", "author", "language")])
@@ -43,6 +44,7 @@ PARSED = T.StructType(
         T.StructField("article_text", T.StringType()),
         T.StructField("parts", T.ArrayType(PART)),
         T.StructField("body_html", T.StringType()),
+        T.StructField("body_text", T.StringType()),
         T.StructField("links", LINKS),
         T.StructField("images", T.ArrayType(IMAGE)),
         T.StructField("og", OG),
@@ -140,16 +142,17 @@ def parts(root: Node) -> list[dict]:
     for c in dom.body(root).children:
         if c.tag == TEXT:
             continue
-        html = dom.serialize(c)
+        html, text = dom.serialize(c), c.text()
         out.append(
             {
                 "tag": c.tag,
                 "class": c.attrs.get("class", ""),
                 "id": c.attrs.get("id", ""),
-                "text_len": len(c.text().strip().encode()),
+                "text_len": len(text.strip().encode()),
                 "html_len": len(html.encode()),
                 "link_len": sum(len(a.text().strip().encode()) for a in c.elements() if a.tag == "a"),
                 "html": html,
+                "text": text,
             }
         )
     return out
@@ -190,31 +193,35 @@ def strip_tags(html: str) -> str:
     return dom.parse(html).text().strip()
 
 
-def parse_one(html: str | None, url: str | None, filters: Filters) -> dict:
+#: What a cleaning mode needs of a page besides its links, images and metadata.
+ARTICLE, PARTS = "article", "parts"
+ALL = frozenset([ARTICLE, PARTS])
+
+
+def _failed(html: str | None, error: str) -> dict:
+    return dict.fromkeys(PARSED.names) | {"filtered": html, "error": error, "parts": [], "images": [], "links": {"internal": [], "external": []}}
+
+
+def parse_one(html: str | None, url: str | None, filters: Filters, need: frozenset[str] = ALL) -> dict:
+    """The fields of :data:`PARSED` of a page; what is not in ``need`` is null."""
     html, url = html or "", url or ""
     try:
         filtered = filters.apply(html)
     except SelectorError as e:
-        return dict.fromkeys(PARSED.names) | {"filtered": html, "error": f"INVALID_INPUT: {e}", "parts": [], "images": [], "links": {"internal": [], "external": []}}
+        return _failed(html, f"INVALID_INPUT: {e}")
     root = dom.parse(filtered)
-    article = readability.extract(root, filtered)
-    return {
-        "filtered": filtered,
-        "error": None,
-        "fetched_title": fetched_title(html),
-        "meta": {"title": article.title, "description": article.excerpt, "site_name": article.site_name, "author": article.byline, "language": article.language},
-        "readable": article.found,
-        "article_html": article.content,
-        "article_text": article.text,
-        "parts": parts(root),
-        "body_html": dom.serialize(dom.body(root), inner=True),
-        "links": links(root, url),
-        "images": images(root, url),
-        "og": open_graph(root),
-    }
-
-
-def parse(html: Column, url: Column, filters: Filters | None = None) -> Column:
+    out = dict.fromkeys(PARSED.names) | {"filtered": filtered, "fetched_title": fetched_title(html), "links": links(root, url), "images": images(root, url), "og": open_graph(root), "parts": []}
+    if ARTICLE in need:
+        article = readability.extract(root, filtered)
+        meta = {"title": article.title, "description": article.excerpt, "site_name": article.site_name, "author": article.byline, "language": article.language}
+        out |= {"meta": meta, "readable": article.found, "article_html": article.content, "article_text": article.text}
+    if PARTS in need:
+        body = dom.body(root)
+        out |= {"parts": parts(root), "body_html": dom.serialize(body, inner=True), "body_text": body.text()}
+    return out
+
+
+def parse(html: Column, url: Column, filters: Filters | None = None, need: frozenset[str] = ALL) -> Column:
     """The struct of :data:`PARSED` of each page, by one Arrow function. It never raises: what cannot be parsed has
     ``error``."""
     chosen = filters or Filters()
@@ -229,16 +236,14 @@ def parse(html: Column, url: Column, filters: Filters | None = None) -> Column:
         rows = []
         for x, y in zip(h, u):
             try:
-                rows.append(parse_one(x, y, chosen))
+                rows.append(parse_one(x, y, chosen, need))
             except Exception as e:  # noqa: BLE001 - one bad page must not end the job
-                rows.append(dict.fromkeys(PARSED.names) | {"filtered": x, "error": f"INTERNAL_ERROR: {e}", "parts": [], "images": [], "links": {"internal": [], "external": []}})
+                rows.append(_failed(x, f"INTERNAL_ERROR: {e}"))
         return pd.DataFrame(rows, columns=PARSED.names)
 
     return run(html, url)
 
 
-
-
 @F.pandas_udf(T.StringType())
 def markdown_of(h: pd.Series, base: pd.Series) -> pd.Series:
     """HTML as Markdown."""

@@ -181,7 +181,7 @@ def extract(root: Node, raw: str) -> Article:
     """The article of a page; its content and text are the raw HTML, and all else is empty, where none is found."""
     out = metadata(root)
     for strict in (True, False):
-        work = dom.parse(raw)
+        work = root.clone()
         box = _candidates(dom.body(work), strict)
         if box is None:
             continue

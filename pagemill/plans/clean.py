@@ -1,7 +1,7 @@
 """The cleaning plan: measure, filter, extract, render, measure again, harvest.
 
-HTML is parsed once, in one Arrow function; the choice between extraction modes, the scores of page parts, tokens and
-savings are native expressions over its result, so that Catalyst prunes what a query does not read."""
+HTML is parsed in one Arrow function, which makes what the mode needs and no more; the choice between extraction modes, the
+scores of page parts, tokens and savings are native expressions over its result. Markdown is made from the chosen HTML."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.native import choose_extraction, element_score, estimate_tokens, savings_percent, title_fallback
-from ..operators.page import Filters, citations_of, markdown_of, parse, text_of
+from ..operators.page import ALL, ARTICLE, Filters, citations_of, markdown_of, parse
 
 MODES = ("readability", "raw", "pruning", "auto")
 FORMATS = ("markdown", "markdown_citations", "html", "text")
@@ -33,11 +33,17 @@ class Options:
         return self.mode if self.mode in MODES else "readability"
 
 
-def pruned_html(parsed: Column) -> Column:
-    """The parts of a page with a positive score, or its whole body if none has one."""
+#: What each mode needs of a page.
+NEEDS = {"raw": frozenset(), "readability": frozenset([ARTICLE]), "pruning": ALL, "auto": ALL}
+
+
+def pruned(parsed: Column) -> tuple[Column, Column]:
+    """HTML and text of the parts of a page with a positive score, or of its whole body if none has one."""
     kept = F.filter(parsed["parts"], lambda p: element_score(p["tag"], p["class"], p["id"], p["text_len"], p["html_len"], p["link_len"]) > 0)
-    joined = F.array_join(F.transform(kept, lambda p: p["html"]), "\n")
-    return F.when(F.size(kept) > 0, joined).otherwise(parsed["body_html"])
+    some = F.size(kept) > 0
+    html = F.when(some, F.array_join(F.transform(kept, lambda p: p["html"]), "\n")).otherwise(parsed["body_html"])
+    text = F.when(some, F.array_join(F.transform(kept, lambda p: p["text"]), "\n")).otherwise(parsed["body_text"])
+    return html, F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def clean(pages: DataFrame, options: Options | None = None, url: str = "url", html: str = "html") -> DataFrame:
@@ -47,7 +53,7 @@ def clean(pages: DataFrame, options: Options | None = None, url: str = "url", ht
     mode = o.extract_mode
     others = [c for c in pages.columns if c not in (html, url)]
     raw = F.coalesce(F.col(html), F.lit(""))
-    base = pages.select(*others, F.col(url).alias("source_url"), estimate_tokens(raw).alias("original"), parse(raw, F.col(url), o.filters).alias("p"))
+    base = pages.select(*others, F.col(url).alias("source_url"), estimate_tokens(raw).alias("original"), parse(raw, F.col(url), o.filters, NEEDS[mode]).alias("p"))
     p = F.col("p")
     raw_html, article = p["filtered"], p["article_html"]
     if mode == "raw":
@@ -55,14 +61,11 @@ def clean(pages: DataFrame, options: Options | None = None, url: str = "url", ht
     elif mode == "readability":
         base = base.withColumns({"body": article, "plain": p["article_text"], "meta_used": p["readable"]})
     else:
-        base = base.withColumn("pruned", pruned_html(p))
-        if mode == "pruning" or o.output_format == "text":
-            base = base.withColumn("pruned_text", text_of(F.col("pruned")))
+        html_of, text_of = pruned(p)
+        base = base.withColumns({"pruned": html_of, "pruned_text": text_of})
         if mode == "pruning":
             base = base.withColumns({"body": F.col("pruned"), "plain": F.col("pruned_text"), "meta_used": p["readable"]})
         else:
-            if o.output_format != "text":
-                base = base.withColumn("pruned_text", text_of(F.col("pruned")))
             pick = choose_extraction(F.octet_length(F.trim(p["article_text"])), F.octet_length(F.trim(F.col("pruned_text"))))
             base = base.withColumn("pick", pick).withColumns(
                 {
