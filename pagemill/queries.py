@@ -374,6 +374,70 @@ def q_clean_selected(spark, sf):
     return C.clean(table(spark, sf, "pages"), o).select("page_id", "success", "content", "metadata.title", F.size("links.internal").alias("internal"), F.size("links.external").alias("external"), F.size("images").alias("images"))
 
 
+# Hand-made pages, and what cleaning must make of them by the rules of HTML and of the service.
+_PAGES = {
+    "head": '<html><head><title> T &amp; U </title><meta property="og:title" content="A"><meta property="og:title" content="B"></head><body><h1>Head</h1><p>One <b>bold</b> and <i>soft</i>.</p></body></html>',
+    "links": '<body><p><a href="/a">A</a> <a href="b">B</a> <a href="#f">F</a> <a href="mailto:m@x.example">M</a> <a href="/a">again</a> <a href="https://other.example/z">Z</a> <a>none</a></p></body>',
+    "lists": '<body><ul><li>one<li>two<ul><li>in</ul></ul><ol start="3"><li>three</li><li>four</li></ol></body>',
+    "table": "<body><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2|3</td></tr></table></body>",
+    "quote": '<body><blockquote><p>said</p><p>more</p></blockquote><pre><code class="language-py">x = 1\ny</code></pre></body>',
+    "hidden": '<body><script>var a = "<p>no</p>";</script><style>p{}</style><noscript>n</noscript><p>seen</p><!-- c --></body>',
+    "broken": "<p>one<p>two <b>three</p><div>four",
+    "empty": "",
+    "text": "just &lt;text&gt;",
+}
+_AS_MARKDOWN = [
+    ("head", "T & U", "# Head\n\nOne **bold** and *soft*.", "", "", "B"),
+    ("links", "", "[A](https://x.example/a) [B](https://x.example/d/b) [F](https://x.example/d/p#f) [M](mailto:m@x.example) [again](https://x.example/a) [Z](https://other.example/z) none", "https://x.example/a https://x.example/d/b https://x.example/d/p#f", "https://other.example/z", ""),
+    ("lists", "", "- one\n- two\n  - in\n\n3. three\n4. four", "", "", ""),
+    ("table", "", "| a | b |\n|---|---|\n| 1 | 2\\|3 |", "", "", ""),
+    ("quote", "", "> said\n>\n> more\n\n```py\nx = 1\ny\n```", "", "", ""),
+    ("hidden", "", "seen", "", "", ""),
+    ("broken", "", "one\n\ntwo **three**\n\n**four**", "", "", ""),
+    ("empty", "", "", "", "", ""),
+    ("text", "", "just <text>", "", "", ""),
+]
+_FILTERED = [
+    ("selector", "quote", "<p>said</p><p>more</p>"),
+    ("selector", "broken", "<p>one</p><p>two <b>three</b></p>"),
+    ("selector", "table", _PAGES["table"]),
+    ("include", "lists", "<li>one</li><li>two<ul><li>in</li></ul></li><li>in</li><li>three</li><li>four</li>"),
+    ("include", "table", "<td>1</td><td>2|3</td>"),
+    ("exclude", "hidden", "<html><head></head><body><style>p{}</style><noscript>n</noscript><p>seen</p></body></html>"),
+    ("exclude", "empty", "<html><head></head><body></body></html>"),
+    ("exclude", "broken", "<html><head></head><body><p>one</p><p>two <b>three</b></p><div><b>four</b></div></body></html>"),
+]
+
+
+def _pages_by_hand(spark):
+    return spark.createDataFrame([(k, "https://x.example/d/p", h) for k, h in _PAGES.items()], "case_id string, url string, html string")
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    quoted = lambda v: "concat(" + ", chr(10), ".join("'" + x.replace("'", "''") + "'" for x in v.split("\n")) + ")"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) t({names})"
+
+
+@query("q_html_cases", _values(_AS_MARKDOWN, "case_id, title, content, internal, external, og_title"))
+def q_html_cases(spark, sf):
+    """Hand-made pages as Markdown, with title, links and Open Graph title."""
+    got = C.clean(_pages_by_hand(spark), C.Options(mode="raw", output_format="markdown"))
+    joined = lambda kind: F.array_join(F.transform(f"links.{kind}", lambda a: a["href"]), " ").alias(kind)
+    return got.select("case_id", "metadata.title", "content", joined("internal"), joined("external"), F.col("og_metadata.title").alias("og_title"))
+
+
+@query("q_filter_cases", _values(_FILTERED, "kind, case_id, content"))
+def q_filter_cases(spark, sf):
+    """Hand-made pages through a selector, kept tags and dropped tags."""
+    kinds = {"selector": P.Filters(css_selector="p"), "include": P.Filters(include=("li", "td")), "exclude": P.Filters(exclude=("a", "img", "script"))}
+    out = None
+    for kind, filters in kinds.items():
+        cases = _pages_by_hand(spark).where(F.col("case_id").isin([c for k, c, _ in _FILTERED if k == kind]))
+        got = C.clean(cases, C.Options(mode="raw", output_format="html", filters=filters)).select(F.lit(kind).alias("kind"), "case_id", "content")
+        out = got if out is None else out.union(got)
+    return out
+
+
 @query("q_clean_bad_selector", "SELECT page_id, FALSE AS success, 'INVALID_INPUT' AS code FROM pages")
 def q_clean_bad_selector(spark, sf):
     o = C.Options(filters=P.Filters(css_selector="div[[["))
@@ -466,25 +530,40 @@ def q_url_counts(spark, sf):
     return e.groupBy(F.lower(N.url_host(F.col("src"))).alias("host")).agg(F.count_distinct("dst").alias("urls"))
 
 
-_ROBOTS = [("a", "User-agent: *\r\nSITEMAP: https://a.example/s.xml\r\nsitemap:\r\nSitemap:  https://a.example/t.xml  "), ("b", "Disallow: /x\nnot a sitemap: y\n  sitemap: https://b.example/u.xml")]
-
-
-@query("q_robots_sitemaps", "SELECT * FROM (VALUES ('a', 'https://a.example/s.xml'), ('a', 'https://a.example/t.xml'), ('b', 'https://b.example/u.xml')) t(site, url)")
+@query(
+    "q_robots_sitemaps",
+    "SELECT page_id, concat(url, x) AS url FROM pages, (VALUES (''), ('?part=2')) t(x) WHERE url IS NOT NULL UNION ALL SELECT page_id, concat(url, '?part=3') FROM pages WHERE url IS NOT NULL AND page_id % 2 = 0",
+)
 def q_robots_sitemaps(spark, sf):
-    return G.robots_sitemaps(spark.createDataFrame(_ROBOTS, "site string, body string"))
+    """Sitemaps that robots texts name, one text for each page."""
+    u = F.col("url")
+    body = F.concat(F.lit("User-agent: *\r\nSITEMAP: "), u, F.lit("\r\nsitemap:\r\nDisallow: /x\nnot a sitemap: y\n  sitemap:  "), u, F.lit("?part=2  "), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("\nSitemap:"), u, F.lit("?part=3"))).otherwise(F.lit("")))
+    return G.robots_sitemaps(table(spark, sf, "pages").where("url IS NOT NULL").select("page_id", body.alias("body")))
 
 
-_SITEMAPS = [
-    ("https://a.example/root.xml", "<sitemapindex><sitemap><loc>https://a.example/1.xml</loc></sitemap><sitemap><loc> https://a.example/root.xml </loc></sitemap></sitemapindex>"),
-    ("https://a.example/1.xml", '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.example/x</loc></url><url><loc> </loc></url><url><loc>https://a.example/y</loc></url></urlset>'),
-    ("https://a.example/bad.xml", "<urlset><url><loc>https://a.example/z"),
-]
+@query(
+    "q_sitemaps",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM crawl_edges WHERE src IS NOT NULL AND dst IS NOT NULL), o(page) AS (SELECT min(src) FROM e GROUP BY lower({_host('src')}) UNION SELECT e.dst FROM o JOIN e ON e.src = o.page WHERE length(o.page) % 3 > 0)
+SELECT DISTINCT e.dst AS url FROM o JOIN e ON e.src = o.page WHERE length(o.page) % 3 = 0""",
+)
+def q_sitemaps(spark, sf):
+    """URLs reached through sitemap documents that are written from the links: two sources of three are indexes."""
+    e = table(spark, sf, "crawl_edges").where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    loc = lambda tag: F.concat(F.lit(f"<{tag}><loc> "), _escaped(F.col("dst")), F.lit(f" </loc></{tag}>"))
+    index = F.length("src") % 3 > 0
+    parts = e.select("src", index.alias("index"), F.when(index, loc("sitemap")).otherwise(loc("url")).alias("part")).groupBy("src", "index").agg(F.array_join(F.collect_list("part"), "").alias("l"))
+    body = F.when(F.col("index"), F.concat(F.lit("<sitemapindex>"), "l", F.lit("</sitemapindex>"))).otherwise(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> </loc></url>'), "l", F.lit("</urlset>")))
+    roots = e.groupBy(F.lower(N.url_host(F.col("src")))).agg(F.min("src").alias("url")).select("url")
+    return G.expand_sitemaps(roots, parts.select(F.col("src").alias("url"), body.alias("body")), depth=40)
 
 
-@query("q_sitemaps", "SELECT * FROM (VALUES ('https://a.example/x'), ('https://a.example/y')) t(url)")
-def q_sitemaps(spark, sf):
-    docs = spark.createDataFrame(_SITEMAPS, "url string, body string")
-    return G.expand_sitemaps(docs.where("url LIKE '%root.xml'").select("url"), docs)
+@query("q_discover", f"WITH {_ANCHORS} SELECT href AS url FROM o WHERE lower({_netloc('href')}) = lower(home) AND trim(href) <> '' UNION SELECT concat(url, '?part=2') FROM pages WHERE url IS NOT NULL UNION SELECT dst FROM crawl_edges WHERE trim(dst) <> ''")
+def q_discover(spark, sf):
+    """URLs of a site from its home page's own links, robots texts and sitemaps."""
+    pages = table(spark, sf, "pages")
+    home = pages.select(F.explode(P.links_of("html", "url")["internal"]).alias("a")).select(F.col("a.href").alias("url"))
+    robots = G.robots_sitemaps(pages.where("url IS NOT NULL").select("page_id", F.concat(F.lit("Sitemap: "), F.col("url"), F.lit("?part=2")).alias("body"))).select("url")
+    return G.discover(home, robots, table(spark, sf, "crawl_edges").select(F.col("dst").alias("url")))
 
 
 _BUDGET = 200
@@ -659,10 +738,19 @@ def q_scrape_report(spark, sf):
     return J.scrape_report(table(spark, sf, "scrapes")).distinct()
 
 
-@query("q_extract")
+_BLANK = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F"
+
+
+@query(
+    "q_extract",
+    f"""WITH s AS (SELECT DISTINCT scrape_id, content FROM scrapes WHERE content IS NOT NULL), l AS (SELECT scrape_id, list_transform(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_full_match(x, '[{_BLANK}]*')), lambda x: regexp_replace(regexp_replace(x, '^[# ]+|[# ]+$', '', 'g'), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')) AS l FROM s)
+SELECT scrape_id, l[1] AS title, substr(l[2], 1, 200) AS opening, NULL::VARCHAR AS code FROM l""",
+)
 def q_extract(spark, sf):
+    """Structured data of records by the offline extractor, read from its JSON."""
     s = table(spark, sf, "scrapes").where("content IS NOT NULL").select("scrape_id", "content").distinct()
-    return X.extract(s, "content", '{"title": "string", "opening": "string"}', X.first_sentences).select("scrape_id", "data", "extract_error.code")
+    x = X.extract(s, "content", '{"title": "string", "opening": "string"}', X.first_sentences)
+    return x.select("scrape_id", F.get_json_object("data", "$.title").alias("title"), F.get_json_object("data", "$.opening").alias("opening"), "extract_error.code")
 
 
 @query(

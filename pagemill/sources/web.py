@@ -1,4 +1,5 @@
-"""Sources of raw pages: a Python data source over saved pages, and engine settings from the environment."""
+"""Sources of raw pages: saved pages of any file system, a Python data source over a mounted folder, and engine settings
+from the environment."""
 
 from __future__ import annotations
 
@@ -7,12 +8,24 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a page that are read; the rest is cut off.
 MAX_BYTES = 10 * 1024 * 1024
 
 
+def saved_pages(spark: SparkSession, path: str, base: str = "file:///") -> DataFrame:
+    """(url, html, status_code) of the pages saved below ``path``, on any file system that Spark reads: files are listed and
+    read by Spark's own source. URLs are ``base`` and the path below; bytes that are no UTF-8 are replaced."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{html,htm,xhtml,HTML,HTM,XHTML}").load(path)
+    root = path.rstrip("/").split("://")[-1].lstrip("/") + "/"
+    below = F.substring_index("path", root, -1)
+    text = F.make_valid_utf8(F.substring("content", 1, MAX_BYTES).cast("string"))
+    return files.select(F.concat(F.lit(base.rstrip("/") + "/"), below).alias("url"), text.alias("html"), F.lit(200).alias("status_code"))
+
+
 class _Part(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -38,7 +51,8 @@ class _Reader(DataSourceReader):
 
 class SavedPages(DataSource):
     """``spark.read.format("saved_pages").option("path", folder).option("base", "https://host")``: (url, html,
-    status_code) of the pages saved below a folder, by relative path."""
+    status_code) of the pages saved below a folder that is mounted on all machines, by relative path; elsewhere
+    :func:`saved_pages` reads them."""
 
     @classmethod
     def name(cls) -> str:
@@ -64,17 +78,34 @@ def seconds(text: str) -> float | None:
 
 @dataclass
 class Settings:
-    """Engine settings with their defaults; durations in seconds."""
-
+    """Engine settings with their defaults (fixed values); durations in seconds."""
+
+    host: str = "0.0.0.0"
+    port: int = 8080
+    mode: str = "release"
+    headless: bool = True
+    max_pages: int = 10
+    proxy: str = ""
+    no_sandbox: bool = False
+    browser_bin: str = ""
     default_timeout: float = 30.0
     max_timeout: float = 120.0
+    nav_timeout: float = 15.0
+    blocked_resources: tuple[str, ...] = ("Image", "Stylesheet", "Font", "Media")
+    auth_enabled: bool = True
+    api_keys: tuple[str, ...] = ()
     rate_rps: float = 5.0
     rate_burst: int = 10
     cache_max_entries: int = 1000
-    auth_enabled: bool = True
-    api_keys: tuple[str, ...] = ()
-    blocked_resources: tuple[str, ...] = ("Image", "Stylesheet", "Font", "Media")
+    log_level: str = "info"
+    log_format: str = "json"
+    multi_engine: bool = True
     escalation_delays: tuple[float, ...] = (0.0, 2.0, 5.0)
+    http_timeout: float = 5.0
+    min_pages: int = 3
+    hard_max_pages: int = 20
+    mem_threshold: float = 0.9
+    scale_step: float = 0.05
 
     @classmethod
     def load(cls, env: dict[str, str] | None = None, prefix: str = "PAGEMILL_") -> Settings:
