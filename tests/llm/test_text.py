@@ -139,6 +139,8 @@ def test_labels_of_samples():
     long = " ".join(f"word{k}" for k in range(30)).translate({48 + d: 97 + d for d in range(10)}) + "."
     rows = [(f"Home\nTitle {chr(97 + k)}\n\n{chr(97 + k)} {long}\n\n- {chr(97 + k)} one two three four five\n\nshort", f"Title {chr(97 + k)}") for k in range(6)]
     assert M.supposed(rows)[0][1] == [M.FURNITURE, M.MAIN, M.MAIN, M.MAIN, M.FURNITURE] and M.supposed([]) == []
+    related = [(f"Read also\n- {chr(97 + k)} other story of today\n- {chr(97 + k)} tale is told.\n\nx", None) for k in range(6)]
+    assert M.supposed(related)[0][1] == [M.FURNITURE, M.FURNITURE, M.HIDDEN, M.FURNITURE]
     assert M.fitted([]).furniture("a\n\nb") == frozenset()
 
 
