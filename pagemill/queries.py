@@ -790,6 +790,17 @@ def q_scrape_requests(spark, sf):
     return got.select("scrape_id", "request.timeout", "request.output_format", "request.extract_mode", "error.message")
 
 
+@query(
+    "q_responses",
+    """SELECT DISTINCT scrape_id, concat('{"success":', coalesce(success, FALSE), ',"status_code":', coalesce(status_code, 0), ',"links":', len(links.internal) + len(links.external), CASE WHEN error.code IS NOT NULL THEN concat(',"error":{"code":"', error.code, '"}') ELSE '' END, '}') AS json FROM scrapes WHERE links.internal IS NOT NULL AND links.external IS NOT NULL""",
+)
+def q_responses(spark, sf):
+    """Responses as JSON text, without what is null."""
+    s = table(spark, sf, "scrapes").where("links.internal IS NOT NULL AND links.external IS NOT NULL")
+    rows = s.select("scrape_id", F.coalesce("success", F.lit(False)).alias("success"), F.coalesce("status_code", F.lit(0)).alias("status_code"), (F.size("links.internal") + F.size("links.external")).alias("links"), F.when(F.col("error.code").isNotNull(), F.struct("error.code")).alias("error"))
+    return D.responses(rows, "scrape_id").distinct()
+
+
 @query(
     "q_batch_urls",
     """WITH j AS (SELECT job_id, list(DISTINCT scrape_id ORDER BY scrape_id) AS l FROM job_rows WHERE scrape_id IS NOT NULL AND job_id IS NOT NULL GROUP BY job_id)

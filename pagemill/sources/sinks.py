@@ -166,3 +166,16 @@ def extract_report(rows: DataFrame) -> DataFrame:
     head = F.when(F.col("metadata").isNotNull(), F.concat(F.lit("Source: "), F.coalesce("metadata.source_url", F.lit("")), F.lit("\nTitle: "), F.coalesce("metadata.title", F.lit("")), F.lit("\n\n"))).otherwise(F.lit(""))
     failed = F.when(F.col("error").isNotNull(), F.concat(F.lit("["), F.coalesce("error.code", F.lit("")), F.lit("] "), F.coalesce("error.message", F.lit("")))).otherwise(F.lit("extraction failed"))
     return rows.select("scrape_id", F.when(F.col("data").isNotNull(), F.concat(head, F.lit("Extracted Data:\n"), "data")).otherwise(failed).alias("report"))
+
+
+# --- responses --------------------------------------------------------------------------------------------------
+
+
+def responses(rows: DataFrame, *names: str) -> DataFrame:
+    """(…names, json): each row as the JSON text of its response, without the columns ``names`` and without null fields."""
+    return rows.select(*names, F.to_json(F.struct(*[c for c in rows.columns if c not in names])).alias("json"))
+
+
+def write_responses(rows: DataFrame, path: str) -> None:
+    """Responses as lines of JSON below ``path``."""
+    rows.write.mode("overwrite").json(path)

@@ -128,3 +128,10 @@ def test_fingerprint_pairs_equal_brute_force(spark):
 
 def test_shared_folder(spark):
     assert checkpoints.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_responses(spark, tmp_path):
+    rows = spark.createDataFrame([(1, True, None, ("T", None)), (2, False, "x", None)], "scrape_id int, success boolean, content string, metadata struct<title: string, author: string>")
+    assert [r.json for r in D.responses(rows, "scrape_id").collect()] == ['{"success":true,"metadata":{"title":"T"}}', '{"success":false,"content":"x"}']
+    D.write_responses(rows, str(tmp_path / "r"))
+    assert {r.scrape_id for r in spark.read.json(str(tmp_path / "r")).collect()} == {1, 2}
