@@ -90,25 +90,24 @@ def near_pairs(prints: DataFrame, distance: int) -> DataFrame:
         raise ValueError("distance must be between 0 and 6")
     shared_checkpoints(prints.sparkSession)
     prints = prints.where("fingerprint <> 0").select("id", "fingerprint").distinct().checkpoint(eager=True)
-    octets = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.call_function("shiftrightunsigned", F.col("fingerprint"), (k * 8).cast("int")).bitwiseAND(F.lit(255)))
+    octet = lambda k: F.shiftrightunsigned("fingerprint", 8 * k).bitwiseAND(F.lit(255))
     places = [(i, j) for i in range(PARTS) for j in range(i)]
-    keys = F.array(*[((F.lit(k) * 256 + F.col("o")[i]) * 256 + F.col("o")[j]).alias("key") for k, (i, j) in enumerate(places)])
-    posted = prints.select("fingerprint").distinct().withColumn("o", octets).select(F.col("fingerprint").alias("id"), F.explode(keys).alias("key")).checkpoint(eager=True)
-    met = in_blocks(posted, "key").where((F.col("id") < F.col("id_y")) & (hamming(F.col("id"), F.col("id_y")) <= distance))
-    links = met.select(F.col("id").alias("f"), F.col("id_y").alias("g")).distinct().withColumn("distance", hamming(F.col("f"), F.col("g")).cast("bigint"))
+    keys = F.array(*[(F.lit(k) * 256 + octet(i)) * 256 + octet(j) for k, (i, j) in enumerate(places)])
+    posted = prints.select("fingerprint").distinct().select(F.col("fingerprint").alias("id"), F.explode(keys).alias("key")).checkpoint(eager=True)
+    met = in_blocks(posted, "key").where(hamming(F.col("id"), F.col("id_y")) <= distance)
+    links = met.select(F.least("id", "id_y").alias("f"), F.greatest("id", "id_y").alias("g")).distinct().withColumn("distance", hamming(F.col("f"), F.col("g")).cast("bigint"))
     p = prints.select(F.col("id").alias("p"), F.col("fingerprint").alias("f"))
     q = prints.select(F.col("id").alias("q"), F.col("fingerprint").alias("g"))
     across = links.join(p, "f").join(q, "g").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
-    same = in_blocks(prints.select(F.col("fingerprint").alias("key"), "id"), "key").where("id < id_y").select(F.col("id").alias("a"), F.col("id_y").alias("b"), F.lit(0).cast("bigint").alias("distance"))
+    same = in_blocks(prints.select(F.col("fingerprint").alias("key"), "id"), "key").select(F.least("id", "id_y").alias("a"), F.greatest("id", "id_y").alias("b"), F.lit(0).cast("bigint").alias("distance"))
     return across.union(same)
 
 
 def in_blocks(rows: DataFrame, key: str, bound: int = LIST) -> DataFrame:
-    """Each two of the ``rows`` (key, id) of one key, as (key, id, id_y), both ways round: lists are cut into blocks of about
-    ``bound`` members, and each two blocks meet under a key of their own; a list of one meets nothing."""
+    """Each two of the ``rows`` (key, id) of one key once, as (key, id, id_y) in either order: lists are cut into blocks of
+    about ``bound`` members, and each two blocks meet once, under a key of their own; a list of one meets nothing."""
     sizes = rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1")
-    placed = rows.join(sizes, key).withColumn("blocks", F.ceil(F.col("size") / bound).cast("int"))
-    own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = placed.withColumn("p", own).withColumn("q", every).select(key, "p", "q", "id")
-    y = placed.withColumn("q", own).withColumn("p", every).select(key, "p", "q", F.col("id").alias("id_y"))
-    return x.join(y, [key, "p", "q"]).select(key, "id", "id_y")
+    placed = rows.join(sizes, key).withColumn("blocks", F.ceil(F.col("size") / bound).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    x = placed.select(key, F.col("own").alias("p"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("q"), "id")
+    y = placed.select(key, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("p"), F.col("own").alias("q"), F.col("id").alias("id_y"))
+    return x.join(y, [key, "p", "q"]).where((F.col("p") < F.col("q")) | (F.col("id") < F.col("id_y"))).select(key, "id", "id_y")
