@@ -126,6 +126,24 @@ def test_fingerprint_pairs_equal_brute_force(spark):
         near_pairs(spark.createDataFrame(rows, "id bigint, fingerprint bigint"), 7)
 
 
+def test_crowded_fingerprints(spark):
+    """Most fingerprints share octets, as those of texts do: they are compared without a join, of which each
+    pair with common octets would be a row."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    bits = r.random((9_000, 64)) < np.where(np.arange(64) < 32, 0.002, 0.5)
+    prints = np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0]
+    prints[:300] = prints[300]
+    rows = spark.createDataFrame(list(enumerate(prints.tolist())), "id bigint, fingerprint bigint")
+    pairs = near_pairs(rows, 6)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = np.array([tuple(x) for x in pairs.collect()])
+    u = prints.view(np.uint64)
+    near = [(a, a + 1 + b, d[b]) for a in range(len(u)) if u[a] for d in [np.bitwise_count(u[a + 1 :] ^ u[a]).astype(int)] for b in np.flatnonzero((d <= 6) & (u[a + 1 :] != 0)).tolist()]
+    assert len(near) > 44_850 and np.array_equal(got[np.lexsort(got.T[::-1])], np.array(near))
+
+
 def test_shared_folder(spark):
     assert checkpoints.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
