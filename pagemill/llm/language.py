@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import residue
 from .common import scrapes
 from .mainbody import Model, fit
-from .residue import is_residue
 
 #: Bounds of the reference passages: rows read, and bytes of a language's dictionary, which is made of whole passages.
 PASSAGES = 5000
@@ -238,13 +238,10 @@ class Judge:
         self.known, self.model, self.cache = known, model, {}
 
     def main_page(self, content: str, whole: Page | None = None) -> Page | None:
-        """The page's main body, or None if the record is residue or spam."""
+        """The page's main body, or None if the record is spam. (Residue is told by the counts of all records.)"""
         if self.model.chain.is_spam(content):
             return None
-        furniture = self.model.furniture(content)
-        if is_residue(content, lambda _: furniture):
-            return None
-        return (whole or Page.of(content, self.known, self.cache)).without(furniture)
+        return (whole or Page.of(content, self.known, self.cache)).without(self.model.furniture(content))
 
     def case(self, content: str | None, label: str | None) -> list[str]:
         """Languages of the record's main body if it is a case, else none."""
@@ -298,6 +295,12 @@ def _input(df: DataFrame) -> DataFrame:
     return df.select("scrape_id", "content", F.col("metadata.language").alias("label")).where("trim(content) <> ''")
 
 
+def _no_residue(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """The ``rows`` of records that the residue operator, with its counts of hosts, does not find in ``df``."""
+    gone = residue.found(df).select(F.col("scrape_id").alias("gone"))
+    return rows.join(gone, F.col("scrape_id").eqNullSafe(F.col("gone")), "left_anti")
+
+
 def found(df: DataFrame, known: Languages, model: Model) -> DataFrame:
     """(scrape_id, lang) of the records whose label is missing or wrong, or that mix languages."""
     shared = df.sparkSession.sparkContext.broadcast((known, model))  # both bounded by their samples
@@ -312,7 +315,7 @@ def found(df: DataFrame, known: Languages, model: Model) -> DataFrame:
                 langs += got
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string())], names=FOUND.names)
 
-    return _input(df).mapInArrow(run, FOUND).distinct()
+    return _no_residue(_input(df).mapInArrow(run, FOUND).distinct(), df)
 
 
 def segments(df: DataFrame, known: Languages, model: Model) -> DataFrame:
@@ -332,7 +335,7 @@ def segments(df: DataFrame, known: Languages, model: Model) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=SEGMENTS.names)
 
-    return _input(df).mapInArrow(run, SEGMENTS).dropDuplicates(["scrape_id", "segment_no"])
+    return _no_residue(_input(df).mapInArrow(run, SEGMENTS).dropDuplicates(["scrape_id", "segment_no"]), df)
 
 
 def p3_found(spark, sf):

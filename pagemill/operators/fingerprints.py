@@ -123,8 +123,8 @@ def near_pairs(prints: DataFrame, distance: int, block: int = BLOCK, blocks: int
     texts) has no pairs.
 
     Fingerprints are dealt to blocks by their ids, and each two blocks meet once, in a group that compares them where
-    they lie, so that only results become rows. The bits of texts are far from even and independent: under keys of two equal
-    octets a third of all pairs met, each as a row of a join; comparing 64-bit words takes a few nanoseconds a pair."""
+    they lie, so that only results become rows. The bits of texts are far from even and independent: keys of two equal octets
+    gave a join a third as many rows as there are pairs; comparing 64-bit words takes a few nanoseconds a pair."""
     if not 0 <= distance <= 6:
         raise ValueError("distance must be between 0 and 6")
     shared_checkpoints(prints.sparkSession)

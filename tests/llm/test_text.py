@@ -396,6 +396,22 @@ def test_ids_of_random_texts():
     assert len(json.dumps(E.byte_symbols())) > 256 and len(set(E.byte_symbols())) == 256
 
 
+def test_languages_know_the_boilerplate_of_hosts(spark):
+    """A notice that recurs below the articles of a host does not make a short record of that host residue."""
+    rows, site = [], lambda h, k: (f"http://www.{h}.example/{k}", None)
+    for k in range(30):
+        own = " ".join(f"Sentence number {w} of this article tells of the river." for w in range(k, k + 8))
+        rows.append((k, own + "\n\n" + SHARE_PROMPT, site("a", k), "x", T0))
+    short = "The ferry crosses the river every morning. Nobody remembers who built the first landing."
+    rows += [(100, short + "\n\n" + SHARE_PROMPT, site("a", 100), "x", T0), (101, short + "\n\n" + SHARE_PROMPT, site("b", 1), "x", T0)]
+    df = spark.createDataFrame(rows, "scrape_id bigint, content string, metadata struct<source_url: string, language: string>, final_url string, ingested_at timestamp_ntz")
+    known = L.Languages({"en": PROSE * 20, "de": "Die Fähre quert den Fluss jeden Morgen. Niemand weiß noch, wer den Steg gebaut hat. " * 20})
+    m = M.Model({}, {k: (1.0, 1.0, 1.0, 1.0) for k in M.KINDS}, -1.0)
+    assert {r.scrape_id for r in L.found(df, known, m).collect()} & {100, 101} == {100}
+    assert {r.scrape_id for r in L.segments(df, known, m).collect()} & {100, 101} == {100}
+    assert {r.scrape_id for r in B.found(df).collect()} == {101}
+
+
 # --- the operators over tables ------------------------------------------------------------------------------------
 
 
