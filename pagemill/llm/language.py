@@ -303,7 +303,7 @@ def _no_residue(rows: DataFrame, df: DataFrame) -> DataFrame:
 
 def found(df: DataFrame, known: Languages, model: Model) -> DataFrame:
     """(scrape_id, lang) of the records whose label is missing or wrong, or that mix languages."""
-    shared = df.sparkSession.sparkContext.broadcast((known, model))  # both bounded by their samples
+    shared = df.sparkSession.sparkContext.broadcast((known, model))  # some passages, and features that three lines of a shard share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(*shared.value)

@@ -6,14 +6,17 @@ potential from their words, shape and place; parent and child are tied by potent
 One upward and one downward pass of sum-product messages give each line's marginal.
 
 Potentials of lines and edges are trained together, by gradients of the likelihood through the same messages (blocks and
-pages are hidden nodes), from two bounded samples:
+pages are hidden nodes), from all raw pages and all records:
 
-* raw pages (at most ``TRAIN_PAGES``, lowest by a hash of their id) whose elements say what they hold (article, main, ...
-  against nav, footer, notices);
-* about ``TRAIN_RECORDS`` records, chosen by a hash of their ids: lines that recur in ``RECUR`` of them are furniture, and
-  so are the items below such a line that are no sentences; of those that stand in one only, long lines of sentences, items that are sentences or stand below no line and link
-  nowhere, quotes, rows of tables and the line that the record's ``metadata.title`` gives are main body; all other lines
-  are hidden, labelled by the messages only.
+* raw pages, whose elements say what they hold (article, main, ... against nav, footer, notices);
+* records: lines that recur in ``RECUR`` of them (in larger tables, in as large a share as ``RECUR`` of ``SHARD``) are
+  furniture, and so are the items below such a line that are no sentences; of those that stand in one only (in one of
+  ``SHARD``), long lines of sentences, items that are sentences or stand below no line and link nowhere, quotes, rows of
+  tables and the line that the record's ``metadata.title`` gives are main body; all other lines are hidden, labelled by
+  the messages only.
+
+Lines are counted over all records. Pages and records are dealt by their ids to shards of about ``SHARD``; each shard is
+fitted where it lies, and the model is the mean of the shards', weighted by their labels.
 
 Defined cases: null and blank contents and blank lines have no rows; code fences are main body; records of the
 residue and spam operators have no rows; repeated deliveries give equal rows, which count once; an empty table gives no
@@ -22,6 +25,7 @@ rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -35,13 +39,15 @@ from pyspark.sql import types as T
 
 from ..operators import dom
 from . import spam
-from .common import scrapes
+from .common import cut, scrapes
 from .residue import is_residue
 
-#: Bounds of the samples: raw pages and (about) records read for training.
-TRAIN_PAGES = 4000
-TRAIN_RECORDS = 4000
-#: Sampled records in which a line (its letters) recurs, and the words of a line, or a list item, of sentences that is an
+#: Records (about) that are fitted together, shards to which each page is dealt (pages are fewer), and the pages and records
+#: of a part of a shard, of which each round takes the next.
+SHARD = 4000
+COPIES = 5
+PART = 500
+#: Records of a shard in which a line (its letters) recurs, and the words of a line, or a list item, of sentences that is an
 #: article's own.
 RECUR = 6
 PARAGRAPH = 25
@@ -304,10 +310,20 @@ def letters(line: str) -> str:
     return _OTHER_THAN_LETTERS.sub("", line.lower())
 
 
-def supposed(records: list[tuple[str, str | None]], recur: int = RECUR) -> list[tuple[str, list[int]]]:
-    """Records, given as content and title, with the label of each of their non-blank lines, as far as it can be told."""
+def line_key(key: str) -> int:
+    """The hash under which a line's letters are counted over all records."""
+    return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def supposed(records: list[tuple[str, str | None]], recur: float = RECUR, rare: float = 1, known: dict[int, int] | None = None) -> list[tuple[str, list[int]]]:
+    """Records, given as content and title, with the label of each of their non-blank lines, as far as it can be told.
+    ``known``: the counts over all records of the lines (their keys) that stand in more than ``rare``; without it, these
+    records are all."""
     trees = [[(x.text, letters(x.text), x) for x in tree(c)] for c, _ in records]
-    counts = Counter(k for t in trees for k in {k for _, k, x in t if k and not x.fenced})
+    if known is None:
+        counts = Counter(k for t in trees for k in {k for _, k, x in t if k and not x.fenced})
+    else:
+        counts = {k: known.get(line_key(k), 1) for t in trees for k in {k for _, k, _ in t if k}} | {"": 0}
     out = []
     for (content, title), t in zip(records, trees):
         title = letters(title or "")
@@ -317,7 +333,7 @@ def supposed(records: list[tuple[str, str | None]], recur: int = RECUR) -> list[
                 labels.append(MAIN)
             elif key and counts[key] >= recur or x.parent >= 0 and counts[t[x.parent][1]] >= recur and t[x.parent][0][0] != "#" and not _SENTENCE_END.search(text):
                 labels.append(FURNITURE)
-            elif counts[key] == 1 and (text[0] == ">" or text[0] == text[-1] == "|" or key == title or _own(x)):
+            elif 0 < counts[key] <= rare and (text[0] == ">" or text[0] == text[-1] == "|" or key == title or _own(x)):
                 labels.append(MAIN)
             else:
                 labels.append(HIDDEN)
@@ -393,61 +409,74 @@ class Forest:
         return belief, expected
 
 
-def fitted(sample: list[tuple[str, list[int]]], rounds: int = 80, l2: float = 2e-5, chain: spam.Chain | None = None) -> Model:
+class Part:
+    """Some of the pages of a sample as arrays: their forest, labels, and the features of each line (the last one a bias)."""
+
+    def __init__(self, trees: list[list[Line]], labels: list[int], flat: np.ndarray, starts: np.ndarray):
+        self.forest = Forest(trees)
+        self.y = np.array(labels, dtype=np.int64)
+        self.flat, self.starts = flat, starts
+        self.row = np.repeat(np.arange(len(starts)), np.diff([*starts, len(flat)]))
+        self.labels = max(1, int((self.y >= 0).sum()))
+        self.sure = np.where(self.y == FURNITURE, 25.0, -25.0)
+
+
+def fitted(sample: list[tuple[str, list[int]]], rounds: int = 80, l2: float = 2e-5, chain: spam.Chain | None = None, part: int = 0) -> Model:
     """The model fitted to pages, given as text and the label of each non-blank line (HIDDEN where it is not known), by
-    Adam on the likelihood of the labels: what is expected with the labels less what is expected without."""
+    Adam on the likelihood of the labels: what is expected with the labels less what is expected without. With ``part``,
+    the pages are dealt to parts of about so many, which the rounds take in turn."""
     kept = [(t, ys) for text, ys in sample if (t := tree(text)) and len(t) == len(ys)]
     edges = np.tile(np.log(np.array([[1.5, 0.67], [0.67, 1.5]])), (4, 1, 1))
     if not kept:
         return Model({}, {k: tuple(np.exp(e).ravel().tolist()) for k, e in zip(KINDS, edges)}, 0.0, chain)
-    forest = Forest([t for t, _ in kept])
-    y = np.array([v for _, ys in kept for v in ys], dtype=np.int64)
-    known: dict[str, list[str]] = {}
+    known: dict[str, np.ndarray] = {}
+    numbers: dict[str, int] = {}
+    ids = lambda names: np.array([numbers.setdefault(f, len(numbers)) for f in names], dtype=np.int64)
     rows = []
     for t, _ in kept:
+        of_page = []
         for x in t:
             got = known.get(x.text)
             if got is None:
-                got = known[x.text] = features(x.text)
-            rows.append([*got, *x.place])
-    numbers: dict[str, int] = {}
-    every = np.array([numbers.setdefault(f, len(numbers)) for r in rows for f in r], dtype=np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+                got = known[x.text] = ids(features(x.text))
+            of_page.append(np.concatenate((got, ids(x.place))))
+        rows.append(of_page)
     names = list(numbers)
-    often = np.flatnonzero(np.bincount(every, minlength=len(names)) >= 3)
+    often = np.flatnonzero(np.bincount(np.concatenate([r for of_page in rows for r in of_page]), minlength=len(names)) >= 3)
     place = np.full(len(names), -1)
     place[often] = np.arange(len(often))
     vocabulary = {names[f]: i for i, f in enumerate(often.tolist())}
-    size, n = len(vocabulary), len(rows)
-    kept_ones = place[every] >= 0
-    # a bias is every line's last feature; sums by line and by feature run over features in the order of either
-    flat = np.concatenate((place[every][kept_ones], np.full(n, size)))
-    row = np.concatenate((row[kept_ones], np.arange(n)))
-    by_line = np.argsort(row, kind="stable")
-    of_line, line_starts = flat[by_line], np.searchsorted(row[by_line], np.arange(n))
-    by_feature = np.argsort(flat, kind="stable")
-    of_feature, feature_starts = row[by_feature], np.searchsorted(flat[by_feature], np.arange(size + 1))
-    labels = max(1, int((y >= 0).sum()))
-    sure = np.where(y == FURNITURE, 25.0, -25.0)
+    size = len(vocabulary)
+    several = max(1, len(kept) // part) if part else 1
+    parts = []
+    for p in range(several):
+        lines = [np.append(r, -1) for of_page in rows[p::several] for r in of_page]
+        flat = np.concatenate(lines)
+        flat = np.where(flat < 0, size, place[flat])
+        line = np.repeat(np.arange(len(lines)), [len(r) for r in lines])[flat >= 0]
+        some = kept[p::several]
+        parts.append(Part([t for t, _ in some], [v for _, ys in some for v in ys], flat[flat >= 0], np.searchsorted(line, np.arange(len(lines)))))
+    del rows, known
     theta = [np.zeros(size + 1), edges]
     mean = [np.zeros_like(x) for x in theta]
     square = [np.zeros_like(x) for x in theta]
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, rounds + 1):
         w, e = theta
-        own = np.add.reduceat(w[of_line], line_starts)
-        own[forest.fenced] = -12.0
-        free, among = forest.beliefs(own, e)
-        held, among_held = forest.beliefs(np.where(y >= 0, sure, own), e)
-        d = np.where(y >= 0, y == FURNITURE, sigmoid(held)) - sigmoid(free)
-        d[forest.fenced] = 0.0
-        slope = [np.add.reduceat(d[of_feature], feature_starts) / labels - l2 * w, (among_held - among) / labels - l2 * e]
+        x = parts[t % several]
+        own = np.add.reduceat(w[x.flat], x.starts)
+        own[x.forest.fenced] = -12.0
+        free, among = x.forest.beliefs(own, e)
+        held, among_held = x.forest.beliefs(np.where(x.y >= 0, x.sure, own), e)
+        d = np.where(x.y >= 0, x.y == FURNITURE, sigmoid(held)) - sigmoid(free)
+        d[x.forest.fenced] = 0.0
+        slope = [np.bincount(x.flat, weights=d[x.row], minlength=size + 1) / x.labels - l2 * w, (among_held - among) / x.labels - l2 * e]
         rate = 0.12 / (1 + t / 60)
-        for k, (x, g) in enumerate(zip(theta, slope)):
+        for k, (v, g) in enumerate(zip(theta, slope)):
             mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.99 * square[k] + 0.01 * g * g
             step = mean[k] / (1 - 0.9**t) / (np.sqrt(square[k] / (1 - 0.99**t)) + 1e-9)
-            theta[k] = x + rate * step * (0.3 if k == 1 else 1.0)
+            theta[k] = v + rate * step * (0.3 if k == 1 else 1.0)
     w, e = theta
     return Model({f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 1e-3}, {k: tuple(np.exp(e[j]).ravel().tolist()) for j, k in enumerate(KINDS)}, float(w[size]), chain)
 
@@ -457,50 +486,89 @@ def train(pages: list[str], records: list[tuple[str, str | None]] | None = None)
     return fitted([got for k, html in enumerate(pages) if (got := labelled(html, bool(k % 2))) is not None] + supposed(records or []))
 
 
-SAMPLE = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("labels", T.ArrayType(T.IntegerType()))])
-
-
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(i, *got) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (got := labelled(h, bool((i or 0) % 2))) is not None]
-        c = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.list_(pa.int32()))], names=SAMPLE.names)
-
-
-TRAINING = T.StructType(
+PREPARED = T.StructType(
     [
-        T.StructField("scrape_id", T.LongType()),
-        T.StructField("content", T.StringType()),
+        T.StructField("page", T.BooleanType()),
+        T.StructField("id", T.LongType()),
+        T.StructField("text", T.StringType()),
         T.StructField("title", T.StringType()),
+        T.StructField("labels", T.ArrayType(T.IntegerType())),
         T.StructField("symbols", T.ArrayType(T.IntegerType())),
-        T.StructField("article", T.BooleanType()),
+        T.StructField("keys", T.ArrayType(T.LongType())),
     ]
 )
+WEIGHTS = T.StructType([T.StructField("name", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("labels", T.LongType())])
 
 
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of the sample with their symbols, and whether each is an article by the spam model's starting tables."""
+def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Raw pages as their lines with labels; records with the symbols of their lines, and those that are articles by the
+    spam model's starting tables with the keys of their lines."""
     start = spam.Chain()
+    once = set()  # all rows of an id are in one partition, of about ``SHARD`` rows: repeated deliveries count once
     for batch in batches:
-        contents = batch.column(1).to_pylist()
-        symbols = pa.array([spam.symbols_of(c) for c in contents], pa.list_(pa.int32()))
-        article = pa.array([bool(c.strip()) and not start.is_spam(c) and not is_residue(c) for c in contents], pa.bool_())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], symbols, article], names=TRAINING.names)
-
-
-def fit(spark, sf: str, pages: int = TRAIN_PAGES, records: int = TRAIN_RECORDS) -> Model:
-    """The model trained on bounded samples of the raw pages and of the records, and the spam model of the same records.
-    Both are read and labelled where they lie; the samples come to the driver, a few MB. Half of the pages are written in
-    Markdown and half as plain text, the two formats of records."""
-    raw = spark.read.parquet(f"{sf}/pages.parquet").where("html IS NOT NULL AND html <> ''")
-    chosen = raw.select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(pages)
-    sample = raw.join(F.broadcast(chosen), "page_id").select("page_id", "html").dropDuplicates(["page_id"])
-    rows = sample.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_labelled, SAMPLE).collect()
-    texts = spam.sampled(scrapes(spark, sf), records, F.col("metadata.title").alias("title")).distinct().mapInArrow(_training, TRAINING).collect()
-    texts = sorted(texts, key=lambda r: (r["scrape_id"] or 0, r["content"], r["title"] or ""))
-    chain = spam.learned([list(r["symbols"]) for r in texts])
-    known = [(r["text"], list(r["labels"])) for r in sorted(rows, key=lambda r: r["page_id"] or 0)]
-    return fitted(known + supposed([(r["content"], r["title"]) for r in texts if r["article"]]), chain=chain)
+        rows = []
+        for page, i, text, title in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            mark = page, i, line_key(text), title
+            if mark in once:
+                continue
+            once.add(mark)
+            if page:
+                if (got := labelled(text, bool((i or 0) % 2))) is not None:
+                    rows.append((True, i, *got[:1], None, got[1], None, None))
+                continue
+            seen = spam.repeated(spam.observe(text))
+            keys = None
+            if text.strip() and not start.is_spam(text, seen) and not is_residue(text):
+                keys = sorted({line_key(k) for x in tree(text) if not x.fenced and (k := letters(x.text))})
+            rows.append((False, i, text, title, None, [o for o, _, times in seen for _ in range(times)], keys))
+        columns = list(zip(*rows)) or [()] * len(PREPARED)
+        kinds = (pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=PREPARED.names)
+
+
+def mixed(prepared: DataFrame, chain: spam.Chain, shard: int = SHARD, part: int = PART) -> Model:
+    """The mean of the models fitted to each partition of ``prepared``, weighted by its labels, for each feature over the
+    partitions that have it; lines are counted over all."""
+    scale = max(1.0, prepared.where("keys IS NOT NULL").count() / shard)
+    # lines in more than one of ``shard`` records: their number is bounded by the lines of ``shard`` records
+    counts = prepared.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > scale).collect()
+    shared = prepared.sparkSession.sparkContext.broadcast({r["key"]: r["count"] for r in counts})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        rows.sort(key=lambda r: (not r[0], r[1] or 0, r[2], r[3] or ""))
+        records = supposed([(r[2], r[3]) for r in rows if not r[0]], RECUR * scale, scale, shared.value)
+        sample = [(r[2], r[4]) for r in rows if r[0]] + records
+        labels = sum(v != HIDDEN for _, ys in sample for v in ys)
+        if labels:
+            m = fitted(sample, part=part)
+            names = [*m.weights, BIAS, *(f"{EDGE}{k}{j}" for k in KINDS for j in range(4))]
+            weights = [*m.weights.values(), m.bias, *(math.log(v) for k in KINDS for v in m.edges[k])]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([labels * w for w in weights], pa.float64()), pa.array([labels] * len(names), pa.int64())], names=WEIGHTS.names)
+
+    every = prepared.where("page OR keys IS NOT NULL").select("page", "id", "text", "title", "labels").mapInArrow(run, WEIGHTS)
+    # decimals: their sum is the same in any order
+    sums = every.groupBy("name").agg(F.sum(F.col("weight").cast("decimal(28,9)")).alias("weight"), F.sum("labels").alias("labels")).collect()
+    means = {r["name"]: float(r["weight"]) / r["labels"] for r in sorted(sums, key=lambda r: r["name"])}
+    if not means:
+        return fitted([], chain=chain)
+    edges = {k: tuple(math.exp(means.pop(f"{EDGE}{k}{j}")) for j in range(4)) for k in KINDS}
+    return Model({f: w for f, w in means.items() if f != BIAS and abs(w) > 1e-3}, edges, means[BIAS], chain)
+
+
+#: Names beside those of features.
+BIAS, EDGE = "\x00bias", "\x00edge"
+
+
+def fit(spark, sf: str, shard: int = SHARD, part: int = PART) -> Model:
+    """The model trained on all raw pages and all records, and the spam model of the same records. Half of the pages are
+    written in Markdown and half as plain text, the two formats of records."""
+    raw = spark.read.parquet(f"{sf}/pages.parquet").where("html IS NOT NULL AND html <> ''").select(F.lit(True).alias("page"), F.col("page_id").alias("id"), F.col("html").alias("text"), F.lit(None).cast("string").alias("title"), F.explode(F.sequence(F.lit(1), F.lit(COPIES))).alias("copy"))
+    records = scrapes(spark, sf).where("content IS NOT NULL").select(F.lit(False).alias("page"), F.col("scrape_id").alias("id"), F.col("content").alias("text"), F.col("metadata.title").alias("title"), F.lit(0).alias("copy"))
+    every = raw.union(records)
+    shards = max(1, round(records.count() / shard))
+    prepared = cut(every.repartition(shards, "id", "copy").drop("copy").mapInArrow(_prepared, PREPARED))
+    return mixed(prepared, spam.learned(prepared.where("NOT page")), shard, part)
 
 
 FOUND = T.StructType([T.StructField("scrape_id", T.LongType()), T.StructField("line_no", T.LongType())])
@@ -508,7 +576,7 @@ FOUND = T.StructType([T.StructField("scrape_id", T.LongType()), T.StructField("l
 
 def found_lines(df: DataFrame, model: Model) -> DataFrame:
     """(scrape_id, line_no) of the furniture lines of (scrape_id, content)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # size bounded by the training samples
+    shared = df.sparkSession.sparkContext.broadcast(model)  # features that three lines of a shard share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -6,9 +6,9 @@ long line that is stuffed in part to one for each run of its stretches; the most
 lines. A record is flagged by the share of its words that are not prose, if lists make up enough of them: menus and
 site furniture alone are no list.
 
-The model's probabilities are learned by expectation and maximisation (Baum-Welch) from the symbols of about
-``TRAIN_RECORDS`` records, chosen by a hash of their ids; the tables below are where it starts, and weigh as much as
-``PRIOR`` observations of each state, so that the states keep their meaning where a sample lacks one of them.
+The model's probabilities are learned by expectation and maximisation (Baum-Welch) from the symbols of all records; the
+tables below are where it starts, and weigh as much as ``PRIOR`` observations of each state, so that the states keep
+their meaning where a table lacks one of them.
 
 Defined cases: null, blank and very short contents are no cases; code and data are prose; several rows of one id
 count as one record, flagged if any of its texts is; an empty table gives no rows.
@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scrapes
+from .common import cut, scrapes
 
 STATES = ("prose", "links", "tags", "menu")
 SYMBOLS = ("sentence", "brief", "phrase", "separated", "own link", "link", "tags", "stuffed", "title", "data", "paragraph")
@@ -44,8 +44,7 @@ TRANSITIONS = (
     (0.22, 0.04, 0.04, 0.70),
 )
 START = (0.45, 0.08, 0.08, 0.39)
-#: Records that the model is learned from (about), rounds of the learning, and the weight of where it starts.
-TRAIN_RECORDS = 4000
+#: Rounds of the learning, and the weight of where it starts.
 ROUNDS = 6
 PRIOR = 200.0
 
@@ -196,9 +195,9 @@ class Chain:
             path.append(at)
         return path[::-1]
 
-    def weigh(self, content: str) -> list[int]:
-        """Words of each state of a record."""
-        seen = repeated(observe(content))
+    def weigh(self, content: str, seen: list[tuple[int, int, int]] | None = None) -> list[int]:
+        """Words of each state of a record, whose observations may be known."""
+        seen = repeated(observe(content)) if seen is None else seen
         path = self.states([o for o, _, times in seen for _ in range(times)])
         words = [0, 0, 0, 0]
         at = 0
@@ -207,10 +206,10 @@ class Chain:
             at += times
         return words
 
-    def is_spam(self, content: str | None) -> bool:
+    def is_spam(self, content: str | None, seen: list[tuple[int, int, int]] | None = None) -> bool:
         if not content or not content.strip():
             return False
-        words = self.weigh(content)
+        words = self.weigh(content, seen)
         lists = words[1] + words[2]
         return lists >= MIN_WORDS and lists > words[0] and lists + words[3] >= SHARE * sum(words)
 
@@ -225,22 +224,18 @@ def repeated(seen: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return [(o, n, max(1, n // LONG)) for o, n in seen]
 
 
-def learned(sequences: list[list[int]], rounds: int = ROUNDS, prior: float = PRIOR) -> Chain:
-    """The model of the sequences of symbols, by expectation and maximisation."""
+def expected(first: np.ndarray, step: np.ndarray, emit: np.ndarray, sequences: list[list[int]]) -> np.ndarray:
+    """The expected numbers of starts, steps and emissions over sequences of symbols, laid end to end."""
+    n_first, n_step, n_emit = np.zeros(4), np.zeros((4, 4)), np.zeros((4, len(SYMBOLS)))
     todo = sorted((x for x in sequences if x), key=len, reverse=True)
-    first, step, emit = (np.asarray(x, dtype=float) for x in (START, TRANSITIONS, EMISSIONS))
-    start = first, step, emit
-    if not todo:
-        return Chain()
-    lengths = np.array([len(x) for x in todo])
-    at = [np.array([x[t] for x in todo[: int((lengths > t).sum())]]) for t in range(lengths[0])]  # symbols of place t
-    for _ in range(rounds):
+    if todo:
+        lengths = np.array([len(x) for x in todo])
+        at = [np.array([x[t] for x in todo[: int((lengths > t).sum())]]) for t in range(lengths[0])]  # symbols of place t
         forward, scale = [], []
         for t, o in enumerate(at):
             a = (first[None, :] if t == 0 else forward[-1][: len(o)] @ step) * emit[:, o].T
             scale.append(a.sum(axis=1, keepdims=True))
             forward.append(a / scale[-1])
-        n_first, n_step, n_emit = prior * start[0], prior * start[1], prior * start[2]
         later = np.ones((len(at[-1]), 4))
         for t in range(len(at) - 1, -1, -1):
             post = forward[t].copy()
@@ -254,29 +249,45 @@ def learned(sequences: list[list[int]], rounds: int = ROUNDS, prior: float = PRI
                 n_emit[k] += np.bincount(at[t], weights=post[:, k], minlength=len(SYMBOLS))
             if t == 0:
                 n_first = n_first + post.sum(axis=0)
-        first, step, emit = n_first / n_first.sum(), n_step / n_step.sum(axis=1, keepdims=True), n_emit / n_emit.sum(axis=1, keepdims=True)
-    return Chain(first, step, emit)
+    return np.concatenate((n_first, n_step.ravel(), n_emit.ravel()))
 
 
-def sampled(df: DataFrame, records: int = TRAIN_RECORDS, *more: Column) -> DataFrame:
-    """About ``records`` rows of ``df`` with their contents (and ``more``), by a hash of the id."""
-    every = max(1, df.count() // records)
-    return df.where(F.pmod(F.xxhash64("scrape_id"), F.lit(every)) == 0).select("scrape_id", "content", *more).where("content IS NOT NULL")
+def learned(sequences: list[list[int]] | DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) -> Chain:
+    """The model of the sequences of symbols, by expectation and maximisation. They are a list, or a column ``symbols`` of
+    which all rows count, where they lie: only expected numbers come to the driver."""
+    first, step, emit = (np.asarray(x, dtype=float) for x in (START, TRANSITIONS, EMISSIONS))
+    start = np.concatenate((first, step.ravel(), emit.ravel()))
+    for _ in range(rounds):
+        if isinstance(sequences, DataFrame):
+            now = first, step, emit
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array([expected(*now, batch.column(0).to_pylist()).tolist()], pa.list_(pa.float64()))], names=["n"])  # noqa: B023
+
+            seen = sorted(tuple(r["n"]) for r in sequences.select("symbols").where("size(symbols) > 0").mapInArrow(run, "n array<double>").collect())
+        else:
+            seen = [expected(first, step, emit, sequences)] if any(sequences) else []
+        if not seen:
+            return Chain()
+        n = prior * start + np.sum(np.array(seen), axis=0)
+        n_first, n_step, n_emit = n[:4], n[4:20].reshape(4, 4), n[20:].reshape(4, -1)
+        first, step, emit = n_first / n_first.sum(), n_step / n_step.sum(axis=1, keepdims=True), n_emit / n_emit.sum(axis=1, keepdims=True)
+    return Chain(first, step, emit)
 
 
 OBSERVED = T.StructType([T.StructField("id", T.LongType()), T.StructField("symbols", T.ArrayType(T.IntegerType()))])
 
 
-def fit(df: DataFrame, records: int = TRAIN_RECORDS) -> Chain:
-    """The model learned from a bounded sample of (scrape_id, content); only symbols come to the driver."""
+def fit(df: DataFrame) -> Chain:
+    """The model learned from all rows of (scrape_id, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [symbols_of(c) for c in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=OBSERVED.names)
 
-    got = sampled(df, records).mapInArrow(run, OBSERVED).distinct().collect()
-    return learned([list(r["symbols"]) for r in sorted(got, key=lambda r: (r["id"] is not None, r["id"], r["symbols"]))])
+    return learned(cut(df.where("content IS NOT NULL").select("scrape_id", "content").mapInArrow(run, OBSERVED).distinct()))
 
 
 FLAGGED = T.StructType([T.StructField("scrape_id", T.LongType())])

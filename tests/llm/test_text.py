@@ -144,6 +144,21 @@ def test_labels_of_samples():
     assert M.fitted([]).furniture("a\n\nb") == frozenset()
 
 
+def test_model_is_fitted_to_all_records(spark, tmp_path):
+    """Shards of a larger table give one model; lines are counted over all of them."""
+    letter = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    rows = []
+    for k in range(9000):
+        own = " ".join(f"word{letter(k * 31 % 997 + j)}" for j in range(26))
+        rows.append((k, f"Home page\n\nThe plain river {own} of the tale {letter(k)}.", (f"title {k}",)))
+    spark.createDataFrame(rows, "scrape_id bigint, content string, metadata struct<title: string>").write.parquet(str(tmp_path / "scrapes.parquet"))
+    spark.createDataFrame([(1, "<nav><li><a href=/a>A</a></nav><article><p>One two.</p></article>")], "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    m = M.fit(spark, str(tmp_path))
+    assert m.furniture(rows[8999][1]) == {1}
+    known = {M.line_key(M.letters("Share this story")): 600}
+    assert M.supposed([("Share this story\n\nx", None)], 6.0 * 50, 50.0, known)[0][1] == [M.FURNITURE, M.HIDDEN]
+
+
 def test_messages_equal_enumeration():
     """Sum-product marginals are those of the full joint distribution."""
     import itertools
