@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,8 +40,9 @@ from pyspark.sql import types as T
 
 from ..operators import dom
 from . import spam
+from .coded import DATA, KINDS, LIST, PAIRED, PLACE_KEYS, PLACES, Coded, distinct, ends_sentence, feature_key, key, letters, ranges, shape, words_of
 from .common import cut, scrapes
-from .residue import is_residue
+from .residue import is_case, weighed
 
 #: Records (about) that are fitted together, shards to which each page is dealt (pages are fewer), and the pages and records
 #: of a part of a shard, of which each round takes the next.
@@ -54,80 +56,13 @@ PARAGRAPH = 25
 ITEM = 5
 MAIN, FURNITURE, HIDDEN = 0, 1, -1
 
-_WORD = re.compile(r"[^\W\d_]+|\d+|[©|·»›>•/↑]", re.U)
-_CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-_DIGIT = re.compile(r"\d")
-_LIST = re.compile(r"^(?:[-*+•]|\d{1,3}[.)])\s+")
-_LINK = re.compile(r"\[([^\]]*)\]\([^)\s]*\)")
-_SENTENCE_END = re.compile(r"[.!?…][\"'”’»)*_]*$|[。！？][」』”’）*_]*$")
-_SENTENCE = re.compile(r"[.!?…](?=\s)|[。！？]")
-_DATE = re.compile(r"\b(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}\b|\b\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d\d\b")
-_NAME = re.compile(r"\b[A-ZÀ-ÖØ-ÞА-Я]\w+")
-_DATA = re.compile(r"[\[{<](?=.*(?:\":|':|</\w+>)).*[\]}>,]$")
-_SEPARATORS = re.compile(r"\s[|·»›>•/]\s")
-
-
-def words_of(line: str) -> list[str]:
-    """Lower-case words of a line, numbers as ``0``, links by their text, CJK text as single characters."""
-    if "](" in line:
-        line = _LINK.sub(r"\1", line)
-    out = _WORD.findall(line.lower())
-    if not line.isascii() and _CJK.search(line):
-        cut: list[str] = []
-        for w in out:
-            cut.extend(w if _CJK.match(w) else [w])
-        out = cut
-    return ["0" if w[0].isdigit() else w for w in out] if _DIGIT.search(line) else out
-
-
-def shape(line: str, words: list[str]) -> list[str]:
-    """What the look of a line says, apart from its words and place."""
-    s = line.strip()
-    bare = s.strip("*_")
-    out = []
-    n = len(words)
-    ends = bool(_SENTENCE_END.search(bare))
-    if s[0] == "#":
-        out.append("~heading")
-    elif s[0] == "|" and s[-1] == "|" and len(s) > 1:
-        out.append("~table")
-    elif s[0] == ">":
-        out.append("~quote")
-    item = bool(_LIST.match(s))
-    if item:
-        out.append("~item.end" if ends else "~item")
-    if bare != s and s[0] in "*_" and s[-1] in "*_":
-        out.append("~emphasis")
-    links = _LINK.findall(s)
-    if links:
-        share = sum(map(len, links)) / max(1, len(_LINK.sub(r"\1", s)))
-        out.append("~link.all" if share > 0.8 else "~link.some" if share > 0.3 else "~link")
-    seps = len(_SEPARATORS.findall(s))
-    if seps:
-        out.append("~sep" + str(min(seps, 4)))
-    inner = len(_SENTENCE.findall(bare))
-    if ends:
-        out.append("~end" + ("+" if inner > 1 else "") + ("." if n > 6 else ""))
-    elif not item and s[0] not in "#|":
-        out.append("~noend")
-    out.append("~n" + str(min(9, int(math.log2(n + 1)))))
-    if bare.isupper() and n > 2:
-        out.append("~upper")
-    if _DATE.search(bare):
-        out.append("~date")
-    if 1 < n < 12 and not ends:
-        names = len(_NAME.findall(bare))
-        out.append("~names" + str(min(names, 4)) + ("all" if names >= n - 1 else ""))
-    return out
-
-
 def features(line: str) -> list[str]:
     """The features of a line, each once, in a fixed order."""
     words = words_of(line)
-    if len(words) <= 40:
+    if len(words) <= PAIRED:
         padded = ["^", *words, "$"]
-        return [*dict.fromkeys(words), *dict.fromkeys(f"{a} {b}" for a, b in zip(padded, padded[1:])), *shape(line, words)]
-    return [*dict.fromkeys(words), *shape(line, words)]
+        return [*dict.fromkeys(words), *dict.fromkeys(f"{a} {b}" for a, b in zip(padded, padded[1:])), *shape(line, len(words))]
+    return [*dict.fromkeys(words), *shape(line, len(words))]
 
 
 class Line:
@@ -156,12 +91,12 @@ def tree(content: str) -> list[Line]:
             continue
         if not s:
             continue
-        if not fence and _LIST.match(s):
+        if not fence and LIST.match(s):
             out.append(Line(no, s, block, head, "item" if head >= 0 else "loose", False))
         else:
             if not fence:
                 head = len(out)
-            out.append(Line(no, s, block, -1, "block", fence or bool(_DATA.match(s))))
+            out.append(Line(no, s, block, -1, "block", fence or bool(DATA.match(s))))
     if out:
         blocks = out[-1].block + 1
         sizes = Counter(x.block for x in out)
@@ -176,34 +111,39 @@ def tree(content: str) -> list[Line]:
     return out
 
 
-KINDS = ("item", "loose", "block", "page")
-
-
 class Model:
-    """Weights of the line features and potentials of the edges; ``chain`` judges spam."""
-
-    def __init__(self, weights: dict[str, float], edges: dict[str, tuple[float, ...]], bias: float, chain: spam.Chain | None = None):
-        self.weights, self.edges, self.bias, self.chain = weights, edges, bias, chain or spam.Chain()
-        self.known: dict[str, float] = {}
+    """Weights of the line features, under their keys, and potentials of the edges; ``chain`` judges spam."""
+
+    def __init__(self, weights: dict[str, float] | tuple[np.ndarray, np.ndarray], edges: dict[str, tuple[float, ...]], bias: float, chain: spam.Chain | None = None):
+        if isinstance(weights, dict):
+            weights = np.array([feature_key(f) for f in weights], dtype=np.uint64), np.array(list(weights.values()), dtype=float)
+        order = np.argsort(weights[0])
+        self.keys, self.values = weights[0][order], weights[1][order]
+        self.edges, self.bias, self.chain = edges, bias, chain or spam.Chain()
+
+    def weights(self, keys: np.ndarray) -> np.ndarray:
+        """The weights of features by their keys."""
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], 0.0)
 
     def potential(self, line: Line) -> float:
         """Log odds of furniture from the line alone."""
         if line.fenced:
             return -12.0
-        w = self.weights
-        got = self.known.get(line.text)
-        if got is None:
-            got = self.bias
-            for f in features(line.text):
-                got += w.get(f, 0.0)
-            if len(line.text) < 200:
-                if len(self.known) > 100_000:
-                    self.known.clear()
-                self.known[line.text] = got
-        for p in line.place:
-            got += w.get(p, 0.0)
+        got = self.bias + float(self.weights(np.array([feature_key(f) for f in (*features(line.text), *line.place)], dtype=np.uint64)).sum())
         return max(-12.0, min(12.0, got))
 
+    def beliefs(self, coded: Coded) -> np.ndarray:
+        """Log odds of furniture of each line of many records, as :meth:`marginals` has them for one."""
+        if not len(coded.which):
+            return np.zeros(0)
+        texts = np.bincount(coded.rows, weights=self.weights(coded.keys)[coded.codes], minlength=coded.n_texts)
+        own = np.clip(self.bias + texts[coded.which] + self.weights(PLACE_KEYS)[coded.places].sum(axis=1), -12, 12)
+        own[coded.fenced] = -12.0
+        return Forest.of(coded).beliefs(own, np.log(np.array([self.edges[k] for k in KINDS]).reshape(4, 2, 2)))[0]
+
     def marginals(self, lines: list[Line]) -> list[float]:
         """P(furniture) of each line by sum-product messages, up from the items to the page and down again.
         Messages are pairs kept as their log ratio (furniture against main)."""
@@ -234,8 +174,15 @@ class Model:
 
     def furniture(self, content: str) -> frozenset[int]:
         """Numbers of the lines of ``content`` that are not main body."""
-        lines = tree(content)
-        return frozenset(x.no for x, p in zip(lines, self.marginals(lines)) if p > 0.5)
+        return self.furnitures([content])[0]
+
+    def furnitures(self, contents: list[str]) -> list[frozenset[int]]:
+        """``furniture`` of many records."""
+        coded = Coded(contents)
+        gone = self.beliefs(coded) > 0
+        ends = np.cumsum(coded.sizes)
+        nos = np.where(gone, coded.nos, 0).tolist()
+        return [frozenset(nos[a:b]) - {0} for a, b in zip((ends - coded.sizes).tolist(), ends.tolist())]
 
     def _pass(self, kind: str, ratio: float, upward: bool) -> float:
         """The message over an edge, as a log ratio, from the sender's ratio."""
@@ -303,50 +250,68 @@ def labelled(html: str, plain: bool = False) -> tuple[str, list[int]] | None:
     return "\n".join(out), [label for _, label, _ in lines]
 
 
-_OTHER_THAN_LETTERS = re.compile(r"[\W\d_]+")
-
-
-def letters(line: str) -> str:
-    return _OTHER_THAN_LETTERS.sub("", line.lower())
-
-
 def line_key(key: str) -> int:
     """The hash under which a line's letters are counted over all records."""
     return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+class Marks:
+    """What the labels of the lines of records go by: the hash of a line's letters and whether it has any, whether it is an
+    item that falls with its head, and whether it is an article's own if it recurs nowhere."""
+
+    def __init__(self, coded: Coded, titles: list[str | None]):
+        heads, ends, held, items, plain, keys = [], [], [], [], [], []
+        for s, n, k in zip(coded.texts, coded.words.tolist(), coded.letters):
+            end, item = ends_sentence(s), bool(LIST.match(s))
+            heads.append(s[0] != "#")
+            ends.append(end)
+            held.append(s[0] == ">" or s[0] == s[-1] == "|" or end and n >= (ITEM if item else PARAGRAPH))
+            items.append(item and n >= ITEM and "](" not in s)  # if it stands below no line
+            plain.append(bool(k))
+            keys.append(line_key(k))
+        which, parent = coded.which, coded.parent
+        bools = [np.array(x, dtype=bool)[which] for x in (heads, ends, held, items, plain)]
+        self.key, self.lettered = np.array(keys, dtype=np.int64)[which], bools[4]
+        self.below = (parent >= 0) & bools[0][parent] & ~bools[1]
+        title = np.array([line_key(letters(t or "")) for t in titles], dtype=np.int64)
+        self.own = bools[2] | bools[3] & (coded.kind == KINDS.index("loose")) | (self.key == np.repeat(title, coded.sizes))
+
+    def of(self, lines: np.ndarray) -> Marks:
+        """The marks of these lines."""
+        out = object.__new__(Marks)
+        out.key, out.lettered, out.below, out.own = (x[lines] for x in (self.key, self.lettered, self.below, self.own))
+        return out
+
+    def keys(self, coded: Coded) -> np.ndarray:
+        """The keys of each record's lines outside fences, each once a record."""
+        some = self.lettered & ~coded.fenced
+        record = np.repeat(np.arange(len(coded.sizes)), coded.sizes)[some]
+        found = distinct(self.key[some])
+        return found[distinct(record * max(1, len(found)) + np.searchsorted(found, self.key[some])) % max(1, len(found))]
+
+    def labels(self, coded: Coded, known: tuple[np.ndarray, np.ndarray], recur: float, rare: float, unknown: int = 1) -> np.ndarray:
+        """The labels of all lines, by the counts of keys (sorted)."""
+        counts = np.full(len(self.key), unknown)
+        if len(known[0]):
+            at = np.minimum(np.searchsorted(known[0], self.key), len(known[0]) - 1)
+            counts = np.where(known[0][at] == self.key, known[1][at], unknown)
+        counts = np.where(self.lettered, counts, 0)
+        labels = np.where(self.own & (counts > 0) & (counts <= rare), MAIN, HIDDEN)
+        labels[(counts >= recur) | self.below & (counts[coded.parent] >= recur)] = FURNITURE
+        labels[coded.fenced] = MAIN
+        return labels
+
+
 def supposed(records: list[tuple[str, str | None]], recur: float = RECUR, rare: float = 1, known: dict[int, int] | None = None) -> list[tuple[str, list[int]]]:
     """Records, given as content and title, with the label of each of their non-blank lines, as far as it can be told.
     ``known``: the counts over all records of the lines (their keys) that stand in more than ``rare``; without it, these
     records are all."""
-    trees = [[(x.text, letters(x.text), x) for x in tree(c)] for c, _ in records]
-    if known is None:
-        counts = Counter(k for t in trees for k in {k for _, k, x in t if k and not x.fenced})
-    else:
-        counts = {k: known.get(line_key(k), 1) for t in trees for k in {k for _, k, _ in t if k}} | {"": 0}
-    out = []
-    for (content, title), t in zip(records, trees):
-        title = letters(title or "")
-        labels = []
-        for text, key, x in t:
-            if x.fenced:
-                labels.append(MAIN)
-            elif key and counts[key] >= recur or x.parent >= 0 and counts[t[x.parent][1]] >= recur and t[x.parent][0][0] != "#" and not _SENTENCE_END.search(text):
-                labels.append(FURNITURE)
-            elif 0 < counts[key] <= rare and (text[0] == ">" or text[0] == text[-1] == "|" or key == title or _own(x)):
-                labels.append(MAIN)
-            else:
-                labels.append(HIDDEN)
-        out.append((content, labels))
-    return out
-
-
-def _own(x: Line) -> bool:
-    """Whether a line that stands in one record only is surely its article's."""
-    ends, n = bool(_SENTENCE_END.search(x.text)), len(words_of(x.text))
-    if _LIST.match(x.text):
-        return n >= ITEM and (ends or x.kind == "loose" and "](" not in x.text)
-    return ends and n >= PARAGRAPH
+    coded = Coded([c for c, _ in records])
+    marks = Marks(coded, [t for _, t in records])
+    counts = np.unique(marks.keys(coded), return_counts=True) if known is None else tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(known.items()))) or (np.zeros(0, np.int64),) * 2
+    labels = marks.labels(coded, counts, recur, rare, int(known is not None)).tolist()
+    ends = np.cumsum(coded.sizes).tolist()
+    return [(c, labels[b - n : b]) for (c, _), n, b in zip(records, coded.sizes.tolist(), ends)]
 
 
 class Forest:
@@ -367,6 +332,17 @@ class Forest:
         self.tops = np.flatnonzero(parent < 0)
         self.sizes = len(lines), len(self.page), len(trees)
 
+    @classmethod
+    def of(cls, coded: Coded) -> Forest:
+        """The trees of coded records."""
+        out = cls.__new__(cls)
+        out.kind, out.fenced, out.block = coded.kind, coded.fenced, coded.block
+        out.page = np.repeat(np.arange(len(coded.sizes)), coded.blocks)
+        out.items, out.tops = np.flatnonzero(coded.parent >= 0), np.flatnonzero(coded.parent < 0)
+        out.heads = coded.parent[out.items]
+        out.sizes = len(coded.which), len(out.page), len(coded.sizes)
+        return out
+
     def beliefs(self, own: np.ndarray, log_edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of furniture of each line, from their own log odds and the log potentials of the edges by kind (4, 2,
         2), and the expected number of edges of each kind in each pair of states."""
@@ -410,67 +386,69 @@ class Forest:
 
 
 class Part:
-    """Some of the pages of a sample as arrays: their forest, labels, and the features of each line (the last one a bias)."""
-
-    def __init__(self, trees: list[list[Line]], labels: list[int], flat: np.ndarray, starts: np.ndarray):
-        self.forest = Forest(trees)
-        self.y = np.array(labels, dtype=np.int64)
-        self.flat, self.starts = flat, starts
-        self.row = np.repeat(np.arange(len(starts)), np.diff([*starts, len(flat)]))
+    """Some of the records of a sample as arrays: their forest, labels, places, and the features (of ``place``, by number)
+    of their distinct texts."""
+
+    def __init__(self, coded: Coded, records: np.ndarray, y: np.ndarray, rows: np.ndarray, codes: np.ndarray):
+        starts = np.cumsum(coded.sizes) - coded.sizes
+        self.y = y[ranges(starts[records], coded.sizes[records])]
+        x = coded.of(records)
+        self.forest, self.places = Forest.of(x), x.places.astype(np.int64)
+        some = np.zeros(coded.n_texts, dtype=bool)
+        some[x.which] = True
+        number = np.cumsum(some) - 1
+        self.which, self.texts = number[x.which], int(some.sum())
+        here = some[rows]
+        self.rows, self.codes = number[rows[here]], codes[here]
         self.labels = max(1, int((self.y >= 0).sum()))
         self.sure = np.where(self.y == FURNITURE, 25.0, -25.0)
 
 
 def fitted(sample: list[tuple[str, list[int]]], rounds: int = 80, l2: float = 2e-5, chain: spam.Chain | None = None, part: int = 0) -> Model:
-    """The model fitted to pages, given as text and the label of each non-blank line (HIDDEN where it is not known), by
-    Adam on the likelihood of the labels: what is expected with the labels less what is expected without. With ``part``,
-    the pages are dealt to parts of about so many, which the rounds take in turn."""
-    kept = [(t, ys) for text, ys in sample if (t := tree(text)) and len(t) == len(ys)]
+    """The model fitted to pages, given as text and the label of each non-blank line (HIDDEN where it is not known)."""
+    coded = Coded([text for text, _ in sample])
+    same = np.flatnonzero((coded.sizes > 0) & (coded.sizes == np.array([len(ys) for _, ys in sample], dtype=np.int64)))
+    return fitted_to(coded.of(same), np.array([v for k in same.tolist() for v in sample[k][1]], dtype=np.int64), rounds, l2, chain, part)
+
+
+def fitted_to(coded: Coded, y: np.ndarray, rounds: int = 80, l2: float = 2e-5, chain: spam.Chain | None = None, part: int = 0) -> Model:
+    """The model fitted to coded records and the labels of their lines, by Adam on the likelihood of the labels: what is
+    expected with the labels less what is expected without. With ``part``, the records are dealt to parts of about so many,
+    which the rounds take in turn."""
     edges = np.tile(np.log(np.array([[1.5, 0.67], [0.67, 1.5]])), (4, 1, 1))
-    if not kept:
+    if not len(y):
         return Model({}, {k: tuple(np.exp(e).ravel().tolist()) for k, e in zip(KINDS, edges)}, 0.0, chain)
-    known: dict[str, np.ndarray] = {}
-    numbers: dict[str, int] = {}
-    ids = lambda names: np.array([numbers.setdefault(f, len(numbers)) for f in names], dtype=np.int64)
-    rows = []
-    for t, _ in kept:
-        of_page = []
-        for x in t:
-            got = known.get(x.text)
-            if got is None:
-                got = known[x.text] = ids(features(x.text))
-            of_page.append(np.concatenate((got, ids(x.place))))
-        rows.append(of_page)
-    names = list(numbers)
-    often = np.flatnonzero(np.bincount(np.concatenate([r for of_page in rows for r in of_page]), minlength=len(names)) >= 3)
-    place = np.full(len(names), -1)
+    times = np.bincount(coded.which, minlength=coded.n_texts)
+    often = np.flatnonzero(np.bincount(coded.codes, weights=times[coded.rows], minlength=len(coded.keys)) >= 3)
+    place = np.full(len(coded.keys), -1)
     place[often] = np.arange(len(often))
-    vocabulary = {names[f]: i for i, f in enumerate(often.tolist())}
-    size = len(vocabulary)
-    several = max(1, len(kept) // part) if part else 1
-    parts = []
-    for p in range(several):
-        lines = [np.append(r, -1) for of_page in rows[p::several] for r in of_page]
-        flat = np.concatenate(lines)
-        flat = np.where(flat < 0, size, place[flat])
-        line = np.repeat(np.arange(len(lines)), [len(r) for r in lines])[flat >= 0]
-        some = kept[p::several]
-        parts.append(Part([t for t, _ in some], [v for _, ys in some for v in ys], flat[flat >= 0], np.searchsorted(line, np.arange(len(lines)))))
-    del rows, known
-    theta = [np.zeros(size + 1), edges]
+    codes = place[coded.codes]
+    rows, codes = coded.rows[codes >= 0], codes[codes >= 0]
+    size = len(often)
+    used = np.bincount(coded.places.ravel(), minlength=len(PLACES)) >= 3
+    several = max(1, len(coded.sizes) // part) if part else 1
+    parts = [Part(coded, np.arange(p, len(coded.sizes), several), y, rows, codes) for p in range(several)]
+    theta = [np.zeros(size + len(PLACES) + 1), edges]  # of features, places and a bias
     mean = [np.zeros_like(x) for x in theta]
     square = [np.zeros_like(x) for x in theta]
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, rounds + 1):
         w, e = theta
         x = parts[t % several]
-        own = np.add.reduceat(w[x.flat], x.starts)
+        own = np.bincount(x.rows, weights=w[x.codes], minlength=x.texts)[x.which] + w[size:-1][x.places].sum(axis=1) + w[-1]
         own[x.forest.fenced] = -12.0
         free, among = x.forest.beliefs(own, e)
         held, among_held = x.forest.beliefs(np.where(x.y >= 0, x.sure, own), e)
         d = np.where(x.y >= 0, x.y == FURNITURE, sigmoid(held)) - sigmoid(free)
         d[x.forest.fenced] = 0.0
-        slope = [np.bincount(x.flat, weights=d[x.row], minlength=size + 1) / x.labels - l2 * w, (among_held - among) / x.labels - l2 * e]
+        slope = np.concatenate(
+            (
+                np.bincount(x.codes, weights=np.bincount(x.which, weights=d, minlength=x.texts)[x.rows], minlength=size),
+                np.bincount(x.places.ravel(), weights=np.repeat(d, x.places.shape[1]), minlength=len(PLACES)) * used,
+                [d.sum()],
+            )
+        )
+        slope = [slope / x.labels - l2 * w, (among_held - among) / x.labels - l2 * e]
         rate = 0.12 / (1 + t / 60)
         for k, (v, g) in enumerate(zip(theta, slope)):
             mean[k] = 0.9 * mean[k] + 0.1 * g
@@ -478,7 +456,9 @@ def fitted(sample: list[tuple[str, list[int]]], rounds: int = 80, l2: float = 2e
             step = mean[k] / (1 - 0.9**t) / (np.sqrt(square[k] / (1 - 0.99**t)) + 1e-9)
             theta[k] = v + rate * step * (0.3 if k == 1 else 1.0)
     w, e = theta
-    return Model({f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 1e-3}, {k: tuple(np.exp(e[j]).ravel().tolist()) for j, k in enumerate(KINDS)}, float(w[size]), chain)
+    keys, values = np.concatenate((coded.keys[often], PLACE_KEYS)), w[:-1]
+    told = np.abs(values) > 1e-3
+    return Model((keys[told], values[told]), {k: tuple(np.exp(e[j]).ravel().tolist()) for j, k in enumerate(KINDS)}, float(w[-1]), chain)
 
 
 def train(pages: list[str], records: list[tuple[str, str | None]] | None = None) -> Model:
@@ -486,115 +466,198 @@ def train(pages: list[str], records: list[tuple[str, str | None]] | None = None)
     return fitted([got for k, html in enumerate(pages) if (got := labelled(html, bool(k % 2))) is not None] + supposed(records or []))
 
 
-PREPARED = T.StructType(
-    [
-        T.StructField("page", T.BooleanType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("labels", T.ArrayType(T.IntegerType())),
-        T.StructField("symbols", T.ArrayType(T.IntegerType())),
-        T.StructField("keys", T.ArrayType(T.LongType())),
-    ]
-)
-WEIGHTS = T.StructType([T.StructField("name", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("labels", T.LongType())])
-
-
-def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Raw pages as their lines with labels; records with the symbols of their lines, and those that are articles by the
-    spam model's starting tables with the keys of their lines."""
-    start = spam.Chain()
-    once = set()  # all rows of an id are in one partition, of about ``SHARD`` rows: repeated deliveries count once
+#: A shard: what the model is fitted to and, if asked for, what is judged; the symbols of its records, the keys of their
+#: lines, and the number of records that are articles.
+PREPARED = T.StructType([T.StructField("shard", T.BinaryType()), T.StructField("symbols", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("records", T.LongType())])
+PAGES = T.StructType([T.StructField("id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("text", T.StringType()), T.StructField("labels", T.ArrayType(T.IntegerType()))])
+WEIGHTS = T.StructType([T.StructField("name", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("labels", T.LongType())])
+#: Names beside those of features.
+BIAS = key("\x00bias")
+EDGES = [key(f"\x00edge{k}{j}") for k in KINDS for j in range(4)]
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Raw pages as their lines with labels."""
     for batch in batches:
-        rows = []
-        for page, i, text, title in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            mark = page, i, line_key(text), title
-            if mark in once:
-                continue
-            once.add(mark)
-            if page:
-                if (got := labelled(text, bool((i or 0) % 2))) is not None:
-                    rows.append((True, i, *got[:1], None, got[1], None, None))
-                continue
-            seen = spam.repeated(spam.observe(text))
-            keys = None
-            if text.strip() and not start.is_spam(text, seen) and not is_residue(text):
-                keys = sorted({line_key(k) for x in tree(text) if not x.fenced and (k := letters(x.text))})
-            rows.append((False, i, text, title, None, [o for o, _, times in seen for _ in range(times)], keys))
-        columns = list(zip(*rows)) or [()] * len(PREPARED)
-        kinds = (pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=PREPARED.names)
+        rows = [(i, tie, *got) for i, tie, html in zip(*(c.to_pylist() for c in batch.columns)) if (got := labelled(html, bool((i or 0) % 2))) is not None]
+        columns = list(zip(*rows)) or [()] * len(PAGES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())))], names=PAGES.names)
+
+
+class Judged:
+    """Records with what is needed to judge them: coded, with the observations of the spam model and those lines' evidence
+    where there is any."""
+
+    def __init__(self, ids: list[int | None], contents: list[str], coded: Coded, seen: spam.Seen, evidence: dict[int, list[tuple[int, int]]]):
+        self.ids, self.coded, self.seen, self.evidence = ids, coded, seen, evidence
+
+    @classmethod
+    def of(cls, ids: list[int | None], contents: list[str]) -> Judged:
+        evidence = {k: got for k, c in enumerate(contents) if (got := weighed(c))}
+        return cls(ids, contents, Coded(contents), spam.Seen(contents), evidence)
+
+    def furniture(self, model: Model) -> tuple[list[int | None], list[int]]:
+        """Ids and numbers of the furniture lines of the records that are neither spam nor residue."""
+        coded = self.coded
+        gone = model.beliefs(coded) > 0
+        out = model.chain.are_spam(self.seen)
+        starts = np.cumsum(coded.sizes) - coded.sizes
+        for k, lines in self.evidence.items():
+            if not out[k]:
+                a = starts[k]
+                lost = frozenset(coded.nos[a : a + coded.sizes[k]][gone[a : a + coded.sizes[k]]].tolist())
+                out[k] = is_case(lines, lost)
+        record = np.repeat(np.arange(len(coded.sizes)), coded.sizes)
+        found = gone & ~out[record]
+        return [self.ids[k] for k in record[found].tolist()], coded.nos[found].tolist()
+
+
+def _prepared(batches: Iterator[pa.RecordBatch], judged: bool) -> Iterator[pa.RecordBatch]:
+    """A shard of labelled pages and records, each once (all rows of an id are in one shard: repeated deliveries count
+    once), in the order of their ids: coded, with the labels of the pages and the marks of the records that are articles by
+    the spam model's starting tables. ``judged``: all records also as they are judged."""
+    pages, records = {}, {}
+    for batch in batches:
+        for i, tie, text, title, labels in zip(*(c.to_pylist() for c in batch.columns)):
+            if labels is not None:
+                pages[i, tie, text] = labels
+            else:
+                records[i, text, title] = None
+    rows = sorted(records, key=lambda r: (r[0] or 0, r[1], r[2] or ""))
+    contents = [text for _, text, _ in rows]
+    seen = spam.Seen(contents)
+    article = ~spam.Chain().are_spam(seen)
+    evidence = {k: got for k, c in enumerate(contents) if (got := weighed(c))}
+    for k, lines in evidence.items():
+        article[k] &= not is_case(lines)
+    article &= np.array([bool(c.strip()) for c in contents], dtype=bool)
+    first = sorted(pages.items(), key=lambda r: (r[0][0] or 0, r[0][2], r[0][1] or 0))
+    texts = [text for (_, _, text), _ in first]
+    sample = np.concatenate((np.full(len(texts), True), article))
+    labels = np.array([v for _, ys in first for v in ys], dtype=np.int64)
+    coded = Coded(texts + (contents if judged else [c for c, a in zip(contents, article) if a]))
+    if not judged:
+        sample = sample[sample]
+    of_pages = np.arange(len(coded.sizes)) < len(texts)
+    marks = Marks(coded, [None] * len(texts) + [title for (_, _, title), a in zip(rows, article) if judged or a])
+    at = np.flatnonzero(sample & ~of_pages)
+    starts = np.cumsum(coded.sizes) - coded.sizes
+    some = ranges(starts[at], coded.sizes[at])
+    own = coded.of(at)
+    keys = marks.of(some).keys(own)
+    del coded.texts, coded.letters
+    if not judged:
+        coded.drop_rare()
+    shard = {"coded": coded, "marks": marks, "sample": sample, "labels": labels, "pages": len(texts)}
+    if judged:
+        shard |= {"ids": [i for i, _, _ in rows], "seen": seen, "evidence": evidence}
+    names = pa.array([packed(shard)], pa.binary()), pa.array([seen.flat()], pa.list_(pa.int32())), pa.array([keys], pa.list_(pa.int64())), pa.array([int(article.sum())], pa.int64())
+    yield pa.RecordBatch.from_arrays(list(names), names=PREPARED.names)
+
+
+def packed(shard: dict) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=-1).compress(pickle.dumps(shard, protocol=5))
+
+
+def unpacked(data: bytes) -> dict:
+    import zstandard
+
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
 def mixed(prepared: DataFrame, chain: spam.Chain, shard: int = SHARD, part: int = PART) -> Model:
-    """The mean of the models fitted to each partition of ``prepared``, weighted by its labels, for each feature over the
-    partitions that have it; lines are counted over all."""
-    scale = max(1.0, prepared.where("keys IS NOT NULL").count() / shard)
+    """The mean of the models fitted to each row of ``prepared``, weighted by its labels, for each feature over the rows that
+    have it; lines are counted over all."""
+    scale = max(1.0, (prepared.agg(F.sum("records")).first()[0] or 0) / shard)
     # lines in more than one of ``shard`` records: their number is bounded by the lines of ``shard`` records
     counts = prepared.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > scale).collect()
-    shared = prepared.sparkSession.sparkContext.broadcast({r["key"]: r["count"] for r in counts})
+    known = sorted((r["key"], r["count"]) for r in counts)
+    shared = prepared.sparkSession.sparkContext.broadcast((np.array([k for k, _ in known], dtype=np.int64), np.array([n for _, n in known], dtype=np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
-        rows.sort(key=lambda r: (not r[0], r[1] or 0, r[2], r[3] or ""))
-        records = supposed([(r[2], r[3]) for r in rows if not r[0]], RECUR * scale, scale, shared.value)
-        sample = [(r[2], r[4]) for r in rows if r[0]] + records
-        labels = sum(v != HIDDEN for _, ys in sample for v in ys)
-        if labels:
-            m = fitted(sample, part=part)
-            names = [*m.weights, BIAS, *(f"{EDGE}{k}{j}" for k in KINDS for j in range(4))]
-            weights = [*m.weights.values(), m.bias, *(math.log(v) for k in KINDS for v in m.edges[k])]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([labels * w for w in weights], pa.float64()), pa.array([labels] * len(names), pa.int64())], names=WEIGHTS.names)
-
-    every = prepared.where("page OR keys IS NOT NULL").select("page", "id", "text", "title", "labels").mapInArrow(run, WEIGHTS)
+        for batch in batches:
+            for data in batch.column(0):
+                x = unpacked(data.as_py())
+                coded, sample = x["coded"], x["sample"]
+                y = x["marks"].labels(coded, shared.value, RECUR * scale, scale)
+                y[: len(x["labels"])] = x["labels"]
+                records = np.flatnonzero(sample & (coded.sizes > 0))
+                starts = np.cumsum(coded.sizes) - coded.sizes
+                y = y[ranges(starts[records], coded.sizes[records])]
+                labels = int((y != HIDDEN).sum())
+                if labels:
+                    m = fitted_to(coded.of(records), y, part=part)
+                    names = np.concatenate((m.keys, np.array([BIAS, *EDGES], dtype=np.uint64))).view(np.int64)
+                    weights = np.concatenate((m.values, [m.bias], np.log([v for k in KINDS for v in m.edges[k]])))
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(labels * weights), pa.array(np.full(len(names), labels))], names=WEIGHTS.names)
+
     # decimals: their sum is the same in any order
-    sums = every.groupBy("name").agg(F.sum(F.col("weight").cast("decimal(28,9)")).alias("weight"), F.sum("labels").alias("labels")).collect()
-    means = {r["name"]: float(r["weight"]) / r["labels"] for r in sorted(sums, key=lambda r: r["name"])}
-    if not means:
+    sums = prepared.select("shard").mapInArrow(run, WEIGHTS).groupBy("name").agg(F.sum(F.col("weight").cast("decimal(28,9)")).cast("double").alias("weight"), F.sum("labels").alias("labels")).toArrow()
+    if not len(sums):
         return fitted([], chain=chain)
-    edges = {k: tuple(math.exp(means.pop(f"{EDGE}{k}{j}")) for j in range(4)) for k in KINDS}
-    return Model({f: w for f, w in means.items() if f != BIAS and abs(w) > 1e-3}, edges, means[BIAS], chain)
+    names, weights = np.asarray(sums["name"].to_numpy()).view(np.uint64), sums["weight"].to_numpy() / sums["labels"].to_numpy()
+    beside = np.isin(names, np.array([BIAS, *EDGES], dtype=np.uint64))
+    means = dict(zip(names[beside].tolist(), weights[beside].tolist()))
+    edges = np.exp([means[e] for e in EDGES]).reshape(len(KINDS), 4)
+    told = ~beside & (np.abs(weights) > 1e-3)
+    return Model((names[told], weights[told]), {k: tuple(e) for k, e in zip(KINDS, edges.tolist())}, means[BIAS], chain)
+
+
+def prepare(spark, sf: str, shard: int = SHARD, judged: bool = False) -> DataFrame:
+    """All raw pages and all records in shards. Half of the pages are written in Markdown and half as plain text, the two
+    formats of records; each page is parsed once, and goes to ``COPIES`` shards."""
+    raw = spark.read.parquet(f"{sf}/pages.parquet").where("html IS NOT NULL AND html <> ''").select(F.col("page_id").alias("id"), F.xxhash64("html").alias("tie"), "html")
+    copies = raw.mapInArrow(_labelled, PAGES).select("id", "tie", "text", F.lit(None).cast("string").alias("title"), "labels", F.explode(F.sequence(F.lit(1), F.lit(COPIES))).alias("copy"))
+    records = scrapes(spark, sf).where("content IS NOT NULL").select(F.col("scrape_id").alias("id"), F.lit(0).cast("bigint").alias("tie"), F.col("content").alias("text"), F.col("metadata.title").alias("title"), F.lit(None).cast("array<int>").alias("labels"), F.lit(0).alias("copy"))
+    shards = max(1, round(records.count() / shard))
+    return cut(copies.union(records).repartition(shards, "id", "copy").drop("copy").mapInArrow(lambda batches: _prepared(batches, judged), PREPARED))
 
 
-#: Names beside those of features.
-BIAS, EDGE = "\x00bias", "\x00edge"
+def fit_to(prepared: DataFrame, shard: int = SHARD, part: int = PART) -> Model:
+    """The model trained on prepared shards, and the spam model of their records."""
+    return mixed(prepared, spam.learned(cut(prepared.select("symbols"))), shard, part)
 
 
 def fit(spark, sf: str, shard: int = SHARD, part: int = PART) -> Model:
-    """The model trained on all raw pages and all records, and the spam model of the same records. Half of the pages are
-    written in Markdown and half as plain text, the two formats of records."""
-    raw = spark.read.parquet(f"{sf}/pages.parquet").where("html IS NOT NULL AND html <> ''").select(F.lit(True).alias("page"), F.col("page_id").alias("id"), F.col("html").alias("text"), F.lit(None).cast("string").alias("title"), F.explode(F.sequence(F.lit(1), F.lit(COPIES))).alias("copy"))
-    records = scrapes(spark, sf).where("content IS NOT NULL").select(F.lit(False).alias("page"), F.col("scrape_id").alias("id"), F.col("content").alias("text"), F.col("metadata.title").alias("title"), F.lit(0).alias("copy"))
-    every = raw.union(records)
-    shards = max(1, round(records.count() / shard))
-    prepared = cut(every.repartition(shards, "id", "copy").drop("copy").mapInArrow(_prepared, PREPARED))
-    return mixed(prepared, spam.learned(prepared.where("NOT page")), shard, part)
+    """The model trained on all raw pages and all records, and the spam model of the same records."""
+    return fit_to(prepare(spark, sf, shard), shard, part)
 
 
 FOUND = T.StructType([T.StructField("scrape_id", T.LongType()), T.StructField("line_no", T.LongType())])
 
 
+def _found(ids: list[int | None], nos: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64())], names=FOUND.names)
+
+
 def found_lines(df: DataFrame, model: Model) -> DataFrame:
     """(scrape_id, line_no) of the furniture lines of (scrape_id, content)."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # features that three lines of a shard share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            ids, nos = [], []
-            for i, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if m.chain.is_spam(content):
-                    continue
-                got = m.furniture(content)
-                if is_residue(content, lambda _, got=got: got):
-                    continue
-                ids += [i] * len(got)
-                nos += got
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64())], names=FOUND.names)
+            yield _found(*Judged.of(batch.column(0).to_pylist(), batch.column(1).to_pylist()).furniture(shared.value))
 
     return df.select("scrape_id", "content").where("trim(content) <> ''").mapInArrow(run, FOUND).distinct()
 
 
+def found_prepared(prepared: DataFrame, model: Model) -> DataFrame:
+    """``found_lines`` of all records of shards that were prepared with ``judged``."""
+    shared = prepared.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                x = unpacked(data.as_py())
+                records = np.arange(x["pages"], len(x["coded"].sizes))
+                yield _found(*Judged(x["ids"], [], x["coded"].of(records), x["seen"], x["evidence"]).furniture(shared.value))
+
+    return prepared.select("shard").mapInArrow(run, FOUND).distinct()
+
+
 def p4_found(spark, sf):
     """(scrape_id, line_no) of the lines that are not main body."""
-    return found_lines(scrapes(spark, sf), fit(spark, sf))
+    prepared = prepare(spark, sf, judged=True)
+    return found_prepared(prepared, fit_to(prepared))

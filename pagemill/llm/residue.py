@@ -176,12 +176,14 @@ def _concepts(lower: str) -> list[tuple[int, int]]:
 LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
+_LONG_FILLER = sorted(w for w in LOREM if len(w) > 5)
 #: Words of a line that may be a message, and of prose that may stand beside messages.
 MESSAGE_WORDS = 26
+#: Characters of a line that may be a message.
+LONGEST = 260
 _WORDS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _ENDS = re.compile(r"[.!?…。！？][\"'”’»)」』*_]*\s*$")
-_MARKS = re.compile(r"^[\s#>*_\-]+|[\s*_]+$")
 
 
 def _count(line: str) -> int:
@@ -190,6 +192,14 @@ def _count(line: str) -> int:
     return len(_WORDS.findall(_CJK.sub(" ", line) if cjk else line)) + cjk // 2
 
 
+def _bare(line: str) -> str:
+    """A line without the marks and blanks around it."""
+    rest = None
+    while rest != line:
+        rest, line = line, line.lstrip().lstrip("#>*_-").rstrip().rstrip("*_")
+    return line
+
+
 def is_filler(line: str) -> bool:
     words = [w.lower() for w in _WORDS.findall(line)]
     return len(words) >= 4 and sum(w in LOREM for w in words) >= 0.8 * len(words)
@@ -198,7 +208,7 @@ def is_filler(line: str) -> bool:
 def is_message(line: str, said: int | None = None) -> bool:
     """Whether a line is, as a whole, an error message, a demand for scripts, or filler. ``said``: the concepts of its
     words."""
-    bare = _MARKS.sub("", line).lower().replace("’", "'")
+    bare = _bare(line).lower().replace("’", "'")
     if said is None:
         said = 0
         for _, bits in _concepts(bare):
@@ -207,7 +217,7 @@ def is_message(line: str, said: int | None = None) -> bool:
         return False
     if said & _LATIN and is_filler(line):
         return True
-    if len(bare) > 260:
+    if len(bare) > LONGEST:
         return False
     if _CODE.search(bare):
         said |= _NAMES["code"]
@@ -227,21 +237,35 @@ def is_message(line: str, said: int | None = None) -> bool:
     return any(said & r == r for said in sentences for r in _RULES)
 
 
+def _some_filler(lower: str) -> bool:
+    for w in _LONG_FILLER:
+        if w in lower:
+            return True
+    return False
+
+
 def message_lines(content: str) -> set[int]:
     """Numbers of the lines that are messages."""
-    lower = content.lower().replace("’", "'")
-    if len(lower) != len(content):  # rare letters whose lower case is longer: places would not fit
-        return {no for no, line in enumerate(content.split("\n"), 1) if is_message(line)}
+    lines = content.split("\n")
+    # a long line can only be filler
+    long = [no for no, x in enumerate(lines, 1) if len(x) > LONGEST and len(_bare(x)) > LONGEST] if len(content) > LONGEST else []
+    out = {no for no in long if _some_filler(lines[no - 1].lower()) and is_message(lines[no - 1])}
+    short = content
+    if long:
+        rest = lines[:]
+        for no in long:
+            rest[no - 1] = ""
+        short = "\n".join(rest)
+    lower = short.lower().replace("’", "'")
+    if len(lower) != len(short):  # rare letters whose lower case is longer: places would not fit
+        return {no for no, line in enumerate(lines, 1) if is_message(line)}
     hits: dict[int, int] = {}
     at, line = 0, 1
     for end, bits in _concepts(lower):
         line += lower.count("\n", at, end)
         at = end
         hits[line] = hits.get(line, 0) | bits
-    if not hits:
-        return set()
-    lines = content.split("\n")
-    return {no for no, said in hits.items() if is_message(lines[no - 1], said)}
+    return out | {no for no, said in hits.items() if is_message(lines[no - 1], said)}
 
 
 _QUOTED = re.compile(r"['\"‘“„«`][^'\"’”“»`]{3,60}['\"’”»`].*\w.*\w")
@@ -302,11 +326,13 @@ def is_residue(content: str | None, furniture: Callable[[str], frozenset[int]] =
     if not content or not content.strip():
         return False
     lines = weighed(content)
-    if lines is None:
-        return False
+    return lines is not None and is_case(lines, furniture(content))
+
+
+def is_case(lines: list[tuple[int, int]], gone: frozenset[int] = frozenset()) -> bool:
+    """Whether the weighed lines of a record, without the prose of those numbered ``gone``, make it a case."""
     if any(kind == PLACE for kind, _ in lines):
         return True
-    gone = furniture(content)
     said = sum(n for kind, n in lines if kind == MESSAGE)
     return _outweighs(said, sum(n for no, (kind, n) in enumerate(lines, 1) if kind == PROSE and no not in gone))
 

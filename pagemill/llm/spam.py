@@ -115,7 +115,8 @@ def symbols(line: str, hosts: Counter) -> list[tuple[int, int]]:
     urls = _URL.findall(s) if "://" in s else []
     if urls:
         plain = _URL.sub(" ", plain)
-    bare = _ITEM.sub("", plain).strip("*_ ")
+    item = _ITEM.match(plain)
+    bare = (plain[item.end() :] if item else plain).strip("*_ ")
     words = _WORD.findall(bare.lower())
     cjk = 0 if bare.isascii() else len(_CJK.findall(bare))
     n = len(words) if not cjk else len(_WORD.findall(_CJK.sub(" ", bare))) + cjk // 2
@@ -214,6 +215,45 @@ class Chain:
         return lists >= MIN_WORDS and lists > words[0] and lists + words[3] >= SHARE * sum(words)
 
 
+    def are_spam(self, seen: Seen) -> np.ndarray:
+        """``is_spam`` of many records."""
+        lengths = seen.lengths()
+        path = np.zeros(int(lengths.sum()), dtype=np.int64)
+        flat = np.repeat(seen.symbols, seen.times)
+        starts = np.cumsum(lengths) - lengths
+        for k in np.flatnonzero(lengths > TOGETHER).tolist():
+            path[starts[k] : starts[k] + lengths[k]] = self.states(flat[starts[k] : starts[k] + lengths[k]].tolist())
+        order = np.argsort(-lengths, kind="stable")
+        order = order[(lengths[order] > 0) & (lengths[order] <= TOGETHER)]
+        if len(order):
+            steps, emit = np.array(self.transitions).T, np.array(self.emissions).T
+            begins, sizes = starts[order], lengths[order]
+            many = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()
+            score = np.array(self.start) + emit[flat[begins]]
+            last, back = score.copy(), [None]
+            for t in range(1, int(sizes[0])):
+                k = many[t]
+                sums = score[:k, None, :] + steps  # by the state after, then the one before
+                back.append(best := sums.argmax(axis=2))
+                score = np.take_along_axis(sums, best[:, :, None], 2)[:, :, 0] + emit[flat[begins[:k] + t]]
+                last[:k] = score
+            state = last.argmax(axis=1)
+            for t in range(int(sizes[0]) - 1, -1, -1):
+                k = many[t]
+                path[begins[:k] + t] = state[:k]
+                if t:
+                    state[:k] = back[t][np.arange(k), state[:k]]
+        record = np.repeat(np.arange(len(seen.sizes)), seen.sizes)
+        at = np.cumsum(seen.times) - seen.times
+        words = np.bincount(record * 4 + path[at], weights=seen.words, minlength=4 * len(seen.sizes)).reshape(-1, 4)
+        lists = words[:, 1] + words[:, 2]
+        return (lists >= MIN_WORDS) & (lists > words[:, 0]) & (lists + words[:, 3] >= SHARE * words.sum(axis=1))
+
+
+#: Symbols up to which sequences are judged together.
+TOGETHER = 400
+
+
 def symbols_of(content: str) -> list[int]:
     """The sequence of symbols of a record."""
     return [o for o, _, times in repeated(observe(content)) for _ in range(times)]
@@ -224,16 +264,44 @@ def repeated(seen: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return [(o, n, max(1, n // LONG)) for o, n in seen]
 
 
-def expected(first: np.ndarray, step: np.ndarray, emit: np.ndarray, sequences: list[list[int]]) -> np.ndarray:
-    """The expected numbers of starts, steps and emissions over sequences of symbols, laid end to end."""
+class Seen:
+    """The observations of many records, laid end to end: symbols, words, how often each comes, and their number a record."""
+
+    def __init__(self, contents: list[str]):
+        each = [observe(c) if c.strip() else [] for c in contents]
+        self.sizes = np.array([len(x) for x in each], dtype=np.int64)
+        self.symbols = np.array([o for x in each for o, _ in x], dtype=np.int8)
+        self.words = np.array([n for x in each for _, n in x], dtype=np.int64)
+        self.times = np.maximum(1, self.words // LONG)
+
+    def lengths(self) -> np.ndarray:
+        """The number of symbols of each record, each as often as it comes."""
+        return np.diff(np.concatenate(([0], np.cumsum(self.times)))[np.concatenate(([0], np.cumsum(self.sizes)))])
+
+    def flat(self) -> np.ndarray:
+        """The symbols of all records, each as often as it comes, and END after each record."""
+        return np.insert(np.repeat(self.symbols, self.times).astype(np.int32), np.cumsum(self.lengths()), END)
+
+
+#: Ends a sequence of symbols.
+END = -1
+
+
+def expected(first: np.ndarray, step: np.ndarray, emit: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The expected numbers of starts, steps and emissions over sequences of symbols, laid end to end, with END after each."""
     n_first, n_step, n_emit = np.zeros(4), np.zeros((4, 4)), np.zeros((4, len(SYMBOLS)))
-    todo = sorted((x for x in sequences if x), key=len, reverse=True)
-    if todo:
-        lengths = np.array([len(x) for x in todo])
-        at = [np.array([x[t] for x in todo[: int((lengths > t).sum())]]) for t in range(lengths[0])]  # symbols of place t
+    ends = np.flatnonzero(flat == END)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    order = np.argsort(starts - ends, kind="stable")  # the longest first
+    starts, lengths = starts[order], (ends - starts)[order]
+    starts, lengths = starts[lengths > 0], lengths[lengths > 0]
+    if len(starts):
+        many = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # sequences longer than t
+        at = [flat[starts[:k] + t] for t, k in enumerate(many.tolist())]  # symbols of place t
+        emitted = emit.T
         forward, scale = [], []
         for t, o in enumerate(at):
-            a = (first[None, :] if t == 0 else forward[-1][: len(o)] @ step) * emit[:, o].T
+            a = (first[None, :] if t == 0 else forward[-1][: len(o)] @ step) * emitted[o]
             scale.append(a.sum(axis=1, keepdims=True))
             forward.append(a / scale[-1])
         later = np.ones((len(at[-1]), 4))
@@ -241,7 +309,7 @@ def expected(first: np.ndarray, step: np.ndarray, emit: np.ndarray, sequences: l
             post = forward[t].copy()
             if t + 1 < len(at):
                 k = len(at[t + 1])
-                ahead = emit[:, at[t + 1]].T * later / scale[t + 1]
+                ahead = emitted[at[t + 1]] * later / scale[t + 1]
                 n_step = n_step + step * (forward[t][:k].T @ ahead)
                 later = np.concatenate((ahead @ step.T, np.ones((len(at[t]) - k, 4))))
                 post *= later
@@ -253,21 +321,23 @@ def expected(first: np.ndarray, step: np.ndarray, emit: np.ndarray, sequences: l
 
 
 def learned(sequences: list[list[int]] | DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) -> Chain:
-    """The model of the sequences of symbols, by expectation and maximisation. They are a list, or a column ``symbols`` of
-    which all rows count, where they lie: only expected numbers come to the driver."""
+    """The model of the sequences of symbols, by expectation and maximisation. They are a list, or a column ``symbols``
+    (with END after each sequence) of which all rows count, where they lie: only expected numbers come to the driver."""
     first, step, emit = (np.asarray(x, dtype=float) for x in (START, TRANSITIONS, EMISSIONS))
     start = np.concatenate((first, step.ravel(), emit.ravel()))
+    if not isinstance(sequences, DataFrame):
+        flat = np.array([o for x in sequences for o in (*x, END)], dtype=np.int32)
     for _ in range(rounds):
         if isinstance(sequences, DataFrame):
             now = first, step, emit
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    yield pa.RecordBatch.from_arrays([pa.array([expected(*now, batch.column(0).to_pylist()).tolist()], pa.list_(pa.float64()))], names=["n"])  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([pa.array([expected(*now, batch.column(0).flatten().to_numpy()).tolist()], pa.list_(pa.float64()))], names=["n"])  # noqa: B023
 
             seen = sorted(tuple(r["n"]) for r in sequences.select("symbols").where("size(symbols) > 0").mapInArrow(run, "n array<double>").collect())
         else:
-            seen = [expected(first, step, emit, sequences)] if any(sequences) else []
+            seen = [expected(first, step, emit, flat)] if any(sequences) else []
         if not seen:
             return Chain()
         n = prior * start + np.sum(np.array(seen), axis=0)
@@ -284,7 +354,7 @@ def fit(df: DataFrame) -> Chain:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [symbols_of(c) for c in batch.column(1).to_pylist()]
+            rows = [[*symbols_of(c), END] for c in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=OBSERVED.names)
 
     return learned(cut(df.where("content IS NOT NULL").select("scrape_id", "content").mapInArrow(run, OBSERVED).distinct()))
