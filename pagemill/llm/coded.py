@@ -74,7 +74,7 @@ def shape(line: str, n: int) -> list[str]:
     if "](" in s and (links := _LINK.findall(s)):
         share = sum(map(len, links)) / max(1, len(_LINK.sub(r"\1", s)))
         out.append("~link.all" if share > 0.8 else "~link.some" if share > 0.3 else "~link")
-    if ("|" in s or "/" in s or ">" in s or not s.isascii()) and (seps := len(_SEPARATORS.findall(s))):
+    if ("|" in s or "/" in s or ">" in s or not s.isascii() and ("·" in s or "»" in s or "›" in s or "•" in s)) and (seps := len(_SEPARATORS.findall(s))):
         out.append("~sep" + str(min(seps, 4)))
     if ends:
         again = _SENTENCE.search(bare)
@@ -84,7 +84,7 @@ def shape(line: str, n: int) -> list[str]:
     out.append("~n" + str(min(9, int(math.log2(n + 1)))))
     if n > 2 and bare.isupper():
         out.append("~upper")
-    if ("19" in bare or "20" in bare or not bare.isascii()) and _DATE.search(bare):
+    if ("19" in bare or "20" in bare) and _DATE.search(bare):
         out.append("~date")
     if 1 < n < 12 and not ends:
         names = len(_NAME.findall(bare))

@@ -19,6 +19,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import residue
 from .common import scrapes
-from .mainbody import Model, fit
+from .mainbody import Model, fit, fit_to, prepare, unpacked
 
 #: Bounds of the reference passages: rows read, and bytes of a language's dictionary, which is made of whole passages.
 PASSAGES = 5000
@@ -59,12 +60,11 @@ _LABELS = {name: code for code, names in NAMES.items() for name in names.split()
 _LETTER = re.compile(r"[^\W\d_]")
 _CYRILLIC = re.compile(r"[Ѐ-ԯ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+_OTHER_SCRIPT = re.compile(r"[Ѐ-ԯ぀-ヿ㐀-鿿가-힯]")
 _LINK = re.compile(r"!?\[([^\]]*)\]\([^)\s]*\)|https?://\S+")
 _CODE = re.compile(r"`[^`\n]*`")
 _MARKS = re.compile(r"^(?:[\s>#*_+\-•|]+|\d{1,3}[.)]\s+)+")
-_SPLIT = re.compile(r"(?<=[.!?…])[\"'”’»)*_]*\s+|(?<=[。！？])[」』”’）]*\s*")
-_FULL = re.compile(r"[.!?…。！？][\"'”’»)」』*_]*$")
-_DATA = re.compile(r"^[\[{<].*[\]}>],?$|[{};=<>]\s*$")
+_SPLIT = re.compile(r"[.!?…][\"'”’»)*_]*\s+|[。！？][」』”’）]*\s*")
 
 
 def label_language(label: str | None) -> str | None:
@@ -82,11 +82,10 @@ def script(text: str) -> str:
     """The script most of the text's letters are of: latin (and others), cyrillic or cjk."""
     if text.isascii():
         return "latin"
-    some = _CJK.search(text) is not None, _CYRILLIC.search(text) is not None
-    if not any(some):
+    if not _OTHER_SCRIPT.search(text):
         return "latin"
     letters = len(_LETTER.findall(text))
-    if some[0] and len(_CJK.findall(text)) * 3 > letters:
+    if len(_CJK.findall(text)) * 3 > letters:
         return "cjk"
     cyrillic = len(_CYRILLIC.findall(text))
     return "cyrillic" if cyrillic * 2 > letters else "latin"
@@ -124,24 +123,36 @@ class Languages:
             size = len(group[0][1](data))
             margin = max(0.0, 1 - size / (0.95 * len(data)))
             return (group[0][0] if margin >= MARGIN else None), margin
-        low, second, best = 1 << 60, 1 << 60, None
-        for lang, compress in group:
-            n = len(compress(data))
-            if n < low:
-                low, second, best = n, low, lang
-            elif n < second:
-                second = n
+        sizes = [len(compress(data)) for _, compress in group]
+        low = min(sizes)
+        best = group[sizes.index(low)][0]
+        sizes.remove(low)
+        second = min(sizes)
         margin = (second - low) / second
         return (best if margin >= MARGIN else None), margin
 
 
+def full(s: str) -> bool:
+    """Whether a text ends with an end mark, but for quotes, brackets and emphasis."""
+    return s.rstrip("\"'”’»)」』*_")[-1:] in _ENDS
+
+
+_ENDS = frozenset(".!?…。！？")
+
+
+def is_data(s: str) -> bool:
+    """Whether a line without blanks around it is data or code: in brackets as a whole, or ending as code does."""
+    return s[-1] in "{};=<>" or s[0] in "[{<" and (len(s) > 1 and s[-1] in "]}>" or len(s) > 2 and s[-1] == "," and s[-2] in "]}>")
+
+
 def plain(line: str) -> str:
     """A line without marks, links' targets and code spans."""
     if "](" in line or "://" in line:
         line = _LINK.sub(lambda m: m.group(1) or " ", line)
     if "`" in line:
         line = _CODE.sub(" ", line)
-    return _MARKS.sub("", line).strip()
+    marks = _MARKS.match(line)
+    return (line[marks.end() :] if marks else line).strip()
 
 
 def text_lines(content: str) -> list[tuple[int, str]]:
@@ -151,41 +162,51 @@ def text_lines(content: str) -> list[tuple[int, str]]:
         s = line.strip()
         if s.startswith("```"):
             fenced = not fenced
-        elif s and not fenced and not _DATA.search(s):
+        elif s and not fenced and not is_data(s):
             p = plain(s)
             if p:
                 out.append((no, p))
     return out
 
 
+def pieces(line: str) -> list[str]:
+    """A line cut after its end marks, without the quotes, brackets and blanks that follow them."""
+    out, at = [], 0
+    for m in _SPLIT.finditer(line):
+        out.append(line[at : m.start() + 1])
+        at = m.end()
+    out.append(line[at:])
+    return out
+
+
 def sentences(line: str) -> list[str]:
     """The full sentences of a line: with their end mark and at least three words (six CJK characters)."""
-    if not _FULL.search(line):
+    if not full(line):
         cut = [m.end() for m in _SPLIT.finditer(line)]
         if not cut:
             return []
         line = line[: cut[-1]].strip()
-    return [s for s in (x.strip() for x in _SPLIT.split(line)) if _FULL.search(s) and (s.count(" ") >= 2 or len(_CJK.findall(s)) >= 6)]
+    return [s for s in (x.strip() for x in pieces(line)) if full(s) and (s.count(" ") >= 2 or len(_CJK.findall(s)) >= 6)]
 
 
-def line_languages(line: str, known: Languages) -> list[tuple[str, str, float]]:
-    """(sentence, language, margin) of the full sentences of a line, each classified by itself."""
-    return [(s, lang, margin) for s in sentences(line) for lang, margin in [known.classify(s)] if lang]
+def line_languages(line: str, known: Languages) -> list[tuple[int, str, float]]:
+    """(bytes, language, margin) of the full sentences of a line, each classified by itself."""
+    return [(len(s.encode()), lang, margin) for s in sentences(line) for lang, margin in [known.classify(s)] if lang]
 
 
 class Page:
     """Languages of a record: per line (language, sentences, margin), and over the page."""
 
-    def __init__(self, lines: list[tuple[int, list[tuple[str, str, float]]]]):
+    def __init__(self, lines: list[tuple[int, list[tuple[int, str, float]]]]):
         self.lines = lines
         self.count: dict[str, int] = defaultdict(int)
         self.size: dict[str, int] = defaultdict(int)
         self.weight: dict[str, float] = defaultdict(float)
         for _, got in self.lines:
-            for s, lang, margin in got:
+            for size, lang, margin in got:
                 self.count[lang] += 1
-                self.size[lang] += len(s.encode())
-                self.weight[lang] += margin * len(s.encode())
+                self.size[lang] += size
+                self.weight[lang] += margin * size
 
     @classmethod
     def of(cls, content: str, known: Languages, cache: dict | None = None) -> Page:
@@ -220,8 +241,7 @@ class Page:
         """(first line, last line, language, confidence) of the runs of sentences of one language."""
         out: list[list] = []
         for no, got in self.lines:
-            for s, lang, margin in got:
-                w = len(s.encode())
+            for w, lang, margin in got:
                 if out and out[-1][2] == lang:
                     out[-1][1] = no
                     out[-1][3] += margin * w
@@ -231,36 +251,40 @@ class Page:
         return [(a, b, lang, m / w) for a, b, lang, m, w in out]
 
 
-class Judge:
-    """What a worker needs to judge records, with its caches."""
+def may_be_case(page: Page, named: str | None) -> bool:
+    """Whether a record may be a case, by all of it, furniture included: nothing but the named language is none, whatever
+    the furniture is."""
+    return not (named and set(page.size) <= {named}) and bool(page.languages())
 
-    def __init__(self, known: Languages, model: Model):
-        self.known, self.model, self.cache = known, model, {}
 
-    def main_page(self, content: str, whole: Page | None = None) -> Page | None:
-        """The page's main body, or None if the record is spam. (Residue is told by the counts of all records.)"""
-        if self.model.chain.is_spam(content):
-            return None
-        return (whole or Page.of(content, self.known, self.cache)).without(self.model.furniture(content))
+def case(page: Page, named: str | None) -> list[str]:
+    """Languages of a record's main body if it is a case, else none."""
+    langs = page.languages()
+    return langs if not named or len(langs) >= 2 or page.main() != named else []
 
-    def case(self, content: str | None, label: str | None) -> list[str]:
-        """Languages of the record's main body if it is a case, else none."""
-        if not content or not content.strip():
-            return []
-        named = label_language(label)
-        whole = Page.of(content, self.known, self.cache)
-        # furniture included, nothing but the named language: no case whatever the furniture is
-        if named and set(whole.size) <= {named}:
-            return []
-        if not whole.languages():
-            return []
-        page = self.main_page(content, whole)
-        if page is None:
-            return []
-        langs = page.languages()
-        if not named or len(langs) >= 2 or page.main() != named:
-            return langs
-        return []
+
+def main_pages(contents: list[str], pages: list[Page], model: Model) -> list[Page | None]:
+    """The records' main bodies, None for spam. (Residue is told by the counts of all records.)"""
+    return [None if model.chain.is_spam(c) else page.without(gone) for c, page, gone in zip(contents, pages, model.furnitures(contents))]
+
+
+class Suspects:
+    """Of a shard of the main-body model, the records that may be cases, and of all records what the residue operator needs:
+    found when the shard is coded, judged when the model is known."""
+
+    def __init__(self, known: Languages):
+        self.known = known
+
+    def __call__(self, ids: list[int | None], contents: list[str], labels: list[set[str | None]]) -> dict[int, tuple]:
+        """Pages and labels of the suspects, by their places in the shard."""
+        cache: dict = {}
+        out = {}
+        for k, (content, of) in enumerate(zip(contents, labels)):
+            if content.strip():
+                page = Page.of(content, self.known, cache)
+                if named := [x for x in {label_language(label) for label in of} if may_be_case(page, x)]:
+                    out[k] = ids[k], page, named
+        return out
 
 
 def passages(spark, sf: str) -> dict[str, str]:
@@ -295,9 +319,9 @@ def _input(df: DataFrame) -> DataFrame:
     return df.select("scrape_id", "content", F.col("metadata.language").alias("label")).where("trim(content) <> ''")
 
 
-def _no_residue(rows: DataFrame, df: DataFrame) -> DataFrame:
-    """The ``rows`` of records that the residue operator, with its counts of hosts, does not find in ``df``."""
-    gone = residue.found(df).select(F.col("scrape_id").alias("gone"))
+def _no_residue(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``rows`` of records that the residue operator, with its counts of hosts, has not ``found``."""
+    gone = found.select(F.col("scrape_id").alias("gone"))
     return rows.join(gone, F.col("scrape_id").eqNullSafe(F.col("gone")), "left_anti")
 
 
@@ -306,16 +330,19 @@ def found(df: DataFrame, known: Languages, model: Model) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((known, model))  # some passages, and features that three lines of a shard share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(*shared.value)
+        known, model = shared.value
+        cache: dict = {}
         for batch in batches:
             ids, langs = [], []
-            for i, content, label in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                got = judge.case(content, label)
+            rows = [(i, content, label_language(label), Page.of(content, known, cache)) for i, content, label in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+            rows = [r for r in rows if may_be_case(r[3], r[2])]
+            for (i, _, named, _), page in zip(rows, main_pages([r[1] for r in rows], [r[3] for r in rows], model)):
+                got = case(page, named) if page is not None else []
                 ids += [i] * len(got)
                 langs += got
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string())], names=FOUND.names)
 
-    return _no_residue(_input(df).mapInArrow(run, FOUND).distinct(), df)
+    return _no_residue(_input(df).mapInArrow(run, FOUND).distinct(), residue.found(df))
 
 
 def segments(df: DataFrame, known: Languages, model: Model) -> DataFrame:
@@ -323,11 +350,12 @@ def segments(df: DataFrame, known: Languages, model: Model) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((known, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(*shared.value)
+        known, model = shared.value
+        cache: dict = {}
         for batch in batches:
             rows = []
-            for i, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                page = judge.main_page(content)
+            ids, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, page in zip(ids, main_pages(contents, [Page.of(c, known, cache) for c in contents], model)):
                 if page is None or (main := page.main()) is None:
                     continue
                 rows += [(i, main, page.confidence(main), k, a, b, lang, c) for k, (a, b, lang, c) in enumerate(page.segments(), 1)]
@@ -335,12 +363,40 @@ def segments(df: DataFrame, known: Languages, model: Model) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=SEGMENTS.names)
 
-    return _no_residue(_input(df).mapInArrow(run, SEGMENTS).dropDuplicates(["scrape_id", "segment_no"]), df)
+    return _no_residue(_input(df).mapInArrow(run, SEGMENTS).dropDuplicates(["scrape_id", "segment_no"]), residue.found(df))
+
+
+def found_prepared(prepared: DataFrame, model: Model) -> DataFrame:
+    """``found`` of all records of shards that were prepared with :class:`Suspects`."""
+    shared = prepared.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                x = unpacked(data.as_py())
+                ids, langs = [], []
+                suspects = x["judged"]
+                at = sorted(suspects)
+                coded = x["coded"].of(np.array([x["place"][k] for k in at], dtype=np.int64))
+                gone = shared.value.furniture_of(coded)
+                spam = shared.value.chain.are_spam(x["seen"])
+                for k, lines in zip(at, gone):
+                    if not spam[k]:
+                        i, page, named = suspects[k]
+                        page = page.without(lines)
+                        got = {lang for label in named for lang in case(page, label)}
+                        ids += [i] * len(got)
+                        langs += got
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string())], names=FOUND.names)
+
+    assessed = prepared.select(F.inline("assessed"))
+    return _no_residue(prepared.select("shard").mapInArrow(run, FOUND).distinct(), residue.found_in(residue.latest(assessed)))
 
 
 def p3_found(spark, sf):
     """(scrape_id, lang) of missing or wrong labels and mixed languages."""
-    return found(scrapes(spark, sf), Languages(passages(spark, sf)), fit(spark, sf))
+    prepared = prepare(spark, sf, judged=Suspects(Languages(passages(spark, sf))))
+    return found_prepared(prepared, fit_to(prepared))
 
 
 def p3_segments(spark, sf):

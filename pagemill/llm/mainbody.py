@@ -30,19 +30,20 @@ import math
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators import dom
 from . import spam
 from .coded import DATA, KINDS, LIST, PAIRED, PLACE_KEYS, PLACES, Coded, distinct, ends_sentence, feature_key, key, letters, ranges, shape, words_of
 from .common import cut, scrapes
-from .residue import is_case, weighed
+from .residue import ASSESSED, described_as, is_case, weighed, with_evidence
 
 #: Records (about) that are fitted together, shards to which each page is dealt (pages are fewer), and the pages and records
 #: of a part of a shard, of which each round takes the next.
@@ -178,7 +179,10 @@ class Model:
 
     def furnitures(self, contents: list[str]) -> list[frozenset[int]]:
         """``furniture`` of many records."""
-        coded = Coded(contents)
+        return self.furniture_of(Coded(contents))
+
+    def furniture_of(self, coded: Coded) -> list[frozenset[int]]:
+        """``furniture`` of coded records."""
         gone = self.beliefs(coded) > 0
         ends = np.cumsum(coded.sizes)
         nos = np.where(gone, coded.nos, 0).tolist()
@@ -467,8 +471,8 @@ def train(pages: list[str], records: list[tuple[str, str | None]] | None = None)
 
 
 #: A shard: what the model is fitted to and, if asked for, what is judged; the symbols of its records, the keys of their
-#: lines, and the number of records that are articles.
-PREPARED = T.StructType([T.StructField("shard", T.BinaryType()), T.StructField("symbols", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("records", T.LongType())])
+#: lines, the number of records that are articles, and if asked for, the records as the residue operator assesses them.
+PREPARED = T.StructType([T.StructField("shard", T.BinaryType()), T.StructField("symbols", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("records", T.LongType()), T.StructField("assessed", T.ArrayType(ASSESSED))])
 PAGES = T.StructType([T.StructField("id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("text", T.StringType()), T.StructField("labels", T.ArrayType(T.IntegerType()))])
 WEIGHTS = T.StructType([T.StructField("name", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("labels", T.LongType())])
 #: Names beside those of features.
@@ -488,13 +492,13 @@ class Judged:
     """Records with what is needed to judge them: coded, with the observations of the spam model and those lines' evidence
     where there is any."""
 
-    def __init__(self, ids: list[int | None], contents: list[str], coded: Coded, seen: spam.Seen, evidence: dict[int, list[tuple[int, int]]]):
+    def __init__(self, ids: list[int | None], coded: Coded, seen: spam.Seen, evidence: dict[int, list[tuple[int, int]]]):
         self.ids, self.coded, self.seen, self.evidence = ids, coded, seen, evidence
 
     @classmethod
     def of(cls, ids: list[int | None], contents: list[str]) -> Judged:
         evidence = {k: got for k, c in enumerate(contents) if (got := weighed(c))}
-        return cls(ids, contents, Coded(contents), spam.Seen(contents), evidence)
+        return cls(ids, Coded(contents), spam.Seen(contents), evidence)
 
     def furniture(self, model: Model) -> tuple[list[int | None], list[int]]:
         """Ids and numbers of the furniture lines of the records that are neither spam nor residue."""
@@ -512,17 +516,22 @@ class Judged:
         return [self.ids[k] for k in record[found].tolist()], coded.nos[found].tolist()
 
 
-def _prepared(batches: Iterator[pa.RecordBatch], judged: bool) -> Iterator[pa.RecordBatch]:
+def _prepared(batches: Iterator[pa.RecordBatch], judged: bool | Callable) -> Iterator[pa.RecordBatch]:
     """A shard of labelled pages and records, each once (all rows of an id are in one shard: repeated deliveries count
     once), in the order of their ids: coded, with the labels of the pages and the marks of the records that are articles by
-    the spam model's starting tables. ``judged``: all records also as they are judged."""
-    pages, records = {}, {}
+    the spam model's starting tables. ``judged``: all records also as they are judged, or what it finds to be judged of
+    them by their ids, contents and labels of language."""
+    pages, records, deliveries = {}, {}, []
     for batch in batches:
-        for i, tie, text, title, labels in zip(*(c.to_pylist() for c in batch.columns)):
+        for i, tie, text, title, labels, language in zip(*(batch.column(k).to_pylist() for k in range(6))):
             if labels is not None:
                 pages[i, tie, text] = labels
             else:
-                records[i, text, title] = None
+                records.setdefault((i, text, title), set()).add(language)
+        if callable(judged):
+            some = batch.filter(batch.column(6))
+            if some.num_rows:
+                deliveries.append((some.column(2).to_pylist(), [some.column(0), *some.columns[7:]]))
     rows = sorted(records, key=lambda r: (r[0] or 0, r[1], r[2] or ""))
     contents = [text for _, text, _ in rows]
     seen = spam.Seen(contents)
@@ -531,28 +540,37 @@ def _prepared(batches: Iterator[pa.RecordBatch], judged: bool) -> Iterator[pa.Re
     for k, lines in evidence.items():
         article[k] &= not is_case(lines)
     article &= np.array([bool(c.strip()) for c in contents], dtype=bool)
+    ids = [i for i, _, _ in rows]
+    suspects = judged(ids, contents, [records[r] for r in rows]) if callable(judged) else range(len(rows)) if judged else ()
+    coming = article.copy()
+    coming[np.array(list(suspects), dtype=np.int64)] = True
     first = sorted(pages.items(), key=lambda r: (r[0][0] or 0, r[0][2], r[0][1] or 0))
     texts = [text for (_, _, text), _ in first]
-    sample = np.concatenate((np.full(len(texts), True), article))
-    labels = np.array([v for _, ys in first for v in ys], dtype=np.int64)
-    coded = Coded(texts + (contents if judged else [c for c, a in zip(contents, article) if a]))
-    if not judged:
-        sample = sample[sample]
-    of_pages = np.arange(len(coded.sizes)) < len(texts)
-    marks = Marks(coded, [None] * len(texts) + [title for (_, _, title), a in zip(rows, article) if judged or a])
-    at = np.flatnonzero(sample & ~of_pages)
-    starts = np.cumsum(coded.sizes) - coded.sizes
-    some = ranges(starts[at], coded.sizes[at])
-    own = coded.of(at)
-    keys = marks.of(some).keys(own)
+    coded = Coded(texts + [c for c, x in zip(contents, coming) if x])
+    marks = Marks(coded, [None] * len(texts) + [title for (_, _, title), x in zip(rows, coming) if x])
+    place = len(texts) + np.cumsum(coming) - 1  # of each record
+    at = place[article]
+    own = marks.of(ranges((np.cumsum(coded.sizes) - coded.sizes)[at], coded.sizes[at]))
+    keys = own.keys(coded.of(at))
     del coded.texts, coded.letters
     if not judged:
         coded.drop_rare()
-    shard = {"coded": coded, "marks": marks, "sample": sample, "labels": labels, "pages": len(texts)}
+    shard = {"coded": coded, "marks": marks, "sample": np.concatenate((np.full(len(texts), True), article[coming])), "labels": np.array([v for _, ys in first for v in ys], dtype=np.int64)}
     if judged:
-        shard |= {"ids": [i for i, _, _ in rows], "seen": seen, "evidence": evidence}
-    names = pa.array([packed(shard)], pa.binary()), pa.array([seen.flat()], pa.list_(pa.int32())), pa.array([keys], pa.list_(pa.int64())), pa.array([int(article.sum())], pa.int64())
-    yield pa.RecordBatch.from_arrays(list(names), names=PREPARED.names)
+        shard |= {"ids": ids, "place": place, "seen": seen}
+    assessed = None
+    if callable(judged):
+        shard["judged"] = suspects
+        known = {contents[k]: got for k, got in evidence.items()}
+        assessed = [pa.array(with_evidence(columns, got, [known.get(c) for c in got]).to_struct_array()) for got, columns in deliveries]
+        assessed = pa.concat_arrays(assessed) if assessed else None
+    elif judged:
+        shard["evidence"] = evidence
+    if assessed is None:
+        assessed = pa.array([], to_arrow_type(ASSESSED))
+    columns = [pa.array([packed(shard)], pa.binary()), pa.array([seen.flat()], pa.list_(pa.int32())), pa.array([keys], pa.list_(pa.int64())), pa.array([int(article.sum())], pa.int64())]
+    columns.append(pa.ListArray.from_arrays(pa.array([0, len(assessed)], pa.int32()), assessed))
+    yield pa.RecordBatch.from_arrays(columns, names=PREPARED.names)
 
 
 def packed(shard: dict) -> bytes:
@@ -605,14 +623,18 @@ def mixed(prepared: DataFrame, chain: spam.Chain, shard: int = SHARD, part: int
     return Model((names[told], weights[told]), {k: tuple(e) for k, e in zip(KINDS, edges.tolist())}, means[BIAS], chain)
 
 
-def prepare(spark, sf: str, shard: int = SHARD, judged: bool = False) -> DataFrame:
+def prepare(spark, sf: str, shard: int = SHARD, judged: bool | Callable = False) -> DataFrame:
     """All raw pages and all records in shards. Half of the pages are written in Markdown and half as plain text, the two
-    formats of records; each page is parsed once, and goes to ``COPIES`` shards."""
+    formats of records; each page is parsed once, and goes to ``COPIES`` shards. ``judged``: see :func:`_prepared`."""
     raw = spark.read.parquet(f"{sf}/pages.parquet").where("html IS NOT NULL AND html <> ''").select(F.col("page_id").alias("id"), F.xxhash64("html").alias("tie"), "html")
     copies = raw.mapInArrow(_labelled, PAGES).select("id", "tie", "text", F.lit(None).cast("string").alias("title"), "labels", F.explode(F.sequence(F.lit(1), F.lit(COPIES))).alias("copy"))
-    records = scrapes(spark, sf).where("content IS NOT NULL").select(F.col("scrape_id").alias("id"), F.lit(0).cast("bigint").alias("tie"), F.col("content").alias("text"), F.col("metadata.title").alias("title"), F.lit(None).cast("array<int>").alias("labels"), F.lit(0).alias("copy"))
+    df = scrapes(spark, sf)
+    records = df.where("content IS NOT NULL").select(F.col("scrape_id").alias("id"), F.lit(0).cast("bigint").alias("tie"), F.col("content").alias("text"), F.col("metadata.title").alias("title"), F.lit(None).cast("array<int>").alias("labels"), F.lit(0).alias("copy"), *([F.col("metadata.language").alias("language"), *described_as(df)] if callable(judged) else []))
     shards = max(1, round(records.count() / shard))
-    return cut(copies.union(records).repartition(shards, "id", "copy").drop("copy").mapInArrow(lambda batches: _prepared(batches, judged), PREPARED))
+    every = copies.unionByName(records, allowMissingColumns=True)
+    if not callable(judged):
+        every = every.withColumn("language", F.lit(None).cast("string"))
+    return cut(every.repartition(shards, "id", "copy").drop("copy").mapInArrow(lambda batches: _prepared(batches, judged), PREPARED))
 
 
 def fit_to(prepared: DataFrame, shard: int = SHARD, part: int = PART) -> Model:
@@ -651,8 +673,7 @@ def found_prepared(prepared: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 x = unpacked(data.as_py())
-                records = np.arange(x["pages"], len(x["coded"].sizes))
-                yield _found(*Judged(x["ids"], [], x["coded"].of(records), x["seen"], x["evidence"]).furniture(shared.value))
+                yield _found(*Judged(x["ids"], x["coded"].of(x["place"]), x["seen"], x["evidence"]).furniture(shared.value))
 
     return prepared.select("shard").mapInArrow(run, FOUND).distinct()
 

@@ -24,7 +24,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -370,26 +370,37 @@ def _full(content: str, lines: list[tuple[int, int]] | None) -> bool:
     return False
 
 
+def described_as(df: DataFrame) -> list[Column]:
+    """Whether a record is not blank, and the columns of ASSESSED after the id that need no look at its lines."""
+    blank = F.trim("content") == ""
+    hashes = F.when(~blank, line_hashes(F.col("content")))
+    return [(~blank).alias("some"), F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at"), F.xxhash64("content").alias("hash"), site(F.col("metadata.source_url"), F.col("final_url")).alias("site"), hashes.alias("hashes")]
+
+
 def assessed(df: DataFrame) -> DataFrame:
     """One row an id: the site, the hash of each line, whether it has content of its own, and for records with any
     evidence the kind and the words of each line."""
-    rows = df.where("trim(content) <> ''").select(
-        "scrape_id", F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at"), F.xxhash64("content").alias("tie"), site(F.col("metadata.source_url"), F.col("final_url")).alias("site"), line_hashes(F.col("content")).alias("hashes"), "content"
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            full, kinds, words = [], [], []
-            for content in batch.column(5).to_pylist():
-                lines = weighed(content)
-                full.append(_full(content, lines))
-                kinds.append(lines and [k for k, _ in lines])
-                words.append(lines and [n for _, n in lines])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(full, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))], names=ASSESSED.names)
-
-    got = rows.mapInArrow(run, ASSESSED)
+            contents = batch.column(5).to_pylist()
+            yield with_evidence(batch.columns[:5], contents, [weighed(c) for c in contents])
+
+    rows = df.where("trim(content) <> ''").select("scrape_id", *described_as(df)[1:], "content")
+    return latest(rows.mapInArrow(run, ASSESSED))
+
+
+def with_evidence(columns: list[pa.Array], contents: list[str], weights: list[list[tuple[int, int]] | None]) -> pa.RecordBatch:
+    """Rows of ASSESSED: its first five columns, and the others by the contents and their weighed lines."""
+    full = [_full(c, lines) for c, lines in zip(contents, weights)]
+    kinds, words = ([lines and [x[k] for x in lines] for lines in weights] for k in (0, 1))
+    return pa.RecordBatch.from_arrays([*columns, pa.array(full, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))], names=ASSESSED.names)
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """One row an id of rows of ASSESSED: its latest delivery."""
     rest = ["site", "hashes", "full", "kinds", "words"]
-    return got.groupBy("scrape_id").agg(F.max_by(F.struct(*rest), F.struct("ingested_at", "tie")).alias("r")).select("scrape_id", *[F.col(f"r.{c}").alias(c) for c in rest])
+    return rows.groupBy("scrape_id").agg(F.max_by(F.struct(*rest), F.struct("ingested_at", "tie")).alias("r")).select("scrape_id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def boilerplate(recs: DataFrame, min_records: int = MIN_RECORDS, one_in: int = ONE_IN, hosts: int = HOSTS) -> tuple[DataFrame, DataFrame]:
@@ -414,7 +425,12 @@ SALT = 32
 
 def found(df: DataFrame, min_records: int = MIN_RECORDS, one_in: int = ONE_IN, hosts: int = HOSTS) -> DataFrame:
     """scrape_id of the records that are cases."""
-    recs = cut(assessed(df))
+    return found_in(assessed(df), min_records, one_in, hosts)
+
+
+def found_in(recs: DataFrame, min_records: int = MIN_RECORDS, one_in: int = ONE_IN, hosts: int = HOSTS) -> DataFrame:
+    """``found`` of assessed records."""
+    recs = cut(recs)
     local, general = boilerplate(recs, min_records, one_in, hosts)
     lines = recs.where("kinds IS NOT NULL").select("scrape_id", "site", F.explode(F.arrays_zip("hashes", "kinds", "words")).alias("x")).select("scrape_id", "site", "x.*").where(f"kinds <> {OTHER}")
     left = lines.join(local.select("site", F.col("hash").alias("hashes"), F.lit(True).alias("local")), ["site", "hashes"], "left").join(general.select(F.col("hash").alias("hashes"), F.lit(True).alias("general")), "hashes", "left").where("local IS NULL AND general IS NULL")

@@ -147,8 +147,9 @@ def symbols(line: str, hosts: Counter) -> list[tuple[int, int]]:
     return [(7 if stuffed else rest, round(n * size / total)) for stuffed, size in runs]
 
 
-def observe(content: str) -> list[tuple[int, int]]:
-    """(symbol, words) of each non-blank line, or of its runs of stretches."""
+def observe(content: str, short: dict[str, list[tuple[int, int]]] | None = None) -> list[tuple[int, int]]:
+    """(symbol, words) of each non-blank line, or of its runs of stretches. ``short`` keeps the answers of short lines
+    without addresses over many records."""
     hosts = Counter(_URL.findall(content)) if "://" in content else Counter()
     out: list[tuple[int, int]] = []
     fenced = False
@@ -161,9 +162,10 @@ def observe(content: str) -> list[tuple[int, int]]:
             if fenced:
                 out.append((9, len(_WORD.findall(s))))
             else:
-                got = known.get(s)
+                of = short if short is not None and len(s) < 200 and "://" not in s else known
+                got = of.get(s)
                 if got is None:
-                    got = known[s] = symbols(s, hosts)
+                    got = of[s] = symbols(s, hosts)
                 out += got
     return out
 
@@ -268,7 +270,8 @@ class Seen:
     """The observations of many records, laid end to end: symbols, words, how often each comes, and their number a record."""
 
     def __init__(self, contents: list[str]):
-        each = [observe(c) if c.strip() else [] for c in contents]
+        short: dict[str, list[tuple[int, int]]] = {}
+        each = [observe(c, short) if c.strip() else [] for c in contents]
         self.sizes = np.array([len(x) for x in each], dtype=np.int64)
         self.symbols = np.array([o for x in each for o, _ in x], dtype=np.int8)
         self.words = np.array([n for x in each for _, n in x], dtype=np.int64)

@@ -468,6 +468,33 @@ def test_languages_know_the_boilerplate_of_hosts(spark):
     assert {r.scrape_id for r in B.found(df).collect()} == {101}
 
 
+@need_data
+def test_languages_are_judged_where_records_are_coded(spark, tmp_path):
+    """p3 has the rows of its model over the table, repeated and relabelled deliveries and residue included."""
+    site = lambda k, lang, title=None: (f"http://www.a.example/{k}", lang, title)
+    name = lambda k: "Al" + chr(97 + k % 26) + chr(97 + k // 26)
+    german = lambda k: f"Die Fähre von {name(k)} quert den Fluss jeden Morgen, und im Winter fährt sie nur am Abend. Niemand in {name(k)} weiß noch, wer den alten Steg am Ufer gebaut hat, denn das ist lange her."
+    english = lambda k: f"The ferry of {name(k)} crosses the river every morning, and in the winter it runs only in the evening. Nobody in {name(k)} remembers who built the old landing, since that was long ago."
+    de = german(50)
+    rows = [(k, f"# Tale {name(k)}\n\n" + (german if k % 3 else english)(k), site(k, ("en", "de", None, "xx")[k % 4], f"Tale {name(k)}"), "x", T0) for k in range(40)]
+    rows += [rows[1], (*rows[1][:2], site(1, "en"), "x", T0), (60, "Page not found", site(60, "en"), "x", T0), (61, None, None, None, None), (62, " ", None, None, T0), (None, de, None, None, None), (63, german(63) + "\n\n" + english(63), site(63, "de"), "x", T0)]
+    schema = "scrape_id bigint, content string, metadata struct<source_url: string, language: string, title: string>, final_url string, ingested_at timestamp_ntz"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "scrapes.parquet"))
+    spark.createDataFrame([(1, "de", german(51) * 5), (2, "en", english(51) * 5)], "sample_id bigint, lang string, text string").write.parquet(str(tmp_path / "lang_samples.parquet"))
+    (tmp_path / "pages.parquet").symlink_to(f"{SF}/pages.parquet")
+    sf = str(tmp_path)
+    got = [tuple(r) for r in L.p3_found(spark, sf).collect()]
+    want = [tuple(r) for r in L.found(spark.read.parquet(f"{sf}/scrapes.parquet"), L.Languages(L.passages(spark, sf)), M.fit(spark, sf)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {(1, "de"), (4, "de"), (63, "de"), (63, "en"), (None, "de")} <= set(got) and not any(i == 60 for i, _ in got)
+    assert sum(len(r.assessed) for r in M.prepare(spark, sf, judged=L.Suspects(L.Languages(L.passages(spark, sf)))).collect()) == 45  # one pass assesses all records that are not blank
+
+
+def test_sentences_end_where_they_did():
+    ends = re.compile(r"(?<=[.!?…])[\"'”’»)*_]*\s+|(?<=[。！？])[」』”’）]*\s*")
+    for line in ("One two three. Four five six!  Seven", 'He "left it." Then (he ran.) So it goes... And on', "日本語。。テスト」です！？ x.", "a.. b? !c 。. d", ". . .", "", "x"):
+        assert L.pieces(line) == ends.split(line)
+
+
 # --- the operators over tables ------------------------------------------------------------------------------------
 
 
