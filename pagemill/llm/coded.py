@@ -7,22 +7,33 @@ found for all lines in one pass over their words. ``Coded`` holds what a pass ov
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from itertools import compress
 
 import numpy as np
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[©|·»›>•/↑]|\n", re.U)
+
+def charset(pattern: str) -> str:
+    """The characters that match a pattern, up to U+FFFF, as they stand in a set: looked up at once, where classes are tried
+    one by one."""
+    one = re.compile(pattern)
+    fits = [bool(one.match(chr(c))) for c in range(0x10000)]
+    starts = [c for c in range(0x10000) if fits[c] and not (c and fits[c - 1])]
+    ends = [c for c in range(0x10000) if fits[c] and not (c < 0xFFFF and fits[c + 1])]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends))
+
+
+# Of lines without the odd characters below.
+_TOKEN = re.compile(rf"[{charset(r'[^\W\d_]')}]+|\d+|[©|·»›>•/↑]|\n")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[©|·»›>•/↑]", re.U)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-# Lines whose words are cut further: with CJK characters, or digits that are no decimals.
-_ODD = re.compile("[぀-ヿ㐀-鿿가-힯" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isdigit() and not c.isdecimal()) + "]")
+# Lines whose words are cut by themselves: with CJK characters, digits that are no decimals, or characters above U+FFFF.
+_ODD = re.compile("[぀-ヿ㐀-鿿가-힯" + "".join(c for c in map(chr, range(0x80, 0x10000)) if c.isdigit() and not c.isdecimal()) + "\U00010000-\U0010ffff]")
 _DIGIT = re.compile(r"\d")
 LIST = re.compile(r"^(?:[-*+•]|\d{1,3}[.)])\s+")
 _LINK = re.compile(r"\[([^\]]*)\]\([^)\s]*\)")
-_SENTENCE = re.compile(r"[.!?…](?=\s)|[。！？]")
+_SENTENCE = re.compile(r"[.!?…。！？](?:(?<=[。！？])|(?=\s))")
 _DATE = re.compile(r"\b(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}\b|\b\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d\d\b")
 _NAME = re.compile(r"\b[A-ZÀ-ÖØ-ÞА-Я]\w+")
 DATA = re.compile(r"[\[{<](?=.*(?:\":|':|</\w+>)).*[\]}>,]$")
@@ -81,7 +92,7 @@ def shape(line: str, n: int) -> list[str]:
         out.append("~end" + ("+" if again and _SENTENCE.search(bare, again.end()) else "") + ("." if n > 6 else ""))
     elif not item and first not in "#|":
         out.append("~noend")
-    out.append("~n" + str(min(9, int(math.log2(n + 1)))))
+    out.append("~n" + str(min(9, (n + 1).bit_length() - 1)))
     if n > 2 and bare.isupper():
         out.append("~upper")
     if ("19" in bare or "20" in bare) and _DATE.search(bare):

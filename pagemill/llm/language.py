@@ -64,7 +64,8 @@ _OTHER_SCRIPT = re.compile(r"[Ѐ-ԯ぀-ヿ㐀-鿿가-힯]")
 _LINK = re.compile(r"!?\[([^\]]*)\]\([^)\s]*\)|https?://\S+")
 _CODE = re.compile(r"`[^`\n]*`")
 _MARKS = re.compile(r"^(?:[\s>#*_+\-•|]+|\d{1,3}[.)]\s+)+")
-_SPLIT = re.compile(r"[.!?…][\"'”’»)*_]*\s+|[。！？][」』”’）]*\s*")
+# one set of first characters: the search skips to them
+_SPLIT = re.compile(r"[.!?…。！？](?:(?<=[.!?…])[\"'”’»)*_]*\s+|(?<=[。！？])[」』”’）]*\s*)")
 
 
 def label_language(label: str | None) -> str | None:
@@ -106,31 +107,61 @@ class Languages:
                 d = z.ZstdCompressionDict(text.lower().encode("utf-8"), dict_type=z.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=self.level)
                 c = z.ZstdCompressor(dict_data=d, level=self.level, write_checksum=False, write_content_size=False, write_dict_id=False)
-                self.groups.setdefault(script(text), []).append((lang, c.compress))
+                self.groups.setdefault(script(text), []).append((lang, c))
         return self.groups.get(name, [])
 
     def __getstate__(self):
         return {"passages": self.passages, "level": self.level, "groups": {}}
 
-    def classify(self, text: str) -> tuple[str | None, float]:
-        """(language, margin) of a text; no language if the margin is narrow or no passage is of its script."""
-        group = self._group(script(text))
+    def classify(self, text: str, latin: bool = False) -> tuple[str | None, float]:
+        """(language, margin) of a text; no language if the margin is narrow or no passage is of its script. ``latin``: its
+        script is known to be that."""
+        group = self._group("latin" if latin else script(text))
         data = text.lower().encode("utf-8", "replace")
         if not group or len(data) < 12:
             return None, 0.0
         if len(group) == 1:
             # nothing competes: the text must at least be helped by the passages
-            size = len(group[0][1](data))
+            size = len(group[0][1].compress(data))
             margin = max(0.0, 1 - size / (0.95 * len(data)))
             return (group[0][0] if margin >= MARGIN else None), margin
-        sizes = [len(compress(data)) for _, compress in group]
+        sizes = [len(c.compress(data)) for _, c in group]
         low = min(sizes)
-        best = group[sizes.index(low)][0]
-        sizes.remove(low)
+        at = sizes.index(low)
+        best = group[at][0]
+        del sizes[at]
         second = min(sizes)
         margin = (second - low) / second
         return (best if margin >= MARGIN else None), margin
 
+    def classify_all(self, texts: list[str]) -> list[tuple[str | None, float]]:
+        """``classify`` of many texts, one language after the other: each compressor takes all of them in one call."""
+        out: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
+        of_script: dict[str, list[int]] = defaultdict(list)
+        for k, text in enumerate(texts):
+            of_script[script(text)].append(k)
+        for name, places in of_script.items():
+            group = self._group(name)
+            if len(group) < 2:
+                for k in places if group else ():
+                    out[k] = self.classify(texts[k])
+                continue
+            data = {k: x for k in places if len(x := texts[k].lower().encode("utf-8", "replace")) >= 12}
+            if data:
+                sizes = np.array([compressed_sizes(c, list(data.values())) for _, c in group])
+                best = sizes.argmin(axis=0)
+                low, second = np.partition(sizes, 1, axis=0)[:2]
+                for k, b, margin in zip(data, best.tolist(), ((second - low) / second).tolist()):
+                    out[k] = group[b][0] if margin >= MARGIN else None, margin
+        return out
+
+
+def compressed_sizes(compressor, data: list[bytes]) -> list[int]:
+    if not hasattr(compressor, "multi_compress_to_buffer"):  # only the C backend has it
+        return [len(compressor.compress(x)) for x in data]
+    got = compressor.multi_compress_to_buffer(data)
+    return [len(got[k]) for k in range(len(data))]
+
 
 def full(s: str) -> bool:
     """Whether a text ends with an end mark, but for quotes, brackets and emphasis."""
@@ -191,7 +222,8 @@ def sentences(line: str) -> list[str]:
 
 def line_languages(line: str, known: Languages) -> list[tuple[int, str, float]]:
     """(bytes, language, margin) of the full sentences of a line, each classified by itself."""
-    return [(len(s.encode()), lang, margin) for s in sentences(line) for lang, margin in [known.classify(s)] if lang]
+    latin = line.isascii() or not _OTHER_SCRIPT.search(line)
+    return [(len(s.encode()), lang, margin) for s in sentences(line) for lang, margin in [known.classify(s, latin)] if lang]
 
 
 class Page:
@@ -277,11 +309,23 @@ class Suspects:
 
     def __call__(self, ids: list[int | None], contents: list[str], labels: list[set[str | None]]) -> dict[int, tuple]:
         """Pages and labels of the suspects, by their places in the shard."""
-        cache: dict = {}
+        places: dict[str, int] = {}  # of the sentences, each once
+        cache: dict[str, list[int]] = {}
+        cut = []
+        for content in contents:
+            lines = []
+            for no, line in text_lines(content):
+                got = cache.get(line)
+                if got is None:
+                    got = cache[line] = [places.setdefault(s, len(places)) for s in sentences(line)]
+                if got:
+                    lines.append((no, got))
+            cut.append(lines)
+        told = [(len(s.encode()), lang, margin) if lang else None for s, (lang, margin) in zip(places, self.known.classify_all(list(places)))]
         out = {}
-        for k, (content, of) in enumerate(zip(contents, labels)):
-            if content.strip():
-                page = Page.of(content, self.known, cache)
+        for k, (lines, of) in enumerate(zip(cut, labels)):
+            if lines:
+                page = Page([(no, known) for no, got in lines if (known := [told[j] for j in got if told[j]])])
                 if named := [x for x in {label_language(label) for label in of} if may_be_case(page, x)]:
                     out[k] = ids[k], page, named
         return out

@@ -306,6 +306,29 @@ class Marks:
         return labels
 
 
+def letter_hashes(contents: list[str], coded: Coded, marks: Marks) -> list[list[int | None]]:
+    """For each content what :func:`lines.line_hashes` gives, a hash for each line by its letters (other signs that Python
+    takes for word characters left out), null for lines without: as numbers of its own, known for the lines of ``coded``."""
+    keys = np.zeros(len(coded.texts), dtype=np.int64)
+    keys[coded.which] = marks.key
+
+    def of(spelt: str) -> int | None:
+        spelt = "".join(filter(str.isalpha, spelt))
+        return line_key(spelt) if spelt else None
+
+    known = {s: k if spelt.isalpha() else of(spelt) for s, k, spelt in zip(coded.texts, keys.tolist(), coded.letters)}
+    out = []
+    for content in contents:
+        hashes = []
+        for line in content.split("\n"):
+            s = line.strip()
+            if s not in known:
+                known[s] = of(s.lower())
+            hashes.append(known[s])
+        out.append(hashes)
+    return out
+
+
 def supposed(records: list[tuple[str, str | None]], recur: float = RECUR, rare: float = 1, known: dict[int, int] | None = None) -> list[tuple[str, list[int]]]:
     """Records, given as content and title, with the label of each of their non-blank lines, as far as it can be told.
     ``known``: the counts over all records of the lines (their keys) that stand in more than ``rare``; without it, these
@@ -354,27 +377,32 @@ class Forest:
         table = np.exp(log_edges)
         expected = np.zeros((4, 2, 2))
 
-        def send(kind: np.ndarray, ratio: np.ndarray, upward: bool) -> np.ndarray:
+        def send(kind: np.ndarray | int, ratio: np.ndarray, upward: bool) -> np.ndarray:
             r = np.exp(np.clip(ratio, -30, 30))
-            t = table[kind]
-            across = (t[:, 1, 0], t[:, 0, 1]) if upward else (t[:, 0, 1], t[:, 1, 0])
-            return np.log((across[0] + t[:, 1, 1] * r) / (t[:, 0, 0] + across[1] * r))
+            mm, mf, fm, ff = (table[:, i, j][kind] for i in (0, 1) for j in (0, 1))
+            if not upward:
+                mf, fm = fm, mf
+            return np.log((fm + ff * r) / (mm + mf * r))
 
-        def count(kind: np.ndarray, above: np.ndarray, below: np.ndarray) -> None:
+        def count(kind: np.ndarray | int, above: np.ndarray, below: np.ndarray) -> None:
             a, b = np.exp(np.clip(above, -30, 30)), np.exp(np.clip(below, -30, 30))
-            t = table[kind] * np.stack([np.stack([np.ones_like(a), b], 1), np.stack([a, a * b], 1)], 1)
-            t /= t.sum(axis=(1, 2), keepdims=True)
-            for k in range(4):
-                expected[k] += t[kind == k].sum(axis=0)
+            mm, mf, fm, ff = (table[:, i, j][kind] for i in (0, 1) for j in (0, 1))
+            t = [mm, mf * b, fm * a, ff * (a * b)]
+            total = t[0] + t[1] + t[2] + t[3]
+            for k, x in enumerate(t):
+                x = x / total
+                if isinstance(kind, int):
+                    expected[kind, k // 2, k % 2] += x.sum()
+                else:
+                    expected[:, k // 2, k % 2] += np.bincount(kind, weights=x, minlength=4)
 
         items, tops = self.items, self.tops
         kind = self.kind
-        item = np.zeros(len(items), dtype=np.int64)
+        item, of_page = 0, 3
         up_items = send(item, own[items], True)
         total = own + np.bincount(self.heads, weights=up_items, minlength=n)
         up_lines = send(kind[tops], total[tops], True)
         at_block = np.bincount(self.block[tops], weights=up_lines, minlength=n_blocks)
-        of_page = np.full(n_blocks, 3)
         up_blocks = send(of_page, at_block, True)
         above = np.bincount(self.page, weights=up_blocks, minlength=n_pages)[self.page] - up_blocks
         count(of_page, above, at_block)
@@ -552,18 +580,22 @@ def _prepared(batches: Iterator[pa.RecordBatch], judged: bool | Callable) -> Ite
     at = place[article]
     own = marks.of(ranges((np.cumsum(coded.sizes) - coded.sizes)[at], coded.sizes[at]))
     keys = own.keys(coded.of(at))
+    assessed = None
+    if callable(judged):
+        known = {contents[k]: got for k, got in evidence.items()}
+        assessed = []
+        for got, columns in deliveries:
+            hashes = pa.array(letter_hashes(got, coded, marks), pa.list_(pa.int64()))
+            assessed.append(with_evidence([*columns, hashes], got, [known.get(c) for c in got]).to_struct_array())
+        assessed = pa.concat_arrays(assessed) if assessed else None
     del coded.texts, coded.letters
     if not judged:
         coded.drop_rare()
     shard = {"coded": coded, "marks": marks, "sample": np.concatenate((np.full(len(texts), True), article[coming])), "labels": np.array([v for _, ys in first for v in ys], dtype=np.int64)}
     if judged:
         shard |= {"ids": ids, "place": place, "seen": seen}
-    assessed = None
     if callable(judged):
         shard["judged"] = suspects
-        known = {contents[k]: got for k, got in evidence.items()}
-        assessed = [pa.array(with_evidence(columns, got, [known.get(c) for c in got]).to_struct_array()) for got, columns in deliveries]
-        assessed = pa.concat_arrays(assessed) if assessed else None
     elif judged:
         shard["evidence"] = evidence
     if assessed is None:
@@ -629,7 +661,7 @@ def prepare(spark, sf: str, shard: int = SHARD, judged: bool | Callable = False)
     raw = spark.read.parquet(f"{sf}/pages.parquet").where("html IS NOT NULL AND html <> ''").select(F.col("page_id").alias("id"), F.xxhash64("html").alias("tie"), "html")
     copies = raw.mapInArrow(_labelled, PAGES).select("id", "tie", "text", F.lit(None).cast("string").alias("title"), "labels", F.explode(F.sequence(F.lit(1), F.lit(COPIES))).alias("copy"))
     df = scrapes(spark, sf)
-    records = df.where("content IS NOT NULL").select(F.col("scrape_id").alias("id"), F.lit(0).cast("bigint").alias("tie"), F.col("content").alias("text"), F.col("metadata.title").alias("title"), F.lit(None).cast("array<int>").alias("labels"), F.lit(0).alias("copy"), *([F.col("metadata.language").alias("language"), *described_as(df)] if callable(judged) else []))
+    records = df.where("content IS NOT NULL").select(F.col("scrape_id").alias("id"), F.lit(0).cast("bigint").alias("tie"), F.col("content").alias("text"), F.col("metadata.title").alias("title"), F.lit(None).cast("array<int>").alias("labels"), F.lit(0).alias("copy"), *([F.col("metadata.language").alias("language"), *described_as(df)[:-1]] if callable(judged) else []))
     shards = max(1, round(records.count() / shard))
     every = copies.unionByName(records, allowMissingColumns=True)
     if not callable(judged):

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -128,6 +129,8 @@ RULES = [
 _NAMES = {name: 1 << k for k, name in enumerate((*CONCEPTS, "code"))}
 _RULES = [sum(_NAMES[c] for c in rule.split()) for rule in RULES]
 _LATIN = 1 << 40
+#: What makes a line worth a closer look whatever its concepts say together.
+_ALONE = _LATIN | _NAMES["wait"]
 _CODE = re.compile(r"(?<![\w.,-])[45]\d\d(?![\w.,-]*\w)")
 _STOP = re.compile(r"[.!?…](?=\s+\S)|[。！？](?=.)")
 _ONLY = re.compile(r"(?:loading|please wait|redirecting)(?:\.{1,3}|…)?$")
@@ -205,9 +208,17 @@ def is_filler(line: str) -> bool:
     return len(words) >= 4 and sum(w in LOREM for w in words) >= 0.8 * len(words)
 
 
+@lru_cache(maxsize=65536)
+def _says(said: int) -> bool:
+    """Whether these concepts, all of them together, say what a message says."""
+    return any(said & r == r for r in _RULES)
+
+
 def is_message(line: str, said: int | None = None) -> bool:
     """Whether a line is, as a whole, an error message, a demand for scripts, or filler. ``said``: the concepts of its
     words."""
+    if said is not None and not said & _ALONE and not _says(said | _NAMES["code"]):
+        return False
     bare = _bare(line).lower().replace("’", "'")
     if said is None:
         said = 0
@@ -223,7 +234,7 @@ def is_message(line: str, said: int | None = None) -> bool:
         said |= _NAMES["code"]
     if said & _NAMES["wait"] and _ONLY.match(bare):
         return True
-    if not any(said & r == r for r in _RULES) or _count(bare) > MESSAGE_WORDS or _QUOTED.search(bare):
+    if not _says(said) or _count(bare) > MESSAGE_WORDS or _QUOTED.search(bare):
         return False
     if not _STOP.search(bare):
         return True
@@ -234,7 +245,7 @@ def is_message(line: str, said: int | None = None) -> bool:
         for _, bits in _concepts(part):
             said |= bits
         sentences.append(said)
-    return any(said & r == r for said in sentences for r in _RULES)
+    return any(map(_says, sentences))
 
 
 def _some_filler(lower: str) -> bool:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .coded import charset
 from .common import cut, scrapes
 
 STATES = ("prose", "links", "tags", "menu")
@@ -57,11 +58,15 @@ STRETCH = 150
 PAIRS = 0.72
 
 _WORD = re.compile(r"[^\W_]+")
+# The same for text without characters above U+FFFF.
+_PLAIN_WORD = re.compile(f"[{charset(_WORD.pattern)}]+")
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _URL = re.compile(r"https?://([^\s/)\]]+)[^\s)\]]*")
 _MD = re.compile(r"\[([^\]]*)\]\(([^)\s]*)\)")
-_END = re.compile(r"[.!?…](?=\s|$|[\"'”’»)*_])|[。！？]")
+_END = re.compile(r"[.!?…。！？](?:(?<=[。！？])|(?=\s|$|[\"'”’»)*_]))")  # one set of first characters: the search skips to them
 _HASH = re.compile(r"(?:^|[\s|,;•])#\w{3,}|(?<=\w)#\w{3,}")
+_TWO_DIGITS = re.compile(r"\d\d")
 _CODE = re.compile(r"\b[A-Z]{2,}[A-Z0-9]*-\d{2,}\b|\b\d{6,13}\b.*\d[.,]\d\d\b")
 _SEGMENTS = re.compile(r"\s*(?:[,;•·|/]|\s[-–>»]\s)\s*")
 _ITEM = re.compile(r"^(?:[-*+•>]|\d{1,3}[.)])\s+")
@@ -74,7 +79,8 @@ def stuffed_runs(words: list[str], least: float) -> list[tuple[bool, int]]:
     starts = range(0, max(1, len(words) - STRETCH // 2), STRETCH)
     for a in starts:
         w = words[a : a + STRETCH]
-        stuffed = len(w) >= 12 and len(set(zip(w, w[1:]))) < least * (len(w) - 1)
+        bound = least * (len(w) - 1)  # every word but the first ends a pair: the pairs are no fewer than the words less one
+        stuffed = len(w) >= 12 and len(set(w)) - 1 < bound and len(set(zip(w, w[1:]))) < bound
         size = len(words) - a if a == starts[-1] else STRETCH
         if runs and runs[-1][0] == stuffed:
             size += runs.pop()[1]
@@ -117,7 +123,7 @@ def symbols(line: str, hosts: Counter) -> list[tuple[int, int]]:
         plain = _URL.sub(" ", plain)
     item = _ITEM.match(plain)
     bare = (plain[item.end() :] if item else plain).strip("*_ ")
-    words = _WORD.findall(bare.lower())
+    words = (_PLAIN_WORD if bare.isascii() or not _HIGH.search(bare) else _WORD).findall(bare.lower())
     cjk = 0 if bare.isascii() else len(_CJK.findall(bare))
     n = len(words) if not cjk else len(_WORD.findall(_CJK.sub(" ", bare))) + cjk // 2
     if s[0] == "#" and re.match(r"#{1,6} ", s):
@@ -132,7 +138,7 @@ def symbols(line: str, hosts: Counter) -> list[tuple[int, int]]:
         if len(urls) + len(links) >= 1 and (linked >= 0.6 * n or not links and not ends):
             foreign = [h for h in urls if not 2 <= hosts[h] <= 10]
             return [(5 if foreign else 4 if urls else 3, n)]
-    if (not ends or n <= 14) and _CODE.search(s):
+    if (not ends or n <= 14) and _TWO_DIGITS.search(s) and _CODE.search(s):
         return [(6, n)]
     if n < 25:
         return [(shape(s, bare, ends, n), n)]
